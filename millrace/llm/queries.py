@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.exact_dedup import exact_groups
+from millrace.llm.line_dedup import drop_repeated_lines
 from millrace.llm.quality_rules import quality_rules
 from millrace.llm.shared import table
 from millrace.llm.url_filter import RULES, judge_urls
@@ -20,11 +22,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op6_line_dedup, op9_exact_dedup)}
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 ORACLES = {
@@ -40,6 +47,14 @@ ORACLES = {
                  from (select distinct host, path from part) join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by host, path)
         select page_id, part.host, part.path, rule, coalesce(verdict, 'allow') as verdict
         from part left join best on part.host = best.host and part.path = best.path""",
+    "op6_line_dedup": """
+        with d as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+        k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from d),
+        r as (select key, max(doc_id) as keep_id from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+        m as (select doc_id, i, line, keep_id is not null and keep_id <> doc_id as gone from k left join r using (key))
+        select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+        from m group by doc_id""",
     "op9_exact_dedup": """
         with d as (select doc_id, coalesce(text, '') as t from documents),
         g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
