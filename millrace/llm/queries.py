@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.exact_dedup import exact_groups
+from millrace.llm.html_text import extract_pages
 from millrace.llm.language_id import identify
 from millrace.llm.line_dedup import drop_repeated_lines
 from millrace.llm.quality_rules import quality_rules
@@ -33,6 +34,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 3 = 1")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op5_simhash, op6_line_dedup, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op5_simhash, op6_line_dedup, op7_html_text, op9_exact_dedup, op10_language_id)}
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 ORACLES = {
