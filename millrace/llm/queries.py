@@ -9,6 +9,7 @@ from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.html_text import extract_pages
 from millrace.llm.language_id import identify
 from millrace.llm.line_dedup import drop_repeated_lines
+from millrace.llm.mixing import mix_sources
 from millrace.llm.quality_rules import quality_rules
 from millrace.llm.shared import table
 from millrace.llm.simhash import near_groups
@@ -38,6 +39,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), max_repeats=2.0)
+    return mixed.select("doc_id", "source", "n_tokens", "pass", "block")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -46,7 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 3 = 1")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op5_simhash, op6_line_dedup, op7_html_text, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op5_simhash, op6_line_dedup, op7_html_text, op8_mix_sources, op9_exact_dedup, op10_language_id)}
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 ORACLES = {
