@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,14 @@ from millrace.llm.language_id import identify
 from millrace.llm.line_dedup import drop_repeated_lines
 from millrace.llm.mixing import mix_sources
 from millrace.llm.quality_rules import quality_rules
+from millrace.llm.sentencepiece_viterbi import decode_documents, encode_documents
 from millrace.llm.shared import table
 from millrace.llm.simhash import near_groups
 from millrace.llm.url_filter import RULES, judge_urls
 
+#: The vocabulary of the registered queries and the pipeline.
+MODEL = os.environ.get("MILLRACE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
@@ -26,6 +32,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL)
+    back = decode_documents(encoded, MODEL)
+    return back.select("doc_id", "ids", "n_ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -52,7 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 3 = 1")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op5_simhash, op6_line_dedup, op7_html_text, op8_mix_sources, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op4_sentencepiece, op5_simhash, op6_line_dedup, op7_html_text, op8_mix_sources, op9_exact_dedup, op10_language_id)}
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 ORACLES = {

@@ -178,3 +178,40 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(placed.join(least, "root").select("fp", "component_id"), "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def _shingle_set(text: str | None, width: int) -> set[int]:
+    w = (text or "").encode().lower().split()
+    seeded = xxhash.xxh64_intdigest
+    return {seeded(b" ".join(w[k : k + width]), 42) for k in range(max(1, len(w) - width + 1))}
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8) -> DataFrame:
+    """All columns of docs, with keep_id (the document that stands for this one) and kept.
+
+    The groups of near_groups() are candidates. Links chain, so each document is compared with its group's smallest
+    id by the Jaccard similarity of their sets of shingles: from `similarity` on it goes and that one stays; below, it
+    stays itself. Only documents of groups with several are compared, each with one other. Rows that repeat the smallest
+    id are all kept; rows with a null id always are. Columns of docs named keep_id or kept are replaced.
+    """
+    names = [c for c in docs.columns if c not in ("keep_id", "kept")]
+    docs = docs.select(*names)
+    placed = near_groups(docs, id_col, text_col, width, budget).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_to")).distinct()
+    placed = cut(placed.where("_id <> _to"))
+    roles = placed.unionByName(placed.select(F.col("_to").alias("_id"), "_to").distinct())
+    texts = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_own")).join(roles, "_id"))  # of groups with several only
+    one_text = texts.where("_id = _to").groupBy(F.col("_id").alias("_m")).agg(F.min("_own").alias("_text"))
+
+    @F.arrow_udf("boolean")
+    def alike(ones: pa.Array, others: pa.Array) -> pa.Array:
+        out, known = [], {}
+        for one, other in zip(ones.to_pylist(), others.to_pylist(), strict=True):
+            if other not in known:  # rows come grouped by the document they are compared with
+                known = {other: _shingle_set(other, width)}
+            a, b = _shingle_set(one, width), known[other]
+            out.append(len(a & b) >= similarity * len(a | b))
+        return pa.array(out, pa.bool_())
+
+    compared = texts.where("_id <> _to").join(one_text, F.col("_to") == F.col("_m")).where(alike("_own", "_text"))
+    gone = cut(compared.select("_id", "_to").distinct())
+    return docs.join(gone, F.col(id_col) == F.col("_id"), "left").withColumn("keep_id", F.coalesce("_to", id_col)).withColumn("kept", F.col("_id").isNull()).select(*names, "keep_id", "kept")
