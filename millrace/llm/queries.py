@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.html_text import extract_pages
 from millrace.llm.language_id import identify
+from millrace.llm.language_model import score_texts
 from millrace.llm.line_dedup import drop_repeated_lines
 from millrace.llm.mixing import mix_sources
 from millrace.llm.quality_rules import quality_rules
@@ -32,6 +33,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 10 = 0")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL)
     back = decode_documents(encoded, MODEL)
@@ -64,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 3 = 1")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op4_sentencepiece, op5_simhash, op6_line_dedup, op7_html_text, op8_mix_sources, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_lm_score, op4_sentencepiece, op5_simhash, op6_line_dedup, op7_html_text, op8_mix_sources, op9_exact_dedup, op10_language_id)}
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 ORACLES = {
