@@ -1,4 +1,7 @@
 """The registered queries and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from millrace.plans import text_queries
+
+_MODULES = (text_queries,)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
