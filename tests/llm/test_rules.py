@@ -1,0 +1,118 @@
+"""URL rules, quality rules and mixing against plain definitions."""
+
+import collections
+import random
+import re
+
+import pytest
+
+from millrace.llm.mixing import mix_sources, plan, weights
+from millrace.llm.quality_rules import BASE_FAILED, quality_rules, text_counts
+from millrace.llm.url_filter import RULES, judge_urls
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def plain_verdict(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = host.translate({i: i + 32 for i in range(65, 91)})
+    fitting = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fitting)[2:] if fitting else (None, "allow")))
+
+
+def test_urls(spark):
+    random.seed(1)
+    rules = [*RULES, ("a.example.net", "/en/x", "block"), ("a.example.net", "/en/xy", "allow"), ("b.a.example.net", "/", "allow"), ("com", "/q", "block"), ("com", "/q/w/e", "allow")]
+    urls = [None, "", "nothing", "://", "http://", "HTTP://EXAMPLE.NET", "http://net/", "http://Net/x", "http://xnet/", "x://a.net:80/", "http://u@example.net/en/", "ftp://example.net/en/?q://y/", "http://.net/", "http://a..net/", "http://net./", "http://\u00c4.net/\u00e4", "x" * 100_000 + "://net/" + "y" * 100_000]
+    urls += [f"http://{h}{p}" for h in ("net", "org", "example.com", "b.a.example.net", "a.example.net", "z.b.a.example.net", "org.com") for p in ("", "/", "/en", "/en/", "/en/x?", "/en/xyz#", "/de/1", "/fr/", "/q", "/q/w/e/r", "/en/w")]
+    urls += [random.choice(urls) for _ in range(100)]
+    pages = spark.createDataFrame([(k, u, "c", "h", "g") for k, u in enumerate(urls)], "page_id int, url string, grp string, host string, key string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {k: plain_verdict(u, rules) for k, u in enumerate(urls)}
+
+
+def test_urls_repeated_rules_and_empty(spark):
+    rules = spark.createDataFrame([("NET", "/", "allow"), ("net", "/", "block"), (None, "/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "x://net/"), (1, "x://net/"), (None, "x://org/")], "page_id int, url string")
+    assert sorted((r.page_id or 0, r.rule, r.verdict) for r in judge_urls(pages, rules).collect()) == [(0, None, "allow"), (1, "net/", "block"), (1, "net/", "block")]
+    assert judge_urls(pages.limit(0), rules).count() == 0
+    assert [r.verdict for r in judge_urls(pages, rules.limit(0)).collect()] == ["allow"] * 3
+
+
+def plain_counts(text):
+    t = text or ""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    n = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {j for k in range(len(w) - 2) if n[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_counts(spark):
+    random.seed(4)
+    texts = [None, "", " \n\t", "a", "a b", "a b c", "a a a a", "a b c a b c", "x\nx\n x\nx", "é# 日本 |<", "a\u00a0b c", "w " * 30_000, " ".join(str(k % 5000) for k in range(20_000))]
+    texts += [" ".join(random.choice("abc") + random.choice(["", "\n"]) for _ in range(random.randint(1, 40))) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t, 0, "w") for k, t in enumerate(texts)], "doc_id int, text string, n_words int, _quality string")
+    counted = text_counts(docs).selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"{BASE_FAILED} as failed").collect()
+    for r in counted:
+        want = plain_counts(texts[r.doc_id])
+        assert tuple(r)[1:6] == want, texts[r.doc_id][:50]
+        assert r.failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+
+
+def test_rules_are_learned(spark):
+    random.seed(6)
+    clean = lambda: " ".join("".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    dirty = lambda: " ".join("".join(random.choice("abcdefgh") for _ in range(5)) + "##" for _ in range(80))
+    rows = [(k, dirty() if k % 5 == 0 else clean(), "old") for k in range(400)] + [(1000, None, "old"), (1001, "", "old"), (3, clean(), "old")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, kept string")
+    labels = spark.createDataFrame([(k, int(k % 5 > 0)) for k in range(300)] + [(0, 1), (7, None), (None, 0)], "doc_id int, quality int")
+    got = quality_rules(docs, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.kept == (bool(r.text) and r.doc_id % 5 > 0 or r.doc_id == 3), r.doc_id
+        assert (r.rule is not None) == (not r.base_failed and not r.kept)
+    assert all(r.kept != r.base_failed for r in quality_rules(docs, labels.limit(0)).collect())
+    assert quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_good_documents_stay(spark, sf):
+    from millrace.llm.queries import op2_quality_rules
+
+    judged = op2_quality_rules(spark, sf.replace("sf0.001", "sf0.01")).join(spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/labels.parquet"), "doc_id").where("not base_failed")
+    good, bad = judged.where("quality = 1"), judged.where("quality = 0")
+    assert good.where("kept").count() >= 0.99 * good.count() and bad.where("not kept").count() >= 0.9 * bad.count()
+
+
+def test_plan():
+    tokens = {"big": 900, "small": 100, "none": 0}
+    assert plan(tokens).exponent == 1 and plan(tokens).budget == 1000
+    halved = plan(tokens, max_repeats=2.0)
+    assert halved.weights["none"] == 0 and abs(halved.budget * halved.weights["small"] / 100 - 2) < 0.02 and abs(halved.budget * halved.weights["big"] - 900) < 1
+    even = plan(tokens, target_entropy=1.0)
+    assert abs(even.weights["big"] - 0.5) < 1e-6
+    assert plan({}, max_repeats=2).budget == 0 and sum(weights({"a": 3, "b": 1}, 0.5).values()) == pytest.approx(1)
+    assert plan({"a": 100}, budget=250).budget == 250
+
+
+def test_mix(spark):
+    random.seed(8)
+    rows = [(k, " ".join(["w"] * random.randint(1, 30)), "big" if k % 3 else ("small" if k % 2 else None), "p") for k in range(600)] + [(5000, "", "big", "p"), (5001, None, "void", "p"), (3, "w w", "big", "p"), (3, "w w", "big", "p"), (None, "w", "big", "p")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, block string")
+    tokens = collections.Counter()
+    for _, t, s, _ in rows:
+        tokens[s] += len((t or "").split())
+    for budget in (None, 3000, 20_000):
+        mix = plan(dict(tokens), max_repeats=None if budget else 3.0, budget=budget)
+        got = mix_sources(docs, max_repeats=None if budget else 3.0, budget=budget, block_docs=20).collect()
+        read, seen = collections.Counter(), collections.Counter()
+        for r in got:
+            read[r.source] += r.n_tokens
+            seen[r.doc_id, r.source, r["pass"]] += 1
+        for s, w in mix.weights.items():
+            assert mix.budget * w - 40 <= read[s] <= mix.budget * w + 1e-6, (budget, s)
+        assert all(n == 1 or d == 3 for (d, _, _), n in seen.items())
+        if budget is None:
+            assert {r.doc_id for r in got} == {r[0] for r in rows}
+    assert mix_sources(docs.limit(0)).count() == 0
