@@ -28,29 +28,31 @@ APART_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
 
-#: Columns of the labelled table, and of the features of a block.
-FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "apart", "in article", "page has article", "heading")
-#: Blocks labelled by hand: the features, then 1 for main text. Links are shares of words.
+#: The features of a block, as the tree sees them.
+FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "heading", "apart", "in article", "page has article")
+#: Blocks of pages that name no article, labelled by hand: words and share of links in it, before and after, heading; 1 for main text.
 LABELLED = [
-    # in a region that is no part of the article, whatever it holds
-    (40, 0, 30, 0, 30, 0, 1, 0, 0, 0, 0), (120, 0, 60, 0, 5, 0, 1, 0, 1, 0, 0), (3, 1, 3, 1, 3, 1, 1, 0, 1, 0, 0), (1, 1, 0, 0, 1, 1, 1, 0, 0, 0, 0),
-    (8, 0, 3, 1, 60, 0, 1, 0, 1, 0, 0), (12, 0, 80, 0, 0, 0, 1, 0, 1, 0, 0), (25, 0.1, 50, 0, 12, 0, 1, 1, 1, 0, 0), (60, 0, 50, 0, 50, 0, 1, 1, 1, 0, 0),
-    (4, 0, 3, 1, 90, 0, 1, 1, 1, 1, 0), (5, 0, 20, 0, 20, 0, 1, 0, 0, 1, 0), (2, 0, 12, 0, 0, 0, 1, 1, 1, 0, 0), (15, 0.4, 15, 0.4, 15, 0.4, 1, 1, 1, 0, 0),
-    # in the article
-    (60, 0, 50, 0, 70, 0, 0, 1, 1, 0, 1), (7, 0, 3, 1, 80, 0, 0, 1, 1, 1, 1), (1, 0, 40, 0, 40, 0, 0, 1, 1, 0, 1), (2, 0, 2, 0, 1, 0, 0, 1, 1, 0, 1),
-    (30, 0.2, 40, 0, 20, 0, 0, 1, 1, 0, 1), (12, 0.5, 40, 0, 40, 0, 0, 1, 1, 0, 1), (5, 1, 60, 0, 40, 0, 0, 1, 1, 0, 1), (3, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1),
-    (9, 0, 3, 1, 12, 0, 0, 1, 1, 0, 1), (200, 0.05, 8, 0, 10, 0, 0, 1, 1, 0, 1), (1, 0, 0, 0, 0, 0, 0, 1, 1, 0, 1), (4, 0, 90, 0, 10, 0.4, 0, 1, 1, 0, 1),
-    # beside an article that the page names
-    (60, 0, 50, 0, 70, 0, 0, 0, 1, 0, 0), (10, 0, 3, 1, 7, 0, 0, 0, 1, 0, 0), (4, 1, 4, 1, 4, 1, 0, 0, 1, 0, 0), (6, 0, 40, 0, 40, 0, 0, 0, 1, 1, 0), (25, 0.1, 90, 0, 0, 0, 0, 0, 1, 0, 0),
-    # on a page that names no article
-    (60, 0, 50, 0, 70, 0, 0, 0, 0, 0, 1), (25, 0.1, 30, 0, 0, 0, 0, 0, 0, 0, 1), (14, 0, 40, 0, 30, 0, 0, 0, 0, 0, 1), (90, 0.2, 0, 0, 4, 1, 0, 0, 0, 0, 1), (18, 0, 5, 0, 25, 0, 0, 0, 0, 0, 1), (12, 0, 12, 0, 12, 0, 0, 0, 0, 0, 1),
-    (40, 0.25, 12, 0, 3, 1, 0, 0, 0, 0, 1), (30, 0, 2, 1, 6, 0, 0, 0, 0, 0, 1), (11, 0, 3, 1, 20, 0, 0, 0, 0, 0, 1), (70, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), (16, 0.1, 0, 0, 14, 0, 0, 0, 0, 0, 1),
-    (5, 0, 3, 1, 60, 0, 0, 0, 0, 1, 1), (8, 0, 40, 0, 30, 0, 0, 0, 0, 1, 1), (3, 0, 25, 0, 15, 0, 0, 0, 0, 1, 1), (6, 0, 0, 0, 40, 0, 0, 0, 0, 1, 1), (9, 0, 2, 1, 11, 0, 0, 0, 0, 1, 1),
-    (2, 0, 40, 0, 40, 0, 0, 0, 0, 0, 1), (5, 0, 25, 0, 30, 0.1, 0, 0, 0, 0, 1), (1, 0, 15, 0, 90, 0, 0, 0, 0, 0, 1), (8, 0, 60, 0, 14, 0, 0, 0, 0, 0, 1), (6, 0, 16, 0, 50, 0, 0, 0, 0, 0, 1),
-    (3, 1, 3, 1, 3, 1, 0, 0, 0, 0, 0), (1, 1, 0, 0, 1, 1, 0, 0, 0, 0, 0), (20, 0.9, 15, 0.8, 30, 0, 0, 0, 0, 0, 0), (14, 0.6, 30, 0, 12, 0.7, 0, 0, 0, 0, 0), (40, 0.5, 4, 1, 60, 0, 0, 0, 0, 0, 0), (5, 0.6, 40, 0, 40, 0, 0, 0, 0, 0, 0), (12, 0.7, 50, 0, 50, 0, 0, 0, 0, 0, 0),
-    (4, 0, 3, 1, 5, 0, 0, 0, 0, 0, 0), (6, 0, 60, 0, 0, 0, 0, 0, 0, 0, 0), (3, 0, 30, 0, 3, 1, 0, 0, 0, 0, 0), (7, 0, 2, 0, 40, 0, 0, 0, 0, 0, 0), (2, 0, 2, 0, 2, 0, 0, 0, 0, 0, 0), (5, 0, 3, 1, 30, 0, 0, 0, 0, 0, 0), (4, 0, 0, 0, 4, 1, 0, 0, 0, 1, 0), (3, 0, 40, 0, 3, 1, 0, 0, 0, 1, 0), (2, 0, 3, 0, 5, 0, 0, 0, 0, 1, 0),
+    # paragraphs and list items of an article, some of them short
+    (60, 0, 50, 0, 70, 0, 0, 1), (25, 0.1, 30, 0, 0, 0, 0, 1), (14, 0, 40, 0, 30, 0, 0, 1), (90, 0.2, 0, 0, 4, 1, 0, 1), (18, 0, 5, 0, 25, 0, 0, 1), (12, 0, 12, 0, 12, 0, 0, 1), (40, 0.25, 12, 0, 3, 1, 0, 1), (30, 0, 2, 1, 6, 0, 0, 1),
+    (11, 0, 3, 1, 20, 0, 0, 1), (70, 0, 0, 0, 0, 0, 0, 1), (16, 0.1, 0, 0, 14, 0, 0, 1), (17, 0, 4, 0, 2, 0, 0, 1), (25, 0, 3, 0, 40, 0, 0, 1), (12, 0, 5, 0, 4, 0, 0, 1), (15, 0, 1, 1, 3, 0, 0, 1), (20, 0, 0, 0, 1, 1, 0, 1),
+    (11, 0, 2, 0, 2, 0, 0, 1), (13, 0.1, 60, 0, 0, 0, 0, 1), (45, 0, 7, 0, 7, 0, 0, 1), (19, 0.2, 2, 0, 60, 0, 0, 1), (28, 0, 9, 0, 1, 0, 0, 1), (14, 0, 3, 0.3, 9, 0, 0, 1), (22, 0.3, 28, 0, 20, 0, 0, 1), (2, 0, 40, 0, 40, 0, 0, 1),
+    (4, 0, 17, 0, 20, 0, 0, 1), (3, 0, 12, 0, 15, 0, 0, 1), (9, 0, 30, 0, 18, 0, 0, 1), (5, 0, 25, 0, 30, 0.1, 0, 1), (1, 0, 15, 0, 90, 0, 0, 1), (8, 0, 60, 0, 14, 0, 0, 1), (6, 0, 16, 0, 50, 0, 0, 1),
+    # headings
+    (5, 0, 3, 1, 60, 0, 1, 1), (8, 0, 40, 0, 30, 0, 1, 1), (3, 0, 25, 0, 15, 0, 1, 1), (6, 0, 0, 0, 40, 0, 1, 1), (9, 0, 2, 1, 11, 0, 1, 1), (4, 0, 1, 1, 17, 0, 1, 1), (3, 0, 3, 1, 20, 0, 1, 1), (6, 0, 2, 1, 30, 0, 1, 1),
+    (2, 0, 4, 0, 25, 0, 1, 1), (5, 0, 4, 0, 14, 0, 1, 1), (4, 0, 0, 0, 4, 1, 1, 0), (3, 0, 40, 0, 3, 1, 1, 0), (2, 0, 3, 0, 5, 0, 1, 0),
+    # menus, captions, notes and other short or linked blocks
+    (3, 1, 3, 1, 3, 1, 0, 0), (1, 1, 0, 0, 1, 1, 0, 0), (20, 0.9, 15, 0.8, 30, 0, 0, 0), (14, 0.6, 30, 0, 12, 0.7, 0, 0), (40, 0.5, 4, 1, 60, 0, 0, 0), (5, 0.6, 40, 0, 40, 0, 0, 0), (12, 0.7, 50, 0, 50, 0, 0, 0), (9, 0, 2, 0, 2, 0, 0, 0),
+    (8, 0, 3, 1, 3, 1, 0, 0), (7, 0, 5, 0, 4, 0, 0, 0), (5, 0, 6, 0, 28, 0, 0, 0), (8, 0, 25, 0, 2, 0, 0, 0), (9, 0, 12, 0, 0, 0, 0, 0), (3, 0, 70, 0, 5, 0, 0, 0), (6, 0, 1, 0, 16, 0, 0, 0), (4, 0, 3, 1, 5, 0, 0, 0),
+    (6, 0, 60, 0, 0, 0, 0, 0), (3, 0, 30, 0, 3, 1, 0, 0), (7, 0, 2, 0, 40, 0, 0, 0), (2, 0, 2, 0, 2, 0, 0, 0), (5, 0, 3, 1, 30, 0, 0, 0),
 ]
 
+
+def labelled_table() -> np.ndarray:
+    """LABELLED, and the same blocks where the page's markup says what they are: never text in a part that is none, always in its article, never beside that."""
+    said = {(0, 0, 0): None, (1, 0, 0): 0, (1, 0, 1): 0, (1, 1, 1): 0, (0, 1, 1): 1, (0, 0, 1): 0}
+    return np.array([(*row[:-1], *where, row[-1] if label is None else label) for row in LABELLED for where, label in said.items()], float)
+
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -163,7 +165,7 @@ def features(found: list) -> np.ndarray:
     # A page names its article if a block that may be text lies in it.
     named = np.full((n, 1), any(b[4] and not b[3] for b in found), float)
     flags = np.array([(b[3], b[4], b[5]) for b in found], float).reshape(n, 3)
-    return np.hstack([own, around[:-2], around[2:], flags[:, :2], named, flags[:, 2:]])
+    return np.hstack([own, around[:-2], around[2:], flags[:, 2:], flags[:, :2], named])
 
 
 def grow_tree(x: np.ndarray, y: np.ndarray) -> tuple:
@@ -194,7 +196,7 @@ def apply_tree(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 @lru_cache(1)
 def fitted_tree() -> tuple:
-    table = np.array(LABELLED, float)
+    table = labelled_table()
     return grow_tree(table[:, :-1], table[:, -1])
 
 
