@@ -66,3 +66,43 @@ def rationale_of(title: Column, rationales: Column, normalise) -> Column:
     pick = lambda same: F.get(F.filter(entries, same), F.lit(0))["value"]
     bare = lambda x: F.trim(F.regexp_replace(x, r"^#+\s*", ""))
     return F.coalesce(pick(lambda e: e["key"] == title), pick(lambda e: bare(e["key"]) == title), pick(lambda e: normalise(bare(e["key"])) == normalise(title)), F.lit(""))
+
+
+def needs_programme(text: Column, specific: list[str], mentioned: Column) -> Column:
+    """A question that only makes sense for one programme, but names none."""
+    return contains_any(F.lower(text), specific) & (F.size(mentioned) == 0)
+
+
+def resolve_reference(text: Column, pattern: str, entity: Column) -> Column:
+    """`this programme` becomes the programme that the conversation is about; a text without the phrase gets it behind; without one nothing changes."""
+    quoted = F.regexp_replace(entity, r"([\\$])", r"\\$1")
+    named = F.when(text.rlike(pattern), F.regexp_replace(text, F.lit(pattern), quoted)).otherwise(F.concat_ws(" ", text, entity))
+    return F.when(entity.isNull(), text).otherwise(named)
+
+
+def recommendation(text: Column, vetoed: Column, wanted: Column, interest: Column, only_names: Column) -> Column:
+    """The interest to recommend by, or null: not if a rule vetoes it or the model doesn't see the wish (or failed). An interest that isn't
+    in the text, whatever the spaces, is replaced by the text; one that is nothing but names gives null."""
+    packed = lambda x: F.regexp_replace(x, r"\s+", "")
+    found = F.when(packed(text).contains(packed(interest)) & (F.length(F.trim(interest)) > 0), interest).otherwise(text)
+    return F.when(~F.coalesce(vetoed, F.lit(False)) & F.coalesce(wanted, F.lit(False)) & ~F.coalesce(only_names, F.lit(False)), found)
+
+
+def support(rationale: Column, unsupported: list[str]) -> Column:
+    """empty, unsupported (the text says that there is no ground) or supported."""
+    return F.when(F.coalesce(F.trim(rationale), F.lit("")) == "", "empty").when(contains_any(rationale, unsupported), "unsupported").otherwise("supported")
+
+
+def support_of(rows, keys: list[str], kind: str):
+    """What a set of results is as a whole: all_supported, none_explained (all empty), none_supported or mixed, with counts."""
+    counts = {k: F.count_if(F.col(kind) == k) for k in ("supported", "unsupported", "empty")}
+    n = F.count("*")
+    whole = F.when(counts["supported"] == n, "all_supported").when(counts["empty"] == n, "none_explained").when(counts["supported"] == 0, "none_supported").otherwise("mixed")
+    return rows.groupBy(*keys).agg(whole.alias("whole"), *[c.alias(k) for k, c in counts.items()])
+
+
+def as_points(rows, key: str, dimension: str, value: str, wanted: list[str], missing: str):
+    """A comparison as a list of points for each programme: the wanted rows in this order, missing values left out."""
+    order = F.array_position(F.array(*[F.lit(w) for w in wanted]), F.col(dimension))
+    kept = rows.where(F.col(dimension).isin(wanted) & F.col(value).isNotNull() & (F.col(value) != missing)).withColumn("_o", order)
+    return kept.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_o", value))), lambda x: x[value]).alias("points"))
