@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import small_batches
+
 # HTML element names by their role, and words in class, id and role that name a part which is no article.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -216,6 +218,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     however long; repeated rows give repeated rows; other columns of pages aren't returned.
     """
 
+    small_batches(pages.sparkSession)
+
     @F.arrow_udf("string")
     def text_of(pages: pa.Array) -> pa.Array:
         return pa.array([main_text(p.as_py()) for p in pages], pa.string())

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import small_batches
+
 #: Texts are worked on in groups of about so many code points.
 _CHUNK = 1 << 18
 
@@ -143,6 +145,7 @@ def identify(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: s
     0, as is everything when there is nothing to learn from. Of equal cosines the first language by name wins. lang,
     source and id are no inputs of a prediction; other columns of docs aren't returned. Repeated rows are judged alike.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     held = F.coalesce(F.expr(held_out.replace(id_col, "id")), F.lit(False))
     usable = rows.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import cut, shared_folder, shuffle_partitions
+from millrace.llm.shared import cut, shared_folder, shuffle_partitions, small_batches
 
 #: Buckets of context frequency: by powers of two, the last for all beyond.
 BUCKETS = 32
@@ -85,7 +85,9 @@ def _ask(shards: int):
         for batch in batches:
             for row in batch.to_pylist():
                 kinds = _kinds(row)
-                for base, (hashes, counts) in ((0, kinds["words"]), (shards, kinds["pairs"])):
+                asked = ((0, kinds["words"]), (shards, kinds["pairs"]))
+                del kinds  # the tokens' codes aren't needed here
+                for base, (hashes, counts) in asked:
                     order, at = _shards(hashes, shards)
                     rows = [(base + s, hashes[order[at[s] : at[s + 1]]], counts[order[at[s] : at[s + 1]]]) for s in range(shards) if at[s] < at[s + 1]]
                     yield pa.RecordBatch.from_arrays(
@@ -185,7 +187,7 @@ def _score(shards: int, n: int, v: int, weights: np.ndarray):
     return of
 
 
-def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 24 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the text, A-Z lower-cased, and one end; the first word follows an end. held_out: SQL condition
@@ -194,12 +196,14 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     empty text is one end. Repeated rows are rows of their own and all counted. Other columns of docs aren't returned.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[id_col].dataType
 
     def encode(batches):
         part, number, ids, texts, held, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def done():
+            pa.default_memory_pool().release_unused()
             row = _block((part << 24) + number, pa.concat_arrays(ids), pa.concat_arrays(texts), pa.concat_arrays(held))
             ids.clear(), texts.clear(), held.clear()
             return pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64())] + [pa.ListArray.from_arrays(pa.array([0, len(row[c])], pa.int32()), row[c]) for c in ("ids", "held")] + [pa.array([row[c]]) for c in ("sizes", "words", "codes")] + [pa.array([row[c]], pa.int64()) for c in ("n_words", "n_codes", "train_tokens")], ["block", "ids", "held", "sizes", "words", "codes", "n_words", "n_codes", "train_tokens"])

@@ -20,20 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import cut
+from millrace.llm.shared import cut, in_slices, small_batches
 
 _TRIM = " \t\n\x0b\x0c\r"
 
 
-def _keys(texts: pa.Array, least: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Different keys of at least `least` code points, one integer hash each, and for each a flag: more than one line of these texts has it."""
+def _keys(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each different key of at least `least` code points, and for each a flag: more than one line of these texts has it."""
     lines = pc.split_pattern(pc.fill_null(texts, ""), "\n").flatten()
     keys = pc.ascii_lower(pc.utf8_trim(lines, characters=_TRIM))
     keys = keys.filter(pc.greater_equal(pc.utf8_length(keys), least))
     counted = pc.value_counts(keys)
     keys, counts = counted.field("values"), counted.field("counts").to_numpy(zero_copy_only=False)
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys.to_pylist()), np.uint64, len(keys))
-    return keys, hashes, counts > 1
+    return hashes, counts > 1
 
 
 def _positions(hashes: np.ndarray, bits: int, probes: int) -> list[np.ndarray]:
@@ -68,10 +68,11 @@ def twice_filter(docs: DataFrame, text_col: str, least: int, bits: int, probes:
     def fill(batches):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            _, hashes, several = _keys(batch.column(0), least)
-            at = _positions(hashes, bits, probes)
-            _put(twice, at, several | _has(once, at))
-            _put(once, at, np.ones(len(hashes), bool))
+            for _, texts in in_slices(batch.column(0)):
+                hashes, several = _keys(texts, least)
+                at = _positions(hashes, bits, probes)
+                _put(twice, at, several | _has(once, at))
+                _put(once, at, np.ones(len(hashes), bool))
         rows = [(k, _pack(once[k * part : (k + 1) * part]), _pack(twice[k * part : (k + 1) * part])) for k in range(segments) if once[k * part : (k + 1) * part].any()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "once", "twice"])
 
@@ -104,20 +105,22 @@ def twice_filter(docs: DataFrame, text_col: str, least: int, bits: int, probes:
 
 
 def _tester(docs: DataFrame, bitmap: bytes, least: int, bits: int, probes: int):
-    """A function of an Arrow array of texts: the list offsets' parents, long keys, and which of them are suspected repeats."""
+    """A function of an Arrow array of texts: of each suspected repeat the place of its text, and its key."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # bits / 8 bytes, whatever the input
 
     def test(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-        lists = pc.split_pattern(pc.fill_null(texts, ""), "\n")
-        keys = pc.ascii_lower(pc.utf8_trim(lists.flatten(), characters=_TRIM))
-        long = pc.greater_equal(pc.utf8_length(keys), least)
-        of, keys = pc.list_parent_indices(lists).filter(long), keys.filter(long)
-        coded = keys.dictionary_encode()
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-        if not len(hashes):
-            return of, keys
-        hit = pa.array(_has(np.frombuffer(shared.value, np.uint8), _positions(hashes, bits, probes))[coded.indices.to_numpy(zero_copy_only=False)])
-        return of.filter(hit), keys.filter(hit)
+        held, rows, found = np.frombuffer(shared.value, np.uint8), [pa.array([], pa.int64())], [pa.array([], pa.string())]
+        for start, part in in_slices(texts):
+            lists = pc.split_pattern(pc.fill_null(part, ""), "\n")
+            keys = pc.ascii_lower(pc.utf8_trim(lists.flatten(), characters=_TRIM))
+            long = pc.greater_equal(pc.utf8_length(keys), least)
+            of, coded = pc.list_parent_indices(lists).filter(long), keys.filter(long).dictionary_encode()
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+            if len(hashes):
+                hit = pa.array(_has(held, _positions(hashes, bits, probes))[coded.indices.to_numpy(zero_copy_only=False)])
+                rows.append(pc.add(of.filter(hit).cast(pa.int64()), start))
+                found.append(coded.filter(hit).dictionary_decode().cast(pa.string()))
+        return pa.concat_arrays(rows), pa.concat_arrays(found)
 
     return test
 
@@ -132,6 +135,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     count for no key. Rows that repeat an id count as one document, and all of them keep what that id keeps. Columns of
     docs named n_lines or n_dropped are replaced; others pass unchanged.
     """
+    small_batches(docs.sparkSession)
     bitmap = twice_filter(docs, text_col, least, bits, probes)
     test = _tester(docs, bitmap, least, bits, probes)
 
@@ -144,6 +148,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # A document and key once each; both aggregations combine before they shuffle, so a common line makes no large group.
     found = cut(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(suspects, schema).distinct())
     confirmed = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep_id")).where(F.col("n") >= in_docs).select("key", "keep_id")
+    confirmed = cut(confirmed)  # then the join deals both sides out anew, and Spark can split it at a very common line
     drops = found.join(confirmed, "key").where("id <> keep_id").groupBy(F.col("id").alias("_id")).agg(F.collect_list("key").alias("_drop"))
 
     @F.arrow_udf("boolean")
@@ -155,8 +160,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     @F.arrow_udf("struct<text: string, n_dropped: bigint>")
     def rewrite(texts: pa.Array, drop: pa.Array) -> pa.Array:
         kept, dropped = [], []
-        for text, keys in zip(texts.to_pylist(), drop.to_pylist(), strict=True):
-            lines, gone = (text or "").split("\n"), {k.encode() for k in keys or ()}
+        for text, keys in zip(texts, drop, strict=True):
+            lines, gone = (text.as_py() or "").split("\n"), {k.encode() for k in keys.as_py() or ()}
             stay = [x for x in lines if x.encode().strip(_TRIM.encode()).lower() not in gone]
             kept.append("\n".join(stay))
             dropped.append(len(lines) - len(stay))

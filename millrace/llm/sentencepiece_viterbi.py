@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import in_slices, small_batches
+
 MARK = "▁"
 
 
@@ -40,8 +42,14 @@ class Vocabulary:
         self.byte_ids, self.unknown = byte_ids, unknown
         self.longest = max(map(len, self.pieces), default=1)
         self.penalty = min((s for s, _ in self.pieces.values()), default=0.0) - 10.0
-        #: Every start of a piece, with score and id where it is one: tells when no longer piece can follow.
-        self.starts: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
+        #: The pieces by their characters: for each a node (score or None, ids, nodes of the next characters).
+        self.root: dict[str, list] = {}
+        for piece, (score, i) in self.pieces.items():
+            nodes = self.root
+            for c in piece:
+                node = nodes.setdefault(c, [None, (), {}])
+                nodes = node[2]
+            node[0], node[1] = score, (i,)
         self.text_of = {i: p for p, (_, i) in self.pieces.items()}
         self.byte_of = {i: b for b, i in byte_ids.items()}
         #: No piece has a mark after another character: then paths always meet before such a mark.
@@ -63,9 +71,36 @@ class Vocabulary:
         return tuple(self.byte_ids[b] for b in data) if all(b in self.byte_ids for b in data) else (self.unknown,)
 
 
+def _within_window(text: str, v: Vocabulary) -> list[int]:
+    """viterbi() of a text that fits into the window, where nothing is to be committed early."""
+    n, root, penalty = len(text), v.root, v.penalty
+    best, back, ids = [-math.inf] * (n + 1), [0] * (n + 1), [()] * (n + 1)
+    best[0] = 0.0
+    for at in range(n):
+        sofar, nodes, end = best[at], root, at
+        for c in text[at:]:
+            node = nodes.get(c)
+            if node is None:
+                break
+            end += 1
+            if node[0] is not None and sofar + node[0] > best[end]:
+                best[end], back[end], ids[end] = sofar + node[0], at, node[1]
+            nodes = node[2]
+        if sofar + penalty > best[at + 1]:
+            best[at + 1], back[at + 1], ids[at + 1] = sofar + penalty, at, v.fallback(text[at])
+    parts, end = [], n
+    while end:
+        parts.append(ids[end])
+        end = back[end]
+    return [i for part in reversed(parts) for i in part]
+
+
 def viterbi(text: str, v: Vocabulary):
     """Yields the ids of the best segmentation, in runs, as soon as they are certain. Of equal sums the longer last piece wins."""
-    n, longest, starts = len(text), v.longest, v.starts
+    n, longest, root = len(text), v.longest, v.root
+    if n <= 4 * longest:
+        yield _within_window(text, v)
+        return
     base, best, back = 0, {0: 0.0}, {}
 
     def path(end: int, start: int) -> list[int]:
@@ -76,14 +111,16 @@ def viterbi(text: str, v: Vocabulary):
         return [i for ids in reversed(parts) for i in ids]
 
     for at in range(n):
-        sofar = best.pop(at)  # final: every piece that ends here began before
-        for end in range(at + 1, min(at + longest, n) + 1):
-            piece = starts.get(text[at:end], 0)
-            if piece == 0:
+        sofar, nodes, end = best.pop(at), root, at  # final: every piece that ends here began before
+        for c in text[at : at + longest]:
+            node = nodes.get(c)
+            if node is None:
                 break
-            if piece and ((total := sofar + piece[0]) > best.get(end, total - 1)):
-                best[end], back[end] = total, (at, (piece[1],))
-        if (total := sofar + v.penalty) > best.get(at + 1, total - 1):
+            end += 1
+            if node[0] is not None and (total := sofar + node[0]) > best.get(end, -math.inf):
+                best[end], back[end] = total, (at, node[1])
+            nodes = node[2]
+        if (total := sofar + v.penalty) > best.get(at + 1, -math.inf):
             best[at + 1], back[at + 1] = total, (at, v.fallback(text[at]))
         if at - base >= 4 * longest and at % longest == 0:
             # Whatever comes next starts at a boundary that has a score already, from at + 1 on; each has its path back.
@@ -100,29 +137,109 @@ def viterbi(text: str, v: Vocabulary):
     yield path(n, base)
 
 
+class Batch:
+    """The same search for many short parts side by side: arrays hold what viterbi() holds for one text."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        edges, scores, ids = [], [-math.inf], [-1]
+
+        def number(nodes: dict, parent: int) -> None:
+            for c, (score, piece, further) in nodes.items():
+                scores.append(-math.inf if score is None else score)
+                ids.append(piece[0] if piece else -1)
+                edges.append((parent << 21 | ord(c), len(scores) - 1))
+                number(further, len(scores) - 1)
+
+        number(v.root, 0)  # as deep as the longest piece
+        self.edges, self.to = np.array(sorted(edges) or [(-1, 0)], np.int64).T
+        self.scores, self.ids = np.array(scores), np.array(ids, np.int64)
+
+    def __call__(self, parts: list[str]) -> list[tuple[int, ...]]:
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        # A place for every boundary of every part: one more than characters.
+        first = np.cumsum(sizes + 1) - (sizes + 1)
+        part = np.repeat(np.arange(len(parts)), sizes)
+        start = np.arange(len(chars)) + part  # the place before each character
+        last = (first + sizes)[part]
+        begin, at, node, char = start, start, np.zeros(len(chars), np.int64), np.arange(len(chars))
+        found = []
+        while len(at):
+            key = node << 21 | chars[char]
+            k = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            on = self.edges[k] == key
+            begin, at, char, node = begin[on], at[on] + 1, char[on] + 1, self.to[k[on]]
+            whole = self.ids[node] >= 0
+            found.append((begin[whole], at[whole], node[whole]))
+            more = at < last[char - 1]
+            begin, at, char, node = begin[more], at[more], char[more], node[more]
+        found.append((start, start + 1, np.zeros(len(start), np.int64)))
+        begin, end, node = (np.concatenate([f[k] for f in found]) for k in range(3))
+        score = np.where(node > 0, self.scores[node], self.v.penalty)  # node 0: no piece, the character as bytes
+        place = np.arange(len(chars) + len(parts)) - np.repeat(first, sizes + 1)  # characters before each place
+        order = np.argsort(place[end] * (int(sizes.max(initial=0)) + 2) + place[begin], kind="stable")
+        begin, end, node, score = begin[order], end[order], node[order], score[order]
+        best, back, how = np.full(len(place), -np.inf), np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        best[first] = 0.0
+        level = np.append(np.flatnonzero(np.diff(place[end], prepend=-1)), len(end))
+        for lo, hi in zip(level[:-1], level[1:], strict=True):  # all parts' boundaries at the same distance from the start
+            total = best[begin[lo:hi]] + score[lo:hi]
+            np.maximum.at(best, end[lo:hi], total)
+            win = np.flatnonzero(total == best[end[lo:hi]])[::-1] + lo  # of equals the first: the longer last piece
+            back[end[win]], how[end[win]] = begin[win], node[win]
+        # Back from each part's end; the boundaries that are met, in order of place, are the ends of its pieces.
+        at, met = (first + sizes)[sizes > 0], []
+        while len(at):
+            met.append(at)
+            at = back[at]
+            at = at[place[at] > 0]
+        met = np.sort(np.concatenate(met)) if met else np.zeros(0, np.int64)
+        owner = np.searchsorted(first, met, "right") - 1
+        ids, bare = self.ids[how[met]], {}
+        for k in np.flatnonzero(ids < 0).tolist():
+            bare.setdefault(int(owner[k]), []).append((k, self.v.fallback(chr(chars[met[k] - 1 - owner[k]]))))
+        at, ids = np.append(0, np.cumsum(np.bincount(owner, minlength=len(parts)))).tolist(), ids.tolist()
+        out = [tuple(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for w, instead in bare.items():
+            pieces = [(i,) for i in out[w]]
+            for k, data in instead:
+                pieces[k - at[w]] = data
+            out[w] = tuple(chain.from_iterable(pieces))
+        return out
+
+
 class Encoder:
-    """Encodes whole texts with one vocabulary. Remembers parts of up to `length` code points: at most `most` new ones and as many older."""
+    """Encodes whole texts with one vocabulary. Remembers at most about `most` parts, of up to `length` code points."""
 
-    def __init__(self, v: Vocabulary, most: int = 300_000, length: int = 48):
-        self.v, self.most, self.length = v, most, length
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+    def __init__(self, v: Vocabulary, most: int = 200_000, length: int = 48):
+        self.v, self.most, self.length, self.batch = v, most, length, Batch(v)
+        self.known: dict[str, tuple[int, ...]] = {}
         self.part = re.compile(f"{MARK}+[^{MARK}]*").findall if v.parted else lambda text: [text]
 
-    def part_ids(self, part: str):
-        ids = self.new.get(part)
-        if ids is None:
-            ids = self.old.get(part) or tuple(chain.from_iterable(viterbi(part, self.v)))
-            if len(part) <= self.length:
-                if len(self.new) >= self.most:
-                    self.old, self.new = self.new, {}
-                self.new[part] = ids
-        return ids
+    def _ids(self, part: str) -> tuple[int, ...]:
+        ids = self.known.get(part)
+        return ids if ids is not None else tuple(chain.from_iterable(viterbi(part, self.v)))
+
+    def encode(self, texts, into: array) -> list[int]:
+        """Puts the ids of texts (some megabytes together) behind those of an array; returns its length after each."""
+        split = [self.part(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        asked = {p for parts in split for p in parts if len(p) <= self.length}
+        new = asked - self.known.keys()
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = asked
+        new = list(new)
+        self.known.update(zip(new, self.batch(new), strict=True))
+        ends = []
+        for parts in split:
+            into.extend(chain.from_iterable(map(self._ids, parts)))
+            ends.append(len(into))
+        return ends
 
     def __call__(self, text: str | None) -> array:
-        if not text:
-            return array("i")
-        return array("i", chain.from_iterable(map(self.part_ids, self.part(MARK + text.replace(" ", MARK)))))
+        self.encode([text], ids := array("i"))
+        return ids
 
 
 #: The encoder of this Python worker, with the vocabulary that it is for: tasks that follow each other share what it remembers.
@@ -157,16 +274,17 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
     A text gets a space before it, and spaces become word marks, as the public models expect. Null and empty texts have no
     ids. Repeated rows are encoded alike. However long a text, its pending state stays small; its ids are one array.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model_path))
     key = uuid.uuid4().hex
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
         encoder = _encoder(key, lambda: shared.value)
-        found = [encoder(t.as_py()) for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int32)
-        values = np.concatenate([np.frombuffer(x, np.int32) for x in found if x] or [np.zeros(0, np.int32)])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        ids, offsets = array("i"), [0]
+        for _, part in in_slices(texts):
+            offsets += encoder.encode(part.to_pylist(), ids)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
 
     return docs.withColumn("ids", ids_of(text_col)).withColumn("n_ids", F.size("ids").cast("long"))
 

@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import cut
+from millrace.llm.shared import cut, small_batches, stored
 
-_ONE, _TOP = np.uint64(1), np.uint64(64)
+_ONE = np.uint64(1)
+#: Node pairs that a step of the traversal takes on at most.
+_PART = 1 << 17
 
 
 def simhash(text: str | None, width: int = 3) -> int:
@@ -69,10 +71,6 @@ def _descend(rows: DataFrame, depth: int, levels: int, budget: int) -> DataFrame
     return rows.select(first.alias("a"), second.alias("b"), "fp")
 
 
-def _roots(n: int) -> np.ndarray:
-    return np.arange(n)
-
-
 def _join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """root with the links x-y merged: each entry the least index of its component."""
     while len(x):
@@ -80,8 +78,8 @@ def _join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         apart = a != b
         x, y, a, b = x[apart], y[apart], a[apart], b[apart]
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (nxt := root[root]).tolist() != root.tolist() if len(root) < 64 else not np.array_equal(nxt := root[root], root):
-            root = nxt
+        while not np.array_equal(further := root[root], root):
+            root = further
     return root
 
 
@@ -92,14 +90,17 @@ def trie_forest(one: np.ndarray, two: np.ndarray | None, depth: int, spent: int,
     """
     every = one if two is None else np.concatenate([one, two])
     shift = 0 if two is None else len(one)
-    root = _roots(len(every))
+    root = np.arange(len(every))
     two = one if two is None else two
-    # A node pair: ranges [alo, ahi) of one and [blo, bhi) of two, bits spent, and whether both are the same node.
-    pairs = np.array([[0, len(one), 0, len(two), spent, shift == 0]], np.int64)
-    for bit in range(depth, 64):
-        if not len(pairs):
-            break
-        small = ((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= 48) | (bit == 63)
+    # A node pair: ranges [alo, ahi) of one and [blo, bhi) of two, bits spent, and whether both are the same node. Breadth
+    # first, but in parts of bounded size: the rest of a level waits on the stack.
+    waiting = [(depth, np.array([[0, len(one), 0, len(two), spent, shift == 0]], np.int64))]
+    while waiting:
+        bit, pairs = waiting.pop()
+        if len(pairs) > _PART:
+            waiting += [(bit, pairs[k : k + _PART]) for k in range(0, len(pairs), _PART)]
+            continue
+        small = ((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= 48) | (bit >= 63)
         for k in range(0, int(small.sum()), 1 << 14):
             alo, ahi, blo, bhi, _, same = pairs[small][k : k + (1 << 14)].T
             n, m = ahi - alo, bhi - blo
@@ -110,7 +111,7 @@ def trie_forest(one: np.ndarray, two: np.ndarray | None, depth: int, spent: int,
             root = _join(root, x[near], y[near] + shift)
         pairs = pairs[~small]
         if not len(pairs):
-            break
+            continue
         alo, ahi, blo, bhi, used, same = pairs.T
         half, keep = _ONE << np.uint64(63 - bit), ~((_ONE << np.uint64(64 - bit)) - _ONE) if bit else np.uint64(0)
         amid = np.searchsorted(one, (one[alo] & keep) | half)
@@ -118,12 +119,12 @@ def trie_forest(one: np.ndarray, two: np.ndarray | None, depth: int, spent: int,
         stack = lambda a, b, c, d, more, s: np.stack([a, b, c, d, used + more, s], 1)
         children = [stack(alo, amid, blo, bmid, 0, same), stack(amid, ahi, bmid, bhi, 0, same), stack(alo, amid, bmid, bhi, 1, 0 * same), stack(amid, ahi, blo, bmid, 1, 0 * same)[same == 0]]
         pairs = np.concatenate(children)
-        pairs = pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3]) & (pairs[:, 4] <= budget)]
+        waiting.append((bit + 1, pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3]) & (pairs[:, 4] <= budget)]))
     moved = root != np.arange(len(root))
     return every[moved], every[root[moved]]
 
 
-def links(prints: DataFrame, budget: int = 2, leaf: int = 4096) -> DataFrame:
+def links(prints: DataFrame, budget: int = 2, leaf: int = 16_384) -> DataFrame:
     """prints (fp), different longs -> (u, v): links that connect whatever is connected by pairs within `budget` bits."""
     n = prints.count()
     depth = min(12, max(0, math.ceil(math.log2(max(1, n) / leaf))))
@@ -146,14 +147,15 @@ def links(prints: DataFrame, budget: int = 2, leaf: int = 4096) -> DataFrame:
 
     found = []
     while True:
-        step = min(4, 64 - depth)
-        large = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select("a", "b") if step else None
-        if large is None or not (more := (rows := cut(rows)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > leaf).limit(1).count()):
-            found.append(rows.groupBy("a", "b").applyInArrow(finish(depth), "u long, v long"))
+        rows, step = stored(rows), min(4, 64 - depth)
+        sizes = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
+        large = cut(sizes.where(F.col("n") > leaf).select("a", "b", F.lit(True).alias("large")))
+        done = not step or large.isEmpty()
+        marked = rows if done else rows.join(large, ["a", "b"], "left")
+        small = rows if done else marked.where("large is null").select("a", "b", "fp")
+        found.append(small.groupBy("a", "b").applyInArrow(finish(depth), "u long, v long"))
+        if done:
             break
-        large = cut(rows.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select("a", "b", F.lit(True).alias("large")))
-        marked = rows.join(large, ["a", "b"], "left")
-        found.append(marked.where("large is null").select("a", "b", "fp").groupBy("a", "b").applyInArrow(finish(depth), "u long, v long"))
         rows = _descend(marked.where("large").select("a", "b", "fp"), depth, step, budget)
         depth += step
     every = found[0]
@@ -170,6 +172,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal ones always. Repeated rows are rows of their own; null ids take part but are never the smallest, unless a group
     has no other. Other columns of docs aren't returned. Empty input gives no rows.
     """
+    small_batches(docs.sparkSession)
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     tree = components(links(nodes.select("fp"), budget))
@@ -186,26 +189,27 @@ def _shingle_set(text: str | None, width: int) -> set[int]:
     return {seeded(b" ".join(w[k : k + width]), 42) for k in range(max(1, len(w) - width + 1))}
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8, print_width: int = 3) -> DataFrame:
     """All columns of docs, with keep_id (the document that stands for this one) and kept.
 
-    The groups of near_groups() are candidates. Links chain, so each document is compared with its group's smallest
-    id by the Jaccard similarity of their sets of shingles: from `similarity` on it goes and that one stays; below, it
+    The groups of near_groups(), with fingerprints of shingles of `print_width` words (an edit changes fewer of the short
+    ones), are candidates. Links chain, so each document is compared with its group's smallest
+    id by the Jaccard similarity of their sets of shingles of `width` words: from `similarity` on it goes and that one stays; below, it
     stays itself. Only documents of groups with several are compared, each with one other. Rows that repeat the smallest
     id are all kept; rows with a null id always are. Columns of docs named keep_id or kept are replaced.
     """
     names = [c for c in docs.columns if c not in ("keep_id", "kept")]
     docs = docs.select(*names)
-    placed = near_groups(docs, id_col, text_col, width, budget).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_to")).distinct()
+    placed = near_groups(docs, id_col, text_col, print_width, budget).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_to")).distinct()
     placed = cut(placed.where("_id <> _to"))
     roles = placed.unionByName(placed.select(F.col("_to").alias("_id"), "_to").distinct())
-    texts = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_own")).join(roles, "_id"))  # of groups with several only
+    texts = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_own")).join(roles, "_id"))  # of groups with several only
     one_text = texts.where("_id = _to").groupBy(F.col("_id").alias("_m")).agg(F.min("_own").alias("_text"))
 
     @F.arrow_udf("boolean")
     def alike(ones: pa.Array, others: pa.Array) -> pa.Array:
         out, known = [], {}
-        for one, other in zip(ones.to_pylist(), others.to_pylist(), strict=True):
+        for one, other in ((x.as_py(), y.as_py()) for x, y in zip(ones, others, strict=True)):
             if other not in known:  # rows come grouped by the document they are compared with
                 known = {other: _shingle_set(other, width)}
             a, b = _shingle_set(one, width), known[other]

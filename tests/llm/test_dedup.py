@@ -147,7 +147,7 @@ def test_near_duplicates_are_verified(spark):
     rows = [(5, base), (3, base), (9, base + " more"), (1, "quite another text of some ten words for the test"), (2, None), (4, ""), (None, base)]
     got = {r.doc_id: (r.keep_id, r.kept) for r in near_duplicates(frame(spark, rows)).collect()}
     assert got[3] == (3, True) and got[5] == (3, False) and got[1] == (1, True) and got[None][1]
-    assert got[9][1] == ((simhash(base, 5) ^ simhash(base + " more", 5)).bit_count() > 3)
+    assert got[9][1] == ((simhash(base, 3) ^ simhash(base + " more", 3)).bit_count() > 3)
     assert got[2] == (2, True) and got[4] == (2, False)
     assert near_duplicates(frame(spark, [])).count() == 0
 

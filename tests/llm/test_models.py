@@ -15,7 +15,7 @@ from millrace.llm import queries
 from millrace.llm.html_text import apply_tree, extract_pages, fitted_tree, labelled_table, main_text
 from millrace.llm.language_id import bundles, gram_vectors, identify
 from millrace.llm.language_model import BUCKETS, _bucket, learn_weights, score_texts
-from millrace.llm.sentencepiece_viterbi import MARK, Encoder, Vocabulary, decode, decode_documents, encode_documents, viterbi
+from millrace.llm.sentencepiece_viterbi import MARK, Batch, Encoder, Vocabulary, decode, decode_documents, encode_documents, viterbi
 
 ROWS = [(k, " ".join(random.Random(k).choice("the of and to in it was blue red".split()) for _ in range(k % 40))) for k in range(120)]
 EDGES = [(200, None), (201, ""), (202, " \n\t"), (203, "only-here"), (5, "the the"), (5, "the the"), (204, "the " * 30_000)]
@@ -104,6 +104,14 @@ def test_segmentation_is_best_and_comes_back(vocabulary):
         assert not text or sum_of(ids, v) == pytest.approx(best_sum(text, v))
 
 
+def test_batch_gives_what_the_stream_gives(vocabulary):
+    random_ = random.Random(3)
+    parts = [MARK * random_.randint(0, 3) + "".join(random_.choice("thein gse\n日é😀a") for _ in range(random_.randint(0, 48))) for _ in range(500)] + ["", "x"]
+    for part, ids in zip(parts, Batch(vocabulary)(parts), strict=True):
+        assert ids == tuple(i for r in viterbi(part, vocabulary) for i in r)
+    assert Batch(vocabulary)([]) == []
+
+
 def test_long_text_is_committed_in_runs(vocabulary):
     random_ = random.Random(2)
     text = "".join(random_.choice("abcdefgh") for _ in range(8000))
