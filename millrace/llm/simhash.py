@@ -189,22 +189,81 @@ def _shingle_set(text: str | None, width: int) -> set[int]:
     return {seeded(b" ".join(w[k : k + width]), 42) for k in range(max(1, len(w) - width + 1))}
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8, print_width: int = 3) -> DataFrame:
+def _common(docs: DataFrame, text: str, width: int) -> dict[int, int]:
+    """Shingles that are frequent in a sample of some 10,000 documents, with their counts: they only order shingles, so the result doesn't depend on them."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([np.fromiter(_shingle_set(t.as_py(), width), np.uint64).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    share = min(1.0, 10_000 / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = sample.select(F.explode(of(text)).alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "tok").limit(100_000)
+    return {r.tok & (2**64 - 1): r.n for r in counts.collect()}
+
+
+def _prefixes(docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """(_id, digest, n, toks): a digest of each document's set of n shingles, and the first of them in one order for all, rare ones first.
+
+    Two sets with a Jaccard similarity of `similarity` share at least that part of either, so each has a shared shingle among
+    all but the last ceil(similarity x n) - 1 of its n: no such pair is without a common tok.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(_common(docs, text, width))
+
+    @F.arrow_udf("struct<digest: binary, n: int, toks: array<bigint>>")
+    def of(texts: pa.Array) -> pa.Array:
+        out, common = [], known.value
+        for t in texts:
+            found = _shingle_set(t.as_py(), width)
+            n = len(found)
+            first = sorted(found, key=lambda x: (common.get(x, 0), x))[: n - math.ceil(similarity * n - 1e-9) + 1]
+            digest = xxhash.xxh3_128_digest(np.sort(np.fromiter(found, np.uint64)).tobytes())
+            out.append({"digest": digest, "n": n, "toks": np.array(first, np.uint64).view(np.int64)})
+        return pa.array(out, pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("toks", pa.list_(pa.int64()))]))
+
+    return docs.select("_id", of(text).alias("x")).select("_id", "x.*")
+
+
+def _first_of_links(links: DataFrame) -> DataFrame:
+    """links (_id, _to), _to < _id -> (_id, _to): nodes that go, taking them from the least: one goes if a lesser one that stays is linked to it."""
+    gone = None
+    while not links.isEmpty():
+        first = links.join(links.select(F.col("_id").alias("_to")).distinct(), "_to", "left_anti")
+        new = cut(first.groupBy("_id").agg(F.min("_to").alias("_to")))
+        gone = new if gone is None else gone.unionByName(new)
+        done = cut(new.select("_id").unionByName(first.select(F.col("_to").alias("_id"))).distinct())
+        links = cut(links.join(done, "_id", "left_anti").join(done.select(F.col("_id").alias("_to")), "_to", "left_anti").select("_id", "_to"))
+    return links if gone is None else gone
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8, print_width: int = 3, rounds: int = 4) -> DataFrame:
     """All columns of docs, with keep_id (the document that stands for this one) and kept.
 
-    The groups of near_groups(), with fingerprints of shingles of `print_width` words (an edit changes fewer of the short
-    ones), are candidates. Links chain, so each document is compared with its group's smallest
-    id by the Jaccard similarity of their sets of shingles of `width` words: from `similarity` on it goes and that one stays; below, it
-    stays itself. Only documents of groups with several are compared, each with one other. Rows that repeat the smallest
-    id are all kept; rows with a null id always are. Columns of docs named keep_id or kept are replaced.
+    In the order of ids a document goes if one that stays has, with it, a Jaccard similarity of the sets of shingles of
+    `width` words of `similarity` or more; the least such one is its keep_id. So no two that stay are that alike. Candidates are
+    the groups of near_groups() (shingles of `print_width` words, `budget` bits) and, as those miss most pairs with more than
+    few edits, all documents that share a shingle of their _prefixes(), which misses none. Each list of candidates is first
+    compared with its least document only, once that is known to stay, so a group of copies takes as many comparisons as it
+    has members; texts of equal sets are one candidate; what remains after `rounds` of that, or earlier if it is little, is compared pair by pair.
+    Null ids and ids whose rows differ in text take no part and stay. Columns of docs named keep_id or kept are replaced.
     """
     names = [c for c in docs.columns if c not in ("keep_id", "kept")]
     docs = docs.select(*names)
-    placed = near_groups(docs, id_col, text_col, print_width, budget).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_to")).distinct()
-    placed = cut(placed.where("_id <> _to"))
-    roles = placed.unionByName(placed.select(F.col("_to").alias("_id"), "_to").distinct())
-    texts = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_own")).join(roles, "_id"))  # of groups with several only
-    one_text = texts.where("_id = _to").groupBy(F.col("_id").alias("_m")).agg(F.min("_own").alias("_text"))
+    small_batches(docs.sparkSession)
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_own"))
+    print_of = F.xxhash64("_own")
+    several = stored(own.groupBy("_id").agg(F.min(print_of).alias("a"), F.max(print_of).alias("b"), F.count("*").alias("c")).where("c > 1"))
+    differ, same = several.where("a <> b").select("_id"), several.where("a = b").select("_id")
+    texts = own.join(several.select("_id"), "_id", "left_anti").unionByName(own.join(same, "_id").dropDuplicates(["_id"]))
+    found = near_groups(docs, id_col, text_col, print_width, budget).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64("component_id").alias("tok")).distinct()
+    prefixes = stored(_prefixes(texts, "_own", width, similarity))
+    copies = stored(prefixes.groupBy("digest").agg(F.min("_id").alias("_to"), F.count("*").alias("c")).where("c > 1"))
+    copies = stored(prefixes.select("_id", "digest").join(copies, "digest").where("_id <> _to").select("_id", "_to"))
+    single = prefixes.join(copies.select("_id"), "_id", "left_anti")
+    toks = single.select("_id", "n", F.explode("toks").alias("tok"))
+    found = found.join(single.select("_id", "n"), "_id").select("_id", "n", "tok")
+    of_several = lambda rows: rows.join(stored(rows.groupBy("tok").count().where("count > 1").select("tok")), "tok").select("_id", "n", "tok")
+    alive = stored(of_several(toks).unionByName(of_several(stored(found))))
 
     @F.arrow_udf("boolean")
     def alike(ones: pa.Array, others: pa.Array) -> pa.Array:
@@ -216,6 +275,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(len(a & b) >= similarity * len(a | b))
         return pa.array(out, pa.bool_())
 
-    compared = texts.where("_id <> _to").join(one_text, F.col("_to") == F.col("_m")).where(alike("_own", "_text"))
-    gone = cut(compared.select("_id", "_to").distinct())
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs (_id, n, _to, m) those that are alike."""
+        pairs = stored(pairs.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9).select("_id", "_to").distinct())
+        others = texts.join(pairs.select(F.col("_to").alias("_id")).distinct(), "_id", "left_semi").select(F.col("_id").alias("_to"), F.col("_own").alias("_text"))
+        return cut(texts.join(pairs, "_id").join(others, "_to").where(alike("_own", "_text")).select("_id", "_to"))
+
+    gone = alive.select("_id", F.col("_id").alias("_to")).limit(0)
+    for k in range(rounds + 1):
+        lists = cut(alive.groupBy("tok").agg(F.min(F.struct("_id", "n")).alias("least"), F.count("*").alias("c")).where("c > 1"))
+        rows, pairs = lists.agg(F.sum("c"), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()
+        if not rows:
+            break
+        if k == rounds or pairs <= 4 * rows:
+            other = alive.select("tok", F.col("_id").alias("_to"), F.col("n").alias("m"))
+            gone = gone.unionByName(_first_of_links(verified(alive.join(other, "tok").where("_to < _id"))))
+            break
+        led = stored(alive.join(lists.select("tok", F.col("least._id").alias("_to"), F.col("least.n").alias("m")), "tok").where("_id <> _to").select("_id", "n", "_to", "m").distinct())
+        led = led.join(led.select(F.col("_id").alias("_to")).distinct(), "_to", "left_anti")  # those that are least in all their lists stay
+        new = verified(led).groupBy("_id").agg(F.min("_to").alias("_to"))
+        gone = gone.unionByName(new := cut(new))
+        done = stored(led.select(F.col("_to").alias("_id")).distinct().unionByName(new.select("_id")))
+        alive = stored(alive.join(done, "_id", "left_anti"))
+    gone = cut(gone)
+    stays = gone.select(F.col("_id").alias("_to"), F.col("_to").alias("_end"))
+    gone = stored(gone.unionByName(copies.join(stays, "_to", "left").select("_id", F.coalesce("_end", "_to").alias("_to"))))
     return docs.join(gone, F.col(id_col) == F.col("_id"), "left").withColumn("keep_id", F.coalesce("_to", id_col)).withColumn("kept", F.col("_id").isNull()).select(*names, "keep_id", "kept")

@@ -152,6 +152,31 @@ def test_near_duplicates_are_verified(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def plain_near(rows, width=5, similarity=0.8):
+    """{id: keep_id}: in the order of ids, against all that stay."""
+    kept, out = [], {}
+    for d, t in sorted(rows):
+        w = t.lower().split()
+        s = {" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
+        out[d] = next((e for e, x in kept if len(s & x) >= similarity * len(s | x)), d)
+        if out[d] == d:
+            kept.append((d, s))
+    return out
+
+
+def test_near_duplicates_find_every_similar_pair(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rng = random.Random(5)
+    for k, (_, t) in enumerate(rows[:60]):
+        for c in range(3):  # edits that move the fingerprint by more bits than the budget
+            w = t.split()
+            for _ in range(1 + len(w) // 60):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
+            rows.append((10_000 + 10 * k + c, " ".join(w)))
+    got = {r.doc_id: r.keep_id for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == plain_near(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_with_sql(name, spark, sf, duck):
     from compare import same_rows
