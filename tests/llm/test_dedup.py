@@ -177,6 +177,20 @@ def test_near_duplicates_find_every_similar_pair(spark, sf):
     assert got == plain_near(rows)
 
 
+def chain():
+    """Each alike the next, 2 and 3 alike each other, but the last not alike the first; and texts that share a passage only."""
+    w = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(w[25 * k : 25 * k + 200])) for k in range(5)]
+    return rows + [(50 + k, " ".join(w[300:400] + [f"own{k}-{j}" for j in range(20)])) for k in range(12)]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_near_duplicates_of_a_chain(spark, rounds):
+    got = {r.doc_id: r.keep_id for r in near_duplicates(frame(spark, chain()), budget=20, similarity=0.7, rounds=rounds).collect()}
+    assert got == plain_near(chain(), similarity=0.7)
+    assert got[0] == 0 and got[1] == 0 and got[2] == 2 and got[3] == 2  # all five are one component
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_with_sql(name, spark, sf, duck):
     from compare import same_rows
