@@ -1,17 +1,20 @@
 """SimHash near-dedup: 64-bit fingerprints of word shingles, joined with themselves along a binary trie.
 
 The trie of all different fingerprints is traversed as pairs of nodes: a pair of prefixes of equal length stays only while
-the bits in which they differ are within the budget. Its upper levels are traversed by Spark: a row (a, b, fingerprint)
-says that the fingerprint lies below one node of the pair (a, b), and descending some levels explodes it into the pairs
-that it can still be part of. Pairs with few fingerprints are finished inside a task, where both subtries are ranges of
-sorted arrays and the traversal goes on breadth-first; larger pairs descend further, so a crowded region of the space is
-split by its own bits. What leaves a task is a spanning forest of the links it found, never all pairs of a group; the
+the bits in which they differ are within the budget. That needs all of a region's fingerprints in one place, so Spark first
+deals them out by a rule that loses no pair: cut the bits into one run more than the budget has bits, and two fingerprints
+within the budget agree in at least one whole run. So each fingerprint goes, once for each run, to the node of a trie that
+reads this run first, and only pairs of equal nodes need a look: rows grow with the fingerprints, not with pairs of nodes.
+A node that holds too many is dealt out again in the same way by the bits not yet agreed on, until it is small or those bits
+leave no room for many. Inside a task the traversal goes on breadth-first, both nodes of a pair being ranges of
+one sorted array. What leaves a task is a spanning forest of the links it found, never all pairs of a group; the
 components of the forests' union are those of all links.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,22 +58,6 @@ def fingerprint(text: Column, width: int = 3) -> Column:
     return of(text)
 
 
-def _descend(rows: DataFrame, depth: int, levels: int, budget: int) -> DataFrame:
-    """rows (a, b, fp) of node pairs at `depth` -> rows of the pairs `levels` further down that are within the budget."""
-    masks = [m for m in range(1 << levels) if m.bit_count() <= budget]
-    down = depth + levels
-    prefix = lambda bits: F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("own", prefix(down)).withColumn("is_a", prefix(depth) == F.col("a"))
-    spent = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    rows = rows.withColumn("mask", F.explode(F.filter(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.bit_count(m) + spent <= budget)))
-    low = F.col("own").bitwiseAND(F.lit((1 << levels) - 1).cast("long")).bitwiseXOR(F.col("mask"))
-    other = F.shiftleft(F.when(F.col("is_a"), F.col("b")).otherwise(F.col("a")), levels).bitwiseOR(low)
-    within = F.col("a") == F.col("b")
-    first = F.when(within, F.least("own", other)).when(F.col("is_a"), F.col("own")).otherwise(other)
-    second = F.when(within, F.greatest("own", other)).when(F.col("is_a"), other).otherwise(F.col("own"))
-    return rows.select(first.alias("a"), second.alias("b"), "fp")
-
-
 def _join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """root with the links x-y merged: each entry the least index of its component."""
     while len(x):
@@ -83,18 +70,12 @@ def _join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return root
 
 
-def trie_forest(one: np.ndarray, two: np.ndarray | None, depth: int, spent: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a pair of subtries, or of a subtrie with itself (two is None), as (fingerprint, root of its component).
-
-    one, two: sorted different uint64 whose first `depth` bits are the node; the two nodes differ in `spent` bits.
-    """
-    every = one if two is None else np.concatenate([one, two])
-    shift = 0 if two is None else len(one)
-    root = np.arange(len(every))
-    two = one if two is None else two
-    # A node pair: ranges [alo, ahi) of one and [blo, bhi) of two, bits spent, and whether both are the same node. Breadth
-    # first, but in parts of bounded size: the rest of a level waits on the stack.
-    waiting = [(depth, np.array([[0, len(one), 0, len(two), spent, shift == 0]], np.int64))]
+def trie_forest(prints: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of sorted different uint64 fingerprints within `budget` bits, as (fingerprint, root of its component)."""
+    root = np.arange(len(prints))
+    # A node pair: ranges [alo, ahi) and [blo, bhi), bits spent, and whether both are the same node. Breadth first, but in
+    # parts of bounded size: the rest of a level waits on the stack.
+    waiting = [(0, np.array([[0, len(prints), 0, len(prints), 0, 1]], np.int64))]
     while waiting:
         bit, pairs = waiting.pop()
         if len(pairs) > _PART:
@@ -107,61 +88,60 @@ def trie_forest(one: np.ndarray, two: np.ndarray | None, depth: int, spent: int,
             of = np.repeat(np.arange(len(n)), n * m)
             at = np.arange(len(of)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
             x, y = alo[of] + at // m[of], blo[of] + at % m[of]
-            near = (np.bitwise_count(one[x] ^ two[y]) <= budget) & ((same[of] == 0) | (x < y))
-            root = _join(root, x[near], y[near] + shift)
+            near = (np.bitwise_count(prints[x] ^ prints[y]) <= budget) & ((same[of] == 0) | (x < y))
+            root = _join(root, x[near], y[near])
         pairs = pairs[~small]
         if not len(pairs):
             continue
         alo, ahi, blo, bhi, used, same = pairs.T
         half, keep = _ONE << np.uint64(63 - bit), ~((_ONE << np.uint64(64 - bit)) - _ONE) if bit else np.uint64(0)
-        amid = np.searchsorted(one, (one[alo] & keep) | half)
-        bmid = np.searchsorted(two, (two[blo] & keep) | half)
+        amid = np.searchsorted(prints, (prints[alo] & keep) | half)
+        bmid = np.searchsorted(prints, (prints[blo] & keep) | half)
         stack = lambda a, b, c, d, more, s: np.stack([a, b, c, d, used + more, s], 1)
         children = [stack(alo, amid, blo, bmid, 0, same), stack(amid, ahi, bmid, bhi, 0, same), stack(alo, amid, bmid, bhi, 1, 0 * same), stack(amid, ahi, blo, bmid, 1, 0 * same)[same == 0]]
         pairs = np.concatenate(children)
         waiting.append((bit + 1, pairs[(pairs[:, 0] < pairs[:, 1]) & (pairs[:, 2] < pairs[:, 3]) & (pairs[:, 4] <= budget)]))
     moved = root != np.arange(len(root))
-    return every[moved], every[root[moved]]
-
-
-def links(prints: DataFrame, budget: int = 2, leaf: int = 16_384) -> DataFrame:
-    """prints (fp), different longs -> (u, v): links that connect whatever is connected by pairs within `budget` bits."""
-    n = prints.count()
-    depth = min(12, max(0, math.ceil(math.log2(max(1, n) / leaf))))
-    rows = prints.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "fp")
-    rows = _descend(rows, 0, depth, budget) if depth else rows
-
-    def finish(depth: int):
-        def of(group: pa.Table) -> pa.Table:
-            fp = np.sort(group["fp"].to_numpy().view(np.uint64))
-            a, b = group["a"][0].as_py(), group["b"][0].as_py()
-            if a == b:
-                u, v = trie_forest(fp, None, depth, 0, budget)
-            else:
-                on_a = (fp >> np.uint64(64 - depth) if depth < 64 else fp) == np.uint64(a & (2**64 - 1)) if depth else np.ones(len(fp), bool)
-                one, two = fp[on_a], fp[~on_a]
-                u, v = trie_forest(one, two, depth, (a ^ b).bit_count() if a >= 0 and b >= 0 else ((a ^ b) & (2**64 - 1)).bit_count(), budget) if len(one) and len(two) else (fp[:0], fp[:0])
-            return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-        return of
-
-    found = []
+    return prints[moved], prints[root[moved]]
+
+
+def _runs(mask: int, budget: int, bits: int) -> list[int]:
+    """mask with the first `bits` bits, or all if fewer, of each of budget + 1 runs of the bits that it lacks; as signed longs."""
+    free = [b for b in range(63, -1, -1) if not mask >> b & 1]
+    ends = [len(free) * k // (budget + 1) for k in range(budget + 2)]
+    masks = [(mask & (2**64 - 1)) | sum(1 << b for b in free[i : min(i + bits, j)]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return [m - (m >> 63 << 64) for m in masks]
+
+
+def links(prints: DataFrame, budget: int = 2, leaf: int = 4096) -> DataFrame:
+    """prints (fp), different longs -> (u, v): links that connect whatever is connected by pairs within `budget` bits.
+
+    A node holds about `leaf` fingerprints, or four times that where a region is crowded.
+    """
+
+    def finish(group: pa.Table) -> pa.Table:
+        u, v = trie_forest(np.sort(group["fp"].to_numpy().view(np.uint64)), budget)
+        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    # A row's node is what it has in the bits of the mask, those in which the node's fingerprints agree.
+    n, rows, found = prints.count(), prints.select("fp", F.lit(0).cast("long").alias("mask")), []
+    masks, bits = [0] * (n > leaf), math.ceil(math.log2(max(1, n) / leaf))
     while True:
-        rows, step = stored(rows), min(4, 64 - depth)
-        sizes = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
-        large = cut(sizes.where(F.col("n") > leaf).select("a", "b", F.lit(True).alias("large")))
-        done = not step or large.isEmpty()
-        marked = rows if done else rows.join(large, ["a", "b"], "left")
-        small = rows if done else marked.where("large is null").select("a", "b", "fp")
-        found.append(small.groupBy("a", "b").applyInArrow(finish(depth), "u long, v long"))
-        if done:
-            break
-        rows = _descend(marked.where("large").select("a", "b", "fp"), depth, step, budget)
-        depth += step
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    return every
+        if masks:
+            further = F.array().cast("array<bigint>")
+            for m in masks:
+                further = F.when(F.col("mask") == m, F.array(*[F.lit(x) for x in _runs(m, budget, bits)])).otherwise(further)
+            rows = rows.withColumn("mask", F.explode(further))
+        rows = rows.withColumn("node", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = rows.groupBy("mask", "node").agg(F.count("*").alias("n")).where((F.col("n") > 4 * leaf) & (F.bit_count("mask") < 64 - budget))
+        large = cut(sizes)
+        # Crowded nodes are dealt out by whole runs: 64 bits are soon used up, so few masks, and few copies of a row, come of it.
+        masks, bits = [r.mask for r in large.select("mask").distinct().collect()], 64
+        parted = rows.join(large, ["mask", "node"], "left") if masks else rows.withColumn("n", F.lit(None))
+        found.append(parted.where("n is null").select("mask", "node", "fp").groupBy("mask", "node").applyInArrow(finish, "u long, v long"))
+        if not masks:
+            return reduce(DataFrame.unionByName, found)
+        rows = parted.where("n is not null").select("fp", "mask")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:

@@ -107,7 +107,7 @@ def test_trie(budget):
         base = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
         near = base ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
         prints = np.unique(np.concatenate([base, near, near ^ np.uint64(1), np.uint64(1) << np.arange(64, dtype=np.uint64)]))
-        u, v = trie_forest(prints, None, 0, 0, budget)
+        u, v = trie_forest(prints, budget)
         got = np.arange(len(prints))
         got[np.searchsorted(prints, u)] = np.searchsorted(prints, v)
         assert np.array_equal(got, plain_groups(prints, budget))
