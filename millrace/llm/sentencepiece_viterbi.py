@@ -1,13 +1,15 @@
 """SentencePiece encoding by a streaming Viterbi search, and decoding.
 
 The best segmentation of a text is the one with the greatest sum of piece scores. Only the last L scores matter, L being
-the longest piece, so the search keeps a window of L; back pointers are kept until all paths that can still win, those
-that end in the window, run through one boundary, and the ids before it are then committed. So memory depends on how far
-rival paths run apart, not on the text.
+the longest piece: whatever follows begins at one of the last L boundaries. So the search reads a window, follows the back
+pointers of those L boundaries until all of them run through one, and commits the ids before it; the next window begins there.
+Where they don't meet inside the window, it is read again with twice the length. So memory depends on how far rival paths
+run apart, not on the text.
 
-Where no piece can span a boundary (before a word mark that follows another character, if the vocabulary has no piece with
-a mark inside) all paths meet, and what lies between two such boundaries has an encoding of its own. These
-encodings are remembered, in a bounded table.
+Many stretches of text are searched side by side, a window of each at a time. A stretch ends where all paths are known to
+meet, whatever the scores: where no piece can span a boundary, such as before a word mark that follows another character
+(if the vocabulary has no piece with a mark inside), or beside a character that is in no longer piece. Equal stretches
+have equal ids, so each different one of some megabytes of text is searched once, and short ones are remembered in a bounded table.
 
 A character that no piece covers becomes its UTF-8 bytes' pieces (or the unknown piece). The vocabulary is read by the
 driver and sent to the tasks; its size has nothing to do with the data. Scores are the model file's log probabilities if it
@@ -19,13 +21,11 @@ would give.
 from __future__ import annotations
 
 import math
-import re
 import uuid
-from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +42,13 @@ class Vocabulary:
         self.byte_ids, self.unknown = byte_ids, unknown
         self.longest = max(map(len, self.pieces), default=1)
         self.penalty = min((s for s, _ in self.pieces.values()), default=0.0) - 10.0
-        #: The pieces by their characters: for each a node (score or None, ids, nodes of the next characters).
-        self.root: dict[str, list] = {}
-        for piece, (score, i) in self.pieces.items():
-            nodes = self.root
-            for c in piece:
-                node = nodes.setdefault(c, [None, (), {}])
-                nodes = node[2]
-            node[0], node[1] = score, (i,)
-        self.text_of = {i: p for p, (_, i) in self.pieces.items()}
-        self.byte_of = {i: b for b, i in byte_ids.items()}
         #: No piece has a mark after another character: then paths always meet before such a mark.
         self.parted = not any(MARK in p.lstrip(MARK) for p in self.pieces)
+        #: ASCII characters that are in no longer piece: paths meet on both sides of one.
+        self.alone = sorted(set(map(chr, range(128))) - {c for p in self.pieces if len(p) > 1 for c in p} - {" "})
+        #: For each id the bytes that it stands for, marks as spaces.
+        known = {i: p.replace(MARK, " ").encode() for p, (_, i) in self.pieces.items()} | {i: bytes([b]) for b, i in byte_ids.items()} | {unknown: " ⁇ ".encode()}
+        self.bytes_of = [known.get(i, b"") for i in range(max(known) + 1)]
 
     @staticmethod
     def read(path: str) -> Vocabulary:
@@ -71,175 +66,183 @@ class Vocabulary:
         return tuple(self.byte_ids[b] for b in data) if all(b in self.byte_ids for b in data) else (self.unknown,)
 
 
-def _within_window(text: str, v: Vocabulary) -> list[int]:
-    """viterbi() of a text that fits into the window, where nothing is to be committed early."""
-    n, root, penalty = len(text), v.root, v.penalty
-    best, back, ids = [-math.inf] * (n + 1), [0] * (n + 1), [()] * (n + 1)
-    best[0] = 0.0
-    for at in range(n):
-        sofar, nodes, end = best[at], root, at
-        for c in text[at:]:
-            node = nodes.get(c)
-            if node is None:
-                break
-            end += 1
-            if node[0] is not None and sofar + node[0] > best[end]:
-                best[end], back[end], ids[end] = sofar + node[0], at, node[1]
-            nodes = node[2]
-        if sofar + penalty > best[at + 1]:
-            best[at + 1], back[at + 1], ids[at + 1] = sofar + penalty, at, v.fallback(text[at])
-    parts, end = [], n
-    while end:
-        parts.append(ids[end])
-        end = back[end]
-    return [i for part in reversed(parts) for i in part]
-
-
-def viterbi(text: str, v: Vocabulary):
-    """Yields the ids of the best segmentation, in runs, as soon as they are certain. Of equal sums the longer last piece wins."""
-    n, longest, root = len(text), v.longest, v.root
-    if n <= 4 * longest:
-        yield _within_window(text, v)
-        return
-    base, best, back = 0, {0: 0.0}, {}
-
-    def path(end: int, start: int) -> list[int]:
-        parts = []
-        while end > start:
-            end, ids = back[end]
-            parts.append(ids)
-        return [i for ids in reversed(parts) for i in ids]
-
-    for at in range(n):
-        sofar, nodes, end = best.pop(at), root, at  # final: every piece that ends here began before
-        for c in text[at : at + longest]:
-            node = nodes.get(c)
-            if node is None:
-                break
-            end += 1
-            if node[0] is not None and (total := sofar + node[0]) > best.get(end, -math.inf):
-                best[end], back[end] = total, (at, node[1])
-            nodes = node[2]
-        if (total := sofar + v.penalty) > best.get(at + 1, -math.inf):
-            best[at + 1], back[at + 1] = total, (at, v.fallback(text[at]))
-        if at - base >= 4 * longest and at % longest == 0:
-            # Whatever comes next starts at a boundary that has a score already, from at + 1 on; each has its path back.
-            alive = set(best)
-            while len(alive) > 1:
-                last = max(alive)
-                alive.remove(last)
-                alive.add(back[last][0] if last > base else base)
-            if (meet := alive.pop()) > base and meet <= at:
-                yield path(meet, base)
-                for k in range(base + 1, meet + 1):
-                    back.pop(k, None)
-                base = meet
-    yield path(n, base)
-
-
-class Batch:
-    """The same search for many short parts side by side: arrays hold what viterbi() holds for one text."""
-
-    def __init__(self, v: Vocabulary):
-        self.v = v
-        edges, scores, ids = [], [-math.inf], [-1]
-
-        def number(nodes: dict, parent: int) -> None:
-            for c, (score, piece, further) in nodes.items():
-                scores.append(-math.inf if score is None else score)
-                ids.append(piece[0] if piece else -1)
-                edges.append((parent << 21 | ord(c), len(scores) - 1))
-                number(further, len(scores) - 1)
-
-        number(v.root, 0)  # as deep as the longest piece
-        self.edges, self.to = np.array(sorted(edges) or [(-1, 0)], np.int64).T
+class Search:
+    """The streaming search for many stretches side by side."""
+
+    def __init__(self, v: Vocabulary, window: int = 256):
+        self.v, self.window = v, max(window, 2 * v.longest)
+        nodes, scores, ids = {}, [-math.inf], [-1]  # the trie: (node, character) -> node, and what a node ends
+        for piece, (score, i) in v.pieces.items():
+            at = 0
+            for c in piece:
+                key = at << 21 | ord(c)
+                if key not in nodes:
+                    nodes[key] = len(scores)
+                    scores.append(-math.inf), ids.append(-1)
+                at = nodes[key]
+            scores[at], ids[at] = score, i
+        self.edges, self.to = np.array(sorted(nodes.items()) or [(-1, 0)], np.int64).T
         self.scores, self.ids = np.array(scores), np.array(ids, np.int64)
 
-    def __call__(self, parts: list[str]) -> list[tuple[int, ...]]:
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        # A place for every boundary of every part: one more than characters.
-        first = np.cumsum(sizes + 1) - (sizes + 1)
-        part = np.repeat(np.arange(len(parts)), sizes)
-        start = np.arange(len(chars)) + part  # the place before each character
-        last = (first + sizes)[part]
-        begin, at, node, char = start, start, np.zeros(len(chars), np.int64), np.arange(len(chars))
-        found = []
-        while len(at):
+    def __call__(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all stretches, one after another, and where each one's start (with the end of the last)."""
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        starts, stops = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+        at, width, open_ = starts.copy(), np.full(len(sizes), self.window), np.flatnonzero(sizes)
+        owners, found = [], []
+        while len(open_):
+            end = np.minimum(at[open_] + width[open_], stops[open_])
+            of, ids, met = self._window(chars, at[open_], end, end == stops[open_])
+            owners.append(open_[of]), found.append(ids)
+            stuck = met == at[open_]
+            width[open_[stuck]] *= 2
+            width[open_[~stuck]] = self.window
+            at[open_] = met
+            open_ = open_[met < stops[open_]]
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")  # windows come in turn, so a stretch's ids keep their order
+        ids = np.concatenate(found)[order] if found else owner
+        return ids, np.append(0, np.cumsum(np.bincount(owner, minlength=len(sizes))))
+
+    def _window(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For windows [begin, end) of text, whole: nothing follows: (window, id) of the pieces that are certain, in order, and how far they reach."""
+        sizes = end - begin
+        first = np.cumsum(sizes + 1) - (sizes + 1)  # a place for every boundary of every window
+        lane = np.repeat(np.arange(len(sizes)), sizes)
+        start = np.arange(len(lane)) + lane  # the place before each character
+        chars = text[np.arange(len(lane)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)]
+        last = (first + sizes)[lane]
+        # All pieces that fit anywhere: from every character down the trie, all at once.
+        source, char, node, arcs = start, np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+        while len(char):
             key = node << 21 | chars[char]
             k = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
             on = self.edges[k] == key
-            begin, at, char, node = begin[on], at[on] + 1, char[on] + 1, self.to[k[on]]
-            whole = self.ids[node] >= 0
-            found.append((begin[whole], at[whole], node[whole]))
-            more = at < last[char - 1]
-            begin, at, char, node = begin[more], at[more], char[more], node[more]
-        found.append((start, start + 1, np.zeros(len(start), np.int64)))
-        begin, end, node = (np.concatenate([f[k] for f in found]) for k in range(3))
+            source, char, node = source[on], char[on] + 1, self.to[k[on]]
+            done = self.ids[node] >= 0
+            place = start[char - 1] + 1
+            arcs.append((source[done], place[done], node[done]))
+            more = place < last[char - 1]
+            source, char, node = source[more], char[more], node[more]
+        arcs.append((start, start + 1, np.zeros(len(start), np.int64)))
+        source, to, node = (np.concatenate([a[k] for a in arcs]) for k in range(3))
         score = np.where(node > 0, self.scores[node], self.v.penalty)  # node 0: no piece, the character as bytes
-        place = np.arange(len(chars) + len(parts)) - np.repeat(first, sizes + 1)  # characters before each place
-        order = np.argsort(place[end] * (int(sizes.max(initial=0)) + 2) + place[begin], kind="stable")
-        begin, end, node, score = begin[order], end[order], node[order], score[order]
-        best, back, how = np.full(len(place), -np.inf), np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        depth = np.arange(len(chars) + len(sizes)) - np.repeat(first, sizes + 1)  # characters before each place
+        order = np.lexsort((source, depth[to]))
+        source, to, node, score = source[order], to[order], node[order], score[order]
+        best, back, how = np.full(len(depth), -np.inf), np.arange(len(depth)), np.zeros(len(depth), np.int64)
         best[first] = 0.0
-        level = np.append(np.flatnonzero(np.diff(place[end], prepend=-1)), len(end))
-        for lo, hi in zip(level[:-1], level[1:], strict=True):  # all parts' boundaries at the same distance from the start
-            total = best[begin[lo:hi]] + score[lo:hi]
-            np.maximum.at(best, end[lo:hi], total)
-            win = np.flatnonzero(total == best[end[lo:hi]])[::-1] + lo  # of equals the first: the longer last piece
-            back[end[win]], how[end[win]] = begin[win], node[win]
-        # Back from each part's end; the boundaries that are met, in order of place, are the ends of its pieces.
-        at, met = (first + sizes)[sizes > 0], []
-        while len(at):
-            met.append(at)
-            at = back[at]
-            at = at[place[at] > 0]
-        met = np.sort(np.concatenate(met)) if met else np.zeros(0, np.int64)
-        owner = np.searchsorted(first, met, "right") - 1
-        ids, bare = self.ids[how[met]], {}
-        for k in np.flatnonzero(ids < 0).tolist():
-            bare.setdefault(int(owner[k]), []).append((k, self.v.fallback(chr(chars[met[k] - 1 - owner[k]]))))
-        at, ids = np.append(0, np.cumsum(np.bincount(owner, minlength=len(parts)))).tolist(), ids.tolist()
-        out = [tuple(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        for w, instead in bare.items():
-            pieces = [(i,) for i in out[w]]
-            for k, data in instead:
-                pieces[k - at[w]] = data
-            out[w] = tuple(chain.from_iterable(pieces))
-        return out
+        level = np.append(np.flatnonzero(np.diff(depth[to], prepend=-1)), len(to))
+        for lo, hi in zip(level[:-1], level[1:], strict=True):  # boundaries at the same distance from their window's begin
+            total = best[source[lo:hi]] + score[lo:hi]
+            np.maximum.at(best, to[lo:hi], total)
+            win = np.flatnonzero(total == best[to[lo:hi]])[::-1] + lo  # of equals the first: the longer last piece
+            back[to[win]], how[to[win]] = source[win], node[win]
+        # Where the paths of the last boundaries meet; of a window that nothing follows, the end itself.
+        meet = first + sizes
+        rest = np.flatnonzero(~whole)
+        if len(rest):
+            heads = np.minimum(self.v.longest, sizes[rest] + 1)
+            places = np.concatenate([np.arange(m - h + 1, m + 1) for m, h in zip(meet[rest], heads, strict=True)])
+            through = np.zeros(len(depth), np.int64)
+            through[places] = 1
+            inside = np.flatnonzero(np.repeat(np.isin(np.arange(len(sizes)), rest), sizes + 1) & (depth > 0))
+            inside = inside[np.argsort(-depth[inside], kind="stable")]
+            for some in np.split(inside, np.flatnonzero(np.diff(depth[inside])) + 1):
+                np.add.at(through, back[some], through[some])
+            common = np.flatnonzero(through == np.repeat(np.where(whole, -1, self.v.longest), sizes + 1))
+            meet[rest] = first[rest]
+            np.maximum.at(meet, np.searchsorted(first, common, "right") - 1, common)
+        # Back from there; the boundaries that are met, in order of place, are the ends of the pieces.
+        here, ends = meet[meet > first], [np.zeros(0, np.int64)]
+        while len(here):
+            ends.append(here)
+            here = back[here]
+            here = here[depth[here] > 0]
+        ends = np.sort(np.concatenate(ends))
+        ids, of = self.ids[how[ends]], np.searchsorted(first, ends, "right") - 1
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):  # characters as bytes: one id becomes several
+            instead = [self.v.fallback(chr(c)) for c in chars[ends[bare] - 1 - of[bare]]]
+            many = np.ones(len(ids), np.int64)
+            many[bare] = [len(x) for x in instead]
+            out, at = np.repeat(ids, many), np.cumsum(many) - many
+            for k, x in zip(at[bare].tolist(), instead, strict=True):
+                out[k : k + len(x)] = x
+            ids, of = out, np.repeat(of, many)
+        return of, ids, begin + (meet - first)
+
+
+def _pick(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists `at` of those that lie in values between ends, one after another, and their lengths."""
+    n = (ends[1:] - ends[:-1])[at]
+    return values[np.arange(int(n.sum())) + np.repeat(ends[:-1][at] - (np.cumsum(n) - n), n)], n
 
 
 class Encoder:
-    """Encodes whole texts with one vocabulary. Remembers at most about `most` parts, of up to `length` code points."""
-
-    def __init__(self, v: Vocabulary, most: int = 200_000, length: int = 48):
-        self.v, self.most, self.length, self.batch = v, most, length, Batch(v)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.part = re.compile(f"{MARK}+[^{MARK}]*").findall if v.parted else lambda text: [text]
-
-    def _ids(self, part: str) -> tuple[int, ...]:
-        ids = self.known.get(part)
-        return ids if ids is not None else tuple(chain.from_iterable(viterbi(part, self.v)))
-
-    def encode(self, texts, into: array) -> list[int]:
-        """Puts the ids of texts (some megabytes together) behind those of an array; returns its length after each."""
-        split = [self.part(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        asked = {p for parts in split for p in parts if len(p) <= self.length}
-        new = asked - self.known.keys()
+    """Encodes whole texts with one vocabulary. Remembers the ids of at most about `most` stretches, of up to `length` code points."""
+
+    def __init__(self, v: Vocabulary, most: int = 400_000, length: int = 48, window: int = 256):
+        self.v, self.most, self.length, self.search = v, most, length, Search(v, window)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.values, self.sizes = [], [np.zeros(1, np.int64)]
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The stretches of all texts, with spaces for marks, and how many each text has."""
+        texts = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), MARK, " ")
+        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        new = np.zeros(len(data) + 1, bool)
+        new[at] = True
+        if self.v.parted:
+            space = data == 32
+            new[1:-1] |= space[1:] & ~space[:-1]
+        alone = np.isin(data, np.array([ord(c) for c in self.v.alone], np.uint8))
+        new[:-1] |= alone
+        new[1:] |= alone
+        new[-1] = False
+        begins = np.flatnonzero(new)
+        of = np.bincount(np.searchsorted(at, begins, "right") - 1, minlength=len(texts))
+        offsets = pa.py_buffer(np.append(begins, len(data)))
+        return pa.Array.from_buffers(pa.large_string(), len(begins), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))]), of
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (some megabytes together), one after another, and how many each has."""
+        stretches, of = self._cut(texts)
+        if not len(stretches):
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        coded = stretches.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        number = np.fromiter((self.known.get(x, -1) for x in different), np.int64, len(different))
+        new = np.flatnonzero(number < 0)
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = asked
-        new = list(new)
-        self.known.update(zip(new, self.batch(new), strict=True))
-        ends = []
-        for parts in split:
-            into.extend(chain.from_iterable(map(self._ids, parts)))
-            ends.append(len(into))
-        return ends
-
-    def __call__(self, text: str | None) -> array:
-        self.encode([text], ids := array("i"))
-        return ids
+            self._forget()
+            new, number = np.arange(len(different)), np.full(len(different), -1)
+        ids, ends = self.search([different[k].replace(" ", MARK) for k in new])
+        base = len(self.known)
+        short = np.fromiter((len(different[k]) <= self.length for k in new), bool, len(new))
+        kept = new[short]
+        self.known.update((different[k], base + j) for j, k in enumerate(kept))
+        values, n = _pick(ids, ends, np.flatnonzero(short))
+        self.values.append(values), self.sizes.append(n)
+        # All lists side by side: the remembered ones, then the long ones of this call.
+        held, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
+        self.values, self.sizes = [held], [sizes]
+        far, m = _pick(ids, ends, np.flatnonzero(~short))
+        number[kept] = base + np.arange(len(kept))
+        number[new[~short]] = len(sizes) - 1 + np.arange(len(m))
+        out, each = _pick(np.concatenate([held, far]), np.cumsum(np.concatenate([sizes, m])), number[coded.indices.to_numpy(zero_copy_only=False)])
+        upto = np.append(0, np.cumsum(each))
+        return out, np.diff(upto[np.append(0, np.cumsum(of))])
+
+    def __call__(self, text: str | None) -> list[int]:
+        return self.encode(pa.array([text], pa.string()))[0].tolist()
 
 
 #: The encoder of this Python worker, with the vocabulary that it is for: tasks that follow each other share what it remembers.
@@ -252,20 +255,19 @@ def _encoder(key: object, vocabulary) -> Encoder:
     return _WORKER[0][1]
 
 
-def decode(ids, v: Vocabulary) -> str:
-    """The text of ids; bytes that aren't UTF-8 become U+FFFD, ids of no text nothing, unknown pieces U+2047."""
-    parts, data = [], bytearray()
-    for i in ids:
-        byte = v.byte_of.get(i)
-        if byte is not None:
-            data.append(byte)
-            continue
-        if data:
-            parts.append(data.decode("utf-8", "replace"))
-            data.clear()
-        parts.append(v.text_of.get(i, " ⁇ " if i == v.unknown else ""))
-    parts.append(data.decode("utf-8", "replace"))
-    return "".join(parts).replace(MARK, " ").removeprefix(" ")
+def decode(ids: pa.Array, v: Vocabulary) -> pa.Array:
+    """The texts of lists of ids; bytes that aren't UTF-8 become U+FFFD, ids of no text nothing, unknown pieces U+2047."""
+    lists = pc.if_else(pc.is_valid(ids), ids, pa.scalar([], ids.type))
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    pieces = pa.array([*v.bytes_of, b""], pa.large_binary()).take(pa.array(np.where((flat >= 0) & (flat < len(v.bytes_of)), flat, len(v.bytes_of))))
+    ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1]  # the pieces lie one after another: a text is a range of them
+    data = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(offsets[ends])), pieces.buffers()[2]])
+    try:
+        texts = data.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        texts = pa.array([x.as_py().decode("utf-8", "replace") for x in data], pa.large_string())
+    return pc.replace_substring_regex(texts, r"\A ", "", max_replacements=1).cast(pa.string())
 
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
@@ -281,12 +283,14 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
         encoder = _encoder(key, lambda: shared.value)
-        ids, offsets = array("i"), [0]
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
         for _, part in in_slices(texts):
-            offsets += encoder.encode(part.to_pylist(), ids)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+            found, n = encoder.encode(part)
+            ids.append(found.astype(np.int32)), sizes.append(n)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
 
-    return docs.withColumn("ids", ids_of(text_col)).withColumn("n_ids", F.size("ids").cast("long"))
+    # Said to be non-deterministic, so that Spark doesn't repeat the search for each later use of the ids.
+    return docs.withColumn("ids", ids_of.asNondeterministic()(text_col)).withColumn("n_ids", F.size("ids").cast("long"))
 
 
 def decode_documents(encoded: DataFrame, model_path: str, to_col: str = "decoded") -> DataFrame:
@@ -295,6 +299,12 @@ def decode_documents(encoded: DataFrame, model_path: str, to_col: str = "decoded
 
     @F.arrow_udf("string")
     def text_of(ids: pa.Array) -> pa.Array:
-        return pa.array([decode(x.as_py() or (), shared.value) for x in ids], pa.string())
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        out, at = [pa.array([], pa.string())], 0
+        while at < len(ids):  # about a million ids at a time, or one text's
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+            out.append(decode(ids.slice(at, end - at), shared.value))
+            at = end
+        return pa.concat_arrays(out)
 
     return encoded.withColumn(to_col, text_of("ids"))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from millrace.llm import queries
 from millrace.llm.html_text import apply_tree, extract_pages, fitted_tree, labelled_table, main_text
 from millrace.llm.language_id import bundles, gram_vectors, identify
 from millrace.llm.language_model import BUCKETS, _bucket, learn_weights, score_texts
-from millrace.llm.sentencepiece_viterbi import MARK, Batch, Encoder, Vocabulary, decode, decode_documents, encode_documents, viterbi
+from millrace.llm.sentencepiece_viterbi import MARK, Encoder, Search, Vocabulary, decode, decode_documents, encode_documents
 
 ROWS = [(k, " ".join(random.Random(k).choice("the of and to in it was blue red".split()) for _ in range(k % 40))) for k in range(120)]
 EDGES = [(200, None), (201, ""), (202, " \n\t"), (203, "only-here"), (5, "the the"), (5, "the the"), (204, "the " * 30_000)]
@@ -90,40 +91,67 @@ def best_sum(text, v):
 
 
 def sum_of(ids, v):
-    return sum((v.penalty if v.byte_of[i] & 0xC0 != 0x80 else 0) if i in v.byte_of else v.pieces[v.text_of[i]][0] for i in ids)
+    byte, piece = {i: b for b, i in v.byte_ids.items()}, {i: s for s, i in v.pieces.values()}
+    return sum((v.penalty if byte[i] & 0xC0 != 0x80 else 0) if i in byte else piece[i] for i in ids)
 
 
-def test_segmentation_is_best_and_comes_back(vocabulary):
+def text_of(ids, v):
+    return decode(pa.array([ids], pa.list_(pa.int32())), v)[0].as_py()
+
+
+@pytest.mark.parametrize(("most", "window"), [(50, 256), (400_000, 1)])
+def test_segmentation_is_best_and_comes_back(vocabulary, most, window):
     v, random_ = vocabulary, random.Random(1)
-    encode = Encoder(v, most=50)
+    encode = Encoder(v, most=most, window=window)
     parts = ["a", "th", "e ", " ", "é", "ß", "\n", "日", "😀", "the", "ing", "  ", "\x00", "<s>", "<0x0A>"]
-    for n in [0, 1, 2, 10, 60, 400] * 12:
-        text = "".join(random_.choice(parts) for _ in range(n))
-        ids = encode(text)
-        assert decode(ids, v) == text
-        assert not text or sum_of(ids, v) == pytest.approx(best_sum(text, v))
+    texts = ["".join(random_.choice(parts) for _ in range(n)) for n in [0, 1, 2, 10, 60, 400] * 12]
+    ids, sizes = encode.encode(pa.array([*texts, None]))
+    lists = [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]]
+    assert lists[-1] == [] and len(lists) == len(texts) + 1
+    for text, found in zip(texts, lists, strict=False):
+        assert found == encode(text) and text_of(found, v) == text
+        assert not text or sum_of(found, v) == pytest.approx(best_sum(text, v))
 
 
-def test_batch_gives_what_the_stream_gives(vocabulary):
-    random_ = random.Random(3)
-    parts = [MARK * random_.randint(0, 3) + "".join(random_.choice("thein gse\n日é😀a") for _ in range(random_.randint(0, 48))) for _ in range(500)] + ["", "x"]
-    for part, ids in zip(parts, Batch(vocabulary)(parts), strict=True):
-        assert ids == tuple(i for r in viterbi(part, vocabulary) for i in r)
-    assert Batch(vocabulary)([]) == []
+@pytest.mark.parametrize("letters", ["abcdefgh", "日本", "aé", "the "])
+def test_windows_commit_where_paths_meet(vocabulary, letters):
+    random_ = random.Random(2)
+    texts = ["".join(random_.choice(letters) for _ in range(n)) for n in (3000, 1, 0, 40, 700)]
+    search, windows = Search(vocabulary, 1), []
+    one = search._window
 
+    def seen(text, begin, end, whole):
+        out = one(text, begin, end, whole)
+        windows.append((end - begin, out[2] - begin, whole))
+        return out
 
-def test_long_text_is_committed_in_runs(vocabulary):
-    random_ = random.Random(2)
-    text = "".join(random_.choice("abcdefgh") for _ in range(8000))
-    runs = list(viterbi(text, vocabulary))
-    assert len(runs) > 20 and sum_of([i for r in runs for i in r], vocabulary) == pytest.approx(sum_of(list(viterbi(text, vocabulary))[0], vocabulary) + sum(sum_of(r, vocabulary) for r in runs[1:]))
-    assert sum_of(Encoder(vocabulary)(text), vocabulary) == pytest.approx(best_sum(text, vocabulary))
+    search._window = seen
+    ids, at = search([MARK + t.replace(" ", MARK) for t in texts])
+    for k, text in enumerate(texts):
+        assert sum_of(ids[at[k] : at[k + 1]].tolist(), vocabulary) == pytest.approx(best_sum(text, vocabulary))
+    widths, reached, whole = (np.concatenate([w[k] for w in windows]) for k in range(3))
+    assert len(windows) > 60 and widths.max() <= 8 * vocabulary.longest  # the long texts went through many small windows
+    assert (reached[~whole] > 0).mean() > 0.5 and (reached[whole] == widths[whole]).all()
+
+
+def test_paths_that_never_meet_are_read_to_the_end():
+    v = Vocabulary([("ab", -1.0, 1), ("ba", -1.0, 2), ("a", -9.0, 3), ("b", -9.0, 4), (MARK, -1.0, 5)], {}, 0)
+    search = Search(v, 1)
+    ids, at = search([MARK + "ab" * 300, MARK + "ab" * 300 + "a"])
+    assert ids[: at[1]].tolist() == [5] + [1] * 300 and sum_of(ids[at[1] :].tolist(), v) == -1.0 - 300 - 9.0
+    assert search([])[0].tolist() == []
 
 
 def test_other_vocabulary():
     v = Vocabulary([("a", -1.0, 1), ("ab", -1.5, 2), ("b", -1.0, 3), (MARK, -1.0, 4), ("a" + MARK + "b", -0.5, 5)], {}, 0)
     assert not v.parted
-    assert list(Encoder(v)("a b")) == [4, 5] and list(Encoder(v)("ab?")) == [4, 2, 0] and decode([4, 2], v) == "ab"
+    assert Encoder(v)("a b") == [4, 5] and Encoder(v)("ab?") == [4, 2, 0] and text_of([4, 2], v) == "ab" and text_of([4, 2, 0, 99, -1], v) == "ab ⁇ "
+
+
+def test_bytes_that_are_no_text(vocabulary):
+    b = vocabulary.byte_ids
+    assert text_of([b[0xC3], b[0xA9], b[0xC3]], vocabulary) == "é\ufffd"
+    assert decode(pa.array([None, [], [b[0x20], b[0x20]]], pa.list_(pa.int32())), vocabulary).to_pylist() == ["", "", " "]
 
 
 def test_documents_come_back(spark):
