@@ -17,15 +17,14 @@ from millrace.llm.quality_rules import quality_rules
 from millrace.llm.sentencepiece_viterbi import decode_documents, encode_documents
 from millrace.llm.shared import table
 from millrace.llm.simhash import near_groups
-from millrace.llm.url_filter import RULES, judge_urls
+from millrace.llm.url_filter import RULES, judge_urls, rule_table
 
 #: The vocabulary of the registered queries and the pipeline.
 MODEL = os.environ.get("MILLRACE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return judge_urls(table(spark, sf_dir, "pages"), rules)
+    return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), max_repeats=2.0)
-    return mixed.select("doc_id", "source", "n_tokens", "pass", "block")
+    return mixed.select("doc_id", "source", "n_tokens", "pass", "block", "position")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

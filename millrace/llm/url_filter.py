@@ -1,7 +1,7 @@
 """URL filters: a sort-merge range join of canonical keys with rule intervals.
 
 A rule is a host and a path prefix; it fits the host and all its subdomains when the url's path starts with the rule's
-path. With the labels of a host reversed (``a.example.net`` becomes ``net|example|a|``) "host and subdomains" is one
+path. With the labels of a host reversed (``a.example.net`` becomes ``net|example|a|``, as bytes) "host and subdomains" is one
 interval of keys, and "path prefix" is one interval of paths. Intervals of prefixes are nested or apart, so a sweep over
 sorted keys only needs the stack of rules that are open at each boundary.
 
@@ -17,15 +17,14 @@ the repeated rows stay fewer than the keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import ascii_lower, cut, shuffle_partitions
 
-#: Ends a label in a canonical key; sorts before every printable character.
-_END = "\u0001"
-#: Sorts after every key that a prefix covers.
-_LAST = "\U0010ffff"
+#: Keys are bytes. These two occur in no UTF-8: the end of a label, and what sorts after every key that a prefix covers.
+_END = "X'FE'"
+_LAST = "X'FF'"
 #: The rules of the registered query: host, path, verdict.
 RULES = [
     ("net", "/", "block"),
@@ -45,8 +44,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """rules (host, path, verdict) as a table that Spark makes of literals."""
+    rows = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules])
+    return spark.range(1).select(F.inline(rows))
+
+
 def host_key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), _END), F.lit(_END))
+    """The labels in reverse, each with the end of a label behind it."""
+    labels = F.transform(F.reverse(F.split(host, r"\.", -1)), lambda x: F.concat(x.cast("binary"), F.expr(_END)))
+    return F.aggregate(labels, F.expr("X''"), lambda sofar, x: F.concat(sofar, x))
+
+
+def _top(host: Column) -> Column:
+    return F.substring_index(host, ".", -1)
 
 
 def _boundaries(rules: DataFrame) -> DataFrame:
@@ -63,7 +74,7 @@ def _boundaries(rules: DataFrame) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("n", "payload"))), lambda x: x.payload).alias("stack")
     )
     opened = stacks.select("grp", "key", "stack")
-    closed = stacks.select("grp", F.concat("key", F.lit(_LAST)).alias("key"), F.slice("stack", F.lit(1), F.size("stack") - 1).alias("stack"))
+    closed = stacks.select("grp", F.concat("key", F.expr(_LAST)).alias("key"), F.slice("stack", F.lit(1), F.size("stack") - 1).alias("stack"))
     return opened.unionByName(closed)
 
 
@@ -96,7 +107,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rules: host, path, verdict. Of rules with equal host and path, block wins; of fitting rules with equal length, the
     one with the longer host. Without a fitting rule the verdict is `default`. A null url, or one without ``://``, has an
     empty host and path, which no rule fits. Repeated rows give repeated rows; other columns of pages aren't returned,
-    so their names can't clash. Empty pages or rules are fine.
+    so their names can't clash. Empty pages or rules are fine. Any character may be in an url, however long it is: it is
+    judged whole. An empty label is a label, so ``net.`` is no host of ``net``.
     """
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
@@ -104,7 +116,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     keys = cut(urls.select("host", "path").distinct())
 
     hosts = keys.select("host").distinct().withColumn("key", host_key(F.col("host")))
-    top = F.substring_index("key", _END, 1).alias("grp")
+    top = _top(F.col("host")).alias("grp")
     stacks = sweep(
         hosts.select(top, "key"),
         rules.select("host").distinct().withColumn("key", host_key(F.col("host"))).select(top, "key", F.col("host").alias("payload")),
@@ -113,9 +125,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     pairs = cut(keys.join(ruled, "host").select("host", "path", "rule_host"))
     fitting = sweep(
-        pairs.select(F.col("rule_host").alias("grp"), F.col("path").alias("key")).distinct(),
-        rules.select(F.col("host").alias("grp"), F.col("path").alias("key"), F.struct(F.concat("host", "path").alias("rule"), "verdict").alias("payload")),
-    ).where(F.size("stack") > 0).select(F.col("grp").alias("rule_host"), F.col("key").alias("path"), F.element_at("stack", -1).alias("best"))
+        pairs.select(F.col("rule_host").alias("grp"), F.col("path").cast("binary").alias("key")).distinct(),
+        rules.select(F.col("host").alias("grp"), F.col("path").cast("binary").alias("key"), F.struct(F.concat("host", "path").alias("rule"), "verdict").alias("payload")),
+    ).where(F.size("stack") > 0).select(F.col("grp").alias("rule_host"), F.col("key").cast("string").alias("path"), F.element_at("stack", -1).alias("best"))
     won = pairs.join(fitting, ["rule_host", "path"]).groupBy("host", "path").agg(
         F.max(F.struct(F.length("best.rule").alias("n"), F.length("rule_host").alias("m"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))).alias("best")
     )
