@@ -165,22 +165,32 @@ def verdict(rules: list[Rule]) -> Column:
     return fires
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 10_000) -> DataFrame:
-    """All columns of docs, with the counts, base_failed, kept and rule (what rejected it beyond the base; null if nothing).
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
-    Rules are learned from at most about `train_rows` rows of labels (id, quality 0 or 1), chosen by a hash of their id;
-    of repeated labels of an id the worst counts, null ones don't. Without usable labels only the base rule rejects. Null and empty texts have no words, so the
-    base rule rejects them. Repeated rows are judged alike. Columns of docs named like a result are replaced.
-    """
-    labels = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_quality"))
-    n = labels.count()
-    chosen = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / max(1, n)))
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 10_000) -> DataFrame:
+    """quality_rules() with the columns of docs together in one, doc: whatever their names, none is lost."""
+    labels = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"))
+    n, whole = labels.count(), 1 << 62
+    chosen = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(whole)) < min(whole, whole * train_rows // max(1, n))
     features = {k: F.expr(v) for k, v in FEATURES.items()}
-    sample = docs.select(id_col, text_col).join(F.broadcast(labels.where(chosen)), id_col)  # about train_rows rows of 16 bytes
-    labelled = cut(text_counts(sample, text_col).select(
-        F.expr(BASE_FAILED).alias("base_failed"), (F.col("_quality") == 0).alias("bad"), (F.pmod(F.xxhash64(id_col, F.lit("split")), F.lit(1000)) / 1000).alias("split"), *[v.alias(k) for k, v in features.items()]
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(labels.where(chosen)), "id")  # about train_rows rows of 16 bytes
+    labelled = cut(text_counts(sample).select(
+        F.expr(BASE_FAILED).alias("base_failed"), (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("id", F.lit("split")), F.lit(1000)) / 1000).alias("split"), *[v.alias(k) for k, v in features.items()]
     ))
     rules = learn_rules(labelled.where("not base_failed"))
-    judged = text_counts(docs, text_col).withColumn("base_failed", F.expr(BASE_FAILED)).withColumns(features)
-    judged = judged.withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
-    return judged.drop(*FEATURES, "n_lines", "n_distinct_words")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"))
+    found = text_counts(boxed).withColumn("base_failed", F.expr(BASE_FAILED)).withColumns(features)
+    found = found.withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return found.select("doc", *RESULTS)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """All columns of docs, with the counts, base_failed, kept and rule (what rejected it beyond the base; null if nothing).
+
+    options: those of judged(). Rules are learned from at most about `train_rows` rows of labels (id, quality 0 or 1), chosen by a hash of their id;
+    of repeated labels of an id the worst counts, null ones don't. Without usable labels only the base rule rejects. Null and empty texts have no words, so the
+    base rule rejects them. Texts are counted whole, however long. Repeated rows are judged alike. Empty tables are fine. Columns of docs named like a result are replaced.
+    """
+    names = [f"doc.`{c}`" for c in docs.columns if c not in RESULTS]
+    return judged(docs, labels, **options).select(*names, *RESULTS)
