@@ -2,120 +2,151 @@
 
 Weights are the sources' token shares raised to an exponent between 0 (all alike) and 1 (as they are) and normalised. The
 exponent is found by bisection, as the one nearest to 1 that reaches a target entropy, or nearest to 0 that keeps every
-source within a repetition limit. Each source then owes weight x budget tokens (of words, the unit here). It is read as whole passes over its
-documents plus a part of one more; a pass is a permutation of blocks, where a block is the documents with one value of a
-keyed hash, so that no task ever sees a whole source. The part takes whole blocks in permuted order while they fit, and of
+source within a repetition limit. What it needs of the sources are sums over them, taken by Spark for some exponents at a time, so sources
+may be many. Each source then owes weight x budget tokens (of words, the unit here). It is read as whole passes over its
+documents plus a part of one more. A pass is a permutation of the source's blocks of its own, where a block is the documents with one value of a
+keyed hash; a block's position in the pass is its rank by a hash that is keyed by pass. The part takes whole blocks by position while they fit, and of
 the next block whole documents while they fit.
+
+No task sees a whole source: blocks are ranked in slices of the permuted order, whose sizes are added up first.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import cut, words
-
+from millrace.llm.shared import cut, stored, words
 
-def weights(tokens: dict, exponent: float) -> dict:
-    """Normalised powers of the token shares; sources without tokens weigh nothing."""
-    total = sum(tokens.values())
-    powers = {s: (n / total) ** exponent if n else 0.0 for s, n in tokens.items()}
-    whole = sum(powers.values())
-    return {s: p / whole if whole else 0.0 for s, p in powers.items()}
+RESULTS = ("n_tokens", "pass", "block", "position")
+#: Parts into which a step of the bisection cuts what is left, and steps: together some 48 bits.
+_PARTS, _STEPS = 16, 12
+#: Blocks that are ranked together.
+_SLICE = 4096
 
 
-def _bisect(good, low: float, high: float) -> float:
+def _bisect(good: Callable[[list[float]], list[bool]], low: float, high: float) -> float:
     """good(low) holds, and up to some point after it; the last exponent where it does."""
-    if good(high):
+    if good([high])[0]:
         return high
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if good(middle) else (low, middle)
+    for _ in range(_STEPS):
+        inner = [low + (high - low) * k / _PARTS for k in range(1, _PARTS)]
+        held = [low, *(x for x, ok in zip(inner, good(inner), strict=True) if ok)]
+        low, high = held[-1], ([*inner, high][len(held) - 1])
     return low
 
 
 @dataclass(frozen=True)
 class Mix:
-    """What is owed: exponent, budget in tokens, and for each source its weight."""
+    """What is owed: exponent, budget in tokens, and the sum of the powers of all shares, by which they are normalised."""
 
     exponent: float
     budget: int
-    weights: dict
+    norm: float
+
+    def weight(self, share: float) -> float:
+        return share**self.exponent / self.norm if share else 0.0
 
 
-def plan(tokens: dict, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None) -> Mix:
-    """The mix for sources with so many tokens.
+def plan(tokens: tuple[int, int, int], sums: Callable[[list[float]], list[tuple[float, float]]], target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None) -> Mix:
+    """The mix for sources of which the smallest, the largest and all together have so many tokens (those without tokens left out).
 
-    target_entropy: bits; the exponent nearest to 1 whose weights have at least this entropy (0, if none has). max_repeats:
-    the exponent nearest to 0 with which no source is read more often than this. Given both, the limit on repeats wins.
-    budget: tokens in all; by default the least with which every source is read once in full, so that nothing is lost.
+    sums: for exponents a, the sums over all shares p of p^a and of p^a log2 p. target_entropy: bits; the exponent nearest to 1
+    whose weights have at least this entropy (0, if none has). max_repeats: the exponent nearest to 0 with which no source is
+    read more often than this. Given both, the limit on repeats wins. budget: tokens in all; by default the least with which
+    every source is read once in full, so that nothing is lost.
     """
-    used = {s: n for s, n in tokens.items() if n}
-    if not used:
-        return Mix(1.0, 0, {s: 0.0 for s in tokens})
+    least, most, total = tokens
+    if not total:
+        return Mix(1.0, 0, 1.0)
+    low, high = least / total, most / total
 
-    def owed(exponent: float) -> tuple[int, dict]:
-        w = weights(used, exponent)
-        return (budget if budget is not None else math.ceil(max(n / w[s] for s, n in used.items()) - 1e-6)), w
+    def owed(a: float, norm: float) -> float:
+        return float(budget) if budget is not None else total * high ** (1 - a) * norm
 
-    def repeats(exponent: float) -> float:
-        b, w = owed(exponent)
-        return max(b * w[s] / n for s, n in used.items())
+    def repeats(exponents: list[float]) -> list[float]:
+        return [owed(a, norm) * low ** (a - 1) / (norm * total) for a, (norm, _) in zip(exponents, sums(exponents), strict=True)]
 
-    def entropy(exponent: float) -> float:
-        return -sum(p * math.log2(p) for p in weights(used, exponent).values() if p)
+    def entropies(exponents: list[float]) -> list[float]:
+        return [math.log2(norm) - a * logs / norm for a, (norm, logs) in zip(exponents, sums(exponents), strict=True)]
 
     exponent = 1.0 if target_entropy is None and max_repeats is None else 0.0
     if target_entropy is not None:
-        exponent = _bisect(lambda a: entropy(a) >= target_entropy - 1e-12, 0.0, 1.0)
-    if max_repeats is not None and repeats(exponent) > max_repeats + 1e-12:
-        exponent = 1.0 - _bisect(lambda d: repeats(1.0 - d) <= max_repeats + 1e-12, 0.0, 1.0 - exponent)
-    b, w = owed(exponent)
-    return Mix(exponent, b, {s: w.get(s, 0.0) for s in tokens})
+        exponent = _bisect(lambda xs: [x >= target_entropy - 1e-12 for x in entropies(xs)], 0.0, 1.0)
+    if max_repeats is not None and repeats([exponent])[0] > max_repeats + 1e-12:
+        exponent = 1.0 - _bisect(lambda xs: [x <= max_repeats + 1e-12 for x in repeats([1.0 - d for d in xs])], 0.0, 1.0 - exponent)
+    norm = sums([exponent])[0][0]
+    return Mix(exponent, math.ceil(owed(exponent, norm) - 1e-6), norm)
+
+
+def _sums(shares: DataFrame) -> Callable[[list[float]], list[tuple[float, float]]]:
+    def of(exponents: list[float]) -> list[tuple[float, float]]:
+        power = [F.pow("share", F.lit(a)) for a in exponents]
+        row = shares.agg(*[F.sum(p) for p in power], *[F.sum(p * F.log2("share")) for p in power]).first()
+        return list(zip(row[: len(power)], row[len(power) :], strict=True))
 
+    return of
 
-def mix_sources(
+
+def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None,
     max_repeats: float | None = None, budget: int | None = None, block_docs: int = 1000, seed: int = 11,
 ) -> DataFrame:
-    """A row for each time a document is read: all columns of docs, with n_tokens, pass (0 first) and block.
-
-    A null source is a source of its own. Documents without tokens cost nothing: they come with their block. A block holds
-    about `block_docs` documents; within the block that is cut, documents come in the order of a keyed hash, then of id,
-    and rows that repeat an id are taken or left together. Sources are few: their number of tokens, and so the weights, are kept by the driver. Columns of docs named like a
-    result are replaced. Empty input gives no rows.
-    """
-    names = [c for c in docs.columns if c not in ("n_tokens", "pass", "block")]
-    source, turn_of = F.col(source_col), lambda block, of: F.struct(F.xxhash64(block, of, F.lit(seed + 1)), block)
-    key = F.struct(F.xxhash64(F.col(id_col), F.lit(seed + 2)), F.col(id_col))
-    rows = cut(docs.select(F.col(id_col), source, F.size(words(F.col(text_col))).cast("long").alias("n_tokens")))  # no texts
-    sized = rows.groupBy(source.alias("source")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()  # a row for each source
-    tokens = {r.source: r.tokens for r in sized}
-    mix = plan(tokens, target_entropy, max_repeats, budget)
-    owed = {s: int(mix.budget * w + 1e-6) for s, w in mix.weights.items()}
-    plans = docs.sparkSession.createDataFrame(
-        [(r.source, max(1, round(r.docs / block_docs)), owed[r.source] // r.tokens if r.tokens else 1, owed[r.source] % r.tokens if r.tokens else 0) for r in sized],
-        "_source string, _blocks int, _passes int, _rest long",
+    """mix_sources() with the columns of docs together in one, doc: whatever their names, none is lost."""
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("n_tokens"))
+    rows = cut(boxed.select("id", "source", "n_tokens"))  # no texts
+    sources = stored(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.greatest(F.lit(1), F.round(F.count("*") / block_docs)).cast("long").alias("blocks")))
+    sizes = sources.where("tokens > 0").agg(F.min("tokens"), F.max("tokens"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    shares = sources.where("tokens > 0").select((F.col("tokens") / sizes[2]).alias("share")) if sizes[2] else sources
+    mix = plan(tuple(sizes), _sums(shares), target_entropy, max_repeats, budget)
+    owed = F.floor(mix.budget * F.pow(F.col("tokens") / max(1, sizes[2]), F.lit(mix.exponent)) / mix.norm + 1e-6)
+    full = F.col("tokens") > 0
+    sources = stored(sources.select(
+        F.col("source").alias("s"), "blocks", F.when(full, F.floor(owed / F.col("tokens"))).otherwise(1).cast("int").alias("passes"), F.when(full, owed % F.col("tokens")).otherwise(0).cast("long").alias("rest"),
+    ))
+    # Spark broadcasts the sources, and the plays below, only where they are small.
+    blocked = lambda df: df.join(sources, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int")).drop("s")
+
+    # A play is one reading of a block: its turn in the pass, its position by that, and the tokens before it.
+    blocks = blocked(rows).groupBy("source", "block", "blocks", "passes", "rest").agg(F.sum("n_tokens").alias("size"))
+    reads = F.col("passes") + (F.col("rest") > 0).cast("int")
+    plays = blocks.withColumn("pass", F.explode(F.when(reads > 0, F.sequence(F.lit(0), reads - 1)).otherwise(F.array().cast("array<int>"))))
+    plays = plays.withColumn("turn", F.xxhash64("block", "source", "pass", F.lit(seed + 1)))
+    plays = cut(plays.withColumn("slice", F.floor((F.col("turn").cast("double") / 2.0**64 + 0.5) * F.ceil(F.col("blocks") / _SLICE))))
+    earlier = Window.partitionBy("source", "pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = plays.groupBy("source", "pass", "slice").agg(F.sum("size").alias("size"), F.count("*").alias("n")).select(
+        F.col("source").alias("s"), F.col("pass").alias("p"), F.col("slice").alias("l"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("blocks_before")
     )
-    plans = F.broadcast(plans)  # a row for each source
-    blocked = lambda df: df.join(plans, source.eqNullSafe(F.col("_source"))).withColumn("block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.col("_blocks")).cast("int"))
-
-    # The last, partial pass ends in one block of each source: the first, in permuted order, that the rest doesn't pay for.
-    order = Window.partitionBy("_source").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocked(rows).groupBy("_source", "block", "_rest").agg(F.sum("n_tokens").alias("size")).withColumn("turn", turn_of(F.col("block"), F.col("_source")))
-    ends = sizes.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).where("before < _rest").groupBy("_source").agg(F.max_by(F.struct("turn", "before"), "turn").alias("end"))
-    ends = F.broadcast(cut(ends.select(F.col("_source").alias("_s"), "end.turn", "end.before")))
-    # Of that block, the last document, in the order of its key, that still fits.
-    inside = Window.partitionBy("_source", "block").orderBy("key")
-    last = blocked(rows).join(ends, F.col("_source").eqNullSafe(F.col("_s"))).where(turn_of(F.col("block"), F.col("_source")) == F.col("turn")).withColumn("key", key)
-    last = last.withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).where("upto <= _rest").groupBy("_s").agg(F.max("key").alias("last"))
-    stops = ends.join(F.broadcast(last.withColumnRenamed("_s", "_t")), F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "turn", "last")
-
-    turn = turn_of(F.col("block"), F.col("_source"))
-    once_more = F.coalesce((turn < F.col("turn")) | ((turn == F.col("turn")) & (key <= F.col("last"))), F.lit(False))
-    read = blocked(docs.select(*names)).join(F.broadcast(stops), F.col("_source").eqNullSafe(F.col("_s")), "left").withColumn("_times", F.col("_passes") + once_more.cast("int"))
-    read = read.where("_times > 0").withColumn("n_tokens", F.size(words(F.col(text_col))).cast("long"))
-    return read.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).select(*names, "n_tokens", "pass", "block")
+    inside = Window.partitionBy("source", "pass", "slice").orderBy("turn", "block")
+    before = F.col("tokens_before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plays = plays.join(slices, F.col("source").eqNullSafe(F.col("s")) & (F.col("pass") == F.col("p")) & (F.col("slice") == F.col("l")))
+    plays = plays.withColumn("before", before).withColumn("position", F.col("blocks_before") + F.row_number().over(inside) - 1)
+    partial = F.col("pass") == F.col("passes")
+    plays = plays.where(~partial | (F.col("before") < F.col("rest"))).select(
+        F.col("source").alias("s"), F.col("block").alias("b"), "pass", "position", F.when(partial & (F.col("before") + F.col("size") > F.col("rest")), F.col("rest") - F.col("before")).alias("room")
+    )
+    plays = stored(plays)
+    same_block = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+    # Of the block that only fits in part, at most one a source, the last document, in the order of its key, that still fits.
+    key = F.struct(F.xxhash64("id", F.lit(seed + 2)), F.col("id"))
+    cut_block = blocked(rows).join(plays.where("room is not null"), same_block).withColumn("key", key)
+    upto = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("key"))
+    last = cut_block.withColumn("upto", upto).where("upto <= room").groupBy(F.col("source").alias("s2")).agg(F.max("key").alias("last"))
+    plays = stored(plays.join(last, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"))
+    return blocked(boxed).join(plays, same_block).where(F.col("room").isNull() | (key <= F.col("last"))).select("doc", *RESULTS)
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """A row for each time a document is read: all columns of docs, with n_tokens, pass (0 first), block, and position (the block's place in the pass, 0 first).
+
+    options: those of mixed(). A null source is a source of its own. Documents without tokens (null, empty or white texts) cost nothing: they come with
+    their block, and a source that has no others is read once. A block holds about `block_docs` documents; within the block that is cut, documents
+    come in the order of a keyed hash, then of id, and rows that repeat an id are taken or left together. Of a text only its number of words
+    counts, however long it is. Columns of docs named like a result are replaced. Empty input gives no rows.
+    """
+    names = [f"doc.`{c}`" for c in docs.columns if c not in RESULTS]
+    return mixed(docs, **options).select(*names, *RESULTS)
