@@ -7,7 +7,7 @@ prototype has the greatest cosine with it.
 
 What all languages share (spaces, common endings) points every prototype the same way, so the mean prototype is taken off
 prototypes and texts before the cosine. Bundles are computed by Spark tasks for batches of texts, as counts of the
-batch's different n-grams times their vectors; a task holds one batch and the prototypes.
+batch's different n-grams times their vectors, some n-grams at a time; a task holds one batch and the prototypes.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from millrace.llm.shared import small_batches
 
 #: Texts are worked on in groups of about so many code points.
 _CHUNK = 1 << 18
+#: Numbers in a working array at most.
+_CELLS = 1 << 22
 
 
 @lru_cache(1)
@@ -68,7 +70,7 @@ def bundles(texts: list[str], size: int, seed: int) -> np.ndarray:
     k = len(alphabet)
     first, second, third = code[:-2].astype(np.int64), code[1:-1], code[2:]
     valid = letters[1:-1] != 32  # such a letter has a neighbour of its own text, or the line end, on both sides
-    gram = ((first * k + second) * k + third)[valid]
+    gram, of = ((first * k + second) * k + third)[valid], of[1:-1][valid]
     if not len(gram):
         return out
     if k**3 <= 1 << 23:  # few letters: their n-grams are numbered by a table, else by sorting
@@ -78,10 +80,23 @@ def bundles(texts: list[str], size: int, seed: int) -> np.ndarray:
         kind = (np.cumsum(seen) - 1)[gram]
     else:
         kinds, kind = np.unique(gram, return_inverse=True)
-    counts = np.zeros((len(texts), len(kinds)), np.float32)
-    np.add.at(counts, (of[1:-1][valid], kind), np.float32(1))
-    vectors = gram_vectors(alphabet[np.stack([kinds // (k * k), kinds // k % k, kinds % k], 1)], size, seed)
-    return counts @ vectors
+    letters_of = lambda x: alphabet[np.stack([x // (k * k), x // k % k, x % k], 1)]
+    # Counts times vectors, for some kinds at a time. The counts are a matrix where many texts share kinds; where each has
+    # its own, only the pairs that occur are looked at.
+    if len(texts) * len(kinds) <= 16 * len(gram):
+        for lo in range(0, len(kinds), step := max(1, _CELLS // max(size, len(texts)))):
+            some = (kind >= lo) & (kind < lo + step)
+            part = kinds[lo : lo + step]
+            counts = np.bincount(of[some] * len(part) + kind[some] - lo, minlength=len(texts) * len(part)).reshape(len(texts), len(part))
+            out += counts.astype(np.float32) @ gram_vectors(letters_of(part), size, seed)
+        return out
+    pairs, n = np.unique(of * len(kinds) + kind, return_counts=True)
+    for lo in range(0, len(pairs), step := max(1, _CELLS // size)):
+        row, each = pairs[lo : lo + step] // len(kinds), n[lo : lo + step, None].astype(np.float32)
+        used, at = np.unique(pairs[lo : lo + step] % len(kinds), return_inverse=True)
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        out[row[starts]] += np.add.reduceat(gram_vectors(letters_of(kinds[used]), size, seed)[at] * each, starts)
+    return out
 
 
 def _in_chunks(texts: pa.Array):
@@ -137,21 +152,23 @@ def prototypes(labelled: DataFrame, text_col: str, lang_col: str, size: int, see
     return langs, made
 
 
-def identify(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 1024, train_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def identify(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 1024, train_rows: int = 5_000, seed: int = 7) -> DataFrame:
     """One row for each row of docs: id, held_out, lang_pred, score (0 to 1: (1 + cosine) / 2).
 
-    held_out: SQL condition on the id; such rows are never learned from. Prototypes come from at most about `train_rows`
-    other rows with text and lang, chosen by a hash of the id. A null text, or one without a letter, is `und` with score
+    held_out: SQL condition on columns of docs; such rows are never learned from. Prototypes come, for each language, from at most
+    about `train_rows` other rows with text and lang, chosen by a hash of the id; so a rare language is learned from too. A null text, or one without a letter, is `und` with score
     0, as is everything when there is nothing to learn from. Of equal cosines the first language by name wins. lang,
-    source and id are no inputs of a prediction; other columns of docs aren't returned. Repeated rows are judged alike.
+    source and id are no inputs of a prediction; other columns of docs aren't returned. Repeated rows are judged alike. Texts are
+    read whole, long ones piece by piece.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    held = F.coalesce(F.expr(held_out.replace(id_col, "id")), F.lit(False))
-    usable = rows.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.select("id").count()
-    part = int(1_000_000 * min(1.0, train_rows / max(1, n)))
-    langs, made = prototypes(usable.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) < part), "text", "lang", size, seed)
+    held = F.coalesce(F.expr(held_out), F.lit(False))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held.alias("held_out"))
+    usable = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    whole = 1 << 62
+    rates = usable.groupBy("lang").count().withColumn("below", F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), F.lit(float(train_rows)) / F.col("count")) * whole)))
+    chosen = usable.join(rates, "lang").where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(whole)) <= F.col("below"))
+    langs, made = prototypes(chosen, "text", "lang", size, seed)
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     made = unit(made)
     mean = made.mean(0) if len(langs) > 1 else np.zeros(size)
@@ -170,6 +187,6 @@ def identify(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: s
             scores += np.where(empty, 0.0, np.clip((1 + cos[np.arange(len(x)), best]) / 2, 0, 1)).astype(float).tolist()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return rows.select("id", held.alias("held_out"), nearest("text").alias("found")).select(
+    return rows.select("id", "held_out", nearest("text").alias("found")).select(
         F.col("id").alias(id_col), "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score")
     )
