@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import cut, shared_folder, shuffle_partitions, small_batches
+from millrace.llm.shared import cut, shared_folder, shuffle_partitions, size_in_bytes, small_batches
 
 #: Buckets of context frequency: by powers of two, the last for all beyond.
 BUCKETS = 32
@@ -193,7 +193,8 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     Tokens are the words of the text, A-Z lower-cased, and one end; the first word follows an end. held_out: SQL condition
     on the id; texts where it holds are scored, not learned from. n_known: tokens found in training texts. base_score: the
     sum of log10 of (c + 0.1) / (N + 0.1 (V + 1)); score: the log10 probability under the interpolated model. A null or
-    empty text is one end. Repeated rows are rows of their own and all counted. Other columns of docs aren't returned.
+    empty text is one end. Repeated rows are rows of their own and all counted. Texts are scored whole; a very long one is a
+    block of its own. An empty table gives no rows, and one without training texts the uniform model. Other columns of docs aren't returned.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -227,9 +228,12 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     blocks = docs.select(F.col(id_col), F.col(text_col), held.alias("held")).mapInArrow(encode, T.StructType([T.StructField(*f) for f in fields]))
     # Bucketed by block, so that the joins below move the answers only; and fixed, so that a block stays what it was.
     name = f"millrace_lm_{uuid.uuid4().hex}"
-    blocks.write.bucketBy(shuffle_partitions(spark), "block").option("path", f"{shared_folder(spark)}/{name}").option("compression", "none").saveAsTable(name)
+    # Buckets of some 64 MB of input, however much there is of it.
+    buckets = max(shuffle_partitions(spark), -(-size_in_bytes(docs.select(text_col)) // (64 << 20)))
+    blocks.write.bucketBy(min(buckets, 100_000), "block").option("path", f"{shared_folder(spark)}/{name}").option("compression", "none").saveAsTable(name)
     blocks = spark.table(name)
-    shards, n = blocks.agg(F.greatest(F.count("*"), F.lit(1)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
+    # A shard answers for as much as two blocks ask.
+    shards, n = blocks.agg(F.greatest(F.ceil(F.count("*") / 2), F.lit(1)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
 
     asked = blocks.drop("ids").mapInArrow(_ask(shards), "block long, shard int, hashes binary, counts binary")
     answers = cut(asked.groupBy("shard").applyInArrow(_answer, "block long, shard int, totals binary, seen long"))
@@ -244,5 +248,6 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     # At most buckets x steps x steps cells, whatever the corpus.
     weights = learn_weights([(r.bucket, r.tokens, r.p2 / r.tokens, r.p1 / r.tokens) for r in cells.collect()], 1 / (v + 1))
     schema = T.StructType([T.StructField("id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    scored = with_answers(["ids", *coded], _score(shards, n, v, weights), schema)
+    scored = cut(with_answers(["ids", *coded], _score(shards, n, v, weights), schema))
+    spark.sql(f"drop table {name}")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -21,14 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, else (as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where all is one machine (as in tests) it may be unset; then a temporary one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return folder or jsc.getCheckpointDir().get()
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """Spark's estimate of df's size, of files their size; without a job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs no more than a reread."""
     shared_folder(df.sparkSession)
