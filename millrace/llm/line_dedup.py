@@ -6,8 +6,8 @@ filters share, so every hash that really repeats is in the merged twice filter.
 array. Pass 2 sends only lines whose hash is in the twice filter across the network, for the exact count of documents and
 the choice of the one that keeps the line. Lines that don't repeat, and documents without suspects, never move.
 
-The filters have a fixed number of bits, whatever the input, so what is broadcast is bounded (bits / 8 bytes). A fuller
-filter suspects more lines, which costs shuffle and never changes the result; give more bits to a larger corpus.
+The filters have 16 bits for each line, counted first, up to 2^30 bits; so what is broadcast is at most 128 MB. Beyond 64 million
+lines they get fuller, and a fuller filter suspects more lines, which costs shuffle and never changes the result.
 """
 
 from __future__ import annotations
@@ -125,17 +125,32 @@ def _tester(docs: DataFrame, bitmap: bytes, least: int, bits: int, probes: int):
     return test
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, in_docs: int = 3, bits: int = 1 << 27, probes: int = 4) -> DataFrame:
+def filter_bits(docs: DataFrame, text_col: str) -> int:
+    """A power of two: 16 bits for each line, but at least 2^20 and at most 2^30."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = docs.agg(F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1)).first()[0] or 0
+    return 1 << min(30, max(20, (16 * lines).bit_length()))
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, in_docs: int = 3, bits: int | None = None, probes: int = 4) -> DataFrame:
     """All columns of docs, the text without repeated lines, with n_lines (before) and n_dropped.
 
     A line's key is the line without white space at its ends, A-Z lower-cased. A key of at least `least` code points found
     in `in_docs` or more documents loses all its lines but those in the document with the largest id; the other lines stay,
     in order, joined by a newline. Within the document that keeps a key all its lines stay. A null or empty text is one
     empty line, and comes back as an empty text. A null id can't be told apart from other documents, so its lines stay and
-    count for no key. Rows that repeat an id count as one document, and all of them keep what that id keeps. Columns of
-    docs named n_lines or n_dropped are replaced; others pass unchanged.
+    count for no key. Rows that repeat an id count as one document, and all of them keep what that id keeps. Texts are handled
+    whole, however long, and an empty table gives no rows. Columns of docs named n_lines or n_dropped are replaced; others pass unchanged.
     """
+    names = [f"doc.`{c}`" if c != text_col else f"text as `{c}`" for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return without_lines(docs, id_col, text_col, least, in_docs, bits, probes).selectExpr(*names, "n_lines", "n_dropped")
+
+
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, in_docs: int = 3, bits: int | None = None, probes: int = 4) -> DataFrame:
+    """drop_repeated_lines() with the columns of docs together in one, doc, and the new text, n_lines and n_dropped beside it."""
     small_batches(docs.sparkSession)
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_col, text_col, bits = "id", "text", bits or filter_bits(docs, "text")
     bitmap = twice_filter(docs, text_col, least, bits, probes)
     test = _tester(docs, bitmap, least, bits, probes)
 
@@ -167,11 +182,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             dropped.append(len(lines) - len(stay))
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(dropped, pa.int64())], ["text", "n_dropped"])
 
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(*names).withColumn(text_col, text).withColumn("n_lines", F.size(F.split(text, "\n", -1)).cast("long"))
+    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
     # Documents without a suspect stay where they are.
-    clean = docs.where(~suspected(text_col)).withColumn("n_dropped", F.lit(0).cast("long"))
-    rest = docs.where(suspected(text_col)).join(drops, F.col(id_col) == F.col("_id"), "left").withColumn("_new", rewrite(text_col, "_drop"))
-    rest = rest.withColumn(text_col, F.col("_new.text")).withColumn("n_dropped", F.col("_new.n_dropped"))
-    return clean.unionByName(rest.select(*clean.columns))
+    clean = docs.where(~suspected("text")).withColumn("n_dropped", F.lit(0).cast("long"))
+    rest = docs.where(suspected("text")).join(drops, F.col("id") == F.col("_id"), "left").withColumn("new", rewrite("text", "_drop"))
+    return clean.unionByName(rest.select("doc", "id", F.col("new.text").alias("text"), "n_lines", F.col("new.n_dropped").alias("n_dropped"))).drop("id")
