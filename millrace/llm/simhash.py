@@ -144,23 +144,26 @@ def links(prints: DataFrame, budget: int = 2, leaf: int = 4096) -> DataFrame:
         rows = parted.where("n is not null").select("fp", "mask")
 
 
+def _grouped(prints: DataFrame, budget: int) -> DataFrame:
+    """prints (id, fp) -> (fp, component_id) of each different fp."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    tree = components(links(nodes.select("fp"), budget))
+    placed = cut(nodes.join(tree, nodes["fp"] == tree["u"], "left").select("fp", "least", F.coalesce("v", "fp").alias("root")))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return placed.join(least, "root").select("fp", "component_id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
     """One row for each row of docs: id, fingerprint (16 hex digits), component_id (the smallest id reachable by links).
 
     Texts lower-cased (A-Z) are cut into shingles of `width` words, repeats included; a text with fewer words is one
     shingle, one without words (or null) has fingerprint zero. Fingerprints link at `budget` or fewer differing bits,
     equal ones always. Repeated rows are rows of their own; null ids take part but are never the smallest, unless a group
-    has no other. Other columns of docs aren't returned. Empty input gives no rows.
+    has no other. Texts are read whole, long ones piece by piece. Other columns of docs aren't returned. Empty input gives no rows.
     """
     small_batches(docs.sparkSession)
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp")))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    tree = components(links(nodes.select("fp"), budget))
-    placed = cut(nodes.join(tree, nodes["fp"] == tree["u"], "left").select("fp", "least", F.coalesce("v", "fp").alias("root")))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(least, "root").select("fp", "component_id"), "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return prints.join(_grouped(prints, budget), "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _shingle_set(text: str | None, width: int) -> set[int]:
@@ -169,81 +172,75 @@ def _shingle_set(text: str | None, width: int) -> set[int]:
     return {seeded(b" ".join(w[k : k + width]), 42) for k in range(max(1, len(w) - width + 1))}
 
 
-def _common(docs: DataFrame, text: str, width: int) -> dict[int, int]:
+def _common(texts: DataFrame, width: int) -> dict[int, int]:
     """Shingles that are frequent in a sample of some 10,000 documents, with their counts: they only order shingles, so the result doesn't depend on them."""
 
     @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array([np.fromiter(_shingle_set(t.as_py(), width), np.uint64).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
-    share = min(1.0, 10_000 / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = sample.select(F.explode(of(text)).alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "tok").limit(100_000)
+    n, whole = texts.count(), 1 << 62
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(whole)) < min(whole, whole * 10_000 // max(1, n)))
+    counts = sample.select(F.explode(of("text")).alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "tok").limit(100_000)
     return {r.tok & (2**64 - 1): r.n for r in counts.collect()}
 
 
-def _prefixes(docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
-    """(_id, digest, n, toks): a digest of each document's set of n shingles, and the first of them in one order for all, rare ones first.
+def _sketches(texts: DataFrame, width: int, print_width: int, similarity: float) -> DataFrame:
+    """(id, fp, digest, n, toks): fingerprint, a digest of the set of n shingles, and the first of these in one order for all, rare ones first.
 
     Two sets with a Jaccard similarity of `similarity` share at least that part of either, so each has a shared shingle among
     all but the last ceil(similarity x n) - 1 of its n: no such pair is without a common tok.
     """
-    known = docs.sparkSession.sparkContext.broadcast(_common(docs, text, width))
+    known = texts.sparkSession.sparkContext.broadcast(_common(texts, width))  # 100,000 entries at most
 
-    @F.arrow_udf("struct<digest: binary, n: int, toks: array<bigint>>")
+    @F.arrow_udf("struct<fp: bigint, digest: binary, n: int, toks: array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
         out, common = [], known.value
         for t in texts:
-            found = _shingle_set(t.as_py(), width)
+            found = _shingle_set(t := t.as_py(), width)
             n = len(found)
             first = sorted(found, key=lambda x: (common.get(x, 0), x))[: n - math.ceil(similarity * n - 1e-9) + 1]
-            digest = xxhash.xxh3_128_digest(np.sort(np.fromiter(found, np.uint64)).tobytes())
-            out.append({"digest": digest, "n": n, "toks": np.array(first, np.uint64).view(np.int64)})
-        return pa.array(out, pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("toks", pa.list_(pa.int64()))]))
+            digest, fp = xxhash.xxh3_128_digest(np.sort(np.fromiter(found, np.uint64)).tobytes()), simhash(t, print_width)
+            out.append({"fp": fp - (fp >> 63 << 64), "digest": digest, "n": n, "toks": np.array(first, np.uint64).view(np.int64)})
+        return pa.array(out, pa.struct([("fp", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("toks", pa.list_(pa.int64()))]))
 
-    return docs.select("_id", of(text).alias("x")).select("_id", "x.*")
+    return texts.select("id", of("text").alias("x")).select("id", "x.*")
 
 
 def _first_of_links(links: DataFrame) -> DataFrame:
-    """links (_id, _to), _to < _id -> (_id, _to): nodes that go, taking them from the least: one goes if a lesser one that stays is linked to it."""
+    """links (id, to), to < id -> (id, to): nodes that go, taking them from the least: one goes if a lesser one that stays is linked to it."""
     gone = None
     while not links.isEmpty():
-        first = links.join(links.select(F.col("_id").alias("_to")).distinct(), "_to", "left_anti")
-        new = cut(first.groupBy("_id").agg(F.min("_to").alias("_to")))
+        first = links.join(links.select(F.col("id").alias("to")).distinct(), "to", "left_anti")
+        new = cut(first.groupBy("id").agg(F.min("to").alias("to")))
         gone = new if gone is None else gone.unionByName(new)
-        done = cut(new.select("_id").unionByName(first.select(F.col("_to").alias("_id"))).distinct())
-        links = cut(links.join(done, "_id", "left_anti").join(done.select(F.col("_id").alias("_to")), "_to", "left_anti").select("_id", "_to"))
+        done = cut(new.select("id").unionByName(first.select(F.col("to").alias("id"))).distinct())
+        links = cut(links.join(done, "id", "left_anti").join(done.select(F.col("id").alias("to")), "to", "left_anti").select("id", "to"))
     return links if gone is None else gone
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8, print_width: int = 3, rounds: int = 4) -> DataFrame:
-    """All columns of docs, with keep_id (the document that stands for this one) and kept.
-
-    In the order of ids a document goes if one that stays has, with it, a Jaccard similarity of the sets of shingles of
-    `width` words of `similarity` or more; the least such one is its keep_id. So no two that stay are that alike. Candidates are
-    the groups of near_groups() (shingles of `print_width` words, `budget` bits) and, as those miss most pairs with more than
-    few edits, all documents that share a shingle of their _prefixes(), which misses none. Each list of candidates is first
-    compared with its least document only, once that is known to stay, so a group of copies takes as many comparisons as it
-    has members; texts of equal sets are one candidate; what remains after `rounds` of that, or earlier if it is little, is compared pair by pair.
-    Null ids and ids whose rows differ in text take no part and stay. Columns of docs named keep_id or kept are replaced.
-    """
-    names = [c for c in docs.columns if c not in ("keep_id", "kept")]
-    docs = docs.select(*names)
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8, print_width: int = 3, far: int = 28, rounds: int = 4) -> DataFrame:
+    """near_duplicates() with the columns of docs together in one, doc: whatever their names, none is lost."""
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"))
     small_batches(docs.sparkSession)
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_own"))
-    print_of = F.xxhash64("_own")
-    several = stored(own.groupBy("_id").agg(F.min(print_of).alias("a"), F.max(print_of).alias("b"), F.count("*").alias("c")).where("c > 1"))
-    differ, same = several.where("a <> b").select("_id"), several.where("a = b").select("_id")
-    texts = own.join(several.select("_id"), "_id", "left_anti").unionByName(own.join(same, "_id").dropDuplicates(["_id"]))
-    found = near_groups(docs, id_col, text_col, print_width, budget).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64("component_id").alias("tok")).distinct()
-    prefixes = stored(_prefixes(texts, "_own", width, similarity))
-    copies = stored(prefixes.groupBy("digest").agg(F.min("_id").alias("_to"), F.count("*").alias("c")).where("c > 1"))
-    copies = stored(prefixes.select("_id", "digest").join(copies, "digest").where("_id <> _to").select("_id", "_to"))
-    single = prefixes.join(copies.select("_id"), "_id", "left_anti")
-    toks = single.select("_id", "n", F.explode("toks").alias("tok"))
-    found = found.join(single.select("_id", "n"), "_id").select("_id", "n", "tok")
-    of_several = lambda rows: rows.join(stored(rows.groupBy("tok").count().where("count > 1").select("tok")), "tok").select("_id", "n", "tok")
-    alive = stored(of_several(toks).unionByName(of_several(stored(found))))
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    print_of = F.xxhash64("text")
+    several = stored(own.groupBy("id").agg(F.min(print_of).alias("a"), F.max(print_of).alias("b"), F.count("*").alias("c")).where("c > 1"))
+    same = several.where("a = b").select("id")
+    texts = own.join(several.select("id"), "id", "left_anti")
+    if not same.isEmpty():
+        texts = texts.unionByName(own.join(same, "id").groupBy("id").agg(F.first("text").alias("text")))
+    sketches = stored(_sketches(texts, width, print_width, similarity))
+    # Copies, of which one represents the rest from here on.
+    copies = sketches.groupBy("digest").agg(F.min("id").alias("to"), F.count("*").alias("c")).where("c > 1")
+    copies = stored(sketches.select("id", "digest").join(copies, "digest").where("id <> to").select("id", "to"))
+    single = sketches.join(copies.select("id"), "id", "left_anti")
+    prints = stored(single.select("id", "n", "fp"))
+    groups = prints.join(_grouped(prints, budget), "fp").select("id", F.xxhash64("component_id").alias("tok"))
+    # Lists of candidates: documents with a tok, or a group of fingerprints, in common.
+    of_several = lambda rows: rows.join(stored(rows.groupBy("tok").count().where("count > 1").select("tok")), "tok").select("id", "tok")
+    listed = of_several(single.select("id", F.explode("toks").alias("tok"))).unionByName(of_several(stored(groups)))
+    alive = stored(listed.join(prints, "id"))
 
     @F.arrow_udf("boolean")
     def alike(ones: pa.Array, others: pa.Array) -> pa.Array:
@@ -255,29 +252,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(len(a & b) >= similarity * len(a | b))
         return pa.array(out, pa.bool_())
 
+    worth = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_to"))) <= far)
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (_id, n, _to, m) those that are alike."""
-        pairs = stored(pairs.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9).select("_id", "_to").distinct())
-        others = texts.join(pairs.select(F.col("_to").alias("_id")).distinct(), "_id", "left_semi").select(F.col("_id").alias("_to"), F.col("_own").alias("_text"))
-        return cut(texts.join(pairs, "_id").join(others, "_to").where(alike("_own", "_text")).select("_id", "_to"))
+        """Of pairs (id, to) those that are alike. Only texts of documents in a pair are moved, where Spark finds their ids few enough to broadcast."""
+        pairs = stored(pairs.distinct())
+        ones = texts.join(pairs.select("id").distinct(), "id", "left_semi")
+        others = texts.join(pairs.select(F.col("to").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("to"), F.col("text").alias("other"))
+        return cut(ones.join(pairs, "id").join(others, "to").where(alike("text", "other")).select("id", "to"))
 
-    gone = alive.select("_id", F.col("_id").alias("_to")).limit(0)
+    gone = alive.select("id", F.col("id").alias("to")).limit(0)
     for k in range(rounds + 1):
-        lists = cut(alive.groupBy("tok").agg(F.min(F.struct("_id", "n")).alias("least"), F.count("*").alias("c")).where("c > 1"))
+        lists = cut(alive.groupBy("tok").agg(F.min(F.struct("id", "n", "fp")).alias("least"), F.count("*").alias("c")).where("c > 1"))
         rows, pairs = lists.agg(F.sum("c"), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()
         if not rows:
             break
         if k == rounds or pairs <= 4 * rows:
-            other = alive.select("tok", F.col("_id").alias("_to"), F.col("n").alias("m"))
-            gone = gone.unionByName(_first_of_links(verified(alive.join(other, "tok").where("_to < _id"))))
+            other = alive.select("tok", F.col("id").alias("to"), F.col("n").alias("m"), F.col("fp").alias("fp_to"))
+            gone = gone.unionByName(_first_of_links(verified(alive.join(other, "tok").where("to < id").where(worth).select("id", "to"))))
             break
-        led = stored(alive.join(lists.select("tok", F.col("least._id").alias("_to"), F.col("least.n").alias("m")), "tok").where("_id <> _to").select("_id", "n", "_to", "m").distinct())
-        led = led.join(led.select(F.col("_id").alias("_to")).distinct(), "_to", "left_anti")  # those that are least in all their lists stay
-        new = verified(led).groupBy("_id").agg(F.min("_to").alias("_to"))
-        gone = gone.unionByName(new := cut(new))
-        done = stored(led.select(F.col("_to").alias("_id")).distinct().unionByName(new.select("_id")))
-        alive = stored(alive.join(done, "_id", "left_anti"))
+        led = alive.join(lists.select("tok", F.col("least.id").alias("to"), F.col("least.n").alias("m"), F.col("least.fp").alias("fp_to")), "tok").where("id <> to")
+        led = stored(led.select("id", "to", worth.alias("worth")).distinct())
+        led = stored(led.join(led.select(F.col("id").alias("to")).distinct(), "to", "left_anti"))  # those that are least in all their lists stay
+        new = cut(verified(led.where("worth").select("id", "to")).groupBy("id").agg(F.min("to").alias("to")))
+        gone = gone.unionByName(new)
+        alive = stored(alive.join(stored(led.select(F.col("to").alias("id")).distinct().unionByName(new.select("id"))), "id", "left_anti"))
     gone = cut(gone)
-    stays = gone.select(F.col("_id").alias("_to"), F.col("_to").alias("_end"))
-    gone = stored(gone.unionByName(copies.join(stays, "_to", "left").select("_id", F.coalesce("_end", "_to").alias("_to"))))
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left").withColumn("keep_id", F.coalesce("_to", id_col)).withColumn("kept", F.col("_id").isNull()).select(*names, "keep_id", "kept")
+    stays = gone.select(F.col("id").alias("to"), F.col("to").alias("end"))
+    gone = stored(gone.unionByName(copies.join(stays, "to", "left").select("id", F.coalesce("end", "to").alias("to"))))
+    gone = gone.select(F.col("id").alias("gone_id"), "to")
+    return boxed.join(gone, F.col("id") == F.col("gone_id"), "left").select("doc", F.coalesce("to", "id").alias("keep_id"), F.col("gone_id").isNull().alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """All columns of docs, with keep_id (the document that stands for this one) and kept.
+
+    options: those of judged(). In the order of ids a document goes if one that stays has, with it, a Jaccard similarity of the sets of shingles of
+    `width` words of `similarity` or more; the least such one is its keep_id. So no two that stay are that alike. Candidates are
+    the groups of near_groups() (shingles of `print_width` words, `budget` bits) and, as those miss most pairs with more than
+    few edits, all documents that share a shingle of their _sketches(), which misses none. Candidates whose fingerprints differ in more than
+    `far` bits aren't compared: of 64 bits, 28 is seven standard deviations more than a pair at 0.8 has. Each list of candidates is first
+    compared with its least document only, once that is known to stay, so a group of copies takes as many comparisons as it
+    has members; texts of equal sets are one candidate; what remains after `rounds` of that, or earlier if it is little, is compared pair by pair.
+    Null ids and ids whose rows differ in text take no part and stay. Null and empty texts are alike, and texts shorter than a shingle
+    only as a whole. Texts are compared whole, however long. Empty input gives no rows. Columns of docs named keep_id or kept are replaced.
+    """
+    names = [f"doc.`{c}`" for c in docs.columns if c not in ("keep_id", "kept")]
+    return judged(docs, **options).select(*names, "keep_id", "kept")
