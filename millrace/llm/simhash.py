@@ -219,7 +219,7 @@ def _first_of_links(links: DataFrame) -> DataFrame:
     return links if gone is None else gone
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8, print_width: int = 3, far: int = 28, rounds: int = 4) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8, print_width: int = 3, far: int = 24, rounds: int = 4) -> DataFrame:
     """near_duplicates() with the columns of docs together in one, doc: whatever their names, none is lost."""
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"))
     small_batches(docs.sparkSession)
@@ -240,7 +240,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     # Lists of candidates: documents with a tok, or a group of fingerprints, in common.
     of_several = lambda rows: rows.join(stored(rows.groupBy("tok").count().where("count > 1").select("tok")), "tok").select("id", "tok")
     listed = of_several(single.select("id", F.explode("toks").alias("tok"))).unionByName(of_several(stored(groups)))
-    alive = stored(listed.join(prints, "id"))
+    listed = stored(listed)
+    # Of lists with the same members one is enough: sets that have much in common share most of their first shingles.
+    kinds = listed.groupBy("tok").agg(F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"), F.count("*").alias("c")).groupBy("members", "c").agg(F.min("tok").alias("tok")).select("tok")
+    alive = stored(listed.join(stored(kinds), "tok").join(prints, "id"))
 
     @F.arrow_udf("boolean")
     def alike(ones: pa.Array, others: pa.Array) -> pa.Array:
@@ -255,8 +258,16 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     worth = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_to"))) <= far)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (id, to) those that are alike. Only texts of documents in a pair are moved, where Spark finds their ids few enough to broadcast."""
+        """Of pairs (id, to) those that are alike. Only texts of documents in a pair are moved, where Spark finds their ids few enough to broadcast.
+
+        What two sets have in common is at most what their first shingles have, and the rest of the set whose first shingles end
+        later; so most pairs that aren't alike go without a look at their texts.
+        """
         pairs = stored(pairs.distinct())
+        firsts = lambda c: sketches.join(pairs.select(F.col(c).alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("toks").alias(f"toks_{c}"))
+        rest = F.greatest(F.col("n_id") - F.size("toks_id"), F.col("n_to") - F.size("toks_to"))
+        least = similarity / (1 + similarity) * (F.col("n_id") + F.col("n_to")) - 1e-6
+        pairs = stored(pairs.join(firsts("id"), "id").join(firsts("to"), "to").where(F.size(F.array_intersect("toks_id", "toks_to")) + rest >= least).select("id", "to"))
         ones = texts.join(pairs.select("id").distinct(), "id", "left_semi")
         others = texts.join(pairs.select(F.col("to").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("to"), F.col("text").alias("other"))
         return cut(ones.join(pairs, "id").join(others, "to").where(alike("text", "other")).select("id", "to"))
@@ -291,7 +302,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     `width` words of `similarity` or more; the least such one is its keep_id. So no two that stay are that alike. Candidates are
     the groups of near_groups() (shingles of `print_width` words, `budget` bits) and, as those miss most pairs with more than
     few edits, all documents that share a shingle of their _sketches(), which misses none. Candidates whose fingerprints differ in more than
-    `far` bits aren't compared: of 64 bits, 28 is seven standard deviations more than a pair at 0.8 has. Each list of candidates is first
+    `far` bits aren't compared: of 64 bits, 24 is six standard deviations more than a pair at 0.8 has. Each list of candidates is first
     compared with its least document only, once that is known to stay, so a group of copies takes as many comparisons as it
     has members; texts of equal sets are one candidate; what remains after `rounds` of that, or earlier if it is little, is compared pair by pair.
     Null ids and ids whose rows differ in text take no part and stay. Null and empty texts are alike, and texts shorter than a shingle
