@@ -1,15 +1,17 @@
 """HTML main-text extraction: flat text blocks, classified by a decision tree on their own and their neighbours' features.
 
-A page is cut into flat blocks at its block-level tags. A block has a number of words, a link density (the share of its
-words inside links), whether it lies in a region that markup names as no part of an article (nav, footer, a class of
-`sidebar`, ...), and whether it lies in one named as the article. The features of a block and of its two neighbours go through a decision tree,
-grown by Gini impurity from the small labelled table below; blocks it accepts are the main text.
+A page is read once, from left to right, and cut into flat blocks at its block-level tags. A block has a number of words and a link density (the share of its
+words inside links); so have its neighbours, the three blocks before and the three after it, of which the longest counts. Besides,
+markup may say that a block lies in a part that is no article (nav, footer, a class of `sidebar`, ...; such blocks are nobody's neighbours), that
+it lies in the article, and that it is a heading. These features go through a decision tree, grown by Gini impurity from the
+small table below, whose blocks were labelled one by one; blocks it accepts are the main text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -20,73 +22,130 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import small_batches
 
 # HTML element names by their role, and words in class, id and role that name a part which is no article.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow mroot ms msqrt msub msubsup msup mtext munder mover q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video select".split())
 APART = frozenset("nav header footer aside form menu dialog button fieldset".split())
 MAIN = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 APART_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
+#: Words beside which `header`, `related` and the like are part of the article's own names.
+OWN_WORDS = frozenset("article body chapter content entry post section story text title work works".split())
 
-#: The features of a block, as the tree sees them.
+#: The features of a block, as the tree sees them. Before and after: the words of the longest of three blocks, and the share of links in all three.
 FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "heading", "apart", "in article", "page has article")
-#: Blocks of pages that name no article, labelled by hand: words and share of links in it, before and after, heading; 1 for main text.
+#: Blocks labelled one by one: the features, and 1 for main text.
 LABELLED = [
-    # paragraphs and list items of an article, some of them short
-    (60, 0, 50, 0, 70, 0, 0, 1), (25, 0.1, 30, 0, 0, 0, 0, 1), (14, 0, 40, 0, 30, 0, 0, 1), (90, 0.2, 0, 0, 4, 1, 0, 1), (18, 0, 5, 0, 25, 0, 0, 1), (12, 0, 12, 0, 12, 0, 0, 1), (40, 0.25, 12, 0, 3, 1, 0, 1), (30, 0, 2, 1, 6, 0, 0, 1),
-    (11, 0, 3, 1, 20, 0, 0, 1), (70, 0, 0, 0, 0, 0, 0, 1), (16, 0.1, 0, 0, 14, 0, 0, 1), (17, 0, 4, 0, 2, 0, 0, 1), (25, 0, 3, 0, 40, 0, 0, 1), (12, 0, 5, 0, 4, 0, 0, 1), (15, 0, 1, 1, 3, 0, 0, 1), (20, 0, 0, 0, 1, 1, 0, 1),
-    (11, 0, 2, 0, 2, 0, 0, 1), (13, 0.1, 60, 0, 0, 0, 0, 1), (45, 0, 7, 0, 7, 0, 0, 1), (19, 0.2, 2, 0, 60, 0, 0, 1), (28, 0, 9, 0, 1, 0, 0, 1), (14, 0, 3, 0.3, 9, 0, 0, 1), (22, 0.3, 28, 0, 20, 0, 0, 1), (2, 0, 40, 0, 40, 0, 0, 1),
-    (4, 0, 17, 0, 20, 0, 0, 1), (3, 0, 12, 0, 15, 0, 0, 1), (9, 0, 30, 0, 18, 0, 0, 1), (5, 0, 25, 0, 30, 0.1, 0, 1), (1, 0, 15, 0, 90, 0, 0, 1), (8, 0, 60, 0, 14, 0, 0, 1), (6, 0, 16, 0, 50, 0, 0, 1),
-    # headings
-    (5, 0, 3, 1, 60, 0, 1, 1), (8, 0, 40, 0, 30, 0, 1, 1), (3, 0, 25, 0, 15, 0, 1, 1), (6, 0, 0, 0, 40, 0, 1, 1), (9, 0, 2, 1, 11, 0, 1, 1), (4, 0, 1, 1, 17, 0, 1, 1), (3, 0, 3, 1, 20, 0, 1, 1), (6, 0, 2, 1, 30, 0, 1, 1),
-    (2, 0, 4, 0, 25, 0, 1, 1), (5, 0, 4, 0, 14, 0, 1, 1), (4, 0, 0, 0, 4, 1, 1, 0), (3, 0, 40, 0, 3, 1, 1, 0), (2, 0, 3, 0, 5, 0, 1, 0),
+    # no article named: paragraphs and list items, long ones and short ones near them
+    (60, 0, 50, 0, 70, 0, 0, 0, 0, 0, 1), (25, 0.1, 30, 0, 0, 0, 0, 0, 0, 0, 1), (14, 0, 40, 0, 30, 0, 0, 0, 0, 0, 1), (90, 0.2, 0, 0, 4, 1, 0, 0, 0, 0, 1), (18, 0, 5, 0, 25, 0, 0, 0, 0, 0, 1), (12, 0, 12, 0, 12, 0, 0, 0, 0, 0, 1), (40, 0.25, 12, 0, 3, 1, 0, 0, 0, 0, 1),
+    (30, 0, 2, 1, 6, 0, 0, 0, 0, 0, 1), (11, 0, 3, 1, 20, 0, 0, 0, 0, 0, 1), (70, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), (16, 0.1, 0, 0, 14, 0, 0, 0, 0, 0, 1), (17, 0, 4, 0, 2, 0, 0, 0, 0, 0, 1), (12, 0, 5, 0, 4, 0, 0, 0, 0, 0, 1), (15, 0, 1, 1, 3, 0, 0, 0, 0, 0, 1), (20, 0, 0, 0, 1, 1, 0, 0, 0, 0, 1),
+    (11, 0, 2, 0, 2, 0, 0, 0, 0, 0, 1), (13, 0.1, 60, 0, 0, 0, 0, 0, 0, 0, 1), (22, 0.3, 28, 0, 20, 0, 0, 0, 0, 0, 1), (14, 0, 3, 0.3, 9, 0, 0, 0, 0, 0, 1), (2, 0, 40, 0, 40, 0, 0, 0, 0, 0, 1), (4, 0, 17, 0, 20, 0, 0, 0, 0, 0, 1), (3, 0, 12, 0, 15, 0, 0, 0, 0, 0, 1),
+    (9, 0, 30, 0, 18, 0, 0, 0, 0, 0, 1), (5, 0, 25, 0, 30, 0.1, 0, 0, 0, 0, 1), (1, 0, 15, 0, 90, 0, 0, 0, 0, 0, 1), (8, 0, 60, 0, 14, 0, 0, 0, 0, 0, 1), (6, 0, 16, 0, 50, 0, 0, 0, 0, 0, 1), (3, 0, 70, 0, 5, 0, 0, 0, 0, 0, 1), (8, 0, 25, 0, 2, 0, 0, 0, 0, 0, 1), (9, 0, 12, 0, 0, 0, 0, 0, 0, 0, 1),
+    (6, 0, 60, 0, 0, 0, 0, 0, 0, 0, 1), (5, 0, 6, 0, 28, 0, 0, 0, 0, 0, 1), (7, 0, 2, 0, 40, 0, 0, 0, 0, 0, 1), (5, 0.1, 35, 0.05, 22, 0, 0, 0, 0, 0, 1), (2, 0, 17, 0, 2, 1, 0, 0, 0, 0, 1), (5, 0, 30, 0, 3, 1, 0, 0, 0, 0, 1), (6, 0, 45, 0, 6, 1, 0, 0, 0, 0, 1),
+    # their headings
+    (5, 0, 3, 1, 60, 0, 1, 0, 0, 0, 1), (8, 0, 40, 0, 30, 0, 1, 0, 0, 0, 1), (3, 0, 25, 0, 15, 0, 1, 0, 0, 0, 1), (6, 0, 0, 0, 40, 0, 1, 0, 0, 0, 1), (9, 0, 2, 1, 11, 0, 1, 0, 0, 0, 1), (4, 0, 1, 1, 17, 0, 1, 0, 0, 0, 1), (3, 0, 3, 1, 20, 0, 1, 0, 0, 0, 1), (2, 0, 4, 0, 25, 0, 1, 0, 0, 0, 1),
+    (4, 0, 0, 0, 4, 1, 1, 0, 0, 0, 0), (3, 0, 4, 0, 3, 1, 1, 0, 0, 0, 0), (2, 0, 3, 0, 5, 0, 1, 0, 0, 0, 0), (3, 0, 40, 0, 3, 1, 1, 0, 0, 0, 0),
     # menus, captions, notes and other short or linked blocks
-    (3, 1, 3, 1, 3, 1, 0, 0), (1, 1, 0, 0, 1, 1, 0, 0), (20, 0.9, 15, 0.8, 30, 0, 0, 0), (14, 0.6, 30, 0, 12, 0.7, 0, 0), (40, 0.5, 4, 1, 60, 0, 0, 0), (5, 0.6, 40, 0, 40, 0, 0, 0), (12, 0.7, 50, 0, 50, 0, 0, 0), (9, 0, 2, 0, 2, 0, 0, 0),
-    (8, 0, 3, 1, 3, 1, 0, 0), (7, 0, 5, 0, 4, 0, 0, 0), (5, 0, 6, 0, 28, 0, 0, 0), (8, 0, 25, 0, 2, 0, 0, 0), (9, 0, 12, 0, 0, 0, 0, 0), (3, 0, 70, 0, 5, 0, 0, 0), (6, 0, 1, 0, 16, 0, 0, 0), (4, 0, 3, 1, 5, 0, 0, 0),
-    (6, 0, 60, 0, 0, 0, 0, 0), (3, 0, 30, 0, 3, 1, 0, 0), (7, 0, 2, 0, 40, 0, 0, 0), (2, 0, 2, 0, 2, 0, 0, 0), (5, 0, 3, 1, 30, 0, 0, 0),
+    (3, 1, 3, 1, 3, 1, 0, 0, 0, 0, 0), (1, 1, 0, 0, 1, 1, 0, 0, 0, 0, 0), (20, 0.9, 15, 0.8, 30, 0, 0, 0, 0, 0, 0), (14, 0.6, 30, 0, 12, 0.7, 0, 0, 0, 0, 0), (40, 0.5, 4, 1, 60, 0, 0, 0, 0, 0, 0), (5, 0.6, 40, 0, 40, 0, 0, 0, 0, 0, 0), (12, 0.7, 50, 0, 50, 0, 0, 0, 0, 0, 0), (9, 0, 2, 0, 2, 0, 0, 0, 0, 0, 0),
+    (8, 0, 3, 1, 3, 1, 0, 0, 0, 0, 0), (7, 0, 5, 0, 4, 0, 0, 0, 0, 0, 0), (4, 0, 3, 1, 5, 0, 0, 0, 0, 0, 0), (2, 0, 2, 0, 2, 0, 0, 0, 0, 0, 0), (5, 0, 3, 1, 6, 1, 0, 0, 0, 0, 0), (3, 0, 30, 0.7, 3, 1, 0, 0, 0, 0, 0), (6, 0, 20, 0.8, 0, 0, 0, 0, 0, 0, 0), (2, 1, 60, 0, 0, 0, 0, 0, 0, 0, 0), (4, 1, 50, 0.1, 45, 0, 0, 0, 0, 0, 0),
+    # in an article that markup names: whatever its length, but lists of links
+    (60, 0, 50, 0, 70, 0, 0, 0, 1, 1, 1), (1, 0, 2, 0, 40, 0, 0, 0, 1, 1, 1), (2, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1), (7, 0, 3, 0, 4, 0, 0, 0, 1, 1, 1), (9, 0, 2, 1, 0, 0, 0, 0, 1, 1, 1), (4, 0.5, 30, 0, 0, 0, 0, 0, 1, 1, 1), (6, 1, 40, 0.1, 30, 0, 0, 0, 1, 1, 1), (3, 1, 25, 0, 0, 0, 0, 0, 1, 1, 1), (12, 0.8, 20, 0, 15, 0.3, 0, 0, 1, 1, 1),
+    (5, 0, 0, 0, 60, 0, 1, 0, 1, 1, 1), (3, 0, 2, 0, 2, 0, 1, 0, 1, 1, 1), (8, 1, 0, 0, 50, 0, 1, 0, 1, 1, 1), (2, 0, 70, 0, 0, 0, 1, 0, 1, 1, 1), (30, 0.4, 4, 0.9, 4, 0.9, 0, 0, 1, 1, 1), (18, 0, 3, 1, 3, 1, 0, 0, 1, 1, 1), (5, 0, 4, 1, 3, 1, 0, 0, 1, 1, 1), (11, 0.1, 0, 0, 0, 0, 0, 0, 1, 1, 1),
+    (3, 1, 4, 1, 5, 1, 0, 0, 1, 1, 0), (6, 1, 5, 1, 6, 1, 0, 0, 1, 1, 0), (2, 1, 2, 1, 3, 1, 0, 0, 1, 1, 0), (9, 1, 8, 0.95, 7, 1, 0, 0, 1, 1, 0), (2, 1, 1, 0, 2, 1, 0, 0, 1, 1, 0), (3, 1, 20, 0.1, 3, 1, 0, 0, 1, 1, 0), (2, 1, 30, 0.5, 4, 1, 0, 0, 1, 1, 0), (3, 1, 4, 1, 0, 0, 0, 0, 1, 1, 0), (2, 1, 2, 1, 40, 0, 0, 0, 1, 1, 0), (2, 1, 4, 0, 17, 0, 0, 0, 1, 1, 1), (3, 1, 6, 0.2, 20, 0, 0, 0, 1, 1, 1), (4, 1, 2, 0, 0, 0, 0, 0, 1, 1, 1),
+    (1, 0, 20, 0, 2, 1, 0, 0, 1, 1, 1), (3, 0, 5, 0, 2, 1, 0, 0, 1, 1, 1), (4, 0, 30, 0, 3, 1, 0, 0, 1, 1, 1), (1, 0, 1, 0, 2, 1, 0, 0, 1, 1, 1), (3, 0, 4, 1, 0, 0, 0, 0, 1, 1, 1), (2, 0, 3, 1, 20, 0, 0, 0, 1, 1, 1), (6, 0, 2, 1, 5, 0, 0, 0, 1, 1, 1), (2, 0, 4, 1, 4, 1, 0, 0, 1, 1, 1),
+    # beside such an article
+    (50, 0, 30, 0, 60, 0, 0, 0, 0, 1, 0), (12, 0.1, 0, 0, 25, 0, 0, 0, 0, 1, 0), (3, 1, 3, 1, 3, 1, 0, 0, 0, 1, 0), (7, 0, 40, 0, 0, 0, 0, 0, 0, 1, 0), (4, 0, 0, 0, 50, 0, 1, 0, 0, 1, 0), (25, 0, 2, 1, 3, 0, 0, 0, 0, 1, 0), (2, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0),
+    (17, 0, 4, 0.3, 0, 0, 0, 0, 0, 1, 0), (20, 0, 10, 0, 0, 0, 0, 0, 0, 1, 0), (14, 0, 50, 0, 12, 0, 0, 0, 0, 1, 0), (60, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0), (11, 0, 12, 0, 5, 0, 0, 0, 0, 1, 0), (16, 0, 30, 0, 14, 0, 0, 0, 0, 1, 0), (30, 0, 60, 0, 30, 0, 0, 0, 0, 1, 0), (6, 0, 25, 0, 30, 0, 1, 0, 0, 1, 0), (3, 0, 20, 0, 40, 0, 0, 0, 0, 1, 0), (90, 0.1, 20, 0.1, 0, 0, 0, 0, 0, 1, 0),
+    # in a part that markup names as none, wherever that is
+    (40, 0, 50, 0, 30, 0, 0, 1, 0, 0, 0), (15, 0, 0, 0, 60, 0, 0, 1, 0, 0, 0), (70, 0, 60, 0, 0, 0, 0, 1, 1, 1, 0), (12, 0.1, 25, 0, 30, 0, 0, 1, 1, 1, 0), (5, 0, 40, 0, 40, 0, 1, 1, 0, 0, 0), (3, 0, 20, 0, 20, 0, 1, 1, 1, 1, 0), (30, 0, 30, 0, 0, 0, 0, 1, 0, 1, 0), (8, 0, 90, 0, 12, 0, 0, 1, 0, 0, 0), (2, 1, 0, 0, 50, 0, 0, 1, 0, 1, 0),
 ]
 
 
 def labelled_table() -> np.ndarray:
-    """LABELLED, and the same blocks where the page's markup says what they are: never text in a part that is none, always in its article, never beside that."""
-    said = {(0, 0, 0): None, (1, 0, 0): 0, (1, 0, 1): 0, (1, 1, 1): 0, (0, 1, 1): 1, (0, 0, 1): 0}
-    return np.array([(*row[:-1], *where, row[-1] if label is None else label) for row in LABELLED for where, label in said.items()], float)
+    return np.array(LABELLED, float)
 
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>""", re.S)
+#: The rest of a tag, after its name: attributes may hold `>` in quotes.
+_REST = re.compile(r"""((?:"[^"]*"|'[^']*'|[^"'>])*+)>""")
+_NAME = re.compile(r"[a-zA-Z][^\s>/]*")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
+def _named(attributes: str, element: str) -> tuple[bool, bool]:
     """Whether the attributes name a part that is no article, and whether they name the main part."""
     if not attributes:
         return False, False
     apart, main = bool(_HIDDEN.search(attributes)), False
+    if element in HEADING:
+        return apart, main  # a heading's names tell what it heads
     for found in _NAMES.findall(attributes):
         for name in "".join(found).split():
             parts = [x.lower() for x in _PART.findall(name)]
             main |= parts == ["main"]
-            apart |= not APART_WORDS.isdisjoint(parts) and parts[0] not in ("has", "no", "with")
+            if element in ("p", "li") and len(parts) > 1:
+                continue  # names like related-work: of a paragraph only the plain words count
+            own = not OWN_WORDS.isdisjoint(parts) and parts[-1] in ("header", "related", "work", "works", "text", "title", "content", "body")
+            apart |= not APART_WORDS.isdisjoint(parts) and parts[0] not in ("has", "no", "with") and not own
     return apart, main
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, apart, in article, heading) of each flat block with a word, in page order."""
-    out, words, linked, depth_a = [], [], 0, 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements but p and plain inline ones: name, apart, in article
-    apart = main = heading = False
+def _tags(page: str):
+    """(text before, closing, name, attributes) of each tag, then the last text with no name; comments and declarations part nothing.
 
-    def end_block():
-        nonlocal words, linked
-        if words:
-            out.append((" ".join(words), len(words), linked, apart, main, heading))
-        words, linked = [], 0
+    One pass: what a search has looked at is not looked at again. A tag that never ends takes the rest of the page with it, and after a
+    quote that is never closed quotes have no meaning.
+    """
+    at, end, last, quotes, unclosed = 0, len(page), page.rfind(">"), True, set()
+    start = at
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt + 1 >= end:
+            break
+        second = page[lt + 1]
+        if second in "!?":
+            comment = page.startswith("<!--", lt)
+            close = page.find("-->", lt + 4) if comment else page.find(">", lt)
+            yield page[start:lt], False, "!", ""
+            start = at = end if close < 0 else close + (3 if comment else 1)
+            continue
+        name = _NAME.match(page, lt + 1 + (second == "/"))
+        if not name:
+            at = lt + 1
+            continue
+        if lt > last:
+            yield page[start:lt], False, "!", ""
+            start = end
+            break
+        rest = _REST.match(page, name.end()) if quotes else None
+        if rest:
+            attributes, at = rest[1], rest.end()
+        else:
+            quotes = False
+            at = page.find(">", name.end()) + 1
+            attributes = page[name.end() : at - 1]
+        element = name[0].lower()
+        yield page[start:lt], second == "/", element, attributes
+        if element in RAW and second != "/" and not attributes.rstrip().endswith("/") and element not in unclosed:
+            close = re.compile(f"</{element}\\b[^>]*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            else:
+                unclosed.add(element)
+                at = end if element in ("script", "style", "template") else at
+        start = at
+    yield page[start:], False, "", ""
 
-    pending, at, end = [], 0, len(page)
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
+    """(text, words, words in links, apart, in article, heading) of each flat block with a word, in page order."""
+    out, words, linked, depth_a, pending = [], [], 0, 0, []
+    stack: list[tuple[str, int, bool]] = []  # open elements but p and plain inline ones: name, apart (2: but for headings), in article
+    open_: Counter = Counter()
+    apart, main, heading = 0, False, False
 
     def add_text():
         nonlocal linked
@@ -96,65 +155,63 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             linked += len(found) if depth_a else 0
             pending.clear()
 
+    def end_block():
+        nonlocal words, linked
+        add_text()
+        if words:
+            out.append((" ".join(words), len(words), linked, apart == 1 or (apart == 2 and not heading), main, heading))
+        words, linked = [], 0
+
+    def push(name: str, a: int, m: bool):
+        stack.append((name, a, m))
+        open_[name] += 1
+
+    def pop():
+        open_[stack.pop()[0]] -= 1
+
+    def where() -> tuple[int, bool]:
+        return (stack[-1][1], stack[-1][2]) if stack else (0, False)
+
     # A word can run across inline tags, so text gathers until a tag parts words or changes what it belongs to.
-    while at < end:
-        m = _TOKEN.search(page, at)
-        pending.append(page[at : m.start()] if m else page[at:])
-        if not m:
-            break
-        at = m.end()
-        closing, name, attributes = m[1], (m[2] or "").lower(), m[3] or ""
-        if not name:
+    for text, closing, name, attributes in _tags(page):
+        pending.append(text)
+        if name in ("", "!"):
             continue
-        if name == "br" or name in ("td", "th"):
+        if name in ("br", "td", "th") or name in RAW:
             pending.append(" ")
-            continue
-        if name == "a":
+        elif name == "a":
             add_text()
             depth_a = 0 if closing else 1
-            continue
-        if name in VOID and name != "hr":
-            continue
-        if name in RAW and not closing:
-            if not attributes.rstrip().endswith("/"):
-                close = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else (end if name in ("script", "style", "template") else at)
-            pending.append(" ")
-            continue
-        if name in INLINE:
-            if not closing and attributes and _named(attributes)[0]:
-                add_text()
+        elif name in VOID and name != "hr":
+            pass
+        elif name in INLINE:
+            if not closing and attributes and _named(attributes, name)[0]:
                 end_block()
-                stack.append((name, True, main))
-                apart = True
+                push(name, 1, main)
+                apart = 1
             elif closing and stack and stack[-1][0] == name:
-                add_text()
                 end_block()
-                stack.pop()
-                apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            continue
-        add_text()
-        end_block()
-        depth_a = 0
-        if name in HEADING:
-            heading = not closing
-        if name in ("p", "li", "hr", "html", "body", "head") and not (attributes and not closing and name in ("p", "li")):
-            if closing and name in ("p", "li") and stack and stack[-1][0] == name:
-                stack.pop()
-        elif closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+                pop()
+                apart, main = where()
         else:
-            if name in ("p", "li") and stack and stack[-1][0] == name:
-                stack.pop()
-                apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            named_apart, named_main = _named(attributes) if name not in ("body", "html") else (False, False)
-            stack.append((name, apart or name in APART or (named_apart and name not in MAIN), main or name in MAIN or named_main))
-        apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        heading = heading and name in HEADING
-    add_text()
+            end_block()
+            depth_a = 0
+            plain = name in ("hr", "html", "body", "head")
+            if closing:
+                if not plain and open_[name]:
+                    while stack[-1][0] != name:
+                        pop()
+                    pop()
+            elif not plain:
+                if name in ("p", "li") and stack and stack[-1][0] == name:
+                    pop()
+                    apart, main = where()
+                named_apart, named_main = _named(attributes, name)
+                if name not in ("p", "li") or named_apart:
+                    own = 2 if name == "header" and main and not named_apart else int(name in APART or (named_apart and name not in MAIN))
+                    push(name, 1 if 1 in (apart, own) else max(apart, own), main or name in MAIN or named_main)
+            apart, main = where()
+            heading = name in HEADING and not closing
     end_block()
     return out
 
@@ -162,12 +219,21 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
 def features(found: list) -> np.ndarray:
     """A row of FEATURES for each block; beyond the first and last block are zeros."""
     n = len(found)
-    own = np.array([(b[1], b[2] / b[1]) for b in found], float).reshape(n, 2)
-    around = np.vstack([np.zeros((1, 2)), own, np.zeros((1, 2))])
+    size = np.array([(0, 0) if b[3] else (b[1], b[2]) for b in found], float).reshape(n, 2)  # blocks apart are no neighbours
+    beside = np.flatnonzero(size[:, 0])
+    size = np.vstack([np.zeros((3, 2)), size[beside], np.zeros((3, 2))])
+    place = np.searchsorted(beside, np.arange(n)) + 3  # of each block, or of the next that is a neighbour, among the neighbours
+    own = np.array([not b[3] for b in found], int)
+
+    def around(steps: list[np.ndarray]) -> np.ndarray:
+        words, linked = (np.stack([size[np.clip(k, 0, len(size) - 1), c] for k in steps]) for c in (0, 1))
+        return np.column_stack([words.max(0), linked.sum(0) / np.maximum(words.sum(0), 1)])
+
+    before, after = around([place - k for k in (1, 2, 3)]), around([place + own + k for k in (0, 1, 2)])
     # A page names its article if a block that may be text lies in it.
     named = np.full((n, 1), any(b[4] and not b[3] for b in found), float)
     flags = np.array([(b[3], b[4], b[5]) for b in found], float).reshape(n, 3)
-    return np.hstack([own, around[:-2], around[2:], flags[:, 2:], flags[:, :2], named])
+    return np.hstack([np.array([(b[1], b[2] / b[1]) for b in found], float).reshape(n, 2), before, after, flags[:, 2:], flags[:, :2], named])
 
 
 def grow_tree(x: np.ndarray, y: np.ndarray) -> tuple:

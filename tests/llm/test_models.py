@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -215,6 +216,55 @@ def test_page_without_article():
     ]
 
 
+def test_article_keeps_what_its_names_and_markup_may_hide():
+    assert main_text("<article><h1 class='article-header'>The title</h1><p>The formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.<h2 class=section-header>Part</h2><p class=related-work>Work of others.</article>") == "The title\nThe formula x=1 holds.\nPart\nWork of others."
+    assert main_text("<article><header><h1>Title</h1><p>by someone</p></header><p>Text.</p><ul><li><a href=x>One link</a><li><a href=x>Two links</a><li><a href=x>More links</a><li><a href=x>Last link</a></ul></article>") == "Title\nText."
+    assert main_text("<article><p>Text of it.</p><p><a href=x>A source</a></p><p class=ad>Buy this.</p></article><div>Words beside the article, more than ten of them, as in a teaser or so.</div>") == "Text of it.\nA source"
+
+
+def test_verdicts_come_from_words_and_links_too():
+    tree, used = fitted_tree(), set()
+
+    def walk(t):
+        if len(t) > 1:
+            used.add(t[0])
+            walk(t[2]), walk(t[3])
+
+    walk(tree)
+    assert {0, 1} <= used and used & {2, 4} and used & {3, 5}
+    long = "This is one of the long paragraphs of a page, with more than ten words in it."
+    page = f"<body><div><a href=a>Home</a></div><div><a href=b>News</a></div><h1>A title</h1><p>{long}</p><p>Short.</p><p>Short too.</p><p>Third one.</p><p>{long}</p><p>The end.</p><div><a href=c>More</a> <a href=d>Other</a></div></body>"
+    assert main_text(page).split("\n") == ["A title", long, "Short.", "Short too.", "Third one.", long, "The end."]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<iframe>", "<a '", "</x>", "<div>", "<!--", "<p class='ad'>", "<a \">", "<script>", "< "])
+def test_long_broken_pages_take_little_time(piece):
+    began = time.process_time()
+    main_text(piece * (1_000_000 // len(piece)))
+    main_text("<div>" * 50_000 + piece * 100_000)
+    assert time.process_time() - began < 8
+
+
+def plain_blocks(tokens):
+    """Main text of pages without an article, from a list of (tag, text, linked) by the definition of the features."""
+    sizes = [(len(t.split()), len(t.split()) if linked else 0, tag) for tag, t, linked in tokens]
+    rows = []
+    for k, (n, linked, tag) in enumerate(sizes):
+        sides = [sizes[max(0, k - 3) : k], sizes[k + 1 : k + 4]]
+        near = [x for side in sides for x in (max((m for m, _, _ in side), default=0), sum(li for _, li, _ in side) / max(1, sum(m for m, _, _ in side)))]
+        rows.append([n, linked / n, *near, tag == "h2", 0, 0, 0])
+    kept = apply_tree(fitted_tree(), np.array(rows, float)) > 0.5
+    return "\n".join(t for (_, t, _), k in zip(tokens, kept, strict=True) if k)
+
+
+def test_pages_without_article_against_the_definition():
+    rng = random.Random(12)
+    for _ in range(200):
+        tokens = [(rng.choice(["p", "div", "h2", "li"]), " ".join(["word"] * rng.choice([1, 2, 4, 8, 12, 30, 60])), rng.random() < 0.3) for _ in range(rng.randint(1, 15))]
+        page = "".join(f"<{tag}>" + (f"<a href=x>{t}</a>" if linked else t) + f"</{tag}>" for tag, t, linked in tokens)
+        assert main_text(f"<html><body>{page}</body></html>") == plain_blocks(tokens)
+
+
 def test_page_edges(spark):
     body = "<article><p>one<!-- <p>no --> two &lt;b&gt;<script>if (a < b) '</p>'</script><p>x < y<br>z&nbsp;w<div class=ad>buy this now</div><p>end</article><div class='comments'><article><p>a reader</p></article></div>"
     assert main_text(body) == "one two <b>\nx < y z w\nend"
