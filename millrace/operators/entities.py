@@ -41,12 +41,28 @@ def _after(prefix: str):
     return lambda x: F.when(F.startswith(x, F.lit(prefix)), F.substring(x, len(prefix) + 1, 10_000)).otherwise(F.lit(""))
 
 
+#: Characters of a piece.
+_PIECE = 4
+
+
+def _pieces(text: Column, n: int) -> Column:
+    """The different runs of n characters of a text; a shorter text is one run."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n))))
+
+
 def longest_match(questions: DataFrame, id_col: str, text: str, names: DataFrame, name: str, variants: str, payload: list[str]) -> DataFrame:
     """questions with the programme whose longest name has a variant in the text (ties by name); null where none has.
 
-    names is a table of programmes, small by nature: Spark broadcasts it for the containment join if its size allows.
+    A text can only hold a variant if it holds each piece of it of a few characters: texts and variants meet by an equal join on the
+    variant's piece that the fewest variants have, and only what meets is looked at.
     """
-    hits = questions.select(id_col, text).join(names.select(F.col(name).alias("_name"), F.explode(variants).alias("_v"), *payload), F.col(text).contains(F.col("_v")))
+    listed = names.select(F.col(name).alias("_name"), F.explode(variants).alias("_v"), *payload).where("_v <> ''")
+    pieces = listed.select("_v").distinct().select("_v", F.explode(_pieces(F.col("_v"), _PIECE)).alias("_p"))
+    anchors = pieces.join(pieces.groupBy("_p").agg(F.count("*").alias("_n")), "_p").groupBy("_v").agg(F.min(F.struct("_n", "_p"))["_p"].alias("_p"))
+    # A variant shorter than a piece is its own.
+    held = F.array_distinct(F.flatten(F.array(*[_pieces(F.col(text), k) for k in range(1, _PIECE + 1)])))
+    met = questions.select(id_col, F.explode(held).alias("_p")).join(anchors, "_p").select(id_col, "_v").distinct()
+    hits = questions.select(id_col, text).join(met, id_col).where(F.col(text).contains(F.col("_v"))).join(listed, "_v")
     best = hits.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(F.length("_name")), "_name", *payload))).where("_r = 1")
     return questions.join(best.select(id_col, F.col("_name").alias("matched"), *payload), id_col, "left")
 

@@ -1,9 +1,75 @@
-"""Exact similarity search: cosine, top-k overall, in a scope and for each group, score fusion and what follows from scores."""
+"""Similarity search: every query against every chunk, overall, in a scope and for each group; score fusion and what follows from scores.
+
+Queries are rows, as chunks are. Both are dealt into tiles, every tile of chunks meets every block of queries in a task of its own
+as one matrix product, and what leaves a task is the best of each query there. No side is broadcast or collected, however many
+queries or chunks there are. Scores are rounded to 9 places before they are ranked, so equal vectors tie.
+"""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Chunks and queries that meet in a task.
+TILE, BLOCK = 8192, 256
+
+
+def _matrix(vectors: pa.ChunkedArray, dims: int) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+
+
+def _meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int | None, id_col: str, group: str | None) -> DataFrame:
+    """The k best rows (all, if None) of each query, and of each group, within each set of equal keys: (query_id, id, group, score)."""
+    names = [id_col] + ([group] if group else [])
+
+    def of(chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        n, m = len(chunks), len(queries)
+        if not n or not m:
+            x, q, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        else:
+            dims = chunks["dims"][0].as_py()
+            a, b = _matrix(chunks["embedding"], dims), _matrix(queries["q"], dims)
+            norms = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)
+            scores = np.round(np.divide(b @ a.T, norms, out=np.zeros((m, n)), where=norms > 0), 9) + 0.0
+            if k is None:
+                q, x = np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
+            else:
+                ids = chunks[id_col].to_numpy()
+                of_group = np.unique(chunks[group].to_numpy(), return_inverse=True)[1] if group else np.zeros(n, int)
+                found = []
+                for row in scores:
+                    order = np.lexsort((ids, -row, of_group))
+                    starts = np.searchsorted(of_group[order], of_group[order])
+                    found.append(order[np.arange(n) - starts < k])
+                q, x = np.repeat(np.arange(m), [len(f) for f in found]), np.concatenate(found)
+            score = scores[q, x]
+        return pa.table({"query_id": queries["query_id"].take(pa.array(q))} | {c: chunks[c].take(pa.array(x)) for c in names} | {"score": score})
+
+    schema = T.StructType([asked.schema["query_id"], *[rows.schema[c] for c in names], T.StructField("score", T.DoubleType())])
+    keys = [*keys, "dims"]
+    rows = rows.where("embedding is not null").withColumn("dims", F.size("embedding")).select(*keys, *names, "embedding")
+    asked = asked.where("q is not null").withColumn("dims", F.size("q")).select(*keys, "query_id", "q")
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(of, schema)
+
+
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(max(1, n) - 1).cast("long"))
+
+
+def similarities(chunks: DataFrame, queries: DataFrame, k: int | None = None, group: str | None = None, id_col: str = "vec_id", tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """chunks (id, embedding), queries (query_id, q) -> (query_id, id, group, score): every pair, or of each tile the k best for each query (and group).
+
+    A pair whose vectors differ in length, or are null, is left out; a vector without length has score 0.
+    """
+    tiles, blocks = math.ceil(chunks.count() / tile), math.ceil(queries.count() / block)
+    rows = chunks.withColumn("tile", F.pmod(F.xxhash64(id_col), F.lit(max(1, tiles)))).withColumn("block", F.explode(_numbers(blocks)))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))).withColumn("tile", F.explode(_numbers(tiles)))
+    return _meet(rows, asked, ["tile", "block"], k, id_col, group)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,13 +88,10 @@ def vector(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values])
 
 
-def scored(chunks: DataFrame, query: Column, embedding: str = "embedding") -> DataFrame:
-    return chunks.withColumn("score", cosine(F.col(embedding), query))
-
-
-def top_k(chunks: DataFrame, query: Column, k: int = 8, id_col: str = "vec_id") -> DataFrame:
-    """The k best chunks, scores rounded to 4 places; equal scores by id. Each task keeps k rows only. Filter chunks first: a scope is exact."""
-    return scored(chunks, query).orderBy(F.desc("score"), id_col).limit(k).withColumn("score", F.round("score", 4))
+def top_k(chunks: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "vec_id") -> DataFrame:
+    """(query_id, id, rank, score): each query's k best chunks, scores rounded to 4 places; equal scores by id. Filter chunks first: a scope is exact."""
+    best = ranked_in(similarities(chunks, queries, k, id_col=id_col), "query_id", k, [F.desc("score"), id_col])
+    return best.withColumn("score", F.round("score", 4))
 
 
 def ranked_in(rows: DataFrame, group: str | list[str], k: int, order: list) -> DataFrame:
@@ -37,11 +100,11 @@ def ranked_in(rows: DataFrame, group: str | list[str], k: int, order: list) -> D
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def group_scores(chunks: DataFrame, query: Column, group: str, id_col: str, k: int = 5) -> DataFrame:
-    """(group, score, chunk_ids): the mean of the k best similarities of each group, and those chunks, best first."""
-    best = ranked_in(scored(chunks, query).select(group, id_col, "score"), group, k, [F.desc("score"), id_col])
+def group_scores(chunks: DataFrame, queries: DataFrame, group: str, id_col: str, k: int = 5) -> DataFrame:
+    """(query_id, group, score, chunk_ids): for each query the mean of the k best similarities of each group, and those chunks, best first."""
+    best = ranked_in(similarities(chunks, queries, k, group, id_col), ["query_id", group], k, [F.desc("score"), id_col])
     ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", id_col))), lambda x: x[id_col])
-    return best.groupBy(group).agg(F.avg("score").alias("score"), ids.alias("chunk_ids"))
+    return best.groupBy("query_id", group).agg(F.avg("score").alias("score"), ids.alias("chunk_ids"))
 
 
 def centroids(chunks: DataFrame, group: str, embedding: str = "embedding") -> DataFrame:
@@ -50,20 +113,20 @@ def centroids(chunks: DataFrame, group: str, embedding: str = "embedding") -> Da
     return parts.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("centroid"))
 
 
-def fuse(content: DataFrame, other: DataFrame, key: str, weight: float = 0.5) -> DataFrame:
-    """content (key, score, ...) with score = weight x its own + (1 - weight) x other's (key, other_score)."""
-    return content.join(other, key).withColumn("score", weight * F.col("score") + (1 - weight) * F.col("other_score")).drop("other_score")
+def fuse(content: DataFrame, other: DataFrame, keys: list[str], weight: float = 0.5) -> DataFrame:
+    """content (keys, score, ...) with score = weight x its own + (1 - weight) x other's (keys, other_score)."""
+    return content.join(other, keys).withColumn("score", weight * F.col("score") + (1 - weight) * F.col("other_score")).drop("other_score")
 
 
-def collapse(rows: DataFrame, name: str, order: list) -> DataFrame:
+def collapse(rows: DataFrame, name: str | list[str], order: list) -> DataFrame:
     """The first row of each name."""
     return ranked_in(rows, name, 1, order).drop("rank")
 
 
-def relevant(rows: DataFrame, margin: float = 0.04) -> DataFrame:
-    """Rows whose score is at most `margin` below the best: one aggregate, joined back as the one row it is."""
-    best = rows.agg(F.max("score").alias("_best"))
-    return rows.crossJoin(F.broadcast(best)).where(F.col("score") >= F.col("_best") - margin).drop("_best")
+def relevant(rows: DataFrame, by: str, margin: float = 0.04) -> DataFrame:
+    """Rows whose score is at most `margin` below the best of their query."""
+    best = rows.groupBy(by).agg(F.max("score").alias("_best"))
+    return rows.join(best, by).where(F.col("score") >= F.col("_best") - margin).drop("_best")
 
 
 def percent(score: Column, low: float = 0.35, span: float = 0.37) -> Column:
@@ -88,11 +151,42 @@ def evidence(rows: DataFrame, group: str, order: str, page: str, text: str, long
     return rows.groupBy(group).agg(F.substring(F.array_join(parts, "\n\n"), 1, longest).alias("evidence"))
 
 
-def nearest_lists(vectors: DataFrame, centres: list[list[float]], query: list[float], probes: int, k: int, id_col: str = "vec_id") -> DataFrame:
-    """Approximate top-k: vectors are assigned to the nearest of some centres, and only the lists of the query's nearest centres are ranked."""
-    import numpy as np
+def list_centres(vectors: DataFrame, lists: int = 16, id_col: str = "vec_id", sample_rows: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """Centres for an index, by spherical k-means on a sample of at most about `sample_rows` vectors, chosen by a hash of the id."""
+    n, whole = vectors.count(), 1 << 62
+    sample = vectors.where(F.pmod(F.xxhash64(id_col, F.lit("index")), F.lit(whole)) < min(whole, whole * sample_rows // max(1, n))).orderBy(id_col)
+    x = np.array([r.embedding for r in sample.select(id_col, "embedding").collect()], float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)] if len(x) else x
+    for _ in range(rounds if len(x) else 0):
+        own = (x @ centres.T).argmax(1)
+        centres = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return centres
+
+
+def _nearest(vector: str, centres: np.ndarray, n: int) -> Column:
+    """The numbers of a vector's n nearest centres."""
+
+    @F.arrow_udf("array<int>")
+    def of(vectors: pa.Array) -> pa.Array:
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+        return pa.array((-(x @ centres.T)).argsort(1, kind="stable")[:, :n].astype(np.int32).tolist(), pa.list_(pa.int32()))
+
+    return of(vector)
+
+
+def build_lists(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """The index: every vector with the list of its nearest centre. Write it partitioned by `list`, and a search reads the probed lists only."""
+    return vectors.withColumn("list", _nearest("embedding", centres, 1)[0])
+
 
-    near = np.argsort(-np.asarray(centres) @ np.asarray(query))[:probes].tolist()
-    scores = F.array(*[F.struct(dot(F.col("embedding"), vector(c)).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(centres)])
-    listed = vectors.withColumn("list", -F.array_max(scores)["i"])
-    return top_k(listed.where(F.col("list").isin(near)), vector(query), k, id_col)
+def search_lists(index: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int, k: int = 8, id_col: str = "vec_id", tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """Approximate top_k(): each query meets only the lists of its `probes` nearest centres, in tiles, however long a list is."""
+    blocks = math.ceil(queries.count() / block)
+    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    rows = index.join(sizes, "list").withColumn("tile", F.pmod(F.xxhash64(id_col), F.col("tiles").cast("long"))).withColumn("block", F.explode(_numbers(blocks)))
+    asked = queries.withColumn("list", F.explode(_nearest("q", centres, probes))).join(sizes, "list")
+    asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
+    best = ranked_in(_meet(rows, asked, ["list", "tile", "block"], k, id_col, None), "query_id", k, [F.desc("score"), id_col])
+    return best.withColumn("score", F.round("score", 4))

@@ -24,18 +24,18 @@ def normalise_title(s, d):
 
 
 def name_variants(s, d):
-    return courses(s, d).where("course_id < 200").select("course_id", F.explode(E.name_variants(F.col("name"), ["Small ", "Red ", "Hot "], F.array("brand"), 3)).alias("variant"))
+    return courses(s, d).select("course_id", F.explode(E.name_variants(F.col("name"), ["Small ", "Red ", "Hot "], F.array("brand"), 3)).alias("variant"))
 
 
 def _questions(s, d):
-    """A turn's text with a programme's name put behind it in every second turn."""
-    named = courses(s, d).where("course_id < 40").select(F.col("course_id").alias("_c"), "name")
-    talk = TALK(s, d).withColumn("q_id", F.col("conv_id") * 100 + F.col("turn")).withColumn("_c", F.when(F.col("q_id") % 2 == 0, F.col("q_id") % 40))
-    return talk.join(F.broadcast(named), "_c", "left").select("q_id", F.concat_ws(" ", F.substring("text", 1, 60), "name").alias("q"))
+    """A turn's text with a programme's name put behind it, in turns whose number is twice a programme's."""
+    named = courses(s, d).select((F.col("course_id") * 2).alias("q_id"), "name")
+    talk = TALK(s, d).withColumn("q_id", F.col("conv_id") * 100 + F.col("turn"))
+    return talk.join(named, "q_id", "left").select("q_id", F.concat_ws(" ", "text", "name").alias("q"))
 
 
-_QUESTIONS = COURSES + """, questions as (select conv_id * 100 + turn as q_id, concat_ws(' ', left(t.text, 60), n.name) as q from conversations t
-    left join (select course_id, name from courses where course_id < 40) n on (conv_id * 100 + turn) % 2 = 0 and n.course_id = (conv_id * 100 + turn) % 40)"""
+_QUESTIONS = COURSES + """, questions as (select conv_id * 100 + turn as q_id, concat_ws(' ', t.text, n.name) as q from conversations t
+    left join courses n on n.course_id * 2 = conv_id * 100 + turn)"""
 
 
 def longest_match_join(s, d):
@@ -49,11 +49,11 @@ def alias_match(s, d):
 
 
 def expand_query(s, d):
-    return TALK(s, d).select("conv_id", "turn", E.expand_query(F.substring("text", 1, 200), ALIASES).alias("expanded"))
+    return TALK(s, d).select("conv_id", "turn", E.expand_query(F.col("text"), ALIASES).alias("expanded"))
 
 
 def expand_only(s, d):
-    return TALK(s, d).select("conv_id", "turn", E.only_terms(F.substring("text", 1, 200), ALIASES).alias("terms"))
+    return TALK(s, d).select("conv_id", "turn", E.only_terms(F.col("text"), ALIASES).alias("terms"))
 
 
 def resolve_scope(s, d):
@@ -95,7 +95,7 @@ def decode_labels(s, d):
 
 def facts_lookup(s, d):
     facts = courses(s, d).groupBy("name").agg(F.min("fee").alias("fee"), F.max("level").alias("language"))
-    return _questions(s, d).select("q_id", E.resolve_scope(F.col("q"), NAMES, []).alias("name")).join(F.broadcast(facts), "name", "left").select("q_id", "name", F.format_number("fee", 0).alias("fee"), "language")
+    return _questions(s, d).select("q_id", E.resolve_scope(F.col("q"), NAMES, []).alias("name")).join(facts, "name", "left").select("q_id", "name", F.format_number("fee", 0).alias("fee"), "language")
 
 
 def rank_backmap(s, d):
@@ -114,7 +114,7 @@ def _present(alias: str, text: str) -> str:
 
 _FOUND = "list_filter([" + ", ".join(f"case when {_present(a, 'lower(q)')} and not contains(q, '{f}') then '{f}' end" for a, f in ALIASES) + "], lambda x: x is not null)"
 #: A term is left out if the earlier ones hold it.
-_TERMS = f"""with recursive t as (select conv_id, turn, left(text, 200) as q from conversations), f as (select conv_id, turn, q, {_FOUND} as found from t),
+_TERMS = f"""with recursive t as (select conv_id, turn, text as q from conversations), f as (select conv_id, turn, q, {_FOUND} as found from t),
     fold(conv_id, turn, q, found, i, got) as (select conv_id, turn, q, found, 1, '' from f
         union all select conv_id, turn, q, found, i + 1, case when contains(got, found[i]) then got when got = '' then found[i] else got || ' ' || found[i] end from fold where i <= len(found)),
     terms as (select conv_id, turn, q, got from fold where i = len(found) + 1)"""
@@ -143,7 +143,7 @@ _MENTIONS = _folded("talk", "conv_id, turn, role", [(f"case when role = 'user' t
 ORACLES = {
     "distinctive_name": COURSES + " select course_id, name from courses",
     "normalise_title": COURSES + " select course_id, replace(regexp_replace(regexp_replace(title, '\\s*\\([^)]*\\)\\s*', '', 'g'), 'Economy field|Programme of |Standard|Economy|field', '', 'g'), ' ', '') as key from courses",
-    "name_variants": COURSES + """, b as (select course_id, unnest([name, brand]) as v from courses where course_id < 200),
+    "name_variants": COURSES + """, b as (select course_id, unnest([name, brand]) as v from courses),
         a as (select course_id, v from b union select course_id, substr(v, length(p) + 1) from b, (values ('Small '), ('Red '), ('Hot ')) as x(p) where starts_with(v, p) and length(v) - length(p) > 3)
         select course_id, v as variant from a where v <> ''""",
     "longest_match_join": _QUESTIONS + """, n as (select name, min(fee) as fee from courses group by name),

@@ -19,7 +19,7 @@ TALK = lambda s, d: table(s, d, "conversations")
 
 def session_list(s, d):
     listed = C.sessions(TALK(s, d), "conv_id", "turn", "role", "text")
-    return C.page_of(listed, [F.desc("last_at"), "conv_id"], 10, 20).select("conv_id", "n_messages", "last_at", F.substring("first_question", 1, 50).alias("first_question"))
+    return C.page_of(listed, [F.desc("last_at"), "conv_id"], 10, 20).select("conv_id", "n_messages", "last_at", "first_question")
 
 
 def session_total(s, d):
@@ -76,8 +76,7 @@ def context_entity(s, d):
 
 def refined_questions(s, d):
     factual = F.col("text").rlike("^[A-M]")
-    turns = TALK(s, d).withColumn("text", F.substring("text", 1, 80))
-    return C.refined_question(turns, "conv_id", "turn", "role", "text", "the", factual).select("conv_id", "turn", "refined")
+    return C.refined_question(TALK(s, d), "conv_id", "turn", "role", "text", "the", factual).select("conv_id", "turn", "refined")
 
 
 def catalog_search(s, d):
@@ -105,8 +104,8 @@ def eval_tally(s, d):
 
 def match_eval(s, d):
     """Profiles are customers, programmes nations ranked by a score; the expected one is the customer's own."""
-    cases = table(s, d, "customer").where("c_custkey < 300").select("c_custkey", "c_nationkey")
-    scored = cases.join(F.broadcast(table(s, d, "nation")), F.pmod(F.col("n_nationkey") - F.col("c_nationkey"), F.lit(25)) < 6).withColumn("score", F.pmod(F.col("n_nationkey") * 37 + F.col("c_custkey") * 11, F.lit(101)).cast("int"))
+    cases = table(s, d, "customer").select("c_custkey", "c_nationkey")
+    scored = cases.join(table(s, d, "nation"), F.pmod(F.col("n_nationkey") - F.col("c_nationkey"), F.lit(25)) < 6).withColumn("score", F.pmod(F.col("n_nationkey") * 37 + F.col("c_custkey") * 11, F.lit(101)).cast("int"))
     top = ranked_in(scored, "c_custkey", 3, [F.desc("score"), "n_nationkey"])
     case = top.groupBy("c_custkey").agg(F.max(F.when((F.col("rank") == 1) & (F.col("n_nationkey") == F.col("c_nationkey")), 1).otherwise(0)).alias("top1"), F.max(F.when(F.col("n_nationkey") == F.col("c_nationkey"), 1).otherwise(0)).alias("top3"), (F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.max(F.when(F.col("rank") == 3, F.col("score")))).alias("gap"))
     return case.groupBy("top1").agg(F.count("*").alias("cases"), F.sum("top3").alias("top3"), F.round(F.avg("gap"), 6).alias("mean_gap"))
@@ -129,7 +128,7 @@ def match_query_text(s, d):
 
 
 def context_block(s, d):
-    rows = ranked_in(TALK(s, d), "conv_id", 3, ["turn"]).withColumn("line", F.format_string("[%s #%d] %s", "role", "turn", F.substring("text", 1, 40)))
+    rows = ranked_in(TALK(s, d), "conv_id", 3, ["turn"]).withColumn("line", F.format_string("[%s #%d] %s", "role", "turn", "text"))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("block"))
 
 
@@ -170,9 +169,9 @@ def validate_output(s, d):
 
 
 def _dense(s, d):
-    """Events on a faster clock, so that limits bite: seconds become hundredths of minutes."""
-    at = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 2000))
-    return table(s, d, "events").select((F.col("user_id") % 7).alias("user"), "event_id", at.alias("at"))
+    """Events on a faster clock, so that limits bite."""
+    at = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 20000))
+    return table(s, d, "events").select(F.col("user_id").alias("user"), "event_id", at.alias("at"))
 
 
 def rate_limit_log(s, d):
@@ -188,11 +187,11 @@ def rate_window_count(s, d):
 
 
 def _answers(s, d):
-    return TALK(s, d).where("role = 'user'").select(key_of(F.substring("text", 1, 12)).alias("question_key"), F.substring("text", 1, 30).alias("answer"), F.when(F.col("turn") % 3 == 0, "not_found").otherwise("answered").alias("status"), (F.col("conv_id") * 100 + F.col("turn")).alias("at"), (F.col("turn") == 0).alias("first_turn"))
+    return TALK(s, d).where("role = 'user'").select(key_of(F.col("text")).alias("question_key"), F.col("text").alias("answer"), F.when(F.col("turn") % 3 == 0, "not_found").otherwise("answered").alias("status"), (F.col("conv_id") * 100 + F.col("turn")).alias("at"), (F.col("turn") == 0).alias("first_turn"))
 
 
 def _cache(s, d):
-    return TALK(s, d).where("role = 'user' and conv_id % 2 = 0 and turn <= 1").groupBy(key_of(F.substring("text", 1, 12)).alias("question_key")).agg(F.min(F.substring("text", 1, 20)).alias("answer"), F.when(F.max("conv_id") % 4 == 0, "v1").otherwise("v2").alias("version"), F.count("*").alias("hits"))
+    return TALK(s, d).where("role = 'user' and turn <= 1").groupBy(key_of(F.col("text")).alias("question_key")).agg(F.min("text").alias("answer"), F.when(F.max("conv_id") % 4 == 0, "v1").otherwise("v2").alias("version"), F.count("*").alias("hits"))
 
 
 def cache_lookup(s, d):
@@ -221,10 +220,10 @@ _REPLIES = """with r as (select conv_id, turn, text, ['answered', 'answered', 'n
     f as (select *, contains(text, 'ing th') or contains(text, 'der ') as den, contains(text, 'est ') or contains(text, 'est.') as gue from r),
     c as (select *, case when status = 'small_talk' then 'small_talk' when status = 'out_of_scope' then 'refuse' when status = 'not_found' then 'not_found'
                          when den and (length(text) > 250 or gue) then 'hallucinated' when den then 'not_found' when gue then 'hallucinated' else 'answered' end as got from f)"""
-_KEY = "nullif(lower(regexp_replace(left(text, 12), '[\\s\\x{200B}?!.,;:\"''()\\[\\]{}\\-–—]+', '', 'g')), '')"
-_CACHED = f"""with a as (select {_KEY} as question_key, left(text, 30) as answer, case when turn % 3 = 0 then 'not_found' else 'answered' end as status, conv_id * 100 + turn as asked, turn = 0 as first_turn from conversations where role = 'user'),
-    c as (select {_KEY} as question_key, min(left(text, 20)) as answer, case when max(conv_id) % 4 = 0 then 'v1' else 'v2' end as version, count(*) as hits from conversations where role = 'user' and conv_id % 2 = 0 and turn <= 1 group by 1)"""
-_DENSE = "with recursive e as (select user_id % 7 as user, event_id, cast(floor(epoch_us(ts) / 2000) as bigint) as us from events)"
+_KEY = "case when length(text) <= 300 then nullif(lower(regexp_replace(text, '[\\s\\x{200B}?!.,;:\"''()\\[\\]{}\\-–—]+', '', 'g')), '') end"
+_CACHED = f"""with a as (select {_KEY} as question_key, text as answer, case when turn % 3 = 0 then 'not_found' else 'answered' end as status, conv_id * 100 + turn as asked, turn = 0 as first_turn from conversations where role = 'user'),
+    c as (select {_KEY} as question_key, min(text) as answer, case when max(conv_id) % 4 = 0 then 'v1' else 'v2' end as version, count(*) as hits from conversations where role = 'user' and turn <= 1 group by 1)"""
+_DENSE = "with recursive e as (select user_id as user, event_id, cast(floor(epoch_us(ts) / 20000) as bigint) as us from events)"
 
 
 def _limiter(limits) -> str:
@@ -238,7 +237,7 @@ def _limiter(limits) -> str:
 
 
 ORACLES = {
-    "session_list": """select conv_id, count(*) as n_messages, max(turn) as last_at, left(arg_min(text, turn) filter (where role = 'user'), 50) as first_question
+    "session_list": """select conv_id, count(*) as n_messages, max(turn) as last_at, arg_min(text, turn) filter (where role = 'user') as first_question
         from conversations group by conv_id order by last_at desc, conv_id limit 20 offset 10""",
     "session_total": "select count(distinct conv_id) as total, count(distinct conv_id) > 30 as has_more from conversations",
     "corpus_version": "select count(*) || '-' || max(doc_id) || '-k25-v3' as version from documents",
@@ -253,14 +252,14 @@ ORACLES = {
     "dedupe_first": "select l_partkey, l_suppkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_partkey, l_suppkey order by l_quantity desc, l_orderkey, l_linenumber) as rn from lineitem) where rn = 1",
     "course_page": COURSES + " select course_id, title from courses order by course_id limit 50 offset 100",
     "context_entity": _mentions() + f", l as (select conv_id, arg_max(found, turn) as f from s{len(_ORDER)} where len(found) > 0 group by conv_id) select conv_id, case when len(f) = 1 then f[1] end as entity from l",
-    "refined_questions": """with t as (select conv_id, turn, role, left(text, 80) as text from conversations),
+    "refined_questions": """with t as (select conv_id, turn, role, text from conversations),
         w as (select *, lag(text) over o as pt, lag(role) over o as pr, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as bu from t window o as (partition by conv_id order by turn))
         select conv_id, turn, case when role = 'user' and pr = 'assistant' and contains(pt, 'the') and not regexp_matches(text, '^[A-M]') and bu is not null then bu || ' ' || text else text end as refined from w""",
     "catalog_search": COURSES + " select course_id, title from courses where contains(lower(concat_ws(' ', title, level, brand)), 'blue g')",
     "known_names": COURSES + " select distinct name from courses where length(name) >= 9 order by name",
     "reply_class": _REPLIES + " select conv_id, turn, got from c",
     "eval_tally": _REPLIES + " select conv_id % 5 as grp, cast(sum(case when status = got then 1 else 0 end) as bigint) as hits, count(*) as n, cast(sum(case when got = 'hallucinated' then 1 else 0 end) as bigint) as hallucinated from c group by 1",
-    "match_eval": """with sc as (select c_custkey, c_nationkey, n_nationkey, (n_nationkey * 37 + c_custkey * 11) % 101 as score from customer join nation on ((n_nationkey - c_nationkey) % 25 + 25) % 25 < 6 where c_custkey < 300),
+    "match_eval": """with sc as (select c_custkey, c_nationkey, n_nationkey, (n_nationkey * 37 + c_custkey * 11) % 101 as score from customer join nation on ((n_nationkey - c_nationkey) % 25 + 25) % 25 < 6),
         r as (select *, row_number() over (partition by c_custkey order by score desc, n_nationkey) as rank from sc),
         k as (select c_custkey, max(case when rank = 1 and n_nationkey = c_nationkey then 1 else 0 end) as top1, max(case when n_nationkey = c_nationkey then 1 else 0 end) as top3, max(score) filter (where rank = 1) - max(score) filter (where rank = 3) as gap from r where rank <= 3 group by c_custkey)
         select top1, count(*) as cases, cast(sum(top3) as bigint) as top3, round(avg(gap), 6) as mean_gap from k group by top1""",
@@ -268,7 +267,7 @@ ORACLES = {
     "profile_query_text": """select c_custkey, coalesce(nullif(concat_ws(' | ', case when c_mktsegment <> 'BUILDING' then 'segment: ' || c_mktsegment end, case when c_acctbal > 5000 then 'balance: high' end, case when c_custkey % 3 = 0 then 'likes: a, ' || c_name end), ''), 'any programme') as q from customer""",
     "match_query_text": """select c_custkey, concat_ws(' ', case when c_nationkey > 12 then 'enjoys ' || c_mktsegment || ', ' || c_name end, case when c_custkey % 4 > 0 then lower(c_mktsegment) else 'please find' end) as q from customer""",
     "context_block": """with r as (select *, row_number() over (partition by conv_id order by turn) as rn from conversations)
-        select conv_id, string_agg('[' || role || ' #' || turn || '] ' || left(text, 40), chr(10) order by rn) as block from r where rn <= 3 group by conv_id""",
+        select conv_id, string_agg('[' || role || ' #' || turn || '] ' || text, chr(10) order by rn) as block from r where rn <= 3 group by conv_id""",
     "fee_text": COURSES + " select course_id, format('{:,}', fee) || ' per term' || case when course_id % 2 = 0 then format(', weekend {:,}', fee + 1500) else '' end || case when fee >= 20000 then ' (special programme)' else '' end as fee from courses",
     "small_talk": "select event_id, ['greeting', null, 'thanks', 'bye', 'identity', null][event_id % 6 + 1] as kind from events",
     "scope_gate": """with g as (select event_id, value / 100 as best, user_id % 3 = 0 as named, case when user_id % 5 > 0 then user_id % 2 = 0 end as in_scope, case when user_id % 7 > 0 then event_id % 4 > 0 end as answerable from events)

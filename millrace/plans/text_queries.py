@@ -18,7 +18,7 @@ def page_split(s, d):
 
 def manifest_join(s, d):
     files = DOCS(s, d).select("doc_id", F.concat(F.lit("file-"), F.col("doc_id").cast("string")).alias("stem"))
-    titles = table(s, d, "benchmark").select(F.concat(F.lit("file-"), F.col("item_id").cast("string")).alias("stem"), F.substring("text", 1, 30).alias("title"))
+    titles = table(s, d, "benchmark").select(F.concat(F.lit("file-"), F.col("item_id").cast("string")).alias("stem"), F.col("text").alias("title"))
     return I.with_manifest(files, "stem", titles, "stem", "title")
 
 
@@ -44,13 +44,13 @@ def ingest_anti(s, d):
 
 
 def get_or_create(s, d):
-    existing = table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source"), F.col("s_suppkey").cast("string").alias("course_id"))
+    existing = table(s, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source"), F.col("s_suppkey").cast("string").alias("course_id"))
     return I.get_or_create(DOCS(s, d), existing, "source", "course_id", F.substring(F.sha2("source", 256), 1, 12))
 
 
 def upsert_docs(s, d):
-    stored = _done(s, d).where("doc_id % 3 <> 0").withColumn("title", F.lit("old"))
-    incoming = DOCS(s, d).where("doc_id % 2 = 0").select("doc_id", F.lit("new").alias("title"))
+    stored = _done(s, d).withColumn("title", F.lit("old"))  # a label says that a document is stored, and how that went
+    incoming = DOCS(s, d).select("doc_id", F.lit("new").alias("title"))
     return I.upsert_unless_done(stored, incoming, "doc_id", ["title"])
 
 
@@ -125,14 +125,14 @@ _LINES = PAGES + """, split as (select doc_id, page_number, regexp_replace(page_
      found as (select rep.doc_id, line, n_pages from rep join n using (doc_id) where n_pages >= greatest(2, floor(n_pages_all * 0.3::double)))"""
 ORACLES = {
     "page_split": PAGES + " select * from pages_of",
-    "manifest_join": "select doc_id, 'file-' || doc_id as stem, coalesce(left(b.text, 30), 'file-' || doc_id) as title from documents d left join benchmark b on b.item_id = d.doc_id",
+    "manifest_join": "select doc_id, 'file-' || doc_id as stem, coalesce(b.text, 'file-' || doc_id) as title from documents d left join benchmark b on b.item_id = d.doc_id",
     "sparse_pages": "select doc_id, length(text) as n from documents join labels using (doc_id) where length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 200 and toxic > 0",
     "overlay_text": """with o as (select d.doc_id, case when length(trim(b.text)) > 0 and not contains(b.text, 'the the') then d.text || chr(10) || b.text else d.text end as t
         from documents d left join benchmark b on b.item_id = d.doc_id) select doc_id, sha256(t) as sha, length(t) as n from o""",
     "ingest_anti": _HASHED + " select doc_id, sha256 from h where sha256 not in (select sha256 from done where status = 'done')",
-    "get_or_create": """with w as (select distinct source from documents), e as (select 'src' || s_suppkey as source, cast(s_suppkey as varchar) as course_id from supplier where s_suppkey % 2 = 0)
+    "get_or_create": """with w as (select distinct source from documents), e as (select 'src' || s_suppkey as source, cast(s_suppkey as varchar) as course_id from supplier where s_acctbal > 0)
         select source, coalesce(course_id, left(sha256(source), 12)) as course_id, course_id is null as created from w left join e using (source)""",
-    "upsert_docs": _HASHED + """, st as (select doc_id, status, 'old' as title from done where doc_id % 3 <> 0), inc as (select doc_id, 'new' as title from documents where doc_id % 2 = 0)
+    "upsert_docs": _HASHED + """, st as (select doc_id, status, 'old' as title from done), inc as (select doc_id, 'new' as title from documents)
         select coalesce(st.doc_id, inc.doc_id) as doc_id, case when inc.doc_id is null or status = 'done' then st.title else inc.title end as title,
                case when inc.doc_id is null or status = 'done' then status else 'processing' end as status,
                case when status is null then 'insert' when inc.doc_id is null or status = 'done' then 'keep' else 'update' end as action

@@ -11,48 +11,48 @@ from millrace.plans.tables import COURSES, PAGES, courses, pages, table
 EMB = lambda s, d: table(s, d, "embeddings")
 
 
-def _query(s, d, vec_id: int = 0):
-    """The embedding of one chunk stands for an embedded question: one row."""
-    return list(EMB(s, d).where(F.col("vec_id") == vec_id).first().embedding)
+def asked(s, d):
+    """The queries: every row whose id is divisible by 100, its embedding standing for an embedded question."""
+    return EMB(s, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def _titled(s, d):
-    return courses(s, d).where("course_id < 10").select(F.col("course_id").cast("int").alias("label"), "title", "name", "level", "year", "is_active")
+    return courses(s, d).select(F.col("course_id").cast("int").alias("label"), "title", "name", "level", "year", "is_active")
 
 
 def cosine_pairs(s, d):
-    some = EMB(s, d).where("vec_id < 20").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    all_ = EMB(s, d).select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    return all_.join(F.broadcast(some), (F.col("a") + F.col("b")) % 20 == 0).select("a", "b", F.round(V.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return V.similarities(EMB(s, d), asked(s, d)).select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.round("score", 6).alias("similarity"))
 
 
 def vector_topk(s, d):
-    active = EMB(s, d).join(F.broadcast(_titled(s, d).where("is_active")), "label")
-    return V.top_k(active, V.vector(_query(s, d)), 8).select("vec_id", "label", "title", "score")
+    active = EMB(s, d).join(_titled(s, d).where("is_active").select("label"), "label", "left_semi")
+    found = V.top_k(active, asked(s, d)).join(EMB(s, d).select("vec_id", "label"), "vec_id")
+    return found.join(_titled(s, d), "label").select("query_id", "vec_id", "label", "title", "score")
 
 
 def vector_topk_scoped(s, d):
-    return V.top_k(EMB(s, d).where(F.col("label").isin(2, 5)), V.vector(_query(s, d)), 8).select("vec_id", "label", "score")
+    scope = EMB(s, d).where(F.col("label").isin(2, 5))
+    return V.top_k(scope, asked(s, d)).join(scope.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "score")
 
 
-def _groups(s, d):
-    return V.group_scores(EMB(s, d), V.vector(_query(s, d)), "label", "vec_id")
+def _groups(s, d, chunks=None):
+    return V.group_scores(EMB(s, d) if chunks is None else chunks, asked(s, d), "label", "vec_id")
 
 
 def group_topk_score(s, d):
-    eligible = _titled(s, d).where("is_active and title not like '%Promo%'")
-    rows = _groups(s, d).join(F.broadcast(eligible), "label")
-    return rows.select("label", "title", F.round("score", 6).alias("score"), F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
+    """Only chunks of programmes that may be recommended are compared."""
+    eligible = _titled(s, d).where("is_active and title not like '%Promo%'").select("label", "title")
+    rows = _groups(s, d, EMB(s, d).join(eligible, "label", "left_semi")).join(eligible, "label")
+    return rows.select("query_id", "label", "title", F.round("score", 6).alias("score"), F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
 
 
 def _fused(s, d):
-    profile = V.vector(_query(s, d, 7))
-    names = V.centroids(EMB(s, d), "label").select("label", V.cosine(F.col("centroid"), profile).alias("other_score"))
-    return V.fuse(_groups(s, d), names, "label")
+    names = V.similarities(V.centroids(EMB(s, d), "label").withColumnRenamed("centroid", "embedding"), asked(s, d), id_col="label")
+    return V.fuse(_groups(s, d), names.withColumnRenamed("score", "other_score"), ["query_id", "label"])
 
 
 def score_fusion(s, d):
-    return _fused(s, d).orderBy(F.desc("score"), "label").limit(5).select("label", F.round("score", 6).alias("score"))
+    return V.ranked_in(_fused(s, d), "query_id", 5, [F.desc(F.round("score", 9)), "label"]).select("query_id", "label", F.round("score", 6).alias("score"))
 
 
 def offered_semi(s, d):
@@ -60,28 +60,28 @@ def offered_semi(s, d):
 
 
 def _ranked(s, d):
-    """A score for each programme of the catalogue: those of the ten groups, moved by the programme's number."""
-    base = _fused(s, d).select("label", "score")
-    return courses(s, d).where("is_active").withColumn("label", (F.col("course_id") % 10).cast("int")).join(F.broadcast(base), "label").withColumn(
+    """A score for each query and programme of the catalogue: those of the ten groups, moved by the programme's number."""
+    base = _fused(s, d).select("query_id", "label", "score")
+    return courses(s, d).where("is_active").withColumn("label", (F.col("course_id") % 10).cast("int")).join(base, "label").withColumn(
         "score", F.round(F.lit(0.35) + F.col("score") / 2 + (F.col("course_id") % 97) / 500, 6)
     )
 
 
 def edition_best_score(s, d):
-    return V.collapse(_ranked(s, d), "name", [F.desc("score"), "course_id"]).select("name", "course_id", "score")
+    return V.collapse(_ranked(s, d), ["query_id", "name"], [F.desc("score"), "course_id"]).select("query_id", "name", "course_id", "score")
 
 
 def relevance_margin(s, d):
-    return V.relevant(_ranked(s, d)).select("course_id", "score")
+    return V.relevant(_ranked(s, d), "query_id").select("query_id", "course_id", "score")
 
 
 def match_percent(s, d):
-    return _ranked(s, d).select("course_id", V.percent(F.col("score")).alias("percent"))
+    return _ranked(s, d).select("query_id", "course_id", V.percent(F.col("score")).alias("percent"))
 
 
 def match_confidence(s, d):
-    ranked = V.ranked_in(_ranked(s, d).withColumn("percent", V.percent(F.col("score"))), "name", 5, [F.desc("score"), "course_id"])
-    return V.confidence(ranked, ["name"])
+    ranked = V.ranked_in(_ranked(s, d).withColumn("percent", V.percent(F.col("score"))), ["query_id", "name"], 5, [F.desc("score"), "course_id"])
+    return V.confidence(ranked, ["query_id", "name"])
 
 
 def _chunks(s, d):
@@ -99,8 +99,8 @@ def core_rows(s, d):
 
 
 def newest_core(s, d):
-    newest = V.collapse(courses(s, d).where("course_id < 50").withColumn("label", F.col("course_id").cast("int")), "name", [F.desc("year"), "course_id"])
-    return _core(s, d).join(F.broadcast(newest.select("label", "name", "year")), "label").select("name", "year", "doc_id", "page_number")
+    newest = V.collapse(courses(s, d).withColumn("label", F.col("course_id").cast("int")), "name", [F.desc("year"), "course_id"])
+    return _core(s, d).join(newest.select("label", "name", "year"), "label").select("name", "year", "doc_id", "page_number")
 
 
 def evidence_text(s, d):
@@ -110,93 +110,112 @@ def evidence_text(s, d):
 def multi_scope_topk(s, d):
     scopes = [3, 1, 6]
     per = -(-8 // len(scopes))
-    rows = V.scored(EMB(s, d).where(F.col("label").isin(scopes)), V.vector(_query(s, d)))
-    found = V.ranked_in(rows.select("label", "vec_id", "score"), "label", per, [F.desc("score"), "vec_id"])
-    core = V.ranked_in(rows.select("label", "vec_id", "score"), "label", 1, ["vec_id"]).withColumn("rank", F.lit(0))
+    scope = EMB(s, d).where(F.col("label").isin(scopes))
+    found = V.ranked_in(V.similarities(scope, asked(s, d), per, "label"), ["query_id", "label"], per, [F.desc("score"), "vec_id"])
+    first = V.ranked_in(scope.select("label", "vec_id", "embedding"), "label", 1, ["vec_id"]).drop("rank")
+    core = V.similarities(first, asked(s, d), group="label").withColumn("rank", F.lit(0))
     order = F.array_position(F.array(*[F.lit(x) for x in scopes]), F.col("label")).cast("int").alias("scope")
-    return V.collapse(core.unionByName(found), "vec_id", ["rank"]).select(order, "label", "vec_id", F.round("score", 4).alias("score"))
+    return V.collapse(core.unionByName(found), ["query_id", "vec_id"], ["rank"]).select("query_id", order, "label", "vec_id", F.round("score", 4).alias("score"))
+
+
+def _variants(s, d, n: int, stride: int):
+    """n questions for each query: the embeddings of the rows `stride` apart from its own on."""
+    near = asked(s, d).select("query_id", F.posexplode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos", "variant")).withColumn("vec_id", F.col("query_id") + F.col("variant") * stride)
+    return near.join(EMB(s, d), "vec_id").select(F.struct("query_id", "variant").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def best_variant(s, d):
     """Of three variants of a question the one whose best hit scores most; of equals the earlier."""
-    tries = [V.top_k(EMB(s, d), V.vector(_query(s, d, 500 - 1 - k * 7)).alias("q"), 3).withColumn("variant", F.lit(k)) for k in range(3)]
-    rows = tries[0].unionByName(tries[1]).unionByName(tries[2])
-    best = rows.groupBy("variant").agg(F.max("score").alias("best"))
-    return rows.join(F.broadcast(best.orderBy(F.desc("best"), "variant").limit(1)), "variant").select("variant", "vec_id", "score")
+    rows = V.top_k(EMB(s, d), _variants(s, d, 3, 7), 3).select("query_id.*", "vec_id", "score")
+    best = rows.groupBy("query_id", "variant").agg(F.max("score").alias("best"))
+    best = V.collapse(best, "query_id", [F.desc("best"), "variant"]).select("query_id", "variant")
+    return rows.join(best, ["query_id", "variant"]).select("query_id", "variant", "vec_id", "score")
 
 
 def _matrix(s, d):
-    """(label, dimension, cell): the ids of the 4 best chunks of each of 3 programmes for each of 4 dimension questions."""
-    asked = F.array(*[F.struct(F.lit(f"d{k}").alias("dimension"), V.vector(_query(s, d, 11 * k + 3)).alias("q")) for k in range(4)])
-    cells = EMB(s, d).where(F.col("label").isin(1, 4, 8)).withColumn("ask", F.explode(asked)).select("label", "vec_id", "ask.dimension", V.cosine(F.col("embedding"), F.col("ask.q")).alias("score"))
-    best = V.ranked_in(cells, ["label", "dimension"], 4, [F.desc("score"), "vec_id"])
-    return best.groupBy("label", "dimension").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string")), ",").alias("cell"))
+    """(query_id, label, dimension, cell): the ids of the 4 best chunks of each of 3 programmes for each of a query's 4 dimension questions."""
+    cells = V.similarities(EMB(s, d).where(F.col("label").isin(1, 4, 8)), _variants(s, d, 4, 11), 4, "label").select("query_id.*", "label", "vec_id", "score").withColumn("dimension", F.concat(F.lit("d"), "variant"))
+    best = V.ranked_in(cells, ["query_id", "label", "dimension"], 4, [F.desc("score"), "vec_id"])
+    return best.groupBy("query_id", "label", "dimension").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string")), ",").alias("cell"))
 
 
 def compare_matrix(s, d):
-    return _matrix(s, d).groupBy("label").pivot("dimension", ["d0", "d1", "d2", "d3"]).agg(F.first("cell"))
+    return _matrix(s, d).groupBy("query_id", "label").pivot("dimension", ["d0", "d1", "d2", "d3"]).agg(F.first("cell"))
 
 
 def compare_fee_row(s, d):
     fees = courses(s, d).where("course_id in (1, 8)").select(F.col("course_id").cast("int").alias("label"), F.format_number("fee", 0).alias("cell"))
-    fee = EMB(s, d).where(F.col("label").isin(1, 4, 8)).select("label").distinct().join(F.broadcast(fees), "label", "left").select("label", F.lit(0).alias("ord"), F.lit("fee").alias("dimension"), F.coalesce("cell", F.lit("not stated")).alias("cell"))
-    return fee.unionByName(_matrix(s, d).select("label", (F.substring("dimension", 2, 1).cast("int") + 1).alias("ord"), "dimension", "cell"))
+    cells = _matrix(s, d)
+    fee = cells.select("query_id", "label").distinct().join(fees, "label", "left").select("query_id", "label", F.lit(0).alias("ord"), F.lit("fee").alias("dimension"), F.coalesce("cell", F.lit("not stated")).alias("cell"))
+    return fee.unionByName(cells.select("query_id", "label", (F.substring("dimension", 2, 1).cast("int") + 1).alias("ord"), "dimension", "cell"))
+
+
+#: Lists of the index, and how many of them a query meets.
+LISTS, PROBES = 16, 12
 
 
 def ivf_topk(s, d):
-    """Approximate: 10 lists around the groups' mean vectors, the 3 nearest searched. tests hold its recall against the exact search."""
-    means = [list(r.centroid) for r in V.centroids(EMB(s, d), "label").orderBy("label").collect()]  # ten rows
-    return V.nearest_lists(EMB(s, d), means, _query(s, d), 3, 8).select("vec_id", "score")
+    """Approximate. tests hold its recall against the exact search."""
+    centres = V.list_centres(EMB(s, d), LISTS)
+    return V.search_lists(V.build_lists(EMB(s, d), centres), asked(s, d), centres, PROBES).select("query_id", "vec_id", "score")
 
 
 QUERIES = {f.__name__: f for f in (cosine_pairs, vector_topk, vector_topk_scoped, group_topk_score, score_fusion, offered_semi, edition_best_score, relevance_margin, match_percent, match_confidence, core_rows, newest_core, evidence_text, multi_scope_topk, best_variant, compare_matrix, compare_fee_row, ivf_topk)}
 
 _DOT = "list_inner_product(cast({0} as double[]), cast({1} as double[]))"
 _COS = f"({_DOT.format('{0}', '{1}')} / (sqrt({_DOT.format('{0}', '{0}')}) * sqrt({_DOT.format('{1}', '{1}')})))"
-_Q = lambda i: f"(select embedding from embeddings where vec_id = {i})"
-_TITLED = COURSES + ", titled as (select cast(course_id as int) as label, title, name, level, year, is_active from courses where course_id < 10)"
-_GROUPS = f""", sc as (select label, vec_id, {_COS.format("embedding", _Q(0))} as score from embeddings),
-    rk as (select *, row_number() over (partition by label order by score desc, vec_id) as rn from sc),
-    grp as (select label, avg(score) as score, string_agg(cast(vec_id as varchar), ',' order by rn) as chunk_ids from rk where rn <= 5 group by label)"""
-_FUSED = _GROUPS + f""", el as (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as k from embeddings),
+_SCORES = f"sc as (select q.vec_id as query_id, e.label, e.vec_id, round({_COS.format('e.embedding', 'q.embedding')}, 9) as score from embeddings e, embeddings q where q.vec_id % 100 = 0)"
+_TITLED = COURSES + ", titled as (select cast(course_id as int) as label, title, name, level, year, is_active from courses)"
+
+
+def _grouped(scores: str = "sc") -> str:
+    return f""", rk as (select *, row_number() over (partition by query_id, label order by score desc, vec_id) as rn from {scores}),
+    grp as (select query_id, label, avg(score) as score, string_agg(cast(vec_id as varchar), ',' order by rn) as chunk_ids from rk where rn <= 5 group by query_id, label)"""
+
+
+_FUSED = ", " + _SCORES + _grouped() + f""", el as (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as k from embeddings),
     mean as (select label, list(m order by k) as centroid from (select label, k, avg(cast(x as double)) as m from el group by label, k) group by label),
-    fused as (select label, 0.5::double * grp.score + 0.5::double * {_COS.format("centroid", _Q(7))} as score from grp join mean using (label))"""
-_RANKED = COURSES + _FUSED + """, ranked as (select c.*, c.course_id % 10 as label, round(0.35::double + f.score / 2 + (c.course_id % 97) / 500, 6) as score from courses c join fused f on f.label = c.course_id % 10 where is_active),
+    fused as (select grp.query_id, grp.label, 0.5::double * grp.score + 0.5::double * round({_COS.format("centroid", "q.embedding")}, 9) as score from grp join mean using (label) join embeddings q on q.vec_id = grp.query_id)"""
+_RANKED = COURSES + _FUSED + """, ranked as (select f.query_id, c.*, c.course_id % 10 as label, round(0.35::double + f.score / 2 + (c.course_id % 97) / 500, 6) as score from courses c join fused f on f.label = c.course_id % 10 where is_active),
     pct as (select *, cast(greatest(0, least(100, round_even((score - 0.35::double) / 0.37::double * 100, 0))) as int) as percent from ranked)"""
 _CORE = PAGES + """, ch as (select *, cast(doc_id % 50 as int) as label from pages_of),
     w as (select *, list_filter(regexp_split_to_array(page_text, '\\s+'), lambda y: y <> '') as ws from ch where contains(page_text, 'the ') or contains(page_text, 'que ')),
     nc as (select * from w where not (len(regexp_extract_all(page_text, '[.…]{5,}')) >= 3 or len(list_filter(ws, lambda y: regexp_matches(trim(y, '.…'), '^[0-9]+$'))) / greatest(len(ws), 1) >= 0.33)),
     core as (select * from (select label, doc_id, page_number, page_text, cast(row_number() over (partition by label order by page_number, doc_id) as int) as rank from nc) where rank <= 2)"""
-_CELLS = ", ".join(f"('d{k}', {11 * k + 3})" for k in range(4))
-_MATRIX = f"""with asked(dimension, v) as (values {_CELLS}), q as (select dimension, embedding as q from asked join embeddings on vec_id = v),
-    c as (select label, vec_id, dimension, {_COS.format("embedding", "q")} as score from embeddings cross join q where label in (1, 4, 8)),
-    r as (select *, row_number() over (partition by label, dimension order by score desc, vec_id) as rn from c),
-    cell as (select label, dimension, string_agg(cast(vec_id as varchar), ',' order by rn) as cell from r where rn <= 4 group by label, dimension)"""
-_TOP = lambda i, k: f"select vec_id, {_COS.format('embedding', _Q(i))} as s from embeddings order by s desc, vec_id limit {k}"
+def _asked(n: int, stride: int) -> str:
+    return f"asked as (select a.vec_id as query_id, v.variant, e.embedding as q from embeddings a, (select unnest(range({n})) as variant) v, embeddings e where a.vec_id % 100 = 0 and e.vec_id = a.vec_id + {stride} * v.variant)"
+
+
+_MATRIX = "with " + _asked(4, 11) + f""", c as (select query_id, label, vec_id, 'd' || variant as dimension, round({_COS.format("e.embedding", "q")}, 9) as score from embeddings e, asked where label in (1, 4, 8)),
+    r as (select *, row_number() over (partition by query_id, label, dimension order by score desc, vec_id) as rn from c),
+    cell as (select query_id, label, dimension, string_agg(cast(vec_id as varchar), ',' order by rn) as cell from r where rn <= 4 group by query_id, label, dimension)"""
 ORACLES = {
-    "cosine_pairs": f"select a.vec_id as a, b.vec_id as b, round({_COS.format('a.embedding', 'b.embedding')}, 6) as similarity from embeddings a join embeddings b on (a.vec_id + b.vec_id) % 20 = 0 where a.vec_id < 20",
-    "vector_topk": _TITLED + f" select vec_id, label, title, round({_COS.format('embedding', _Q(0))}, 4) as score from embeddings join titled using (label) where is_active order by {_COS.format('embedding', _Q(0))} desc, vec_id limit 8",
-    "vector_topk_scoped": f"select vec_id, label, round({_COS.format('embedding', _Q(0))}, 4) as score from embeddings where label in (2, 5) order by {_COS.format('embedding', _Q(0))} desc, vec_id limit 8",
-    "group_topk_score": _TITLED + _GROUPS + " select label, title, round(score, 6) as score, chunk_ids from grp join titled using (label) where is_active and title not like '%Promo%'",
-    "score_fusion": "with dummy as (select 1)" + _FUSED + " select label, round(score, 6) as score from fused order by fused.score desc, label limit 5",
+    "cosine_pairs": "with " + _SCORES + " select query_id as a, vec_id as b, round(score, 6) as similarity from sc",
+    "vector_topk": _TITLED + ", " + _SCORES + """, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rn from sc join titled using (label) where is_active)
+        select query_id, vec_id, label, title, round(score, 4) as score from r where rn <= 8""",
+    "vector_topk_scoped": "with " + _SCORES + """, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rn from sc where label in (2, 5))
+        select query_id, vec_id, label, round(score, 4) as score from r where rn <= 8""",
+    "group_topk_score": _TITLED + ", " + _SCORES + """, may as (select sc.* from sc join titled using (label) where is_active and title not like '%Promo%')""" + _grouped("may") + " select query_id, label, title, round(score, 6) as score, chunk_ids from grp join titled using (label)",
+    "score_fusion": "with dummy as (select 1)" + _FUSED + ", o as (select *, row_number() over (partition by query_id order by round(score, 9) desc, label) as n from fused) select query_id, label, round(score, 6) as score from o where n <= 5",
     "offered_semi": _TITLED + " select label, name from titled where name in (select name from courses where brand = 'Brand#2')",
-    "edition_best_score": _RANKED + " select name, course_id, score from (select *, row_number() over (partition by name order by score desc, course_id) as rn from ranked) where rn = 1",
-    "relevance_margin": _RANKED + " select course_id, score from ranked where score >= (select max(score) from ranked) - 0.04::double",
-    "match_percent": _RANKED + " select course_id, percent from pct",
-    "match_confidence": _RANKED + """, o as (select *, row_number() over (partition by name order by score desc, course_id) as rn from pct)
-        select name, case when count(*) >= 3 and max(percent) filter (where rn = 1) - max(percent) filter (where rn = 3) >= 10 then 'high' else 'low' end as confidence from o where rn <= 5 group by name""",
+    "edition_best_score": _RANKED + " select query_id, name, course_id, score from (select *, row_number() over (partition by query_id, name order by score desc, course_id) as rn from ranked) where rn = 1",
+    "relevance_margin": _RANKED + " select query_id, course_id, score from (select *, max(score) over (partition by query_id) as best from ranked) where score >= best - 0.04::double",
+    "match_percent": _RANKED + " select query_id, course_id, percent from pct",
+    "match_confidence": _RANKED + """, o as (select *, row_number() over (partition by query_id, name order by score desc, course_id) as rn from pct)
+        select query_id, name, case when count(*) >= 3 and max(percent) filter (where rn = 1) - max(percent) filter (where rn = 3) >= 10 then 'high' else 'low' end as confidence from o where rn <= 5 group by query_id, name""",
     "core_rows": _CORE + " select label, doc_id, page_number, rank from core",
-    "newest_core": _CORE + ", " + COURSES.removeprefix("with ") + """, nw as (select cast(course_id as int) as label, name, year, row_number() over (partition by name order by year desc, course_id) as rn from courses where course_id < 50)
+    "newest_core": _CORE + ", " + COURSES.removeprefix("with ") + """, nw as (select cast(course_id as int) as label, name, year, row_number() over (partition by name order by year desc, course_id) as rn from courses)
         select name, nw.year, doc_id, page_number from core join nw using (label) where rn = 1""",
     "evidence_text": _CORE + """, e as (select label, left(string_agg('[page ' || page_number || ']' || chr(10) || page_text, chr(10) || chr(10) order by rank), 3000) as t from core group by label)
         select label, sha256(t) as sha, length(t) as n from e""",
-    "multi_scope_topk": f"""with sc as (select label, vec_id, {_COS.format("embedding", _Q(0))} as score from embeddings where label in (3, 1, 6)),
-        r as (select *, row_number() over (partition by label order by score desc, vec_id) as rn, row_number() over (partition by label order by vec_id) as cn from sc)
-        select list_position([3, 1, 6], label) as scope, label, vec_id, round(score, 4) as score from r where rn <= 3 or cn = 1""",
-    "best_variant": f"""with a as (select 0 as variant, * from ({_TOP(499, 3)}) union all select 1, * from ({_TOP(492, 3)}) union all select 2, * from ({_TOP(485, 3)})),
-        b as (select variant from a group by variant order by max(round(s, 4)) desc, variant limit 1) select variant, vec_id, round(s, 4) as score from a where variant in (select variant from b)""",
-    "compare_matrix": _MATRIX + " select label, " + ", ".join(f"max(cell) filter (where dimension = 'd{k}') as d{k}" for k in range(4)) + " from cell group by label",
-    "compare_fee_row": _MATRIX + ", " + COURSES.removeprefix("with ") + """ select l.label, 0 as ord, 'fee' as dimension, coalesce(format('{:,}', fee), 'not stated') as cell from (select distinct label from embeddings where label in (1, 4, 8)) l
+    "multi_scope_topk": "with " + _SCORES + """, r as (select *, row_number() over (partition by query_id, label order by score desc, vec_id) as rn, row_number() over (partition by query_id, label order by vec_id) as cn from sc where label in (3, 1, 6))
+        select query_id, list_position([3, 1, 6], label) as scope, label, vec_id, round(score, 4) as score from r where rn <= 3 or cn = 1""",
+    "best_variant": "with " + _asked(3, 7) + f""", h as (select query_id, variant, vec_id, round({_COS.format("e.embedding", "q")}, 9) as score from embeddings e, asked),
+        t as (select *, row_number() over (partition by query_id, variant order by score desc, vec_id) as rn from h),
+        b as (select query_id, variant, row_number() over (partition by query_id order by max(round(score, 4)) desc, variant) as n from t where rn <= 3 group by query_id, variant)
+        select query_id, variant, vec_id, round(score, 4) as score from t join b using (query_id, variant) where rn <= 3 and n = 1""",
+    "compare_matrix": _MATRIX + " select query_id, label, " + ", ".join(f"max(cell) filter (where dimension = 'd{k}') as d{k}" for k in range(4)) + " from cell group by query_id, label",
+    "compare_fee_row": _MATRIX + ", " + COURSES.removeprefix("with ") + """ select query_id, l.label, 0 as ord, 'fee' as dimension, coalesce(format('{:,}', fee), 'not stated') as cell from (select distinct query_id, label from cell) l
         left join (select course_id, fee from courses where course_id in (1, 8)) f on f.course_id = l.label
-        union all select label, cast(dimension[2:] as int) + 1, dimension, cell from cell""",
+        union all select query_id, label, cast(dimension[2:] as int) + 1, dimension, cell from cell""",
 }

@@ -3,7 +3,7 @@ import __spark_entry__ as entry
 
 def test_flagship(spark):
     df = entry.entry(spark)
-    assert df.count() > 0 and df.columns == ["label", "title", "score", "chunk_ids"]
+    assert df.count() > 0 and df.columns == ["query_id", "label", "title", "score", "chunk_ids"]
 
 
 def test_sql_belongs_to_queries():

@@ -1,3 +1,6 @@
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from millrace.functions import assembly as A
@@ -19,8 +22,8 @@ def test_percent_and_confidence(spark):
 
 
 def test_margin_includes_its_end(spark):
-    rows = spark.createDataFrame([(1, 0.75), (2, 0.5), (3, 0.25)], "id int, score double")
-    assert [r.id for r in V.relevant(rows, 0.25).collect()] == [1, 2]
+    rows = spark.createDataFrame([(1, 0.75, 0), (2, 0.5, 0), (3, 0.25, 0), (4, 0.25, 1)], "id int, score double, q int")
+    assert sorted(r.id for r in V.relevant(rows, "q", 0.25).collect()) == [1, 2, 4]
 
 
 def test_cosine_of_nothing(spark):
@@ -92,6 +95,35 @@ def test_texts(spark):
 def test_lists_find_what_the_exact_search_finds(spark, sf):
     from millrace.plans import vector_queries as Q
 
-    approximate = {r.vec_id for r in Q.ivf_topk(spark, sf).collect()}
-    exact = {r.vec_id for r in V.top_k(Q.EMB(spark, sf), V.vector(Q._query(spark, sf)), 8).collect()}
-    assert len(approximate & exact) >= 0.5 * len(exact)
+    approximate = {(r.query_id, r.vec_id) for r in Q.ivf_topk(spark, sf).collect()}
+    exact = {(r.query_id, r.vec_id) for r in V.top_k(Q.EMB(spark, sf), Q.asked(spark, sf)).collect()}
+    assert len(exact) == 8 * Q.asked(spark, sf).count() and len(approximate & exact) >= 0.9 * len(exact)
+
+
+def test_tiles_and_blocks(spark):
+    rng = random.Random(1)
+    rows = [(k, [float(rng.choice((-1, 0, 1))) for _ in range(3)], k % 3) for k in range(60)] + [(100, None, 0), (101, [1.0], 1)]
+    chunks = spark.createDataFrame(rows, "vec_id long, embedding array<double>, grp int")
+    queries = chunks.where("vec_id % 7 = 0").selectExpr("vec_id as query_id", "embedding as q")
+    cos = lambda a, b: 0.0 if not any(a) or not any(b) else sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = {}
+    for q, a, _ in rows[:60:7]:
+        for g in range(3):
+            want[q, g] = [v for _, v in sorted((-round(cos(a, b), 9), v) for v, b, h in rows[:60] if h == g)[:2]]
+    for sizes in ({}, {"tile": 9, "block": 2}):
+        near = V.ranked_in(V.similarities(chunks, queries, 2, "grp", **sizes), ["query_id", "grp"], 2, [F.desc("score"), "vec_id"])
+        got = {}
+        for r in near.orderBy("query_id", "grp", "rank").collect():
+            got.setdefault((r.query_id, r.grp), []).append(r.vec_id)
+        assert got == want
+    assert V.similarities(chunks, queries.limit(0)).count() == 0 and V.similarities(chunks.limit(0), queries, 3).count() == 0
+
+
+def test_longest_match_finds_every_variant(spark):
+    names = [("Ab", ["Ab", "x"]), ("Small Ring", ["Small Ring", "Ring"]), ("Small Rings", ["Small Rings"]), ("Other", ["Oth er\u00e9"]), ("None", ["", "zzzz"])]
+    texts = ["an xAby", "the Small Ringside", "Small Rings", "\u00e9Oth er\u00e9", "", None, "x", "Rin", "aRingb"]
+    questions = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "q int, t string")
+    table = spark.createDataFrame([(n, v, k) for k, (n, v) in enumerate(names)], "name string, v array<string>, fee int")
+    got = {r.q: r.matched for r in E.longest_match(questions, "q", "t", table, "name", "v", ["fee"]).collect()}
+    want = {k: max(((len(n), n) for n, vs in names for v in vs if v and t and v in t), default=(0, None))[1] for k, t in enumerate(texts)}
+    assert got == want
