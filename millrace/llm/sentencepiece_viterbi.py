@@ -183,7 +183,7 @@ def _pick(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 class Encoder:
     """Encodes whole texts with one vocabulary. Remembers the ids of at most about `most` stretches, of up to `length` code points."""
 
-    def __init__(self, v: Vocabulary, most: int = 400_000, length: int = 48, window: int = 256):
+    def __init__(self, v: Vocabulary, most: int = 200_000, length: int = 48, window: int = 256):
         self.v, self.most, self.length, self.search = v, most, length, Search(v, window)
         self._forget()
 
@@ -284,7 +284,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
     def ids_of(texts: pa.Array) -> pa.Array:
         encoder = _encoder(key, lambda: shared.value)
         ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for _, part in in_slices(texts):
+        for _, part in in_slices(texts, 1 << 20):
             found, n = encoder.encode(part)
             ids.append(found.astype(np.int32)), sizes.append(n)
         return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
@@ -301,8 +301,8 @@ def decode_documents(encoded: DataFrame, model_path: str, to_col: str = "decoded
     def text_of(ids: pa.Array) -> pa.Array:
         ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         out, at = [pa.array([], pa.string())], 0
-        while at < len(ids):  # about a million ids at a time, or one text's
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+        while at < len(ids):  # about 260,000 ids at a time, or one text's
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right")))
             out.append(decode(ids.slice(at, end - at), shared.value))
             at = end
         return pa.concat_arrays(out)
