@@ -25,9 +25,9 @@ def repeated_lines(pages: DataFrame, doc: str, text: str, share: float = 0.6, lo
     return counted.join(total, doc).where(F.col("n_pages") >= F.greatest(F.lit(2), F.floor(F.col("_pages") * share))).select(doc, "line", "n_pages")
 
 
-def without_repeated_lines(pages: DataFrame, doc: str, text: str, **limits) -> DataFrame:
-    """pages without the lines that repeated_lines() finds; the others are joined by a newline. Only pages that hold such a line are taken apart."""
-    found = repeated_lines(pages, doc, text, **limits).groupBy(doc).agg(F.collect_set("line").alias("_lines"))
+def without_repeated_lines(pages: DataFrame, doc: str, text: str, found: DataFrame | None = None, **limits) -> DataFrame:
+    """pages without the lines that repeated_lines() finds, or has found (doc, line); the others are joined by a newline. Only pages that hold such a line are taken apart."""
+    found = (repeated_lines(pages, doc, text, **limits) if found is None else found).groupBy(doc).agg(F.collect_set("line").alias("_lines"))
     joined = pages.join(found, doc, "left").withColumn("_own", F.when(F.col("_lines").isNotNull(), _lines(F.col(text)))).withColumn("_bare", F.transform("_own", strip))
     joined = joined.withColumn("_gone", F.array_intersect("_bare", "_lines"))  # by hash: few remain to be looked for in each line
     kept = F.array_join(F.filter("_own", lambda x, k: ~F.array_contains(F.col("_gone"), F.get(F.col("_bare"), k))), "\n")

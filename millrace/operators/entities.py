@@ -92,26 +92,34 @@ def only_terms(query: Column, aliases: list[tuple[str, str]]) -> Column:
 
 def resolve_scopes(question: Column, names: list[str], aliases: list[tuple[str, str]]) -> Column:
     """The names that a question mentions, longest first, each blanked out before the next is looked for; then by alias, in what remains."""
+    return scope_state(question, names, aliases)["found"]
+
+
+def scope_state(question: Column, names: list[str], aliases: list[tuple[str, str]]) -> Column:
+    """A struct of found, the names as in resolve_scopes(), and targets, the names and aliases by which they were found; and rest, what remains."""
     ordered = sorted((n for n in names if n), key=lambda n: (-len(n), n))
-    start = F.struct(F.lower(question).alias("rest"), F.array().cast("array<string>").alias("found"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lower(question).alias("rest"), none.alias("found"), none.alias("targets"))
+    state_of = lambda hit, rest, found, targets, old: F.struct(F.when(hit, rest).otherwise(old["rest"]).alias("rest"), F.when(hit, found).otherwise(old["found"]).alias("found"), F.when(hit, targets).otherwise(old["targets"]).alias("targets"))
 
     def by_name(state: Column, name: Column) -> Column:
         hit = state["rest"].contains(F.lower(name))
-        return F.struct(F.when(hit, F.replace(state["rest"], F.lower(name), F.lit(" "))).otherwise(state["rest"]).alias("rest"), F.when(hit, F.concat(state["found"], F.array(name))).otherwise(state["found"]).alias("found"))
+        return state_of(hit, F.replace(state["rest"], F.lower(name), F.lit(" ")), F.concat(state["found"], F.array(name)), F.concat(state["targets"], F.array(name)), state)
 
     state = F.aggregate(F.array(*[F.lit(n) for n in ordered]), start, by_name) if ordered else start
     table = [(a, [n for n in names if n and n in full]) for a, full in aliases]
-    table = [(rf"(?<![a-z0-9])\Q{a.lower()}\E(?![a-z0-9])" if a.isascii() else rf"\Q{a.lower()}\E", ns) for a, ns in table if ns]
+    table = [(a, rf"(?<![a-z0-9])\Q{a.lower()}\E(?![a-z0-9])" if a.isascii() else rf"\Q{a.lower()}\E", ns) for a, ns in table if ns]
     if not table:
-        return state["found"]
-    entries = F.array(*[F.struct(F.lit(p).alias("p"), F.array(*[F.lit(n) for n in ns]).alias("ns")) for p, ns in table])
+        return state
+    entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(p).alias("p"), F.array(*[F.lit(n) for n in ns]).alias("ns")) for a, p, ns in table])
 
     def by_alias(state: Column, entry: Column) -> Column:
         hit = F.regexp_like(state["rest"], entry["p"])
         more = F.array_except(entry["ns"], state["found"])
-        return F.struct(F.when(hit, F.regexp_replace(state["rest"], entry["p"], F.lit(" "))).otherwise(state["rest"]).alias("rest"), F.when(hit, F.concat(state["found"], more)).otherwise(state["found"]).alias("found"))
+        named = F.when(F.size(more) > 0, F.concat(state["targets"], F.array(entry["a"]))).otherwise(state["targets"])
+        return state_of(hit, F.regexp_replace(state["rest"], entry["p"], F.lit(" ")), F.concat(state["found"], more), named, state)
 
-    return F.aggregate(entries, state, by_alias)["found"]
+    return F.aggregate(entries, state, by_alias)
 
 
 def resolve_scope(question: Column, names: list[str], aliases: list[tuple[str, str]]) -> Column:
@@ -133,20 +141,22 @@ def narrow_by_year(titles: Column, question: Column) -> Column:
     return F.when(year.isNotNull() & (F.size(kept) > 0), kept).otherwise(titles)
 
 
-def search_text(question: Column, name: Column, wrappers: str, leading: str, least: int = 8) -> Column:
-    """The question without the name, the year and the wrapper words; the question itself if fewer than `least` characters remain."""
-    quoted = F.concat(F.lit(r"(?iu)\Q"), name, F.lit(r"\E"))
-    rest = F.when(name.isNotNull(), F.regexp_replace(question, quoted, F.lit(" "))).otherwise(question)
+def search_text(question: Column, targets: Column, wrappers: str, leading: str, least: int = 8) -> Column:
+    """The question without the targets (an array of names), the year and the wrapper words; the question itself if fewer than `least` characters remain."""
+    quoted = lambda name: F.concat(F.lit(r"(?iu)\Q"), name, F.lit(r"\E"))
+    rest = F.aggregate(F.array_compact(targets), question, lambda t, name: F.regexp_replace(t, quoted(name), F.lit(" ")))
     rest = F.regexp_replace(F.regexp_replace(rest, r"25\d{2}", " "), wrappers, " ")
     rest = F.trim(F.regexp_replace(F.trim(F.regexp_replace(rest, r"\s{2,}", " ")), f"^{leading}\\s*", ""))
     return F.when(F.length(rest) >= least, rest).otherwise(question)
 
 
-def without_names(text: Column, names: list[str]) -> Column:
-    """Lower-case text without the names, longest first."""
+def without_names(text: Column, names: list[str], aliases: list[str] = ()) -> Column:
+    """Lower-case text without the names, longest first, then without the aliases; an ASCII one goes only where it stands alone."""
     text = F.lower(text)
     for n in sorted(names, key=lambda n: (-len(n), n)):
         text = F.replace(text, F.lit(n.lower()), F.lit(" "))
+    for a in sorted(aliases, key=lambda a: (-len(a), a)):
+        text = F.regexp_replace(text, rf"(?<![a-z0-9])\Q{a.lower()}\E(?![a-z0-9])" if a.isascii() else rf"\Q{a.lower()}\E", " ")
     return text
 
 
@@ -165,10 +175,16 @@ def mentions(text: Column, role: Column, names: list[str], prefix: str = "progra
     return F.aggregate(F.array(*[F.lit(n) for n in ordered]), start, step)["found"]
 
 
-def unknown_name(text: Column, marker: str, stop: str, known: list[str], least: int = 4) -> Column:
-    """What follows the marker up to a stop word; null if it is short or known."""
-    found = F.trim(F.regexp_replace(F.regexp_extract(text, f"(?i){marker}\\s+([^?.,\\n]+)", 1), f"(?i)\\s+(?:{stop})\\b.*$", ""))
-    return F.when((F.length(found) >= least) & ~F.lower(found).isin([k.lower() for k in known]), found)
+def unknown_name(text: Column, marker: str, stop: str, known: list[str], least: int = 4, prefixes: tuple[str, ...] = (), asks: tuple[str, ...] = ()) -> Column:
+    """What follows the marker up to a stop word, without prefixes, however many follow one another; null if it is short or a prefix, begins with a question word, or the text holds a known name."""
+    found = F.trim(F.regexp_replace(F.regexp_extract(text, f"(?i){marker}\\s+([^?.,\\n]+)", 1), f"(?i)(?:^|\\s+)(?:{stop})\\b.*$", ""))
+    words = lambda ws: "|".join(re.escape(w) for w in sorted(ws, key=lambda w: (-len(w), w)))
+    bare = F.trim(F.regexp_replace(found, rf"(?i)^(?:(?:{words(prefixes)})\b\s*)+(?=\S)", "")) if prefixes else found
+    is_known = F.lit(False)
+    for k in known:
+        is_known = is_known | F.lower(text).contains(k.lower())
+    asked = F.lower(found).rlike(rf"^(?:{words(asks)})\b") if asks else F.lit(False)
+    return F.when((F.length(bare) >= least) & ~F.lower(bare).isin([p.lower() for p in prefixes]) & ~is_known & ~asked, bare)
 
 
 def reconcile(wanted: DataFrame, key: str, catalog: DataFrame, catalog_key: str, year: str, id_col: str) -> DataFrame:

@@ -75,7 +75,7 @@ def narrow_by_year(s, d):
 
 def search_text(s, d):
     asked = courses(s, d).select("course_id", "name", F.concat(F.lit("Programme of "), F.upper("name"), F.lit(" "), F.col("year").cast("string"), F.lit(" "), F.substring("brand", 1, F.col("course_id").cast("int") % 9 + 1)).alias("q"))
-    return asked.select("course_id", E.search_text(F.col("q"), F.col("name"), "BOLT|GEAR", "Programme of").alias("search"))
+    return asked.select("course_id", E.search_text(F.col("q"), F.array("name"), "BOLT|GEAR", "Programme of").alias("search"))
 
 
 def mentions(s, d):

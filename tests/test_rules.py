@@ -49,7 +49,7 @@ def test_year_that_fits_nothing_keeps_all(spark):
 
 
 def test_search_text_needs_eight_characters(spark):
-    of = E.search_text(F.col("q"), F.col("n"), "zzz", "Course")
+    of = E.search_text(F.col("q"), F.array("n"), "zzz", "Course")
     got = values(spark, [("Course Art 1234567", "art"), ("Course Art 12345678", "art"), ("free question", None)], "q string, n string", of)
     assert [x for (x,) in got] == ["Course Art 1234567", "12345678", "free question"]
 
@@ -100,6 +100,20 @@ def test_lists_find_what_the_exact_search_finds(spark, sf):
     assert len(exact) == 8 * Q.asked(spark, sf).count() and len(approximate & exact) >= 0.9 * len(exact)
 
 
+def test_unknown_names(spark):
+    of = E.unknown_name(F.col("t"), "programme", "last|cost|is", ["blue bolt"], prefixes=("of", "the", "field"), asks=("which", "what"))
+    got = values(spark, [("does the programme of the field Space Law cost much",), ("programme which is best",), ("the programme Blue Bolt is",), ("programme of the",), ("no marker",), ("programme of Art",), (None,)], "t string", of)
+    assert [x for (x,) in got] == ["Space Law", None, None, None, None, None, None]
+
+
+def test_search_text_goes_without_all_names(spark):
+    state = E.scope_state(F.col("q"), ["Blue Bolt", "Red Gear"], [("rg", "Red Gear studies"), ("bb", "Blue Bolt")])
+    got = values(spark, [("how do blue bolt and RG differ in 2565 please",), ("large bb?",), (None,)], "q string", state["found"], state["targets"], E.search_text(F.col("q"), state["targets"], "studies", "about"))
+    assert got[0] == (["Blue Bolt", "Red Gear"], ["Blue Bolt", "rg"], "how do and differ in please")
+    assert got[1] == (["Blue Bolt"], ["bb"], "large bb?")  # too little remains
+    assert values(spark, [("Blue Bolt or IT, with items",)], "q string", E.without_names(F.col("q"), ["blue bolt"], ["it"])) == [("  or  , with items",)]
+
+
 def test_tiles_and_blocks(spark):
     rng = random.Random(1)
     rows = [(k, [float(rng.choice((-1, 0, 1))) for _ in range(3)], k % 3) for k in range(60)] + [(100, None, 0), (101, [1.0], 1)]
