@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import small_batches
+from millrace.llm.shared import in_slices, small_batches
 
 # HTML element names by their role, and words in class, id and role that name a part which is no article.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow mroot ms msqrt msub msubsup msup mtext munder mover q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -216,24 +216,25 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     return out
 
 
-def features(found: list) -> np.ndarray:
-    """A row of FEATURES for each block; beyond the first and last block are zeros."""
-    n = len(found)
-    size = np.array([(0, 0) if b[3] else (b[1], b[2]) for b in found], float).reshape(n, 2)  # blocks apart are no neighbours
-    beside = np.flatnonzero(size[:, 0])
-    size = np.vstack([np.zeros((3, 2)), size[beside], np.zeros((3, 2))])
-    place = np.searchsorted(beside, np.arange(n)) + 3  # of each block, or of the next that is a neighbour, among the neighbours
-    own = np.array([not b[3] for b in found], int)
+def features(pages: list[list]) -> np.ndarray:
+    """A row of FEATURES for each block of each page; beyond a page's first and last block are zeros."""
+    found = [b for page in pages for b in page]
+    n, of = len(found), np.repeat(np.arange(len(pages)), [len(page) for page in pages])
+    words, linked, apart, main, heading = (np.array([b[k] for b in found], float).reshape(n) for k in range(1, 6))
+    own = apart == 0  # blocks apart are no neighbours
+    # Neighbours of all pages in a row, three zeros between pages: for each block the place of its own, or of the next.
+    place = 3 * (of + 1) + np.cumsum(own) - own
+    size = np.zeros((2, 3 * (len(pages) + 1) + int(own.sum())))
+    size[0, place[own]], size[1, place[own]] = words[own], linked[own]
 
-    def around(steps: list[np.ndarray]) -> np.ndarray:
-        words, linked = (np.stack([size[np.clip(k, 0, len(size) - 1), c] for k in steps]) for c in (0, 1))
-        return np.column_stack([words.max(0), linked.sum(0) / np.maximum(words.sum(0), 1)])
+    def around(steps: list[np.ndarray]) -> list[np.ndarray]:
+        near, links = (np.stack([size[c][k] for k in steps]) for c in (0, 1))
+        return [near.max(0), links.sum(0) / np.maximum(near.sum(0), 1)]
 
     before, after = around([place - k for k in (1, 2, 3)]), around([place + own + k for k in (0, 1, 2)])
     # A page names its article if a block that may be text lies in it.
-    named = np.full((n, 1), any(b[4] and not b[3] for b in found), float)
-    flags = np.array([(b[3], b[4], b[5]) for b in found], float).reshape(n, 3)
-    return np.hstack([np.array([(b[1], b[2] / b[1]) for b in found], float).reshape(n, 2), before, after, flags[:, 2:], flags[:, :2], named])
+    named = np.bincount(of, main * own, len(pages))[of] > 0
+    return np.column_stack([words, linked / words, *before, *after, heading, apart, main, named])
 
 
 def grow_tree(x: np.ndarray, y: np.ndarray) -> tuple:
@@ -268,12 +269,16 @@ def fitted_tree() -> tuple:
     return grow_tree(table[:, :-1], table[:, -1])
 
 
+def main_texts(pages: list[str | None]) -> list[str]:
+    found = [blocks(page or "") for page in pages]
+    if not any(found):
+        return [""] * len(pages)
+    kept = iter((apply_tree(fitted_tree(), features(found)) > 0.5).tolist())
+    return ["\n".join(b[0] for b in page if next(kept)) for page in found]
+
+
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
-    kept = apply_tree(fitted_tree(), features(found)) > 0.5
-    return "\n".join(b[0] for b, k in zip(found, kept, strict=True) if k)
+    return main_texts([page])[0]
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -288,6 +293,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     @F.arrow_udf("string")
     def text_of(pages: pa.Array) -> pa.Array:
-        return pa.array([main_text(p.as_py()) for p in pages], pa.string())
+        out = []
+        for _, part in in_slices(pages):
+            out += main_texts(part.to_pylist())
+        return pa.array(out, pa.string())
 
     return pages.select(id_col, url_col, text_of(html_col).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

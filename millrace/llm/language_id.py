@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import small_batches
+from millrace.llm.shared import small_batches, stored
 
 #: Texts are worked on in groups of about so many code points.
 _CHUNK = 1 << 18
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: s
     usable = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     whole = 1 << 62
     rates = usable.groupBy("lang").count().withColumn("below", F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), F.lit(float(train_rows)) / F.col("count")) * whole)))
-    chosen = usable.join(rates, "lang").where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(whole)) <= F.col("below"))
+    chosen = usable.join(stored(rates.drop("count")), "lang")  # a row for each language: so small that Spark broadcasts it.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(whole)) <= F.col("below"))
     langs, made = prototypes(chosen, "text", "lang", size, seed)
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     made = unit(made)

@@ -229,7 +229,7 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     # Bucketed by block, so that the joins below move the answers only; and fixed, so that a block stays what it was.
     name = f"millrace_lm_{uuid.uuid4().hex}"
     # Buckets of some 64 MB of input, however much there is of it.
-    buckets = max(shuffle_partitions(spark), -(-size_in_bytes(docs.select(text_col)) // (64 << 20)))
+    buckets = max(shuffle_partitions(spark), -(-size_in_bytes(docs, text_col) // (64 << 20)))
     blocks.write.bucketBy(min(buckets, 100_000), "block").option("path", f"{shared_folder(spark)}/{name}").option("compression", "none").saveAsTable(name)
     blocks = spark.table(name)
     # A shard answers for as much as two blocks ask.

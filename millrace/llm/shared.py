@@ -31,9 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or jsc.getCheckpointDir().get()
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Spark's estimate of df's size, of files their size; without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def size_in_bytes(df: DataFrame, text_col: str) -> int:
+    """Spark's estimate of a column's size, of files their size, without a job; where Spark has none, the texts' bytes, counted."""
+    estimate = int(str(df.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate if estimate < 1 << 58 else df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def cut(df: DataFrame) -> DataFrame:
