@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     `width` words of `similarity` or more; the least such one is its keep_id. So no two that stay are that alike. Candidates are
     the groups of near_groups() (shingles of `print_width` words, `budget` bits) and, as those miss most pairs with more than
     few edits, all documents that share a shingle of their _sketches(), which misses none. Candidates whose fingerprints differ in more than
-    `far` bits aren't compared: of 64 bits, 24 is six standard deviations more than a pair at 0.8 has. Each list of candidates is first
+    `far` bits aren't compared: of 64 bits, 24 is some six standard deviations more than a pair at 0.8 has (an estimate). Each list of candidates is first
     compared with its least document only, once that is known to stay, so a group of copies takes as many comparisons as it
     has members; texts of equal sets are one candidate; what remains after `rounds` of that, or earlier if it is little, is compared pair by pair.
     Null ids and ids whose rows differ in text take no part and stay. Null and empty texts are alike, and texts shorter than a shingle
