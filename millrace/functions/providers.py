@@ -106,7 +106,10 @@ def chat(prompt: Column, make: Callable[[], Provider] = Stub) -> Column:
 
 
 def recognise_pages(pages: DataFrame, sink: str, make: Callable[[], Provider] = Stub, tries: int = 5, pause: Callable[[float], None] = time.sleep) -> DataFrame:
-    """(file, page, text) of pages (file, page, image), from the sink; pages that it has already are not asked for again."""
+    """(file, page, text, error) of pages (file, page, image), from the sink; pages that it has a text of are not asked for again.
+
+    A page that fails `tries` times has a null text and the last error; the next call asks for it again, and a text then replaces the error.
+    """
     spark = pages.sparkSession
 
     def ask(batches):
@@ -116,17 +119,20 @@ def recognise_pages(pages: DataFrame, sink: str, make: Callable[[], Provider] =
             for r in batch.to_pylist():
                 for k in range(1, tries + 1):
                     try:
-                        rows.append({"file": r["file"], "page": r["page"], "text": model.recognise(r["image"])})
+                        rows.append({"file": r["file"], "page": r["page"], "text": model.recognise(r["image"]), "error": None})
                         break
                     except Exception as e:  # whatever a remote model raises
                         if k < tries:
                             pause(60.0 * k if "429" in str(e) else 3.0)
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("page", pa.int32()), ("text", pa.string())]))
+                        else:
+                            rows.append({"file": r["file"], "page": r["page"], "text": None, "error": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string())]))
 
-    schema = "file string, page int, text string"
+    schema = "file string, page int, text string, error string"
     done = spark.read.schema(schema).parquet(sink) if _exists(spark, sink) else spark.createDataFrame([], schema)
-    pages.join(done.select("file", "page"), ["file", "page"], "left_anti").select("file", "page", "image").mapInArrow(ask, schema).write.mode("append").parquet(sink)
-    return spark.read.schema(schema).parquet(sink)
+    pages.join(done.where("error is null").select("file", "page"), ["file", "page"], "left_anti").select("file", "page", "image").mapInArrow(ask, schema).write.mode("append").parquet(sink)
+    every = spark.read.schema(schema).parquet(sink)
+    return every.groupBy("file", "page").agg(F.max("text").alias("text"), F.when(F.max("text").isNull(), F.max("error")).alias("error"))
 
 
 def _exists(spark, path: str) -> bool:
