@@ -42,6 +42,20 @@ def refined_question(turns: DataFrame, session: str, at: str, role: str, text: s
     return turns.withColumn("refined", F.when(follows, F.concat_ws(" ", before_user, F.col(text))).otherwise(F.col(text)))
 
 
+def appended_turns(turns: DataFrame, exchanges: DataFrame, session: str, at: str, role: str, text: str, asked: str, question: str, answer: str) -> DataFrame:
+    """The rows that exchanges (session, asked, question, answer) add to turns: a user and an assistant row each, numbered on after the session's last.
+
+    Both rows of an exchange come of one row, so appending the result stores both or neither. Exchanges of one session follow each
+    other by `asked`; a session without turns starts at 0.
+    """
+    last = turns.groupBy(session).agg(F.max(at).alias("_last"))
+    place = F.row_number().over(Window.partitionBy(session).orderBy(asked, question, answer)) - 1
+    numbered = exchanges.select(session, asked, question, answer, place.alias("_place")).join(last, session, "left")
+    rows = F.array(*[F.struct((2 * F.col("_place") + k).alias("_k"), F.lit(who).alias(role), F.col(said).alias(text)) for k, (who, said) in enumerate((("user", question), ("assistant", answer)))])
+    one = numbered.select(session, "_last", F.explode(rows).alias("_row"))
+    return one.select(session, (F.coalesce("_last", F.lit(-1)) + 1 + F.col("_row._k")).cast("long").alias(at), f"_row.{role}", f"_row.{text}")
+
+
 def corpus_version(docs: DataFrame, at: str, k: int, logic: str) -> DataFrame:
     """(version): changes when documents are added or the search changes."""
     return docs.agg(F.concat_ws("-", F.count("*").cast("string"), F.coalesce(F.max(at).cast("string"), F.lit("epoch")), F.lit(f"k{k}"), F.lit(logic)).alias("version"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators import conversations as C
 from millrace.operators import flows
 from millrace.plans import entity_queries as EQ
 from millrace.plans import vector_queries as VQ
 from millrace.plans.tables import COURSES, PAGES, courses, pages, table
+from millrace.sources import ingest
 
 
 def clean_documents(s, d):
@@ -36,7 +38,22 @@ def compare_missing(s, d):
     return found.select("c_custkey", "error", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (clean_documents, match_programs, scope_ids, compare_missing)}
+def appended_turns(s, d):
+    """Each conversation's first question is asked again, and once more; customers whose numbers have no conversation start one."""
+    talk = table(s, d, "conversations")
+    known = C.sessions(talk, "conv_id", "turn", "role", "text").where("first_question is not null").select("conv_id", "first_question")
+    again = known.select("conv_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("asked"), F.col("first_question").alias("question"))
+    fresh = table(s, d, "customer").select(F.col("c_custkey").alias("conv_id")).join(talk.select("conv_id"), "conv_id", "left_anti")
+    asked = again.unionByName(fresh.select("conv_id", F.lit(1).alias("asked"), F.lit("Which programme?").alias("question")))
+    answered = asked.withColumn("answer", F.concat_ws(" ", F.lit("Answer"), F.col("asked").cast("string")))
+    return C.appended_turns(talk, answered, "conv_id", "turn", "role", "text", "asked", "question", "answer")
+
+
+def not_evaluated(s, d):
+    return ingest.without_result(table(s, d, "documents"), table(s, d, "labels"), "doc_id").select("doc_id", "lang", "source")
+
+
+QUERIES = {f.__name__: f for f in (clean_documents, match_programs, scope_ids, compare_missing, appended_turns, not_evaluated)}
 
 _SPACE = "regexp_replace(regexp_replace(regexp_replace({0}, '(\\w)-\\n(\\w)', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 _YEARS = EQ._QUESTIONS.replace("questions as (", "plain as (") + ", questions as (select q_id, concat_ws(' ', q, case when q_id % 3 = 0 then '25' || (60 + q_id % 10) end) as q from plain)"
@@ -64,4 +81,10 @@ ORACLES = {
         u as (select c_custkey, len(ids) as n, unnest(ids) as course_id from a),
         m as (select c_custkey, n, string_agg(distinct course_id, ',' order by course_id) filter (where course_id not in (select course_id from courses)) as missing from u group by c_custkey, n)
         select c_custkey, case when n < 2 or n > 4 then 'number' when missing is not null then 'missing' end as error, coalesce(missing, '') as missing from m""",
+    "appended_turns": """with l as (select conv_id, max(turn) as last, arg_min(text, turn) filter (where role = 'user') as question from conversations group by conv_id),
+        a as (select conv_id, last, asked, question from l, (values (1), (2)) v(asked) where question is not null
+              union all select c_custkey, -1, 1, 'Which programme?' from customer where c_custkey not in (select conv_id from conversations))
+        select conv_id, cast(last + 2 * asked - 1 as bigint) as turn, 'user' as role, question as text from a
+        union all select conv_id, cast(last + 2 * asked as bigint), 'assistant', 'Answer ' || asked from a""",
+    "not_evaluated": "select doc_id, lang, source from documents where doc_id not in (select doc_id from labels)",
 }

@@ -106,5 +106,15 @@ def replace_partitions(chunks: DataFrame, path: str, by: str = "document_id") ->
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def without_result(cases: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Cases that have no stored result yet: an evaluation that was stopped goes on with these."""
+    return cases.join(results.select(key), key, "left_anti")
+
+
+def save_results(results: DataFrame, path: str, batch: str) -> None:
+    """Stores the results of one batch: whole or not at all, and a batch that is run again replaces what it stored before."""
+    replace_partitions(results.withColumn("batch", F.lit(batch)), path, "batch")
+
+
 def read_json_dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)

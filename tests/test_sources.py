@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from millrace.operators import conversations as C
 from millrace.sources import ingest as I
 
 
@@ -28,3 +29,22 @@ def test_partitions_are_replaced(spark, tmp_path):
 def test_json_dimension(spark, tmp_path):
     (tmp_path / "d.json").write_text('[{"name": "x",\n "fee": 3}]')
     assert I.read_json_dimension(spark, str(tmp_path / "d.json"), "name string, fee long").first().fee == 3
+
+
+def test_results_resume(spark, tmp_path):
+    cases, path = spark.createDataFrame([(k,) for k in range(5)], "case_id int"), str(tmp_path / "results")
+    for batch, ids in (("a", [0, 1]), ("a", [0, 1]), ("b", [3])):
+        I.save_results(spark.createDataFrame([(k, "answered") for k in ids], "case_id int, status string"), path, batch)
+    done = spark.read.parquet(path)
+    assert sorted(r.case_id for r in done.collect()) == [0, 1, 3]
+    assert sorted(r.case_id for r in I.without_result(cases, done, "case_id").collect()) == [2, 4]
+
+
+def test_appended_turns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    asked = spark.createDataFrame([(1, 5, "d", None), (1, 4, "c", "x"), (2, 1, "e", "y")], "conv_id long, asked int, question string, answer string")
+    new = C.appended_turns(turns, asked, "conv_id", "turn", "role", "text", "asked", "question", "answer")
+    assert new.columns == turns.columns
+    assert sorted((r.conv_id, r.turn, r.role, r.text or "") for r in new.collect()) == [
+        (1, 2, "user", "c"), (1, 3, "assistant", "x"), (1, 4, "user", "d"), (1, 5, "assistant", ""), (2, 0, "user", "e"), (2, 1, "assistant", "y"),
+    ]
