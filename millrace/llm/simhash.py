@@ -186,23 +186,26 @@ def _common(texts: DataFrame, width: int) -> dict[int, int]:
 
 
 def _sketches(texts: DataFrame, width: int, print_width: int, similarity: float) -> DataFrame:
-    """(id, fp, digest, n, toks): fingerprint, a digest of the set of n shingles, and the first of these in one order for all, rare ones first.
+    """(id, fp, digest, bits, n, toks): fingerprint, a digest of the set of n shingles, which of 256 slots an odd number of them falls into, and
+    the first of them in one order for all, rare ones first.
 
     Two sets with a Jaccard similarity of `similarity` share at least that part of either, so each has a shared shingle among
     all but the last ceil(similarity x n) - 1 of its n: no such pair is without a common tok.
     """
     known = texts.sparkSession.sparkContext.broadcast(_common(texts, width))  # 100,000 entries at most
 
-    @F.arrow_udf("struct<fp: bigint, digest: binary, n: int, toks: array<bigint>>")
+    @F.arrow_udf("struct<fp: bigint, digest: binary, bits: array<bigint>, n: int, toks: array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
         out, common = [], known.value
         for t in texts:
             found = _shingle_set(t := t.as_py(), width)
             n = len(found)
             first = sorted(found, key=lambda x: (common.get(x, 0), x))[: n - math.ceil(similarity * n - 1e-9) + 1]
-            digest, fp = xxhash.xxh3_128_digest(np.sort(np.fromiter(found, np.uint64)).tobytes()), simhash(t, print_width)
-            out.append({"fp": fp - (fp >> 63 << 64), "digest": digest, "n": n, "toks": np.array(first, np.uint64).view(np.int64)})
-        return pa.array(out, pa.struct([("fp", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("toks", pa.list_(pa.int64()))]))
+            every = np.sort(np.fromiter(found, np.uint64))
+            digest, fp = xxhash.xxh3_128_digest(every.tobytes()), simhash(t, print_width)
+            bits = np.packbits(np.bincount((every & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
+            out.append({"fp": fp - (fp >> 63 << 64), "digest": digest, "bits": bits, "n": n, "toks": np.array(first, np.uint64).view(np.int64)})
+        return pa.array(out, pa.struct([("fp", pa.int64()), ("digest", pa.binary()), ("bits", pa.list_(pa.int64())), ("n", pa.int32()), ("toks", pa.list_(pa.int64()))]))
 
     return texts.select("id", of("text").alias("x")).select("id", "x.*")
 
@@ -235,15 +238,21 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     copies = sketches.groupBy("digest").agg(F.min("id").alias("to"), F.count("*").alias("c")).where("c > 1")
     copies = stored(sketches.select("id", "digest").join(copies, "digest").where("id <> to").select("id", "to"))
     single = sketches.join(copies.select("id"), "id", "left_anti")
-    prints = stored(single.select("id", "n", "fp"))
+    prints = stored(single.select("id", "n", "fp", "bits"))
     groups = prints.join(_grouped(prints, budget), "fp").select("id", F.xxhash64("component_id").alias("tok"))
-    # Lists of candidates: documents with a tok, or a group of fingerprints, in common.
-    of_several = lambda rows: rows.join(stored(rows.groupBy("tok").count().where("count > 1").select("tok")), "tok").select("id", "tok")
-    listed = of_several(single.select("id", F.explode("toks").alias("tok"))).unionByName(of_several(stored(groups)))
-    listed = stored(listed)
-    # Of lists with the same members one is enough: sets that have much in common share most of their first shingles.
-    kinds = listed.groupBy("tok").agg(F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"), F.count("*").alias("c")).groupBy("members", "c").agg(F.min("tok").alias("tok")).select("tok")
-    alive = stored(listed.join(stored(kinds), "tok").join(prints, "id"))
+    # Lists of candidates: documents with a tok in common. What two sets share is at most what either has from the first shared tok on, so
+    # this one's place in the smaller set is early, and a list in which no document has its tok early holds no pair.
+    early = F.col("pos") <= (1 - similarity) / (1 + similarity) * F.col("n") + 1e-6
+    places = single.select("id", "n", F.posexplode("toks").alias("pos", "tok"))
+    useful = places.groupBy("tok").agg(F.count("*").alias("c"), F.max(early).alias("early")).where("c > 1 and early").select("tok")
+    listed = stored(places.join(stored(useful), "tok").select("id", "tok", "pos"))
+    # Of lists with the same members the first in the order of shingles is enough: what a pair shares first is in no later one.
+    kinds = listed.groupBy("tok").agg(F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"), F.count("*").alias("c"), F.sum("pos").alias("p"))
+    kinds = kinds.groupBy("members", "c").agg(F.min(F.struct("p", "tok"))["tok"].alias("tok")).select("tok")
+    # Groups of fingerprints are lists too, without places. They only serve to take copies out early: the others hold all pairs.
+    groups = stored(groups)
+    groups = groups.join(stored(groups.groupBy("tok").count().where("count > 1").select("tok")), "tok").select("id", "tok", F.lit(None).cast("int").alias("pos"))
+    alive = stored(listed.join(stored(kinds), "tok").unionByName(groups).join(prints, "id"))
 
     @F.arrow_udf("boolean")
     def alike(ones: pa.Array, others: pa.Array) -> pa.Array:
@@ -255,7 +264,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             out.append(len(a & b) >= similarity * len(a | b))
         return pa.array(out, pa.bool_())
 
-    worth = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_to"))) <= far)
+    left = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos_to")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
+    # A shingle that only one of two sets has changes one slot's parity, so slots that differ are no more than such shingles.
+    slots = reduce(Column.__add__, [F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_to")[k])) for k in range(4)])
+    close = slots <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
+    worth = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & F.coalesce(left, F.lit(True)) & close & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_to"))) <= far)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (id, to) those that are alike. Only texts of documents in a pair are moved, where Spark finds their ids few enough to broadcast.
@@ -274,15 +287,16 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     gone = alive.select("id", F.col("id").alias("to")).limit(0)
     for k in range(rounds + 1):
-        lists = cut(alive.groupBy("tok").agg(F.min(F.struct("id", "n", "fp")).alias("least"), F.count("*").alias("c")).where("c > 1"))
-        rows, pairs = lists.agg(F.sum("c"), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()
+        lists = cut(alive.groupBy("tok").agg(F.min(F.struct("id", "n", "fp", "pos", "bits")).alias("least"), F.count("*").alias("c"), F.count_if(early).alias("e")).where("c > 1"))
+        rows, pairs = lists.agg(F.sum("c"), F.sum(F.col("c").cast("double") * F.col("e"))).first()
         if not rows:
             break
         if k == rounds or pairs <= 4 * rows:
-            other = alive.select("tok", F.col("id").alias("to"), F.col("n").alias("m"), F.col("fp").alias("fp_to"))
-            gone = gone.unionByName(_first_of_links(verified(alive.join(other, "tok").where("to < id").where(worth).select("id", "to"))))
+            smaller = alive.where(early).select("tok", F.col("id").alias("with"), F.col("n").alias("m"), F.col("fp").alias("fp_to"), F.col("pos").alias("pos_to"), F.col("bits").alias("bits_to"))
+            met = alive.where("pos is not null").join(smaller, "tok").where("m < n or m = n and with < id").where(worth)
+            gone = gone.unionByName(_first_of_links(verified(met.select(F.greatest("id", "with").alias("id"), F.least("id", "with").alias("to")))))
             break
-        led = alive.join(lists.select("tok", F.col("least.id").alias("to"), F.col("least.n").alias("m"), F.col("least.fp").alias("fp_to")), "tok").where("id <> to")
+        led = alive.join(lists.select("tok", F.col("least.id").alias("to"), F.col("least.n").alias("m"), F.col("least.fp").alias("fp_to"), F.col("least.pos").alias("pos_to"), F.col("least.bits").alias("bits_to")), "tok").where("id <> to")
         led = stored(led.select("id", "to", worth.alias("worth")).distinct())
         led = stored(led.join(led.select(F.col("id").alias("to")).distinct(), "to", "left_anti"))  # those that are least in all their lists stay
         new = cut(verified(led.where("worth").select("id", "to")).groupBy("id").agg(F.min("to").alias("to")))
@@ -301,7 +315,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     options: those of judged(). In the order of ids a document goes if one that stays has, with it, a Jaccard similarity of the sets of shingles of
     `width` words of `similarity` or more; the least such one is its keep_id. So no two that stay are that alike. Candidates are
     the groups of near_groups() (shingles of `print_width` words, `budget` bits) and, as those miss most pairs with more than
-    few edits, all documents that share a shingle of their _sketches(), which misses none. Candidates whose fingerprints differ in more than
+    few edits, all documents that share a shingle of their _sketches() at a place early enough for the similarity, which misses none. Candidates whose fingerprints differ in more than
     `far` bits aren't compared: of 64 bits, 24 is some six standard deviations more than a pair at 0.8 has (an estimate). Each list of candidates is first
     compared with its least document only, once that is known to stay, so a group of copies takes as many comparisons as it
     has members; texts of equal sets are one candidate; what remains after `rounds` of that, or earlier if it is little, is compared pair by pair.
