@@ -43,10 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), for wide or many rows: as a compressed table in the shared folder."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like cut(), for wide or many rows: as a compressed table in the shared folder; with its path."""
     df.write.parquet(path := f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    return stored_at(df)[0]
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table of stored_at() that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession) -> None:
