@@ -210,19 +210,25 @@ def _sketches(texts: DataFrame, width: int, print_width: int, similarity: float)
     return texts.select("id", of("text").alias("x")).select("id", "x.*")
 
 
-def _first_of_links(links: DataFrame) -> DataFrame:
-    """links (id, to), to < id -> (id, to): nodes that go, taking them from the least: one goes if a lesser one that stays is linked to it."""
-    gone = None
+def _settled(links: DataFrame) -> DataFrame:
+    """links (id, to) -> (id, to): the nodes that go, each with the least of those that stay and are linked to it; no two that stay are linked.
+
+    In each round the nodes that come before all their neighbours stay, and these go. First come those with the most links, of equals in a random
+    order (by a hash), in which the longest chain of nodes that wait for each other has about as many as the logarithm of their number: rounds are few.
+    """
+    both = links.select("id", "to").unionByName(links.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct()
+    ranked = both.groupBy("id").agg(F.count("*").alias("n")).select("id", F.struct(-F.col("n"), F.xxhash64("id"), "id").alias("place"))
+    links = cut(both.join(ranked, "id").join(ranked.select(F.col("id").alias("to"), F.col("place").alias("place_to")), "to"))
+    gone = []
     while not links.isEmpty():
-        first = links.join(links.select(F.col("id").alias("to")).distinct(), "to", "left_anti")
-        new = cut(first.groupBy("id").agg(F.min("to").alias("to")))
-        gone = new if gone is None else gone.unionByName(new)
-        done = cut(new.select("id").unionByName(first.select(F.col("to").alias("id"))).distinct())
-        links = cut(links.join(done, "id", "left_anti").join(done.select(F.col("id").alias("to")), "to", "left_anti").select("id", "to"))
-    return links if gone is None else gone
+        stay = links.groupBy("id").agg(F.first("place").alias("place"), F.min("place_to").alias("next")).where("place < next").select(F.col("id").alias("to"))
+        gone.append(cut(links.join(stay, "to").groupBy("id").agg(F.min("to").alias("to"))))
+        done = cut(gone[-1].select("id").unionByName(stay.select(F.col("to").alias("id"))))
+        links = cut(links.join(done, "id", "left_anti").join(done.select(F.col("id").alias("to")), "to", "left_anti"))
+    return reduce(DataFrame.unionByName, gone) if gone else links.select("id", "to")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8, print_width: int = 3, far: int = 24, rounds: int = 4) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 3, similarity: float = 0.8, print_width: int = 3, rounds: int = 4) -> DataFrame:
     """near_duplicates() with the columns of docs together in one, doc: whatever their names, none is lost."""
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"))
     small_batches(docs.sparkSession)
@@ -238,8 +244,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     copies = sketches.groupBy("digest").agg(F.min("id").alias("to"), F.count("*").alias("c")).where("c > 1")
     copies = stored(sketches.select("id", "digest").join(copies, "digest").where("id <> to").select("id", "to"))
     single = sketches.join(copies.select("id"), "id", "left_anti")
-    prints = stored(single.select("id", "n", "fp", "bits"))
-    groups = prints.join(_grouped(prints, budget), "fp").select("id", F.xxhash64("component_id").alias("tok"))
+    prints = stored(single.select("id", "n", "bits"))
+    of_print = stored(single.select("id", "fp"))
+    groups = of_print.join(_grouped(of_print, budget), "fp").select("id", F.xxhash64("component_id").alias("tok"))
     # Lists of candidates: documents with a tok in common. What two sets share is at most what either has from the first shared tok on, so
     # this one's place in the smaller set is early, and a list in which no document has its tok early holds no pair.
     early = F.col("pos") <= (1 - similarity) / (1 + similarity) * F.col("n") + 1e-6
@@ -268,7 +275,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     # A shingle that only one of two sets has changes one slot's parity, so slots that differ are no more than such shingles.
     slots = reduce(Column.__add__, [F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_to")[k])) for k in range(4)])
     close = slots <= (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
-    worth = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & F.coalesce(left, F.lit(True)) & close & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_to"))) <= far)
+    worth = (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & F.coalesce(left, F.lit(True)) & close
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (id, to) those that are alike. Only texts of documents in a pair are moved, where Spark finds their ids few enough to broadcast.
@@ -287,16 +294,16 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     gone = alive.select("id", F.col("id").alias("to")).limit(0)
     for k in range(rounds + 1):
-        lists = cut(alive.groupBy("tok").agg(F.min(F.struct("id", "n", "fp", "pos", "bits")).alias("least"), F.count("*").alias("c"), F.count_if(early).alias("e")).where("c > 1"))
+        lists = cut(alive.groupBy("tok").agg(F.min(F.struct("id", "n", "pos", "bits")).alias("least"), F.count("*").alias("c"), F.count_if(early).alias("e")).where("c > 1"))
         rows, pairs = lists.agg(F.sum("c"), F.sum(F.col("c").cast("double") * F.col("e"))).first()
         if not rows:
             break
         if k == rounds or pairs <= 4 * rows:
-            smaller = alive.where(early).select("tok", F.col("id").alias("with"), F.col("n").alias("m"), F.col("fp").alias("fp_to"), F.col("pos").alias("pos_to"), F.col("bits").alias("bits_to"))
+            smaller = alive.where(early).select("tok", F.col("id").alias("with"), F.col("n").alias("m"), F.col("pos").alias("pos_to"), F.col("bits").alias("bits_to"))
             met = alive.where("pos is not null").join(smaller, "tok").where("m < n or m = n and with < id").where(worth)
-            gone = gone.unionByName(_first_of_links(verified(met.select(F.greatest("id", "with").alias("id"), F.least("id", "with").alias("to")))))
+            gone = gone.unionByName(_settled(verified(met.select(F.greatest("id", "with").alias("id"), F.least("id", "with").alias("to")))))
             break
-        led = alive.join(lists.select("tok", F.col("least.id").alias("to"), F.col("least.n").alias("m"), F.col("least.fp").alias("fp_to"), F.col("least.pos").alias("pos_to"), F.col("least.bits").alias("bits_to")), "tok").where("id <> to")
+        led = alive.join(lists.select("tok", F.col("least.id").alias("to"), F.col("least.n").alias("m"), F.col("least.pos").alias("pos_to"), F.col("least.bits").alias("bits_to")), "tok").where("id <> to")
         led = stored(led.select("id", "to", worth.alias("worth")).distinct())
         led = stored(led.join(led.select(F.col("id").alias("to")).distinct(), "to", "left_anti"))  # those that are least in all their lists stay
         new = cut(verified(led.where("worth").select("id", "to")).groupBy("id").agg(F.min("to").alias("to")))
@@ -312,13 +319,14 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """All columns of docs, with keep_id (the document that stands for this one) and kept.
 
-    options: those of judged(). In the order of ids a document goes if one that stays has, with it, a Jaccard similarity of the sets of shingles of
-    `width` words of `similarity` or more; the least such one is its keep_id. So no two that stay are that alike. Candidates are
+    options: those of judged(). Two documents are alike if their sets of shingles of `width` words have a Jaccard similarity of
+    `similarity` or more. No two that stay are alike, and each that goes is alike one that stays, its keep_id. Candidates are
     the groups of near_groups() (shingles of `print_width` words, `budget` bits) and, as those miss most pairs with more than
-    few edits, all documents that share a shingle of their _sketches() at a place early enough for the similarity, which misses none. Candidates whose fingerprints differ in more than
-    `far` bits aren't compared: of 64 bits, 24 is some six standard deviations more than a pair at 0.8 has (an estimate). Each list of candidates is first
+    few edits, all documents that share a shingle of their _sketches() at a place early enough for the similarity, which misses none; what takes
+    a candidate out unseen are bounds that hold for every pair. Each list of candidates is first
     compared with its least document only, once that is known to stay, so a group of copies takes as many comparisons as it
-    has members; texts of equal sets are one candidate; what remains after `rounds` of that, or earlier if it is little, is compared pair by pair.
+    has members; texts of equal sets are one candidate; what remains after `rounds` of that, or earlier if it is little, is compared pair by pair,
+    and of what is alike there those with the most links stay first.
     Null ids and ids whose rows differ in text take no part and stay. Null and empty texts are alike, and texts shorter than a shingle
     only as a whole. Texts are compared whole, however long. Empty input gives no rows. Columns of docs named keep_id or kept are replaced.
     """
