@@ -152,22 +152,32 @@ def prototypes(labelled: DataFrame, text_col: str, lang_col: str, size: int, see
     return langs, made
 
 
+def training_rows(rows: DataFrame, train_rows: int) -> DataFrame:
+    """Of rows (id, text, lang, held_out) about `train_rows` at most for each language, chosen by a hash of id and text, all of a language that has no more.
+
+    Null texts and langs, and rows held out, aren't chosen.
+    """
+    usable = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    whole = 1 << 62
+    rates = usable.groupBy("lang").count().withColumn("below", F.floor(F.least(F.lit(1.0), F.lit(float(train_rows)) / F.col("count")) * whole))
+    # A row for each language: so small that Spark broadcasts it.
+    chosen = usable.join(stored(rates.drop("count")), "lang")
+    return chosen.where(F.pmod(F.xxhash64("id", "text", F.lit("train")), F.lit(whole)) < F.col("below"))
+
+
 def identify(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 1024, train_rows: int = 5_000, seed: int = 7) -> DataFrame:
     """One row for each row of docs: id, held_out, lang_pred, score (0 to 1: (1 + cosine) / 2).
 
-    held_out: SQL condition on columns of docs; such rows are never learned from. Prototypes come, for each language, from at most
-    about `train_rows` other rows with text and lang, chosen by a hash of the id; so a rare language is learned from too. A null text, or one without a letter, is `und` with score
+    held_out: SQL condition on columns of docs; such rows are never learned from. Prototypes come from the training_rows() of the
+    others, so a rare language is learned from too. A null text, or one without a letter, is `und` with score
     0, as is everything when there is nothing to learn from. Of equal cosines the first language by name wins. lang,
     source and id are no inputs of a prediction; other columns of docs aren't returned. Repeated rows are judged alike. Texts are
-    read whole, long ones piece by piece.
+    read whole, long ones piece by piece. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     held = F.coalesce(F.expr(held_out), F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held.alias("held_out"))
-    usable = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    whole = 1 << 62
-    rates = usable.groupBy("lang").count().withColumn("below", F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), F.lit(float(train_rows)) / F.col("count")) * whole)))
-    chosen = usable.join(stored(rates.drop("count")), "lang")  # a row for each language: so small that Spark broadcasts it.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(whole)) <= F.col("below"))
+    chosen = training_rows(rows, train_rows)
     langs, made = prototypes(chosen, "text", "lang", size, seed)
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     made = unit(made)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import queries
 from millrace.llm.html_text import apply_tree, extract_pages, fitted_tree, labelled_table, main_text
-from millrace.llm.language_id import bundles, gram_vectors, identify
+from millrace.llm.language_id import bundles, gram_vectors, identify, training_rows
 from millrace.llm.language_model import BUCKETS, _bucket, learn_weights, score_texts
 from millrace.llm.sentencepiece_viterbi import MARK, Encoder, Search, Vocabulary, decode, decode_documents, encode_documents
 
@@ -191,6 +191,54 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in identify(docs, "true").collect()} == {"und"}
 
 
+def test_training_rows_are_bounded_and_rare_languages_kept(spark, sf):
+    few = [(k, f"text {k}", "rare", k % 3 == 1) for k in range(30)]
+    rows = spark.createDataFrame([(k, f"text {k}", "en", k % 3 == 1) for k in range(3000)] + few + [(7, None, "en", False), (8, "x", None, False)] + [(None, f"n {k}", "null", False) for k in range(900)], "id long, text string, lang string, held_out boolean")
+    got = {r.lang: r["count"] for r in training_rows(rows, 100).groupBy("lang").count().collect()}
+    assert got["rare"] == 20 and 60 < got["en"] < 140 and 60 < got["null"] < 140
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang", F.lit(False).alias("held_out"))
+    assert 0 < training_rows(docs, 10).count() < 100  # four languages
+    assert training_rows(docs, 10**9).count() == docs.where("text is not null and lang is not null").count()
+
+
+def plain_languages(rows, size=1024, seed=7):
+    """Every letter trigram by itself, with the definition's numbers."""
+
+    def grams(text):
+        letters = [32]
+        for c in (text or "") + " ":
+            c = ord(c.lower()) if c.isalpha() else 32
+            if c != 32 or letters[-1] != 32:
+                letters.append(c)
+        return [g for g in zip(letters, letters[1:], letters[2:], strict=False) if g[1] != 32]
+
+    known = {}
+    bundle = lambda gs: sum((known.setdefault(g, gram_vectors(np.array([g], np.uint32), size, seed)[0].astype(float)) for g in gs), np.zeros(size))
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-9)
+    sums = {}
+    for d, t, lang in rows:
+        if d % 3 != 1 and t is not None and lang is not None:
+            sums[lang] = sums.get(lang, 0) + unit(bundle(grams(t)))
+    langs = sorted(sums)
+    made = np.array([unit(sums[x]) for x in langs])
+    mean = made.mean(0)
+    out = {}
+    for d, t, _ in rows:
+        x = bundle(grams(t))
+        cos = [float(unit(unit(x) - mean) @ unit(m - mean)) for m in made]
+        out[d] = (langs[int(np.argmax(cos))], (1 + max(cos)) / 2) if x.any() else ("und", 0.0)
+    return out
+
+
+def test_languages_by_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text[:400], r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(9001, "𝔘𝔫 \u00fcber", "de"), (9002, None, "en"), (9003, "1 2 3", None)]
+    want = plain_languages(rows)
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id % 3 = 1").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-4), r
+
+
 def test_tree_fits_its_table():
     table = labelled_table()
     assert ((apply_tree(fitted_tree(), table[:, :-1]) > 0.5) == table[:, -1]).all()
