@@ -56,19 +56,6 @@ def describe(ranks: dict[bytes, int], pattern: str = PATTERN) -> str:
     return made.to_str()
 
 
-#: The encoder of this Python worker, with what it is for: tasks that follow each other share it.
-_WORKER: list[tuple[str, object]] = []
-
-
-def _encoder(key: str, described):
-    if not _WORKER or _WORKER[0][0] != key:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        _WORKER[:] = [(key, Tokenizer.from_str(described()))]
-    return _WORKER[0][1]
-
-
 def parts_of(text: str, size: int = _PART) -> list[str]:
     """The text in parts of about `size` code points, cut where PATTERN has no match across; a stretch without such a place stays whole."""
     parts, at = [], 0
@@ -77,33 +64,98 @@ def parts_of(text: str, size: int = _PART) -> list[str]:
     return [*parts, text[at:]]
 
 
-def encode(encoder, texts: pa.Array, offsets: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, how many each text has, and (offsets) the code point at which each id's first character begins."""
-    ids, starts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
-    waiting: list[tuple[int, int, str]] = []  # text, code points before the part, part
+def stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts cut before each space or line end that follows no white space, where PATTERN has no match across; and how many stretches each text has.
+
+    After a character whose last bytes could be those of white space beyond ASCII no cut is made.
+    """
+    data = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    code, ends = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    cut = np.zeros(len(code) + 1, bool)
+    cut[1:-1] = ((code[1:] == 32) | (code[1:] == 10)) & (code[:-1] > 32)
+    cut[2:-1] &= (code[1:-1] < 0x80) | ~np.isin(code[:-2], (0x80, 0x81, 0x9A, 0xC2))
+    cut[ends] = True
+    cut[-1] = False
+    begins = np.flatnonzero(cut)
+    of = np.bincount(np.searchsorted(ends, begins, "right") - 1, minlength=len(texts))
+    return pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(np.append(begins, len(code))), pa.py_buffer(np.ascontiguousarray(code))]), of
+
+
+def _ranges(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of each range, one after another."""
+    return values[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
-    def work() -> None:
-        run = encoder.encode_batch if offsets else encoder.encode_batch_fast
-        for (k, base, _), done in zip(waiting, run([p for *_, p in waiting], add_special_tokens=False), strict=True):
-            found = np.array(done.ids, np.int32)
-            sizes[k] += len(found)
-            ids.append(found)
-            if offsets:
-                starts.append(np.array(done.offsets, np.int32).reshape(-1, 2)[:, 0] + base)
-        waiting.clear()
 
-    held = 0
-    for at, some in in_slices(texts, 1 << 20):
-        for k, text in enumerate(some.to_pylist(), at):
+class Encoder:
+    """The library's encoder, which sees each different stretch of the texts that it gets together once, many of them side by side in one string."""
+
+    def __init__(self, described: str, lengths: np.ndarray):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.library, self.lengths = Tokenizer.from_str(described), lengths
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _side_by_side(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and how many each has. The texts, each begun by a space or line end and ended by neither, are cut apart again by the bytes of the ids."""
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        parts, first = [np.zeros(0, np.int32)], 0
+        while first < len(texts):  # about _PART bytes at a time
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _PART, "right")))
+            parts += map(self._ids, parts_of("".join(texts[first:last])))
+            first = last
+        ids = np.concatenate(parts)
+        upto = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "right") if len(ids) else np.zeros(len(texts), np.int64)
+        return ids, np.diff(upto, prepend=0)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (some megabytes together) one after another, and how many each text has."""
+        cut, of = stretches(texts)
+        coded = cut.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        fits = np.fromiter((x[0] in " \n" and not x[-1].isspace() for x in different), bool, len(different))
+        ids, sizes = self._side_by_side([different[k] for k in np.flatnonzero(fits)])
+        alone = [[*map(self._ids, parts_of(different[k]))] for k in np.flatnonzero(~fits)]
+        values = np.concatenate([ids, *(part for parts in alone for part in parts)])
+        every = np.zeros(len(different), np.int64)
+        every[fits], every[~fits] = sizes, [sum(map(len, parts)) for parts in alone]
+        starts = np.empty(len(different), np.int64)
+        starts[fits] = np.cumsum(sizes) - sizes
+        starts[~fits] = len(ids) + np.cumsum(every[~fits]) - every[~fits]
+        each = coded.indices.to_numpy(zero_copy_only=False)
+        upto = np.append(0, np.cumsum(every[each]))
+        return _ranges(values, starts[each], every[each]), np.diff(upto[np.append(0, np.cumsum(of))])
+
+    def with_offsets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, how many each text has, and the code point at which each id's first character begins; texts are encoded whole, part by part."""
+        ids, starts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
             base = 0
             for part in parts_of(text or ""):
-                waiting.append((k, base, part))
-                base, held = base + len(part), held + len(part)
-                if held >= _PART:
-                    work()
-                    held = 0
-    work()
-    return np.concatenate(ids), sizes, np.concatenate(starts)
+                done = self.library.encode(part, add_special_tokens=False)
+                ids.append(np.array(done.ids, np.int32))
+                starts.append(np.array(done.offsets, np.int32).reshape(-1, 2)[:, 0] + base)
+                sizes[k] += len(ids[-1])
+                base += len(part)
+        return np.concatenate(ids), sizes, np.concatenate(starts)
+
+
+#: The encoder of this Python worker, with what it is for: tasks that follow each other share it.
+_WORKER: list[tuple[str, Encoder]] = []
+
+
+def _encoder(key: str, shared) -> Encoder:
+    if not _WORKER or _WORKER[0][0] != key:
+        _WORKER[:] = [(key, Encoder(*shared.value))]
+    return _WORKER[0][1]
+
+
+def _lengths(ranks: dict[bytes, int]) -> np.ndarray:
+    """The number of bytes of each id."""
+    return np.array([len(token) for token in _table(ranks)], np.int64)
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -119,14 +171,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, text_col: str = "text", p
     part; their ids are one array.
     """
     small_batches(docs.sparkSession)
-    described = docs.sparkSession.sparkContext.broadcast(describe(read_ranks(ranks_path), pattern))  # a few times the rank file
-    key = uuid.uuid4().hex
+    ranks = read_ranks(ranks_path)
+    shared, key = docs.sparkSession.sparkContext.broadcast((describe(ranks, pattern), _lengths(ranks))), uuid.uuid4().hex  # a few times the rank file
+
+    def in_parts(texts: pa.Array, run) -> list[np.ndarray]:
+        out = [run(some) for _, some in in_slices(texts, 4 << 20)] or [run(texts)]
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     if offsets:
 
         @F.arrow_udf("struct<ids: array<int>, starts: array<int>>")
         def found(texts: pa.Array) -> pa.Array:
-            ids, sizes, starts = encode(_encoder(key, lambda: described.value), texts, True)
+            encoder = _encoder(key, shared)
+            ids, sizes, starts = in_parts(texts, lambda some: encoder.with_offsets(some.to_pylist()))
             return pa.StructArray.from_arrays([_lists(ids, sizes), _lists(starts, sizes)], ["ids", "starts"])
 
         rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "starts", "n_ids")]
@@ -135,8 +192,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, text_col: str = "text", p
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        ids, sizes, _ = encode(_encoder(key, lambda: described.value), texts)
-        return _lists(ids, sizes)
+        encoder = _encoder(key, shared)
+        return _lists(*in_parts(texts, encoder.encode))
 
     # Said to be non-deterministic, so that Spark doesn't encode again for each later use of the ids.
     return docs.withColumn("ids", ids_of.asNondeterministic()(F.col(f"`{text_col}`"))).withColumn("n_ids", F.size("ids").cast("long"))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -66,6 +67,22 @@ def test_long_texts_are_cut_where_no_match_is(spark, tik):
     assert row.ids == tik.encode_ordinary(big) and row.starts[-1] >= len(big) - 2
 
 
+@pytest.mark.parametrize("part", [10, 1 << 18])
+def test_stretches_side_by_side(tik, part, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "_PART", part)
+    rng = random.Random(6)
+    pieces = ("word", "x", " ", "  ", "\n", "\n\n", "12", "\u00e9", "'s", "\u3001", "!?", "\u00a0", "\u3000", "\u2003", "\u1680", "\u0085", "\u2028", "ab,", "\x1c", "\t", "\r", "\u2026", "\u00c0", "\U0001f642")
+    ranks = byte_bpe.read_ranks(queries.RANKS)
+    encoder = byte_bpe.Encoder(byte_bpe.describe(ranks), byte_bpe._lengths(ranks))
+    for _ in range(6):
+        texts = [None, "", *("".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(200)), *odd_texts()]
+        ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+        want = [tik.encode_ordinary(t or "") for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        cut, of = byte_bpe.stretches(pa.array(texts, pa.string()).slice(3))
+        assert of.sum() == len(cut) and "".join(cut.to_pylist()) == "".join(t or "" for t in texts[3:])
+
+
 def test_split_characters(spark, tik):
     text = "ok 🙂🙃 日 \U0001f9ff"
     ids = tik.encode_ordinary(text)
