@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.automaton import best_pattern
+
 
 def distinctive_name(title: Column, marker: str = " field ", wrappers: str = r"^Programme of ") -> Column:
     """The title without a trailing parenthesis: what follows the first marker, else what the wrappers leave."""
@@ -25,6 +27,18 @@ def normalise_title(title: Column, wrappers: list[str], light: list[str]) -> Col
     return F.coalesce(F.nullif(clean(wrappers), F.lit("")), clean(light))
 
 
+def rationale_key(wrappers: list[str]):
+    """A function of a title: without parentheses, wrapper words and spaces, which may leave nothing: what a model's keys are compared by when they aren't the titles."""
+    pattern = "|".join(re.escape(w) for w in sorted(wrappers, key=lambda w: (-len(w), w)))
+    return lambda title: F.replace(F.regexp_replace(F.regexp_replace(title, r"\s*\([^)]*\)\s*", ""), pattern, ""), F.lit(" "), F.lit(""))
+
+
+def short_title(title: Column, marker: str = " field ", before: str = r"^Programme of\s*", after: str = r"$^") -> Column:
+    """For a list on a screen: the title without its year, what follows the last marker, else without what stands before and after names."""
+    bare = F.trim(F.regexp_replace(title, r"\s*\([^()]*\d{4}\)\s*", ""))
+    return F.when(F.instr(bare, marker) > 0, F.trim(F.substring_index(bare, marker, -1))).otherwise(F.trim(F.regexp_replace(F.regexp_replace(bare, before, ""), after, "")))
+
+
 def edition_year(title: Column) -> Column:
     """The first 25xx year in a title, 0 if none."""
     return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(title, r"25\d{2}", 0), F.lit("")), F.lit("9999")).cast("int"), F.lit(0))
@@ -38,33 +52,31 @@ def name_variants(name: Column, prefixes: list[str], aliases: Column | None = No
 
 
 def _after(prefix: str):
-    return lambda x: F.when(F.startswith(x, F.lit(prefix)), F.substring(x, len(prefix) + 1, 10_000)).otherwise(F.lit(""))
-
+    return lambda x: F.when(F.startswith(x, F.lit(prefix)), F.substring(x, F.lit(len(prefix) + 1), F.length(x))).otherwise(F.lit(""))
 
-#: Characters of a piece.
-_PIECE = 4
 
+def longest_match(questions: DataFrame, id_col: str, text: str, names: DataFrame, name: str, variants: str, payload: list[str], target: Column | None = None, **limits) -> DataFrame:
+    """questions with the programme whose longest name has a variant in the text (ties by name, then payload); null where none has.
 
-def _pieces(text: Column, n: int) -> Column:
-    """The different runs of n characters of a text; a shorter text is one run."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n))))
+    target: what of the question is looked at, by default the text as it is. limits: those of the automaton's size.
+    """
+    listed = names.select(F.col(name).alias("_name"), F.explode(variants).alias("_v"), *payload)
+    order = F.struct((-F.length("_name")).alias("_l"), "_name", *payload)
+    best = listed.where("_v <> ''").groupBy("_v").agg(F.min(order).alias("_o"))
+    found = best_pattern(questions, F.col(text) if target is None else target, best, "_v", "_o", "_v", **limits)
+    return found.join(best, "_v", "left").select(*questions.columns, F.col("_o._name").alias("matched"), *[F.col(f"_o.{c}").alias(c) for c in payload])
 
 
-def longest_match(questions: DataFrame, id_col: str, text: str, names: DataFrame, name: str, variants: str, payload: list[str]) -> DataFrame:
-    """questions with the programme whose longest name has a variant in the text (ties by name); null where none has.
+def find_programme(questions: DataFrame, id_col: str, text: str, names: DataFrame, name: str, payload: list[str], aliases: list[tuple[str, str]], wrappers: list[str], light: list[str], prefixes: list[str], expand: bool = True, other_names: str | None = None, **limits) -> DataFrame:
+    """longest_match() of normalised names in the normalised question, which first gets the terms of the aliases in it behind it (expand).
 
-    A text can only hold a variant if it holds each piece of it of a few characters: texts and variants meet by an equal join on the
-    variant's piece that the fewest variants have, and only what meets is looked at.
+    Without expand it is for full titles: the aliases' terms would lead them to other programmes. other_names: a column of names, an array of further names of a programme.
     """
-    listed = names.select(F.col(name).alias("_name"), F.explode(variants).alias("_v"), *payload).where("_v <> ''")
-    pieces = listed.select("_v").distinct().select("_v", F.explode(_pieces(F.col("_v"), _PIECE)).alias("_p"))
-    anchors = pieces.join(pieces.groupBy("_p").agg(F.count("*").alias("_n")), "_p").groupBy("_v").agg(F.min(F.struct("_n", "_p"))["_p"].alias("_p"))
-    # A variant shorter than a piece is its own.
-    held = F.array_distinct(F.flatten(F.array(*[_pieces(F.col(text), k) for k in range(1, _PIECE + 1)])))
-    met = questions.select(id_col, F.explode(held).alias("_p")).join(anchors, "_p").select(id_col, "_v").distinct()
-    hits = questions.select(id_col, text).join(met, id_col).where(F.col(text).contains(F.col("_v"))).join(listed, "_v")
-    best = hits.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(F.length("_name")), "_name", *payload))).where("_r = 1")
-    return questions.join(best.select(id_col, F.col("_name").alias("matched"), *payload), id_col, "left")
+    normal = lambda x: normalise_title(x, wrappers, light)
+    more = F.transform(other_names, normal) if other_names else None
+    listed = names.withColumn("_variants", name_variants(normal(F.col(name)), prefixes, more))
+    target = normal(expand_query(F.col(text), aliases) if expand else F.col(text))
+    return longest_match(questions, id_col, text, listed, name, "_variants", payload, target, **limits)
 
 
 def alias_present(alias: str, lowered: Column) -> Column:

@@ -43,6 +43,13 @@ def longest_match_join(s, d):
     return E.longest_match(_questions(s, d), "q_id", "q", names, "name", "variants", ["fee"]).select("q_id", "matched", F.coalesce("fee", F.lit(-1)).alias("fee"))
 
 
+def programme_of_question(s, d):
+    """Questions with their aliases' terms behind them, normalised as the programmes' names are."""
+    names = courses(s, d).groupBy("name").agg(F.min("fee").alias("fee"))
+    found = E.find_programme(_questions(s, d), "q_id", "q", names, "name", ["fee"], ALIASES, WRAPPERS, LIGHT, ["Small", "Red", "Hot"])
+    return found.select("q_id", "matched", F.coalesce("fee", F.lit(-1)).alias("fee"))
+
+
 def alias_match(s, d):
     low = F.lower("text")
     return TALK(s, d).select("conv_id", "turn", *[E.alias_present(a, low).alias(f"a{k}") for k, (a, _) in enumerate(ALIASES)])
@@ -105,7 +112,7 @@ def rank_backmap(s, d):
     return ranked.select("brand", "rank", F.when(F.col("rank") == 1, "primary").otherwise("alternative").alias("kind"), "name", "course_id")
 
 
-QUERIES = {f.__name__: f for f in (distinctive_name, normalise_title, name_variants, longest_match_join, alias_match, expand_query, expand_only, resolve_scope, resolve_scopes, narrow_by_year, search_text, mentions, title_reconcile, decode_labels, facts_lookup, rank_backmap)}
+QUERIES = {f.__name__: f for f in (distinctive_name, normalise_title, name_variants, longest_match_join, programme_of_question, alias_match, expand_query, expand_only, resolve_scope, resolve_scopes, narrow_by_year, search_text, mentions, title_reconcile, decode_labels, facts_lookup, rank_backmap)}
 
 
 def _present(alias: str, text: str) -> str:
@@ -114,10 +121,21 @@ def _present(alias: str, text: str) -> str:
 
 _FOUND = "list_filter([" + ", ".join(f"case when {_present(a, 'lower(q)')} and not contains(q, '{f}') then '{f}' end" for a, f in ALIASES) + "], lambda x: x is not null)"
 #: A term is left out if the earlier ones hold it.
-_TERMS = f"""with recursive t as (select conv_id, turn, text as q from conversations), f as (select conv_id, turn, q, {_FOUND} as found from t),
-    fold(conv_id, turn, q, found, i, got) as (select conv_id, turn, q, found, 1, '' from f
-        union all select conv_id, turn, q, found, i + 1, case when contains(got, found[i]) then got when got = '' then found[i] else got || ' ' || found[i] end from fold where i <= len(found)),
-    terms as (select conv_id, turn, q, got from fold where i = len(found) + 1)"""
+def _terms(source: str, key: str) -> str:
+    return f"""f as (select {key}, q, {_FOUND} as found from {source}),
+    fold({key}, q, found, i, got) as (select {key}, q, found, 1, '' from f
+        union all select {key}, q, found, i + 1, case when contains(got, found[i]) then got when got = '' then found[i] else got || ' ' || found[i] end from fold where i <= len(found)),
+    terms as (select {key}, q, got from fold where i = len(found) + 1)"""
+
+
+_TERMS = "with recursive t as (select conv_id, turn, text as q from conversations), " + _terms("t", "conv_id, turn")
+
+
+def _normal(x: str) -> str:
+    bare = f"regexp_replace({x}, '\\s*\\([^)]*\\)\\s*', '', 'g')"
+    return f"coalesce(nullif(replace(regexp_replace({bare}, 'Economy field|Programme of |Standard|Economy|field', '', 'g'), ' ', ''), ''), replace(regexp_replace({bare}, 'Programme of ', '', 'g'), ' ', ''))"
+
+
 _ORDERED = sorted(NAMES, key=lambda n: (-len(n), n))
 _SCOPE = "coalesce(" + ", ".join([f"case when contains(lower(q), '{n.lower()}') then '{n}' end" for n in _ORDERED] + [f"case when {_present(a, 'lower(q)')} then '{[n for n in NAMES if n in f][0]}' end" for a, f in ALIASES if any(n in f for n in NAMES)]) + ")"
 
@@ -150,6 +168,11 @@ ORACLES = {
         v as (select name, fee, name as v from n union select name, fee, substr(name, length(p) + 1) from n, (values ('Small '), ('Red '), ('Hot ')) as x(p) where starts_with(name, p) and length(name) - length(p) > 3),
         h as (select q_id, name, fee, row_number() over (partition by q_id order by length(name) desc, name, fee) as rn from questions join v on contains(q, v))
         select q_id, name as matched, coalesce(fee, -1) as fee from questions left join (select * from h where rn = 1) using (q_id)""",
+    "programme_of_question": _QUESTIONS.replace("with ", "with recursive ", 1) + ", " + _terms("questions", "q_id") + f""", n as (select name, {_normal("name")} as base, min(fee) as fee from courses group by name),
+        v as (select name, fee, base as v from n union select name, fee, substr(base, length(p) + 1) from n, (values ('Small'), ('Red'), ('Hot')) as x(p) where starts_with(base, p) and length(base) - length(p) > 3),
+        a as (select q_id, {_normal("case when got = '' then q else q || ' ' || got end")} as target from terms),
+        h as (select q_id, name, fee, row_number() over (partition by q_id order by length(name) desc, name, fee) as rn from a join v on contains(target, v))
+        select q_id, name as matched, coalesce(fee, -1) as fee from questions left join (select * from h where rn = 1) using (q_id)""",
     "alias_match": "select conv_id, turn, " + ", ".join(f"{_present(a, 'lower(text)')} as a{k}" for k, (a, _) in enumerate(ALIASES)) + " from conversations",
     "expand_query": _TERMS + " select conv_id, turn, case when got = '' then q else q || ' ' || got end as expanded from terms",
     "expand_only": _TERMS + " select conv_id, turn, got as terms from terms",
