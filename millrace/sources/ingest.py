@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import strip
-
-MAX_BYTES = 50 * 1024 * 1024
+from millrace.sources.page_source import MAX_BYTES, pages_or_error, pdf_pages
+from millrace.sources.page_source import SCHEMA as PAGE_SCHEMA
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,33 +32,27 @@ def pages_of(docs: DataFrame, text: Column, by: str = "\n\n") -> DataFrame:
     return docs.select("*", F.posexplode(split_pages(text, by)).alias("page_number", "page_text")).withColumn("page_number", F.col("page_number") + 1)
 
 
-def read_text_pages(files: DataFrame) -> DataFrame:
-    """(path, sha256, page_number, page_text) of usable text files."""
-    texts = files.where("reason is null and kind = 'txt'").withColumn("text", F.decode("content", "UTF-8"))
-    return pages_of(texts, F.col("text")).select("path", "sha256", "page_number", "page_text")
-
-
-def read_pdf_pages(files: DataFrame, extract=None) -> DataFrame:
-    """The same of PDF files. extract: bytes -> list of page texts; by default from the pypdf library, where it is installed."""
-
-    def pages(batches):
-        def by_library(data: bytes) -> list[str]:
-            import io
-
-            import pypdf
+def pages_and_errors(files: DataFrame, extract=None) -> DataFrame:
+    """(path, sha256, page_number, page_text, error): the pages of all files, and a row with an error, without a page, for each file that can't be read.
 
-            return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages]
+    extract: a PDF's bytes -> its pages' texts; by default the pypdf library, where it is installed. One bad file leaves the others' pages alone.
+    """
 
+    def read(batches):
+        names = ("path", "sha256", "page_number", "page_text", "error")
+        schema = pa.schema([("path", pa.string()), ("sha256", pa.string()), ("page_number", pa.int32()), ("page_text", pa.string()), ("error", pa.string())])
         for batch in batches:
-            rows = [(r["path"], r["sha256"], k + 1, t) for r in batch.to_pylist() for k, t in enumerate((extract or by_library)(r["content"]))]
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "sha256", "page_number", "page_text"), r, strict=True)) for r in rows], pa.schema([("path", pa.string()), ("sha256", pa.string()), ("page_number", pa.int32()), ("page_text", pa.string())]))
+            for r in batch.to_pylist():
+                rows = pages_or_error(r["path"], r["length"], lambda r=r: r["content"], extract or pdf_pages)
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema)
 
-    return files.where("reason is null and kind = 'pdf'").select("path", "sha256", "content").mapInArrow(pages, "path string, sha256 string, page_number int, page_text string")
+    found = files.where("reason is null").select("path", "length", "content").mapInArrow(read, PAGE_SCHEMA)
+    return found.unionByName(files.where("reason is not null").select("path", "sha256", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("page_text"), F.col("reason").alias("error")))
 
 
 def read_pages(files: DataFrame, extract=None) -> DataFrame:
-    """Pages of all usable files, by kind."""
-    return read_text_pages(files).unionByName(read_pdf_pages(files, extract))
+    """(path, sha256, page_number, page_text) of the files that can be read."""
+    return pages_and_errors(files, extract).where("error is null").drop("error")
 
 
 def with_manifest(files: DataFrame, stem: str, manifest: DataFrame, key: str, name: str) -> DataFrame:

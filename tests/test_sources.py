@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import conversations as C
 from millrace.sources import ingest as I
+from millrace.sources.page_source import PageSource
 
 
 def test_files(spark, tmp_path):
@@ -17,6 +18,56 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, pages)) == [("a.txt", 1, "one"), ("a.txt", 2, "two"), ("b.pdf", 1, "p1"), ("b.pdf", 2, "p2")]
 
 
+#: Stands for a PDF library; workers import it.
+EXTRACT = """
+def extract(data):
+    if b"/Encrypt" in data:
+        raise PermissionError("encrypted")
+    if b"%%EOF" not in data:
+        raise ValueError("no end of file")
+    return data.split(b"\\n", 1)[1].decode().split("|")[:-1]
+"""
+
+
+def folder(top):
+    (top / "sub").mkdir()
+    (top / "a.txt").write_text("one\n\n two \n\n\n")
+    (top / "b.pdf").write_bytes(b"%PDF-1.7\np1|p2|%%EOF")
+    (top / "broken.pdf").write_bytes(b"%PDF-1.7\np1|p2|")
+    (top / "locked.pdf").write_bytes(b"%PDF-1.7\n/Encrypt|%%EOF")
+    (top / "c.pdf").write_bytes(b"nothing")
+    (top / "latin.txt").write_bytes(b"\xe9t\xe9")
+    (top / "empty.txt").write_bytes(b"")
+    (top / "sub/d.pdf").write_bytes(b"%PDF-1.7\nq1|%%EOF")
+    (top / "e.exe").write_bytes(b"x")
+    return sorted([
+        ("a.txt", 1, "one", None), ("a.txt", 2, "two", None), ("b.pdf", 1, "p1", None), ("b.pdf", 2, "p2", None), ("d.pdf", 1, "q1", None), ("broken.pdf", None, None, "ValueError: no end of file"), ("locked.pdf", None, None, "PermissionError: encrypted"),
+        ("c.pdf", None, None, "ValueError: not a PDF"), ("empty.txt", None, None, "ValueError: no pages"), ("e.exe", None, None, "ValueError: unknown kind"),
+    ], key=repr)
+
+
+def test_bad_files_leave_the_others_alone(spark, tmp_path):
+    (top := tmp_path / "docs").mkdir()
+    want = folder(top)
+    (tmp_path / "own_extractor.py").write_text(EXTRACT)
+    spark.sparkContext.addPyFile(str(tmp_path / "own_extractor.py"))
+    spark.dataSource.register(PageSource)
+    for size in (1, 1 << 20):  # a partition for each file, and one for all
+        rows = spark.read.format("document_pages").option("extract", "own_extractor:extract").option("groupBytes", size).load(str(top))
+        got = [(r.path.rsplit("/", 1)[1], r.page_number, r.page_text, r.error) for r in rows.collect()]
+        assert sorted((r for r in got if r[0] != "latin.txt"), key=repr) == want
+        assert [(p, t, e.split(":")[0]) for f, p, t, e in got if f == "latin.txt"] == [(None, None, "UnicodeDecodeError")]
+        assert rows.rdd.getNumPartitions() >= 8 if size == 1 else rows.rdd.getNumPartitions() == 1
+
+
+def test_errors_of_files_read_by_spark(spark, tmp_path):
+    folder(tmp_path)
+    exec(EXTRACT, own := {})
+    rows = I.pages_and_errors(I.read_files(spark, str(tmp_path)), lambda data: own["extract"](data)).select(F.substring_index("path", "/", -1).alias("f"), "page_number", "error").collect()
+    assert {r.f: r.error for r in rows if r.error and r.f != "latin.txt"} == {"broken.pdf": "ValueError: no end of file", "locked.pdf": "PermissionError: encrypted", "c.pdf": "not a PDF", "e.exe": "unknown kind"}
+    assert sorted(r.f for r in rows if not r.error) == ["a.txt", "a.txt", "b.pdf", "b.pdf", "d.pdf"]
+
+
 def test_partitions_are_replaced(spark, tmp_path):
     path = str(tmp_path / "chunks")
     rows = lambda *r: spark.createDataFrame(r, "content string, document_id int")
