@@ -38,3 +38,9 @@ def delimited(name: str, body: Column) -> Column:
     """Content that a model must not take as instructions, between markers that the content can't close."""
     safe = F.regexp_replace(body, f"</?{name}>", "")
     return F.concat(F.lit(f"<{name}>\n"), safe, F.lit(f"\n</{name}>"))
+
+
+def prompt(instructions: str, parts: list[tuple[str, Column]], reminder: str = "") -> Column:
+    """Instructions, then each part that is there as delimited() content, then a reminder, which weighs most at the end; blank lines between them."""
+    shown = [F.when(F.length(body) > 0, delimited(name, body)) for name, body in parts]
+    return F.concat_ws("\n\n", F.lit(instructions), *shown, *([F.lit(reminder)] if reminder else []))

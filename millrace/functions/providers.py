@@ -8,7 +8,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.folders import exists
+
 
 class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
@@ -47,30 +51,75 @@ class Stub:
         return hashlib.sha256(image).hexdigest()[:8]
 
 
-class Cooldowns:
-    """Models in order of preference, with the time until which each is to be left alone."""
+# Seconds for which a model is left alone once its daily quota is used up, the least for one that counts by the minute, what is
+# added to the time that it asks for, and the longest that a call waits for the next free model; and the words by which a refusal tells its kind.
+DAILY, LEAST, MARGIN, WAIT = 4 * 3600.0, 45.0, 2.0, 75.0
+PER_DAY, PER_MINUTE, RETRY = r"PerDay|(?i:per day)", r"PerMinute|(?i:per minute)", r'"retryDelay"\s*:\s*"(\d+(?:\.\d+)?)s"'
+
+
+class QuotaUsed(Exception):
+    """A model refuses because a quota is used up."""
+
+    def __init__(self, per_day: bool, retry_after: float = 0.0):
+        super().__init__(f"429: {'daily' if per_day else 'short'} quota used up")
+        self.per_day, self.retry_after = per_day, retry_after
 
-    DAILY, LEAST, WAIT = 4 * 3600.0, 45.0, 75.0
+    @staticmethod
+    def of(body: str) -> QuotaUsed:
+        """By a refusal's text. One that doesn't tell its kind counts as daily: another model costs less than waiting in vain."""
+        asked = re.search(RETRY, body)
+        daily = bool(re.search(PER_DAY, body)) or not (asked or re.search(PER_MINUTE, body))
+        return QuotaUsed(daily, float(asked[1]) if asked else 0.0)
 
-    def __init__(self, models: list[str], clock: Callable[[], float] = time.monotonic):
-        self.until, self.clock = dict.fromkeys(models, 0.0), clock
+    @property
+    def rest(self) -> float:
+        return DAILY if self.per_day else max(self.retry_after + MARGIN, LEAST)
+
+
+class Fallback:
+    """Several models as one provider. A call goes to the first, in order of preference, that isn't resting; one whose quota is used up rests, and the call goes on.
+
+    If all rest, the call waits for the one that is free soonest where that is soon; else all are tried again, as their times are guesses. A Python
+    worker has one of its own. Errors other than a used-up quota are the caller's.
+    """
 
-    def limited(self, model: str, per_day: bool, retry_after: float = 0.0) -> None:
-        """A model said that its quota is used up: for hours if the daily one is, else for a little longer than it asks."""
-        self.until[model] = self.clock() + (self.DAILY if per_day else max(retry_after + 2, self.LEAST))
+    def __init__(self, models: dict[str, Provider], clock: Callable[[], float] = time.monotonic, pause: Callable[[float], None] = time.sleep):
+        self.models, self.clock, self.pause = models, clock, pause
+        self.free_at: dict[str, float] = {}  # of resting models
+        self.calls: Counter = Counter()
 
-    def next(self) -> tuple[str, float]:
-        """The first free model and 0; else the one that is free soonest and the seconds till then. If that is long, all are given another try."""
+    def _waken(self) -> None:
+        """Leaves in free_at what still rests, at least one model being free."""
         now = self.clock()
-        for model, until in self.until.items():
-            if until <= now:
-                return model, 0.0
-        model = min(self.until, key=self.until.get)
-        wait = self.until[model] - now
-        if wait > self.WAIT:
-            self.until = dict.fromkeys(self.until, 0.0)
-            return next(iter(self.until)), 0.0
-        return model, wait
+        self.free_at = {m: t for m, t in self.free_at.items() if t > now}
+        if len(self.free_at) == len(self.models):
+            left = min(self.free_at.values()) - now
+            if left > WAIT:
+                self.free_at.clear()
+            else:
+                self.pause(left + 1)
+                self._waken()
+
+    def _call(self, method: str, *args):
+        self._waken()
+        refused = None
+        for name in [m for m in self.models if m not in self.free_at]:
+            self.calls[name] += 1
+            try:
+                return getattr(self.models[name], method)(*args)
+            except QuotaUsed as e:
+                self.free_at[name] = self.clock() + e.rest
+                refused = e
+        raise refused
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._call("embed", texts)
+
+    def chat(self, prompt: str) -> str:
+        return self._call("chat", prompt)
+
+    def recognise(self, image: bytes) -> str:
+        return self._call("recognise", image)
 
 
 def embed(text: Column, make: Callable[[], Provider] = Stub) -> Column:
@@ -129,12 +178,8 @@ def recognise_pages(pages: DataFrame, sink: str, make: Callable[[], Provider] =
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string())]))
 
     schema = "file string, page int, text string, error string"
-    done = spark.read.schema(schema).parquet(sink) if _exists(spark, sink) else spark.createDataFrame([], schema)
+    done = spark.read.schema(schema).parquet(sink) if exists(spark, sink) else spark.createDataFrame([], schema)
     pages.join(done.where("error is null").select("file", "page"), ["file", "page"], "left_anti").select("file", "page", "image").mapInArrow(ask, schema).write.mode("append").parquet(sink)
     every = spark.read.schema(schema).parquet(sink)
     return every.groupBy("file", "page").agg(F.max("text").alias("text"), F.when(F.max("text").isNull(), F.max("error")).alias("error"))
 
-
-def _exists(spark, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)

@@ -5,13 +5,17 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
+# Fixed value: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space, Unicode's included, at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)(?<!\s)\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def repair_characters(text: Column, wrong: str, right: str) -> Column:
@@ -26,6 +30,25 @@ def repair_sequences(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
+def unknown_characters(text: Column, known: str, private: str = r"\x{E000}-\x{F8FF}") -> Column:
+    """The different characters of the private range that a text has and no repair is known for, an array; they are reported, never guessed."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{private}]"), F.lit(0))), F.array(*[F.lit(c) for c in known]).cast("array<string>"))
+
+
+def repair_observed(pages: DataFrame, text: str, wrong: str, right: str, private: str = r"\x{E000}-\x{F8FF}") -> tuple[DataFrame, Observation]:
+    """pages with repaired characters, and an observation that has, once the pages are computed, unknown_pages and unknown, the characters (as U+XXXX) that stayed.
+
+    They are counted in the pass that repairs. The range bounds how many there can be.
+    """
+    seen = Observation()
+    unknown = unknown_characters(F.col(text), wrong, private)
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_set(unknown))))
+    # A character's code point: that of its UTF-32 bytes.
+    named = F.transform(every, lambda c: F.concat(F.lit("U+"), F.lpad(F.ltrim(F.hex(F.encode(c, "UTF-32")), F.lit("0")), 4, "0")))
+    watched = pages.observe(seen, F.count_if(F.size(unknown) > 0).alias("unknown_pages"), F.array_join(named, ", ").alias("unknown"))
+    return watched.withColumn(text, repair_characters(F.col(text), wrong, right)), seen
+
+
 def nfc(text: Column) -> Column:
     """Unicode NFC, which Spark has no function for."""
 
@@ -48,6 +71,9 @@ def normalise_space(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+#: Fixed values from here on: the dense script, what makes a table of contents, and the lengths of titles and questions.
+
+
 def token_estimate(text: Column, dense: str = r"\x{0E00}-\x{0E7F}") -> Column:
     """Half a token for a character of the dense script, a quarter for others, rounded half to even."""
     n = F.length(F.regexp_replace(text, f"[^{dense}]", ""))

@@ -26,12 +26,12 @@ def repeated_lines(pages: DataFrame, doc: str, text: str, share: float = 0.6, lo
 
 
 def without_repeated_lines(pages: DataFrame, doc: str, text: str, found: DataFrame | None = None, **limits) -> DataFrame:
-    """pages without the lines that repeated_lines() finds, or has found (doc, line); the others are joined by a newline. Only pages that hold such a line are taken apart."""
+    """pages without the lines that repeated_lines() finds, or has found (doc, line); the others are joined by a newline. Only pages of documents that have such a line are taken apart."""
     found = (repeated_lines(pages, doc, text, **limits) if found is None else found).groupBy(doc).agg(F.collect_set("line").alias("_lines"))
-    joined = pages.join(found, doc, "left").withColumn("_own", F.when(F.col("_lines").isNotNull(), _lines(F.col(text)))).withColumn("_bare", F.transform("_own", strip))
-    joined = joined.withColumn("_gone", F.array_intersect("_bare", "_lines"))  # by hash: few remain to be looked for in each line
-    kept = F.array_join(F.filter("_own", lambda x, k: ~F.array_contains(F.col("_gone"), F.get(F.col("_bare"), k))), "\n")
-    return joined.withColumn(text, F.when(F.size("_gone") > 0, kept).when(F.col("_own").isNotNull(), F.array_join("_own", "\n")).otherwise(F.col(text))).drop("_lines", "_own", "_bare", "_gone")
+    joined = pages.join(found, doc, "left").withColumn("_own", F.when(F.col("_lines").isNotNull(), _lines(F.col(text))))
+    joined = joined.withColumn("_gone", F.array_intersect(F.transform("_own", strip), "_lines"))  # by hash: few remain to be looked for in each line
+    kept = F.array_join(F.filter("_own", lambda x: ~F.array_contains(F.col("_gone"), strip(x))), "\n")
+    return joined.withColumn(text, F.when(F.size("_gone") > 0, kept).when(F.col("_own").isNotNull(), F.array_join("_own", "\n")).otherwise(F.col(text))).drop("_lines", "_own", "_gone")
 
 
 def chunk_pages(pages: DataFrame, doc: str, page: str, text: str, size: int = 1000, overlap: int = 150, retreat: int = 120, least: int = 20) -> DataFrame:
@@ -49,9 +49,9 @@ def chunk_pages(pages: DataFrame, doc: str, page: str, text: str, size: int = 10
     cut_up = body.select(doc, page, count.alias("_n"), F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_s"))
     joined = F.transform(F.slice("_s", F.lit(1), F.col("_n") + 1), lambda x, k: F.concat(x, F.substring(F.coalesce(F.get(F.col("_s"), k + 1), F.lit("")), 1, overlap)))
     windows = cut_up.select(doc, page, "_n", F.posexplode(joined).alias("_k", "_w"))
-    last = F.length(F.regexp_extract("_w", "^(?s)(.*) ", 1))
-    full = F.col("_k") < F.col("_n")
-    cut = F.when(full & (F.instr(F.substring("_w", size - retreat + 1, retreat), " ") > 0), F.substring(F.col("_w"), F.lit(1), last)).otherwise(F.col("_w"))
+    # Characters after the last space among the last ones, and that space, counted from the end of a full window.
+    back = F.instr(F.reverse(F.substring("_w", size - retreat + 1, retreat)), " ")
+    cut = F.when((F.col("_k") < F.col("_n")) & (back > 0), F.substring(F.col("_w"), F.lit(1), size - back)).otherwise(F.col("_w"))
     pieces = windows.select(doc, page, "_k", strip(cut).alias("content")).where(F.length("content") >= least)
     order = Window.partitionBy(doc).orderBy(page, "_k")
     return pieces.select(doc, (F.row_number().over(order) - 1).alias("chunk_index"), page, "content", token_estimate(F.col("content")).alias("token_count"))

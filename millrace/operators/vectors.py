@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Chunks and queries that meet in a task.
-TILE, BLOCK = 8192, 256
+#: Chunks and queries that meet in a task, at most; bytes of vectors on either side; and the queries of one matrix product.
+TILE, BLOCK, BYTES, STEP = 8192, 8192, 64 << 20, 256
 
 
 def _matrix(vectors: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -29,25 +29,23 @@ def _meet(rows: DataFrame, asked: DataFrame, keys: list[str], k: int | None, id_
 
     def of(chunks: pa.Table, queries: pa.Table) -> pa.Table:
         n, m = len(chunks), len(queries)
-        if not n or not m:
-            x, q, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-        else:
+        x, q, score = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        if n and m:
             dims = chunks["dims"][0].as_py()
-            a, b = _matrix(chunks["embedding"], dims), _matrix(queries["q"], dims)
-            norms = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)
-            scores = np.round(np.divide(b @ a.T, norms, out=np.zeros((m, n)), where=norms > 0), 9) + 0.0
-            if k is None:
-                q, x = np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
-            else:
-                ids = chunks[id_col].to_numpy()
-                of_group = np.unique(chunks[group].to_numpy(), return_inverse=True)[1] if group else np.zeros(n, int)
-                found = []
-                for row in scores:
-                    order = np.lexsort((ids, -row, of_group))
-                    starts = np.searchsorted(of_group[order], of_group[order])
-                    found.append(order[np.arange(n) - starts < k])
-                q, x = np.repeat(np.arange(m), [len(f) for f in found]), np.concatenate(found)
-            score = scores[q, x]
+            a, every, ids = _matrix(chunks["embedding"], dims), _matrix(queries["q"], dims), chunks[id_col].to_numpy()
+            of_group = np.unique(chunks[group].to_numpy(), return_inverse=True)[1] if group else np.zeros(n, int)
+            for at in range(0, m, STEP):
+                b = every[at : at + STEP]
+                norms = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)
+                scores = np.round(np.divide(b @ a.T, norms, out=np.zeros((len(b), n)), where=norms > 0), 9) + 0.0
+                if k is None:
+                    found = [np.arange(n)] * len(b)
+                else:
+                    orders = [np.lexsort((ids, -row, of_group)) for row in scores]
+                    found = [order[np.arange(n) - np.searchsorted(of_group[order], of_group[order]) < k] for order in orders]
+                q.append(at + np.repeat(np.arange(len(b)), [len(f) for f in found])), x.append(np.concatenate(found))
+                score.append(scores[q[-1] - at, x[-1]])
+        x, q, score = map(np.concatenate, (x, q, score))
         return pa.table({"query_id": queries["query_id"].take(pa.array(q))} | {c: chunks[c].take(pa.array(x)) for c in names} | {"score": score})
 
     schema = T.StructType([asked.schema["query_id"], *[rows.schema[c] for c in names], T.StructField("score", T.DoubleType())])
@@ -66,7 +64,8 @@ def similarities(chunks: DataFrame, queries: DataFrame, k: int | None = None, gr
 
     A pair whose vectors differ in length, or are null, is left out; a vector without length has score 0.
     """
-    tiles, blocks = math.ceil(chunks.count() / tile), math.ceil(queries.count() / block)
+    parts = lambda df, vector, most: (lambda n, dims: math.ceil(n / max(1, min(most, BYTES // (8 * max(1, dims))))))(*df.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).first())
+    tiles, blocks = parts(chunks, "embedding", tile), parts(queries, "q", block)
     rows = chunks.withColumn("tile", F.pmod(F.xxhash64(id_col), F.lit(max(1, tiles)))).withColumn("block", F.explode(_numbers(blocks)))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))).withColumn("tile", F.explode(_numbers(tiles)))
     return _meet(rows, asked, ["tile", "block"], k, id_col, group)
@@ -149,44 +148,3 @@ def evidence(rows: DataFrame, group: str, order: str, page: str, text: str, long
     """The rows' texts under page headers, in order, cut at `longest` characters."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct(order, page, text))), lambda x: F.concat(F.lit("[page "), x[page].cast("string"), F.lit("]\n"), x[text]))
     return rows.groupBy(group).agg(F.substring(F.array_join(parts, "\n\n"), 1, longest).alias("evidence"))
-
-
-def list_centres(vectors: DataFrame, lists: int = 16, id_col: str = "vec_id", sample_rows: int = 20_000, rounds: int = 10) -> np.ndarray:
-    """Centres for an index, by spherical k-means on a sample of at most about `sample_rows` vectors, chosen by a hash of the id."""
-    n, whole = vectors.count(), 1 << 62
-    sample = vectors.where(F.pmod(F.xxhash64(id_col, F.lit("index")), F.lit(whole)) < min(whole, whole * sample_rows // max(1, n))).orderBy(id_col)
-    x = np.array([r.embedding for r in sample.select(id_col, "embedding").collect()], float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)] if len(x) else x
-    for _ in range(rounds if len(x) else 0):
-        own = (x @ centres.T).argmax(1)
-        centres = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    return centres
-
-
-def _nearest(vector: str, centres: np.ndarray, n: int) -> Column:
-    """The numbers of a vector's n nearest centres."""
-
-    @F.arrow_udf("array<int>")
-    def of(vectors: pa.Array) -> pa.Array:
-        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
-        return pa.array((-(x @ centres.T)).argsort(1, kind="stable")[:, :n].astype(np.int32).tolist(), pa.list_(pa.int32()))
-
-    return of(vector)
-
-
-def build_lists(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
-    """The index: every vector with the list of its nearest centre. Write it partitioned by `list`, and a search reads the probed lists only."""
-    return vectors.withColumn("list", _nearest("embedding", centres, 1)[0])
-
-
-def search_lists(index: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int, k: int = 8, id_col: str = "vec_id", tile: int = TILE, block: int = BLOCK) -> DataFrame:
-    """Approximate top_k(): each query meets only the lists of its `probes` nearest centres, in tiles, however long a list is."""
-    blocks = math.ceil(queries.count() / block)
-    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    rows = index.join(sizes, "list").withColumn("tile", F.pmod(F.xxhash64(id_col), F.col("tiles").cast("long"))).withColumn("block", F.explode(_numbers(blocks)))
-    asked = queries.withColumn("list", F.explode(_nearest("q", centres, probes))).join(sizes, "list")
-    asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
-    best = ranked_in(_meet(rows, asked, ["list", "tile", "block"], k, id_col, None), "query_id", k, [F.desc("score"), id_col])
-    return best.withColumn("score", F.round("score", 4))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import providers as P
@@ -26,15 +27,61 @@ def test_recognition_is_resumed(spark, tmp_path):
     assert P.recognise_pages(page(("a", 1), ("a", 2)), sink).count() == 2
 
 
-def test_cooldowns():
-    now = [0.0]
-    c = P.Cooldowns(["a", "b"], lambda: now[0])
-    c.limited("a", True)
-    assert c.next() == ("b", 0.0)
-    c.limited("b", False, 10)
-    assert c.next() == ("b", 45.0)
-    c.limited("b", True)
-    assert c.next() == ("a", 0.0)  # too long for anyone to wait
+DAILY = '{"error": {"details": [{"quotaId": "RequestsPerDayPerModel"}, {"retryDelay": "24s"}]}}'
+MINUTE = '{"error": {"details": [{"quotaId": "RequestsPerMinutePerModel"}, {"retryDelay": "%ss"}]}}'
+
+
+def test_kinds_of_quota():
+    assert P.QuotaUsed.of(DAILY).rest == 4 * 3600
+    assert P.QuotaUsed.of(MINUTE % 31).rest == 45 and P.QuotaUsed.of(MINUTE % 60.5).rest == 62.5
+    assert P.QuotaUsed.of('{"error": "exhausted"}').rest == 4 * 3600 and P.QuotaUsed.of("limit per minute reached").rest == 45
+
+
+class Refusing(P.Stub):
+    def __init__(self, bodies):
+        super().__init__()
+        self.bodies = list(bodies)
+
+    def chat(self, prompt):
+        if self.bodies and (body := self.bodies.pop(0)):
+            raise P.QuotaUsed.of(body)
+        return prompt
+
+
+def test_a_model_that_refuses_is_left_alone_for_its_time():
+    now, waits = [0.0], []
+
+    def pause(seconds):
+        waits.append(seconds)
+        now[0] += seconds
+
+    model = P.Fallback({"main": Refusing([DAILY]), "second": Refusing([None, MINUTE % 10]), "third": Refusing([None, MINUTE % 60])}, lambda: now[0], pause)
+    assert model.chat("a") == "a" and model.calls == {"main": 1, "second": 1}
+    assert model.chat("b") == "b" and model.calls == {"main": 1, "second": 2, "third": 1}  # main rests for hours, second for 45 s
+    now[0] = 10.0
+    with pytest.raises(P.QuotaUsed):
+        model.chat("c")  # third refuses too, and no other is free
+    assert model.chat("d") == "d" and waits == [36.0] and model.calls["second"] == 3  # waits for second, free at 45 s
+    now[0] = 4 * 3600.0
+    assert model.chat("e") == "e" and model.calls["main"] == 2
+    lost = P.Fallback({"main": Refusing([DAILY, None])}, lambda: now[0], pause)
+    with pytest.raises(P.QuotaUsed):
+        lost.chat("a")
+    assert lost.chat("b") == "b" and len(waits) == 1  # too long for anyone to wait: tried again
+
+
+def test_fallback_inside_tasks(spark):
+    class Daily(P.Stub):  # in here it is sent to the workers by value
+        def chat(self, prompt):
+            raise P.QuotaUsed(True)
+
+    class Second(P.Stub):
+        def chat(self, prompt):
+            return f"second: {prompt}"
+
+    df = spark.createDataFrame([(f"q{k}",) for k in range(20)] + [(None,)], "t string").coalesce(1)
+    got = df.select(P.chat(F.col("t"), lambda: P.Fallback({"main": Daily(), "second": Second()})).alias("r")).collect()
+    assert [r.r for r in got] == [f"second: q{k}" for k in range(20)] + [None]
 
 
 def test_gates(spark):

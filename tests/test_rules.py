@@ -92,14 +92,6 @@ def test_texts(spark):
     assert values(spark, [("please find art",), ("please find ",)], "t string", A.without_prefixes(F.col("t"), "please find")) == [("art",), ("please find ",)]
 
 
-def test_lists_find_what_the_exact_search_finds(spark, sf):
-    from millrace.plans import vector_queries as Q
-
-    approximate = {(r.query_id, r.vec_id) for r in Q.ivf_topk(spark, sf).collect()}
-    exact = {(r.query_id, r.vec_id) for r in V.top_k(Q.EMB(spark, sf), Q.asked(spark, sf)).collect()}
-    assert len(exact) == 8 * Q.asked(spark, sf).count() and len(approximate & exact) >= 0.9 * len(exact)
-
-
 def test_unknown_names(spark):
     of = E.unknown_name(F.col("t"), "programme", "last|cost|is", ["blue bolt"], prefixes=("of", "the", "field"), asks=("which", "what"))
     got = values(spark, [("does the programme of the field Space Law cost much",), ("programme which is best",), ("the programme Blue Bolt is",), ("programme of the",), ("no marker",), ("programme of Art",), (None,)], "t string", of)
