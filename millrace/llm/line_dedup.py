@@ -6,8 +6,10 @@ filters share, so every hash that really repeats is in the merged twice filter.
 array. Pass 2 sends only lines whose hash is in the twice filter across the network, for the exact count of documents and
 the choice of the one that keeps the line. Lines that don't repeat, and documents without suspects, never move.
 
-The filters have 16 bits for each line, counted first, up to 2^30 bits; so what is broadcast is at most 128 MB. Beyond 64 million
-lines they get fuller, and a fuller filter suspects more lines, which costs shuffle and never changes the result.
+The filters have 16 bits for each line, counted first. Up to 2^30 bits (64 million lines) they are broadcast, 128 MB at most. Beyond that
+hashes are dealt into segments by their value, as many as the count asks for, each with two filters of its own in one task: lines'
+hashes go there twice, once to fill the filters and once, with the ids of their documents, to be tested, and are streamed,
+not held. Then documents with suspects move to meet them, so texts move too; results are the same.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import cut, in_slices, small_batches
+from millrace.llm.shared import cut, in_slices, small_batches, stored
 
 _TRIM = " \t\n\x0b\x0c\r"
 
@@ -126,13 +128,86 @@ def _tester(docs: DataFrame, bitmap: bytes, least: int, bits: int, probes: int):
 
 
 def filter_bits(docs: DataFrame, text_col: str) -> int:
-    """A power of two: 16 bits for each line, but at least 2^20 and at most 2^30."""
+    """A power of two: 16 bits for each line, but at least 2^20."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.agg(F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1)).first()[0] or 0
-    return 1 << min(30, max(20, (16 * lines).bit_length()))
+    return 1 << max(20, (16 * lines).bit_length())
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, in_docs: int = 3, bits: int | None = None, probes: int = 4) -> DataFrame:
+def segmented_suspects(docs: DataFrame, least: int, bits: int, probes: int, segment_bits: int) -> DataFrame:
+    """docs (id, text) -> (id, key), suspected repeats, by filters of `segment_bits` bits for each of as many segments of hashes as `bits` asks for."""
+    segments = max(1, bits // segment_bits)
+    kind = docs.schema["id"].dataType
+    chunk = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("several", T.BinaryType()), T.StructField("ids", T.ArrayType(kind))])
+
+    def hash_lines(batches):
+        for batch in batches:
+            for start, texts in in_slices(batch.column(1)):
+                lists = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+                keys = pc.ascii_lower(pc.utf8_trim(lists.flatten(), characters=_TRIM))
+                long = pc.greater_equal(pc.utf8_length(keys), least)
+                of, coded = pc.list_parent_indices(lists).filter(long).to_numpy(zero_copy_only=False), keys.filter(long).dictionary_encode()
+                each = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
+                counts = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
+                segment = (each % np.uint64(segments)).astype(np.int64)
+                order = np.argsort(segment, kind="stable")
+                ends = np.searchsorted(segment[order], np.arange(segments + 1))
+                ids = batch.column(0).slice(start, len(texts)).take(pa.array(of[order]))
+                used = np.flatnonzero(np.diff(ends))
+                spans = [slice(ends[k], ends[k + 1]) for k in used]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(used, pa.int32()), pa.array([each[order][x].tobytes() for x in spans], pa.binary()), pa.array([(counts[order][x] > 1).tobytes() for x in spans], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, ends[used + 1]), pa.int32()), ids),
+                ], ["segment", "hashes", "several", "ids"])
+
+    def fill(batches):
+        now, once, twice = None, None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_pack(twice)], pa.binary())], ["segment", "twice"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["segment"] != now:
+                    if now is not None:
+                        yield done()
+                    now, once, twice = row["segment"], np.zeros(segment_bits // 8, np.uint8), np.zeros(segment_bits // 8, np.uint8)
+                hashes, first = np.unique(np.frombuffer(row["hashes"], np.uint64), return_index=True)
+                at = _positions(hashes // np.uint64(segments), segment_bits, probes)
+                _put(twice, at, np.frombuffer(row["several"], bool)[first] | _has(once, at))
+                _put(once, at, np.ones(len(hashes), bool))
+        if now is not None:
+            yield done()
+
+    def test(batches):
+        held = None
+        for batch in batches:
+            for k in range(batch.num_rows):  # of a segment its filter comes first, then its hashes
+                if (packed := batch.column("twice")[k].as_py()) is not None:
+                    held = _unpack(packed, segment_bits // 8)
+                    continue
+                hashes = np.frombuffer(batch.column("hashes")[k].as_py(), np.uint64)
+                hit = pa.array(_has(held, _positions(hashes // np.uint64(segments), segment_bits, probes)))
+                yield pa.RecordBatch.from_arrays([batch.column("ids")[k].values.filter(hit), pa.array(hashes.view(np.int64)).filter(hit)], ["id", "hash"])
+
+    hashed = stored(docs.select("id", "text").mapInArrow(hash_lines, chunk))
+    dealt = lambda df, *order: df.repartition(segments, "segment").sortWithinPartitions("segment", *order)
+    filters = stored(dealt(hashed.select("segment", "hashes", "several")).mapInArrow(fill, "segment int, twice binary"))
+    asked = hashed.select("segment", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("twice"), "hashes", "ids")
+    both = filters.select("segment", F.lit(0).alias("kind"), "twice", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast(T.ArrayType(kind)).alias("ids")).unionByName(asked)
+    suspects = dealt(both, "kind").mapInArrow(test, T.StructType([T.StructField("id", kind), T.StructField("hash", T.LongType())])).distinct()
+
+    @F.arrow_udf("array<string>")
+    def of_hashes(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+        out = []
+        for text, some in zip(texts, wanted, strict=True):
+            some, lines = set(some.as_py()), {x.encode().strip(_TRIM.encode()).lower() for x in text.as_py().split("\n")}
+            out.append([x.decode() for x in lines if (h := xxhash.xxh3_64_intdigest(x)) - (h >> 63 << 64) in some])
+        return pa.array(out, pa.list_(pa.string()))
+
+    by_id = suspects.groupBy("id").agg(F.collect_list("hash").alias("hashes"))  # a document's lines at most
+    met = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).join(by_id, "id")
+    return met.select("id", F.explode(of_hashes("text", "hashes")).alias("key")).where(F.length("key") >= least)
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, in_docs: int = 3, bits: int | None = None, probes: int = 4, broadcast_bits: int = 1 << 30) -> DataFrame:
     """All columns of docs, the text without repeated lines, with n_lines (before) and n_dropped.
 
     A line's key is the line without white space at its ends, A-Z lower-cased. A key of at least `least` code points found
@@ -143,14 +218,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole, however long, and an empty table gives no rows. Columns of docs named n_lines or n_dropped are replaced; others pass unchanged.
     """
     names = [f"doc.`{c}`" if c != text_col else f"text as `{c}`" for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return without_lines(docs, id_col, text_col, least, in_docs, bits, probes).selectExpr(*names, "n_lines", "n_dropped")
+    return without_lines(docs, id_col, text_col, least, in_docs, bits, probes, broadcast_bits).selectExpr(*names, "n_lines", "n_dropped")
 
 
-def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, in_docs: int = 3, bits: int | None = None, probes: int = 4) -> DataFrame:
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, in_docs: int = 3, bits: int | None = None, probes: int = 4, broadcast_bits: int = 1 << 30) -> DataFrame:
     """drop_repeated_lines() with the columns of docs together in one, doc, and the new text, n_lines and n_dropped beside it."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_col, text_col, bits = "id", "text", bits or filter_bits(docs, "text")
+    if bits > broadcast_bits:
+        found = cut(segmented_suspects(docs.where("id is not null"), least, bits, probes, broadcast_bits >> 1).distinct())
+        return _rewritten(docs, found, in_docs, None)
     bitmap = twice_filter(docs, text_col, least, bits, probes)
     test = _tester(docs, bitmap, least, bits, probes)
 
@@ -162,6 +240,11 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("key", T.StringType())])
     # A document and key once each; both aggregations combine before they shuffle, so a common line makes no large group.
     found = cut(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(suspects, schema).distinct())
+    return _rewritten(docs, found, in_docs, test)
+
+
+def _rewritten(docs: DataFrame, found: DataFrame, in_docs: int, test) -> DataFrame:
+    """docs (doc, id, text) without the lines that found, (id, key) of suspects, turns out to have in `in_docs` documents; test tells documents without suspects, which don't move."""
     confirmed = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep_id")).where(F.col("n") >= in_docs).select("key", "keep_id")
     confirmed = cut(confirmed)  # then the join deals both sides out anew, and Spark can split it at a very common line
     drops = found.join(confirmed, "key").where("id <> keep_id").groupBy(F.col("id").alias("_id")).agg(F.collect_list("key").alias("_drop"))
@@ -183,6 +266,9 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(dropped, pa.int64())], ["text", "n_dropped"])
 
     docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
+    if test is None:
+        every = docs.join(drops, F.col("id") == F.col("_id"), "left").withColumn("new", rewrite("text", "_drop"))
+        return every.select("doc", F.col("new.text").alias("text"), "n_lines", F.col("new.n_dropped").alias("n_dropped"))
     # Documents without a suspect stay where they are.
     clean = docs.where(~suspected("text")).withColumn("n_dropped", F.lit(0).cast("long"))
     rest = docs.where(suspected("text")).join(drops, F.col("id") == F.col("_id"), "left").withColumn("new", rewrite("text", "_drop"))

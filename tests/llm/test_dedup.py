@@ -67,12 +67,12 @@ def plain_lines(rows, least=20, in_docs=3):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("bits", [None, 1 << 12])
-def test_lines(spark, bits):
+@pytest.mark.parametrize(("bits", "broadcast"), [(None, 1 << 30), (1 << 12, 1 << 30), (None, 1 << 18), (1 << 14, 1 << 13), (1 << 12, 1 << 9)])  # the last three by segments, the last with full filters
+def test_lines(spark, bits, broadcast):
     random.seed(2)
     pool = [f"a line that is long enough number {k}" for k in range(60)] + ["short", "", " \t A Line that is LONG enough number 1 \r", "ü" * 20, "ü" * 19, "x" * 50_000]
     rows = [(k, "\n".join(random.choice(pool) for _ in range(random.randint(0, 9)))) for k in range(80)] + [(7, pool[0] + "\n" + pool[0]), (None, pool[1]), (90, None), (91, ""), (92, "\n\n")]
-    got = drop_repeated_lines(frame(spark, rows), bits=bits)
+    got = drop_repeated_lines(frame(spark, rows), bits=bits, broadcast_bits=broadcast)
     assert got.columns == ["doc_id", "text", "kept", "key", "id", "fp", "_id", "_drop", "new", "to", "n_lines", "n_dropped"]
     assert sorted(repr((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in got.collect()) == plain_lines(rows)
 
