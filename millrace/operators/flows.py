@@ -53,3 +53,19 @@ def compare_request(requests: DataFrame, request: str, ids: str, catalog: DataFr
     listed = known.groupBy(request, "_n").agg(F.sort_array(F.collect_set(F.when(F.col("_known").isNull(), F.col(id_col)))).alias("missing"))
     wrong_number = (F.col("_n") < least) | (F.col("_n") > most)
     return listed.select(request, F.when(wrong_number, "number").when(F.size("missing") > 0, "missing").alias("error"), "missing")
+
+
+def compare(requests: DataFrame, request: str, ids: str, catalog: DataFrame, id_col: str, title: str, cells: DataFrame, dimensions: list[str], fees: DataFrame, none: str = "not found", no_fee: str = "no fee stated", **limits) -> DataFrame:
+    """(request, error, missing, titles, place, dimension, values): a row for each dimension of each request that can be compared, the fee first, one row with the error for any other.
+
+    catalog: ids and titles; cells: (id, dimension, cell), what the documents say; fees: (id, cell), which come from no search. titles and values follow the order in which
+    the request names its programmes.
+    """
+    errors = compare_request(requests, request, ids, catalog, id_col, **limits)
+    asked = requests.join(errors.where("error is null").select(request), request).select(request, F.posexplode(ids).alias("_at", id_col))
+    named = asked.join(catalog.select(id_col, title), id_col).groupBy(request).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", title))), lambda x: x[title]).alias("titles"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(d).alias("dimension"), F.lit(x).alias("_none")) for k, (d, x) in enumerate([("fee", no_fee), *[(d, none) for d in dimensions]])])
+    told = fees.select(id_col, F.lit("fee").alias("dimension"), "cell").unionByName(cells.select(id_col, "dimension", "cell"))
+    filled = asked.select(request, "_at", id_col, F.inline(wanted)).join(told, [id_col, "dimension"], "left").withColumn("cell", F.coalesce("cell", "_none"))
+    rows = filled.groupBy(request, "place", "dimension").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "cell"))), lambda x: x["cell"]).alias("values"))
+    return errors.join(named, request, "left").join(rows, request, "left").select(request, "error", "missing", "titles", "place", "dimension", "values")

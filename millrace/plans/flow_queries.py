@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import conversations as C
 from millrace.operators import flows
+from millrace.operators import vectors as V
 from millrace.plans import entity_queries as EQ
 from millrace.plans import vector_queries as VQ
 from millrace.plans.tables import COURSES, PAGES, courses, pages, table
@@ -38,6 +39,21 @@ def compare_missing(s, d):
     return found.select("c_custkey", "error", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
 
 
+def compare_flow(s, d):
+    """Customers compare programmes of the ten groups by four dimensions, whose questions are the embeddings of the first four hundredth rows."""
+    key = F.col("c_custkey")
+    ids = F.slice(F.array(key % 12, key * 3 % 10, (key + 1) % 10, key * 7 % 10, key % 10), F.lit(1), (key % 5 + 1).cast("int"))
+    asked = table(s, d, "customer").select("c_custkey", F.transform(ids, lambda x: x.cast("int")).alias("ids"))
+    chunks = VQ.EMB(s, d)
+    catalog = chunks.select(F.col("label").alias("course_id")).distinct().withColumn("title", F.concat(F.lit("Group "), F.col("course_id").cast("string")))
+    questions = chunks.where("vec_id in (0, 100, 200, 300)").select(F.concat(F.lit("d"), (F.col("vec_id") / 100).cast("int").cast("string")).alias("query_id"), F.col("embedding").alias("q"))
+    best = V.ranked_in(V.similarities(chunks, questions, 3, "label"), ["query_id", "label"], 3, [F.desc("score"), "vec_id"])
+    cells = best.groupBy(F.col("label").alias("course_id"), F.col("query_id").alias("dimension")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string")), ",").alias("cell"))
+    fees = courses(s, d).where("course_id < 8").select(F.col("course_id").cast("int").alias("course_id"), F.format_number("fee", 0).alias("cell"))
+    found = flows.compare(asked, "c_custkey", "ids", catalog, "course_id", "title", cells, ["d0", "d1", "d2", "d3"], fees)
+    return found.select("c_custkey", "error", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"), F.array_join("titles", "|").alias("titles"), "place", "dimension", F.array_join("values", "|").alias("values"))
+
+
 def appended_turns(s, d):
     """Each conversation's first question is asked again, and once more; customers whose numbers have no conversation start one."""
     talk = table(s, d, "conversations")
@@ -53,7 +69,7 @@ def not_evaluated(s, d):
     return ingest.without_result(table(s, d, "documents"), table(s, d, "labels"), "doc_id").select("doc_id", "lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (clean_documents, match_programs, scope_ids, compare_missing, appended_turns, not_evaluated)}
+QUERIES = {f.__name__: f for f in (clean_documents, match_programs, scope_ids, compare_missing, compare_flow, appended_turns, not_evaluated)}
 
 _SPACE = "regexp_replace(regexp_replace(regexp_replace({0}, '(\\w)-\\n(\\w)', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 _YEARS = EQ._QUESTIONS.replace("questions as (", "plain as (") + ", questions as (select q_id, concat_ws(' ', q, case when q_id % 3 = 0 then '25' || (60 + q_id % 10) end) as q from plain)"
@@ -81,6 +97,20 @@ ORACLES = {
         u as (select c_custkey, len(ids) as n, unnest(ids) as course_id from a),
         m as (select c_custkey, n, string_agg(distinct course_id, ',' order by course_id) filter (where course_id not in (select course_id from courses)) as missing from u group by c_custkey, n)
         select c_custkey, case when n < 2 or n > 4 then 'number' when missing is not null then 'missing' end as error, coalesce(missing, '') as missing from m""",
+    "compare_flow": COURSES + f""", a as (select c_custkey, list_slice([c_custkey % 12, c_custkey * 3 % 10, (c_custkey + 1) % 10, c_custkey * 7 % 10, c_custkey % 10], 1, c_custkey % 5 + 1) as ids from customer),
+        u as (select c_custkey, len(ids) as n, unnest(ids) as course_id, generate_subscripts(ids, 1) as pos from a),
+        g as (select distinct label as course_id from embeddings),
+        er as (select c_custkey, n, string_agg(distinct course_id, ',' order by course_id) filter (where course_id not in (select course_id from g)) as missing from u group by c_custkey, n),
+        er2 as (select c_custkey, case when n < 2 or n > 4 then 'number' when missing is not null then 'missing' end as error, coalesce(missing, '') as missing from er),
+        ok as (select u.* from u join er2 using (c_custkey) where error is null),
+        sc as (select 'd' || (q.vec_id // 100) as dimension, e.label, e.vec_id, round({VQ._COS.format("e.embedding", "q.embedding")}, 9) as score from embeddings e, embeddings q where q.vec_id in (0, 100, 200, 300)),
+        rk as (select *, row_number() over (partition by dimension, label order by score desc, vec_id) as rn from sc),
+        cell as (select label as course_id, dimension, string_agg(cast(vec_id as varchar), ',' order by rn) as cell from rk where rn <= 3 group by 1, 2
+                 union all select course_id, 'fee', format('{{:,}}', fee) from courses where course_id < 8),
+        dims(place, dimension, absent) as (values (0, 'fee', 'no fee stated'), (1, 'd0', 'not found'), (2, 'd1', 'not found'), (3, 'd2', 'not found'), (4, 'd3', 'not found')),
+        f as (select c_custkey, place, dims.dimension, string_agg(coalesce(cell, absent), '|' order by pos) as "values", string_agg('Group ' || ok.course_id, '|' order by pos) as titles
+              from ok cross join dims left join cell on cell.course_id = ok.course_id and cell.dimension = dims.dimension group by 1, 2, 3)
+        select c_custkey, error, missing, titles, place, f.dimension, f."values" from er2 left join f using (c_custkey)""",
     "appended_turns": """with l as (select conv_id, max(turn) as last, arg_min(text, turn) filter (where role = 'user') as question from conversations group by conv_id),
         a as (select conv_id, last, asked, question from l, (values (1), (2)) v(asked) where question is not null
               union all select c_custkey, -1, 1, 'Which programme?' from customer where c_custkey not in (select conv_id from conversations))
