@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import cut, shared_folder, shuffle_partitions, size_in_bytes, small_batches
+from millrace.llm.shared import cut, dropped, shared_folder, shuffle_partitions, size_in_bytes, small_batches
 
 #: Buckets of context frequency: by powers of two, the last for all beyond.
 BUCKETS = 32
@@ -187,6 +187,27 @@ def _score(shards: int, n: int, v: int, weights: np.ndarray):
     return of
 
 
+def _scored(blocks: DataFrame, kind: T.DataType) -> tuple[DataFrame, int]:
+    """(id, held_out, n_tokens, n_known, base_score, score) of all blocks' texts, and the number of training tokens."""
+    # A shard answers for as much as two blocks ask.
+    shards, n = blocks.agg(F.greatest(F.ceil(F.count("*") / 2), F.lit(1)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
+
+    asked = blocks.drop("ids").mapInArrow(_ask(shards), "block long, shard int, hashes binary, counts binary")
+    answers = cut(asked.groupBy("shard").applyInArrow(_answer, "block long, shard int, totals binary, seen long"))
+    v = answers.where(F.col("shard") < shards).agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+    answers = answers.select("block", "shard", "totals")
+
+    def with_answers(columns: list[str], of, schema) -> DataFrame:
+        return blocks.select("block", *columns).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(of, schema)
+
+    coded = ["held", "sizes", "words", "codes", "n_words", "n_codes"]
+    cells = with_answers(coded, _deleted(shards, n), "bucket long, s2 int, s1 int, tokens double, p2 double, p1 double").groupBy("bucket", "s2", "s1").agg(*[F.sum(c).alias(c) for c in ("tokens", "p2", "p1")])
+    # At most buckets x steps x steps cells, whatever the corpus.
+    weights = learn_weights([(r.bucket, r.tokens, r.p2 / r.tokens, r.p1 / r.tokens) for r in cells.collect()], 1 / (v + 1))
+    schema = T.StructType([T.StructField("id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    return cut(with_answers(["ids", *coded], _score(shards, n, v, weights), schema)), n
+
+
 def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -230,24 +251,11 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     name = f"millrace_lm_{uuid.uuid4().hex}"
     # Buckets of some 64 MB of input, however much there is of it.
     buckets = max(shuffle_partitions(spark), -(-size_in_bytes(docs, text_col) // (64 << 20)))
-    blocks.write.bucketBy(min(buckets, 100_000), "block").option("path", f"{shared_folder(spark)}/{name}").option("compression", "none").saveAsTable(name)
-    blocks = spark.table(name)
-    # A shard answers for as much as two blocks ask.
-    shards, n = blocks.agg(F.greatest(F.ceil(F.count("*") / 2), F.lit(1)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
-
-    asked = blocks.drop("ids").mapInArrow(_ask(shards), "block long, shard int, hashes binary, counts binary")
-    answers = cut(asked.groupBy("shard").applyInArrow(_answer, "block long, shard int, totals binary, seen long"))
-    v = answers.where(F.col("shard") < shards).agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
-    answers = answers.select("block", "shard", "totals")
-
-    def with_answers(columns: list[str], of, schema) -> DataFrame:
-        return blocks.select("block", *columns).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(of, schema)
-
-    coded = ["held", "sizes", "words", "codes", "n_words", "n_codes"]
-    cells = with_answers(coded, _deleted(shards, n), "bucket long, s2 int, s1 int, tokens double, p2 double, p1 double").groupBy("bucket", "s2", "s1").agg(*[F.sum(c).alias(c) for c in ("tokens", "p2", "p1")])
-    # At most buckets x steps x steps cells, whatever the corpus.
-    weights = learn_weights([(r.bucket, r.tokens, r.p2 / r.tokens, r.p1 / r.tokens) for r in cells.collect()], 1 / (v + 1))
-    schema = T.StructType([T.StructField("id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    scored = cut(with_answers(["ids", *coded], _score(shards, n, v, weights), schema))
-    spark.sql(f"drop table {name}")
+    path = f"{shared_folder(spark)}/{name}"
+    try:
+        blocks.write.bucketBy(min(buckets, 100_000), "block").option("path", path).option("compression", "none").saveAsTable(name)
+        scored, n = _scored(spark.table(name), kind)
+    finally:  # the result is in the shared folder by itself
+        spark.sql(f"drop table if exists {name}")
+        dropped(spark, path)
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
