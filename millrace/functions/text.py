@@ -71,7 +71,8 @@ def normalise_space(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-#: Fixed values from here on: the dense script, what makes a table of contents, and the lengths of titles and questions.
+# Fixed values, which the functions below have as they are or as defaults: half a token for a character of the dense script and a quarter for
+# others; 3 leaders of 5 dots or more, or 0.33 of the words being numbers, make a table of contents; titles of 60 characters; keys of questions of up to 300.
 
 
 def token_estimate(text: Column, dense: str = r"\x{0E00}-\x{0E7F}") -> Column:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import providers
 from millrace.functions import text as X
 from millrace.operators import entities as E
 from millrace.operators import vectors as V
-from millrace.operators.chunks import repeated_lines, without_repeated_lines
+from millrace.operators.chunks import chunk_pages, repeated_lines, without_repeated_lines
+from millrace.sources import ingest as I
+from millrace.sources import publish as P
 
 
 def clean_documents(pages: DataFrame, doc: str, text: str, wrong: str, right: str, rules: list[tuple[str, str]], **limits) -> DataFrame:
@@ -69,3 +72,26 @@ def compare(requests: DataFrame, request: str, ids: str, catalog: DataFrame, id_
     filled = asked.select(request, "_at", id_col, F.inline(wanted)).join(told, [id_col, "dimension"], "left").withColumn("cell", F.coalesce("cell", "_none"))
     rows = filled.groupBy(request, "place", "dimension").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "cell"))), lambda x: x["cell"]).alias("values"))
     return errors.join(named, request, "left").join(rows, request, "left").select(request, "error", "missing", "titles", "place", "dimension", "values")
+
+
+def ingest(files: DataFrame, path: str, load: str, extract=None, embed=providers.embed, wrong: str = "", right: str = "", rules: list[tuple[str, str]] = (), **limits) -> int:
+    """Files, as sources.ingest.read_files() describes them, to chunks with vectors, published as one load; returns its generation.
+
+    A document is a content (its sha256), under the first of its paths; those that are done already aren't read again. Files that can't be read become failed
+    documents with their errors, the others' chunks (document_id, path, chunk_index, page_number, content, token_count, embedding) are published all at once.
+    """
+    spark, keyed = files.sparkSession, files.withColumn("document_id", F.coalesce("sha256", "path"))
+    first = keyed.groupBy("document_id").agg(F.min("path").alias("path"))
+    todo = P.not_done(first, path)
+    todo.write.mode("overwrite").parquet(f"{path}/begun/load={load}")  # as P.begin() does, with the paths
+    todo = spark.read.parquet(f"{path}/begun/load={load}")
+    found = I.pages_and_errors(files.join(todo.select("path"), "path", "left_semi"), extract).join(todo, "path")
+    pages = found.where("error is null").select("document_id", "page_number", "page_text")
+    clean = clean_documents(pages, "document_id", "page_text", wrong, right, list(rules), **limits)
+    chunks = chunk_pages(clean, "document_id", "page_number", "page_text").join(todo, "document_id")
+    rows = chunks.select("document_id", "path", "chunk_index", "page_number", "content", "token_count", embed(F.col("content")).alias("embedding"))
+    return P.publish(rows, path, load, failed=found.where("error is not null").select("document_id", "error"), every=todo)
+
+
+#: What ingest() publishes.
+CHUNKS = "document_id string, path string, chunk_index int, page_number int, content string, token_count bigint, embedding array<float>"

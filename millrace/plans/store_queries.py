@@ -11,8 +11,10 @@ from millrace.functions import providers
 from millrace.functions import text as X
 from millrace.operators import derived as D
 from millrace.operators import entities as E
+from millrace.operators import flows as L
 from millrace.operators import gates as G
 from millrace.plans.tables import COURSES, courses, table
+from millrace.sources import ingest as I
 from millrace.sources import publish as P
 from millrace.sources.folders import shared_folder
 
@@ -45,6 +47,19 @@ def publish_rows(s, d):
     return rows.join(P.statuses(s, path, "doc_id"), "doc_id", "full").select("doc_id", "sha", "version", "status", "error")
 
 
+def ingest_files(s, d):
+    """Documents as files, some of them not UTF-8, no PDF or of an unknown kind, loaded in two loads, the second of all; the status of each, its path and whether chunks of it are published."""
+    path, odd = _folder(s, "ingested"), F.col("doc_id") % 7
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 11 == 4, ".exe").when(odd == 5, ".pdf").otherwise(".txt"))
+    content = F.concat(F.when(odd == 3, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))), F.encode("text", "UTF-8"))
+    files = table(s, d, "documents").select(name.alias("path"), content.alias("content"), "doc_id").withColumn("length", F.octet_length("content"))
+    described = I.described(files.drop("doc_id"))
+    L.ingest(described.where("path < 'doc-3'"), path, "first", share=0.6)
+    L.ingest(described, path, "second", share=0.6)
+    rows = P.published(s, path, L.CHUNKS).groupBy("document_id").agg(F.min("path").alias("path"), F.max(F.size("embedding")).alias("dims"))
+    return P.statuses(s, path).join(rows, "document_id", "left").select("document_id", "path", "status", "error", "dims")
+
+
 def unknown_characters(s, d):
     """Pages repaired and, in the same pass, what no repair is known for: here the characters that some languages write."""
     repaired, seen = X.repair_observed(table(s, d, "documents"), "text", "ßçñ", "scn", "ß-ÿ")
@@ -89,7 +104,7 @@ def chat_prompt(s, d):
     return _TALK(s, d).where("role = 'user'").select("conv_id", "turn", A.prompt("Answer from the documents alone.", [("history", asked), ("question", shown)], "Answer in the question's language.").alias("prompt"))
 
 
-QUERIES = {f.__name__: f for f in (title_vectors, publish_rows, unknown_characters, rationale_texts, short_titles, text_without_names, unknown_names, needs_programme, chat_prompt)}
+QUERIES = {f.__name__: f for f in (title_vectors, publish_rows, ingest_files, unknown_characters, rationale_texts, short_titles, text_without_names, unknown_names, needs_programme, chat_prompt)}
 
 _SORTED = lambda ws: "|".join(sorted(ws, key=lambda w: (-len(w), w)))
 _ALONE = lambda x, a: f"regexp_replace(regexp_replace({x}, '(^|[^a-z0-9]){a}($|[^a-z0-9])', '\\1 \\2', 'g'), '(^|[^a-z0-9]){a}($|[^a-z0-9])', '\\1 \\2', 'g')"
@@ -99,6 +114,14 @@ ORACLES = {
             case when doc_id % 4 < 2 or doc_id % 3 <> 0 then 'done' when doc_id % 4 = 2 then 'failed' when doc_id % 2 = 0 then 'processing' end as status,
             case when doc_id % 4 = 2 and doc_id % 3 = 0 then 'ValueError: no pages' end as error
         from documents where doc_id % 4 < 3 or doc_id % 3 <> 0""",
+    "ingest_files": """with f as (select 'doc-' || doc_id || case when doc_id % 11 = 4 then '.exe' when doc_id % 7 = 5 then '.pdf' else '.txt' end as path, doc_id % 7 = 3 as broken, text,
+            case when doc_id % 7 = 3 then unhex('FF') || encode(text) else encode(text) end as content from documents),
+        g as (select sha256(content) as document_id, broken, any_value(text) as text, min(path) filter (where path < 'doc-3') as before, min(path) as path0 from f group by 1, 2),
+        p as (select document_id, broken, text, before, path0, coalesce(before, path0) as path from g),
+        q as (select *, case when ends_with(path, '.exe') then 'unknown kind' when ends_with(path, '.pdf') and not starts_with(text, '%PDF-') then 'not a PDF' when broken then 'UnicodeDecodeError: ''utf-8'' codec can''t decode byte 0xff in position 0: invalid start byte'
+            when trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' then 'ValueError: no pages' end as error from p)
+        select document_id, case when error is null and length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 20 then path end as path, case when error is null then 'done' else 'failed' end as status, error,
+               case when error is null and length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 20 then 16 end as dims from q""",
     "unknown_characters": """with c as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '[ß-ÿ]'))) as c from documents), u as (select * from c where c not in ('ß', 'ç', 'ñ'))
         select count(distinct doc_id) as unknown_pages, coalesce((select string_agg('U+' || lpad(upper(to_hex(unicode(c))), 4, '0'), ', ' order by c) from (select distinct c from u)), '') as unknown from u""",
     "rationale_texts": COURSES + " select course_id, case when course_id % 4 < 3 then 'because of ' || name else '' end as rationale from courses",

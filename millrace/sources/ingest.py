@@ -13,7 +13,11 @@ from millrace.sources.page_source import SCHEMA as PAGE_SCHEMA
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, content, reason): every file, with why it can't be used; null if it can. Empty files have no row: Spark's readers pass over them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return described(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+
+
+def described(files: DataFrame) -> DataFrame:
+    """files (path, length, content) with sha256, kind and the reason why a file can't be used."""
     kind = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
     reason = (
         F.when(F.col("length") > MAX_BYTES, "too large").when(~kind.isin("txt", "pdf"), "unknown kind")

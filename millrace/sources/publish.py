@@ -29,8 +29,9 @@ def begin(documents: DataFrame, path: str, load: str, document: str = "document_
     documents.select(document).distinct().write.mode("overwrite").parquet(f"{path}/begun/load={load}")
 
 
-def publish(rows: DataFrame, path: str, load: str, document: str = "document_id", failed: DataFrame | None = None, by: str | None = None) -> int:
-    """Publishes a load's rows; returns the generation from which readers see them. failed: (document, error) of documents that couldn't be done.
+def publish(rows: DataFrame, path: str, load: str, document: str = "document_id", failed: DataFrame | None = None, by: str | None = None, every: DataFrame | None = None) -> int:
+    """Publishes a load's rows; returns the generation from which readers see them. failed: (document, error) of documents that couldn't be done; every: (document) of
+    all that the load was to do, of which those without rows or errors are done too.
 
     by: a column by whose values the rows are parted into folders, so that readers of few values read few files.
 
@@ -47,6 +48,9 @@ def publish(rows: DataFrame, path: str, load: str, document: str = "document_id"
     if failed is not None:
         lost = failed.groupBy(document).agg(F.min("error").alias("error")).join(listed.select(document), document, "left_anti")
         listed = listed.unionByName(lost.select(document, F.lit("failed").alias("status"), F.substring("error", 1, 500).alias("error"), F.lit(0).cast("long").alias("n_rows")))
+    if every is not None:
+        bare = every.select(document).distinct().join(listed.select(document), document, "left_anti")
+        listed = listed.unionByName(bare.select(document, F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("n_rows")))
     listed.write.mode("overwrite").parquet(f"{path}/documents/load={load}")
     while not write_new(spark, f"{path}/manifest/{number + 1:012d}", json.dumps([*loads, load])):
         number, loads = generation(spark, path)

@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import conversations as C
+from millrace.operators import flows as L
 from millrace.sources import ingest as I
+from millrace.sources import publish as P
 from millrace.sources.page_source import PageSource
 
 
@@ -68,6 +70,26 @@ def test_errors_of_files_read_by_spark(spark, tmp_path):
     assert sorted(r.f for r in rows if not r.error) == ["a.txt", "a.txt", "b.pdf", "b.pdf", "d.pdf"]
 
 
+def test_ingest_of_a_folder(spark, tmp_path):
+    (top := tmp_path / "docs").mkdir()
+    folder(top)
+    (top / "long.txt").write_text("A page of the first document that is long enough.\n\nAnother page of it, also long enough.")
+    (top / "sub/copy.txt").write_bytes((top / "long.txt").read_bytes())
+    exec(EXTRACT, own := {})
+    path, extract = str(tmp_path / "table"), lambda data: own["extract"](data)
+    assert L.ingest(I.read_files(spark, str(top)), path, "one", extract) == 1
+    rows = P.published(spark, path, L.CHUNKS).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.chunk_index, r.page_number, len(r.embedding)) for r in rows) == [("long.txt", 0, 1, 16), ("long.txt", 1, 2, 16)]
+    status = {r.error or "": r.status for r in P.statuses(spark, path).collect()}
+    assert set(status.values()) == {"done", "failed"} and "ValueError: no end of file" in status and "PermissionError: encrypted" in status
+    # The broken file is mended, and the next load reads what isn't done alone.
+    (top / "broken.pdf").write_bytes(b"%PDF-1.7\nA page that is long enough to be kept|%%EOF")
+    assert L.ingest(I.read_files(spark, str(top)), path, "two", extract) == 2
+    read = [r.path.rsplit("/", 1)[1] for r in spark.read.parquet(f"{path}/begun/load=two").collect()]
+    assert "broken.pdf" in read and "locked.pdf" in read and not {"long.txt", "copy.txt", "a.txt", "b.pdf"} & set(read)
+    assert sorted(r.path.rsplit("/", 1)[1] for r in P.published(spark, path, L.CHUNKS).collect()) == ["broken.pdf", "long.txt", "long.txt"]
+
+
 def test_partitions_are_replaced(spark, tmp_path):
     path = str(tmp_path / "chunks")
     rows = lambda *r: spark.createDataFrame(r, "content string, document_id int")
