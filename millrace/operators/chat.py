@@ -82,6 +82,7 @@ def routed(turns: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     """
     message, history, programme = F.col(text), F.col("n_history"), F.col("programme")
     no = lambda c: F.coalesce(c, F.lit(False))
+    scored = lambda c: F.when(F.col(c).isNotNull(), rules.score(F.col(c)))
     out = turns.withColumn("_names", F.size(rules.names(message)) > 0).withColumn("_cached", F.when(history == 0, rules.cached(message))).withColumn("_kind", rules.small_talk(message)).withColumn("_interest", rules.interest(message))
     refers = ~F.col("_names") & message.rlike(rules.reference)
     resolved = F.when(refers & programme.isNotNull(), G.resolve_reference(message, rules.reference, programme)).otherwise(message)
@@ -91,11 +92,11 @@ def routed(turns: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     usable = F.when((F.length(F.trim(rewritten)) > 0) & (F.length(rewritten) <= 200) & (rewritten != message), rewritten)
     out = out.withColumn("_refers", no(refers)).withColumn("_query", resolved).withColumn("_rewritten", usable)
     # The search: the question, then what else there is to search by.
-    out = out.withColumn("_score", rules.score(F.col("_query"))).withColumn("_again", rules.score(F.col("_rewritten")))
+    out = out.withColumn("_score", scored("_query")).withColumn("_again", scored("_rewritten"))
     gains = (F.size(rules.names(F.col("_rewritten"))) > 0) & ~F.col("_names")
     out = out.withColumn("_taken", no(F.col("_rewritten").isNotNull() & (gains | (F.col("_again") > F.col("_score")))))
     out = out.withColumn("interpreted", F.when(F.col("_taken"), F.col("_rewritten")).otherwise(F.col("_query"))).withColumn("_best", F.when(F.col("_taken"), F.col("_again")).otherwise(F.col("_score")))
-    out = out.withColumn("_translated", rules.translated(message)).withColumn("_other", rules.score(F.col("_translated")))
+    out = out.withColumn("_translated", rules.translated(message)).withColumn("_other", scored("_translated"))
     out = out.withColumn("_better", no(F.col("_other") > F.col("_best")))
     out = out.withColumn("_search", F.when(F.col("_better"), F.col("_translated")).otherwise(F.col("interpreted"))).withColumn("_best", F.when(F.col("_better"), F.col("_other")).otherwise(F.col("_best")))
     named = no(rules.known(F.col("interpreted"))) | no(rules.known(F.col("_search")))
