@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from millrace.operators import gates as G
 
-#: Turns that are looked back on, and the seconds after which a silent conversation starts anew.
-HISTORY, IDLE = 6, 1800.0
+# Turns that are looked back on, and characters of a rewritten question; a longer one is an explanation, not a question.
+HISTORY, LONGEST = 6, 200
+#: Seconds after which a silent conversation starts anew.
+IDLE = 1800.0
 #: What turn_context() and the stream's state tell of a user's turn.
 CONTEXT = ("n_history", "previous_role", "previous", "asked_before", "programme")
 
@@ -89,7 +91,7 @@ def routed(turns: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     follows = (history >= 2) & (F.col("previous_role") == "assistant") & F.col("previous").contains(rules.offer) & (F.trim(F.coalesce("asked_before", F.lit(""))) != "")
     follows = no(follows & ~no(rules.specific(message)) & ~no(rules.known(message)))
     rewritten = F.when((history > 0) & (F.col("_query") == message), rules.rewritten(message, programme))
-    usable = F.when((F.length(F.trim(rewritten)) > 0) & (F.length(rewritten) <= 200) & (rewritten != message), rewritten)
+    usable = F.when((F.length(F.trim(rewritten)) > 0) & (F.length(rewritten) <= LONGEST) & (rewritten != message), rewritten)
     out = out.withColumn("_refers", no(refers)).withColumn("_query", resolved).withColumn("_rewritten", usable)
     # The search: the question, then what else there is to search by.
     out = out.withColumn("_score", scored("_query")).withColumn("_again", scored("_rewritten"))

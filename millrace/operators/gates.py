@@ -11,6 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed values, as defaults below: small talk has 40 characters at most; a best score under 0.50 is off topic, one under 0.65 in doubt; a denial that
+# goes on for more than 250 characters is made up; rationales are cut at 2,000.
+
+
 def contains_any(text: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases], F.lit(False))
 
