@@ -241,7 +241,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         texts = texts.unionByName(own.join(same, "id").groupBy("id").agg(F.first("text").alias("text")))
     sketches = stored(_sketches(texts, width, print_width, similarity))
     # Copies, of which one represents the rest from here on.
-    copies = sketches.groupBy("digest").agg(F.min("id").alias("to"), F.count("*").alias("c")).where("c > 1")
+    copies = stored(sketches.groupBy("digest").agg(F.min("id").alias("to"), F.count("*").alias("c")).where("c > 1"))  # so that Spark can split the join at a group of very many
     copies = stored(sketches.select("id", "digest").join(copies, "digest").where("id <> to").select("id", "to"))
     single = sketches.join(copies.select("id"), "id", "left_anti")
     prints = stored(single.select("id", "n", "bits"))
