@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +36,26 @@ def match(scores: DataFrame, offered: DataFrame, name: str, id_col: str, limit:
     return ranked.join(V.confidence(ranked, [query]), query)
 
 
-def scopes(questions: DataFrame, id_col: str, text: str, catalog: DataFrame, names: list[str], aliases: list[tuple[str, str]], wrappers: str, leading: str) -> DataFrame:
+def scopes(questions: DataFrame, id_col: str, text: str, catalog: DataFrame, names: list[str], aliases: list[tuple[str, str]], wrappers: str, leading: str, shown: Callable[[Column], Column] = lambda ids: ids, salts: int = 8) -> DataFrame:
     """(question, place, name, ids, search): for each programme that a question names, in the order they are found, the ids of its active editions.
 
     catalog: course_id, name, title, is_active. A year in the question narrows the editions to those whose title has it, if any. The
-    search text is the question without all that named a programme, the same for all of a question's scopes.
+    search text is the question without all that named a programme, the same for all of a question's scopes. shown: what is made of the ids.
+
+    A name's list, and that of each year in its titles, is made once, however many questions get it; questions meet the lists sorted by name and year,
+    dealt out by `salts`, so that equal lists come one after another and a name that all ask for isn't one task's.
     """
     found = E.scope_state(F.col(text), names, aliases)
     asked = questions.select(id_col, F.col(text).alias("q"), found.alias("s")).select(id_col, "q", E.search_text(F.col("q"), F.col("s.targets"), wrappers, leading).alias("search"), F.posexplode("s.found").alias("place", "name"))
-    editions = catalog.where("is_active").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("course_id", "title"))).alias("e"))
-    year = F.nullif(F.regexp_extract("q", r"25\d{2}", 0), F.lit(""))
-    of_year: Column = F.filter("e", lambda x: x["title"].contains(year))
-    kept = F.when(year.isNotNull() & (F.size(of_year) > 0), of_year).otherwise(F.col("e"))
-    return asked.join(editions, "name").select(id_col, "place", "name", F.transform(kept, lambda x: x["course_id"]).alias("ids"), "search")
+    # A title holds a year wherever its four characters stand, so matches may overlap; the empty year stands for all editions.
+    of_title = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("title", F.lit(r"(?=(25\d{2}))"), F.lit(1))))
+    editions = catalog.where("is_active").where(F.col("name").isin(names)).select("name", "course_id", F.explode(F.coalesce(of_title, F.array(F.lit("")))).alias("_year"))
+    years = editions.groupBy("name").agg(F.collect_set("_year").alias("_years"))  # a hundred at most
+    lists = editions.groupBy("name", "_year").agg(F.sort_array(F.collect_list("course_id")).alias("ids")).select("name", "_year", shown(F.col("ids")).alias("ids"))
+    lists = lists.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
+    year = F.regexp_extract("q", r"25\d{2}", 0)
+    dealt = asked.join(years, "name").select(id_col, "place", "name", "search", F.when(F.array_contains("_years", year), year).otherwise("").alias("_year"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("_salt"))
+    return dealt.join(lists.hint("merge"), ["name", "_year", "_salt"]).select(id_col, "place", "name", "ids", "search")
 
 
 def compare_request(requests: DataFrame, request: str, ids: str, catalog: DataFrame, id_col: str, least: int = 2, most: int = 4) -> DataFrame:

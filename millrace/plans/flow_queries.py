@@ -27,8 +27,8 @@ def match_programs(s, d):
 
 def scope_ids(s, d):
     asked = EQ._questions(s, d).withColumn("q", F.concat_ws(" ", "q", F.when(F.col("q_id") % 3 == 0, F.concat(F.lit("25"), (F.lit(60) + F.col("q_id") % 10).cast("string")))))
-    found = flows.scopes(asked, "q_id", "q", courses(s, d), EQ.NAMES, EQ.ALIASES, "BOLT|GEAR", "Programme of")
-    return found.select("q_id", "name", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    shown = lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    return flows.scopes(asked, "q_id", "q", courses(s, d), EQ.NAMES, EQ.ALIASES, "BOLT|GEAR", "Programme of", shown).select("q_id", "name", "ids")
 
 
 def compare_missing(s, d):
