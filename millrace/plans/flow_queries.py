@@ -21,7 +21,8 @@ def clean_documents(s, d):
 
 def match_programs(s, d):
     offered = courses(s, d).where("brand in ('Brand#1', 'Brand#2')").select("name").distinct()
-    found = flows.match(VQ._ranked(s, d), offered, "name", "course_id", margin=0.04)
+    scores = VQ._ranked(VQ._first(s, d, 1), VQ._moved(s, d))  # of a name's editions the best is one of these
+    found = flows.match(scores, offered, "name", "course_id", margin=0.04)
     return found.select("query_id", "rank", "course_id", "title", F.round("score", 4).alias("score"), "percent", "confidence")
 
 
