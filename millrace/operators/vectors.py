@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Chunks and queries that meet in a task, at most; bytes of vectors on either side; and the queries of one matrix product.
 TILE, BLOCK, BYTES, STEP = 8192, 8192, 64 << 20, 256
+#: Chunks and queries that meet where every pair is returned: half a million pairs, which take some 50 MB.
+PAIRS_TILE, PAIRS_BLOCK = 1024, 512
 
 
 def _matrix(vectors: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -64,6 +66,8 @@ def similarities(chunks: DataFrame, queries: DataFrame, k: int | None = None, gr
 
     A pair whose vectors differ in length, or are null, is left out; a vector without length has score 0.
     """
+    if k is None:  # all pairs of a task are in memory at once
+        tile, block = min(tile, PAIRS_TILE), min(block, PAIRS_BLOCK)
     parts = lambda df, vector, most: (lambda n, dims: math.ceil(n / max(1, min(most, BYTES // (8 * max(1, dims))))))(*df.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).first())
     tiles, blocks = parts(chunks, "embedding", tile), parts(queries, "q", block)
     rows = chunks.withColumn("tile", F.pmod(F.xxhash64(id_col), F.lit(max(1, tiles)))).withColumn("block", F.explode(_numbers(blocks)))
