@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.vectors import BLOCK, TILE, _numbers, cosine, ranked_in
+from millrace.operators.vectors import BLOCK, STEP, TILE, _numbers, cosine, ranked_in
 from millrace.sources import publish as P
 from millrace.sources.folders import exists, read_text, write_new
 
@@ -131,13 +131,17 @@ def _best_by_code(rows: DataFrame, asked: DataFrame, model: Model, rerank: int)
             codes = np.frombuffer(b"".join(chunks["code"].to_pylist()), np.uint8).reshape(n, -1)
             whole = _matrix(queries["q"].combine_chunks())
             cut = whole.reshape(m, len(books), -1)
-            scores = np.repeat(whole @ model.centres[chunks["list"][0].as_py()], n).reshape(m, n)
-            for k, book in enumerate(books):
-                scores += (cut[:, k] @ book.T)[:, codes[:, k]]
-            ids = chunks["id"].to_numpy()
-            x = np.concatenate([np.lexsort((ids, -row))[:rerank] for row in scores])
+            centre, ids = model.centres[chunks["list"][0].as_py()], chunks["id"].to_numpy()
+            found, best = [], []
+            for at in range(0, m, STEP):  # so many queries at once, as in the exact search
+                some = slice(at, at + STEP)
+                scores = np.repeat(whole[some] @ centre, n).reshape(-1, n)
+                for k, book in enumerate(books):
+                    scores += (cut[some, k] @ book.T)[:, codes[:, k]]
+                first = np.stack([np.lexsort((ids, -row))[:rerank] for row in scores])
+                found.append(first.ravel()), best.append(np.take_along_axis(scores, first, 1).ravel())
+            x, score = np.concatenate(found), np.concatenate(best)
             q = np.repeat(np.arange(m), min(n, rerank))
-            score = scores[q, x]
         return pa.table({"query_id": queries["query_id"].take(pa.array(q)), "id": chunks["id"].take(pa.array(x)), "list": chunks["list"].take(pa.array(x)), "score": score})
 
     schema = T.StructType([asked.schema["query_id"], rows.schema["id"], T.StructField("list", T.IntegerType()), T.StructField("score", T.DoubleType())])
