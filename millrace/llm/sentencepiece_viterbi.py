@@ -20,8 +20,8 @@ would give.
 
 from __future__ import annotations
 
+import hashlib
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,10 @@ class Vocabulary:
             plain = [(p, -math.log(1 - s) - 5.0, i) for p, s, i in plain]
         return Vocabulary(plain, {int(m.id_to_piece(i)[1:-1], 16): i for i in every if m.is_byte(i)}, m.unk_id())
 
+    def digest(self) -> str:
+        """Equal for equal vocabularies, so that a worker keeps its encoder from one query to the next."""
+        return hashlib.sha256(repr((sorted(self.pieces.items()), sorted(self.byte_ids.items()), self.unknown)).encode()).hexdigest()
+
     def fallback(self, character: str) -> tuple[int, ...]:
         data = character.encode()
         return tuple(self.byte_ids[b] for b in data) if all(b in self.byte_ids for b in data) else (self.unknown,)
@@ -251,7 +255,8 @@ _WORKER: list[tuple[object, Encoder]] = []
 
 def _encoder(key: object, vocabulary) -> Encoder:
     if not _WORKER or _WORKER[0][0] != key:
-        _WORKER[:] = [(key, Encoder(vocabulary()))]
+        _WORKER.clear()  # the former one goes before the new one is made
+        _WORKER.append((key, Encoder(vocabulary())))
     return _WORKER[0][1]
 
 
@@ -277,8 +282,8 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
     ids. Repeated rows are encoded alike. However long a text, its pending state stays small; its ids are one array.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(model_path))
-    key = uuid.uuid4().hex
+    vocabulary = Vocabulary.read(model_path)
+    shared, key = docs.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.digest()
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -75,6 +76,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system, so that workers that wait for other stages hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what is freed
+    if trim:
+        trim(0)
+
+
 def in_slices(texts, size: int = 2 << 20):
     """(start, slice) of an Arrow array of texts, each of about `size` bytes, or one text: so that working copies stay small."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -83,7 +92,7 @@ def in_slices(texts, size: int = 2 << 20):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         yield at, texts.slice(at, end - at)
         at = end
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
