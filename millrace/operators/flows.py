@@ -94,12 +94,14 @@ def ingest(files: DataFrame, path: str, load: str, extract=None, embed=providers
     todo = P.not_done(first, path)
     todo.write.mode("overwrite").parquet(f"{path}/begun/load={load}")  # as P.begin() does, with the paths
     todo = spark.read.parquet(f"{path}/begun/load={load}")
-    found = I.pages_and_errors(files.join(todo.select("path"), "path", "left_semi"), extract).join(todo, "path")
-    pages = found.where("error is null").select("document_id", "page_number", "page_text")
-    clean = clean_documents(pages, "document_id", "page_text", wrong, right, list(rules), **limits)
-    chunks = chunk_pages(clean, "document_id", "page_number", "page_text").join(todo, "document_id")
-    rows = chunks.select("document_id", "path", "chunk_index", "page_number", "content", "token_count", embed(F.col("content")).alias("embedding"))
-    return P.publish(rows, path, load, failed=found.where("error is not null").select("document_id", "error"), every=todo)
+    # Contents move once to meet what is to be done (those that can't be read don't), pages once to meet their document's repeated lines; document_id and path go along as one key, so that chunks needn't move.
+    usable = files.withColumn("content", F.when(F.col("reason").isNull(), F.col("content")))
+    keyed = usable.join(todo.select("path", F.struct("document_id", "path").alias("document")).hint("merge"), "path")
+    found = I.pages_and_errors(keyed, extract, ("document",))
+    clean = clean_documents(found.where("error is null").drop("error"), "document", "page_text", wrong, right, list(rules), **limits)
+    chunks = chunk_pages(clean, "document", "page_number", "page_text").withColumn("embedding", embed(F.col("content")))
+    rows = chunks.unionByName(found.where("error is not null").select("document", "error"), allowMissingColumns=True)
+    return P.publish(rows.select("document.*", "chunk_index", "page_number", "content", "token_count", "embedding", "error"), path, load, error="error", every=todo)
 
 
 #: What ingest() publishes.

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import strip
 from millrace.sources.page_source import MAX_BYTES, pages_or_error, pdf_pages
-from millrace.sources.page_source import SCHEMA as PAGE_SCHEMA
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,22 +35,22 @@ def pages_of(docs: DataFrame, text: Column, by: str = "\n\n") -> DataFrame:
     return docs.select("*", F.posexplode(split_pages(text, by)).alias("page_number", "page_text")).withColumn("page_number", F.col("page_number") + 1)
 
 
-def pages_and_errors(files: DataFrame, extract=None) -> DataFrame:
-    """(path, sha256, page_number, page_text, error): the pages of all files, and a row with an error, without a page, for each file that can't be read.
+def pages_and_errors(files: DataFrame, extract=None, keys: tuple[str, ...] = ("path", "sha256")) -> DataFrame:
+    """(path, sha256, or other keys, page_number, page_text, error): the pages of all files, and a row with an error, without a page, for each file that can't be read.
 
     extract: a PDF's bytes -> its pages' texts; by default the pypdf library, where it is installed. One bad file leaves the others' pages alone.
     """
 
-    def read(batches):
-        names = ("path", "sha256", "page_number", "page_text", "error")
-        schema = pa.schema([("path", pa.string()), ("sha256", pa.string()), ("page_number", pa.int32()), ("page_text", pa.string()), ("error", pa.string())])
-        for batch in batches:
-            for r in batch.to_pylist():
-                rows = pages_or_error(r["path"], r["length"], lambda r=r: r["content"], extract or pdf_pages)
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema)
+    @F.arrow_udf("array<struct<page_number: int, page_text: string, error: string>>")
+    def read(paths: pa.Array, lengths: pa.Array, contents: pa.Array, reasons: pa.Array) -> pa.Array:
+        out = []
+        for path, length, content, reason in zip(paths, lengths, contents, reasons, strict=True):  # a file at a time is held
+            rows = [(None, None, reason.as_py())] if reason.is_valid else [r[2:] for r in pages_or_error(path.as_py(), length.as_py(), content.as_py, extract or pdf_pages)]
+            out.append([dict(zip(("page_number", "page_text", "error"), r, strict=True)) for r in rows])
+        return pa.array(out, pa.list_(pa.struct([("page_number", pa.int32()), ("page_text", pa.string()), ("error", pa.string())])))
 
-    found = files.where("reason is null").select("path", "length", "content").mapInArrow(read, PAGE_SCHEMA)
-    return found.unionByName(files.where("reason is not null").select("path", "sha256", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("page_text"), F.col("reason").alias("error")))
+    content = F.when(F.col("reason").isNull(), F.col("content"))
+    return files.select(*keys, F.inline(read.asNondeterministic()("path", "length", content, "reason")))
 
 
 def read_pages(files: DataFrame, extract=None) -> DataFrame:

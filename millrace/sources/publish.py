@@ -1,6 +1,6 @@
 """A table of documents' rows that readers only ever see whole: loads write beside each other, and a manifest that is swapped last says which count.
 
-    <path>/rows/load=<name>         the rows of a load's documents
+    <path>/rows/load=<name>         the rows of a load's documents; those with an _error, which readers pass over, say why a document failed
     <path>/documents/load=<name>    a row for each document: status (done, failed) and error
     <path>/begun/load=<name>        a row for each document that the load set out to process
     <path>/manifest/<generation>    the names of the loads that count, in the order in which they were published
@@ -29,10 +29,12 @@ def begin(documents: DataFrame, path: str, load: str, document: str = "document_
     documents.select(document).distinct().write.mode("overwrite").parquet(f"{path}/begun/load={load}")
 
 
-def publish(rows: DataFrame, path: str, load: str, document: str = "document_id", failed: DataFrame | None = None, by: str | None = None, every: DataFrame | None = None) -> int:
+def publish(rows: DataFrame, path: str, load: str, document: str = "document_id", failed: DataFrame | None = None, by: str | None = None, every: DataFrame | None = None, error: str | None = None) -> int:
     """Publishes a load's rows; returns the generation from which readers see them. failed: (document, error) of documents that couldn't be done; every: (document) of
     all that the load was to do, of which those without rows or errors are done too.
 
+    error: a column of rows instead of `failed`, so that rows and errors come from one pass: where it isn't null the row is none of the document's, but says why it couldn't be done.
+
     by: a column by whose values the rows are parted into folders, so that readers of few values read few files.
 
     A load that is published already is left as it is. Two loads that are published at one time both count: who comes second takes the next generation.
@@ -41,10 +43,14 @@ def publish(rows: DataFrame, path: str, load: str, document: str = "document_id"
     number, loads = generation(spark, path)
     if load in loads:
         return number
+    rows = rows.withColumnRenamed(error, "_error") if error else rows
     writer = rows.hint("rebalance", by).write.partitionBy(by) if by else rows.write
     writer.mode("overwrite").parquet(f"{path}/rows/load={load}")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/rows/load={load}")
-    listed = stored.groupBy(document).agg(F.count("*").alias("n_rows")).select(document, F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), "n_rows")
+    reason = F.col("_error") if error else F.lit(None).cast("string")
+    listed = stored.groupBy(document).agg(F.count_if(reason.isNull()).alias("n_rows"), F.min(reason).alias("error"))
+    done = F.col("n_rows") > 0
+    listed = listed.select(document, F.when(done, "done").otherwise("failed").alias("status"), F.when(~done, F.substring("error", 1, 500)).alias("error"), "n_rows")
     if failed is not None:
         lost = failed.groupBy(document).agg(F.min("error").alias("error")).join(listed.select(document), document, "left_anti")
         listed = listed.unionByName(lost.select(document, F.lit("failed").alias("status"), F.substring("error", 1, 500).alias("error"), F.lit(0).cast("long").alias("n_rows")))
@@ -76,7 +82,8 @@ def published(spark: SparkSession, path: str, schema, document: str = "document_
     if not loads or at == 0:
         return spark.createDataFrame([], schema)
     fields = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    rows = spark.read.schema(f"{fields}, load string").option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/load={x}" for x in loads])
+    rows = spark.read.schema(f"{fields}, _error string, load string").option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/load={x}" for x in loads])
+    rows = rows.where("_error is null").drop("_error")  # null in loads without errors
     done = _documents(spark, path, document).where(F.col("status") == "done").where(F.col("load").isin(loads))
     # Only documents that several loads did need a look; rows are moved for none, as long as these are few.
     old = done.groupBy(document).agg(F.collect_list(F.struct("place", "load")).alias("all"), F.max("place").alias("newest")).where(F.size("all") > 1)
