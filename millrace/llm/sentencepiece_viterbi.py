@@ -9,7 +9,7 @@ run apart, not on the text.
 Many stretches of text are searched side by side, a window of each at a time. A stretch ends where all paths are known to
 meet, whatever the scores: where no piece can span a boundary, such as before a word mark that follows another character
 (if the vocabulary has no piece with a mark inside), or beside a character that is in no longer piece. Equal stretches
-have equal ids, so each different one of some megabytes of text is searched once, and short ones are remembered in a bounded table.
+have equal ids, so each different one of some megabytes of text is searched once, without a Python object for any of them.
 
 A character that no piece covers becomes its UTF-8 bytes' pieces (or the unknown piece). The vocabulary is read by the
 driver and sent to the tasks; its size has nothing to do with the data. Scores are the model file's log probabilities if it
@@ -70,6 +70,39 @@ class Vocabulary:
         return tuple(self.byte_ids[b] for b in data) if all(b in self.byte_ids for b in data) else (self.unknown,)
 
 
+class _Table:
+    """Numbers by keys (non-negative, each once), many of which are looked up at a time; 0 for other keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.keys, self.values = np.uint64(64 - bits), np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        left, at = np.arange(len(keys)), self._place(keys)
+        while len(left):  # each goes to the first free place from its own on
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of several the last
+            here = self.keys[at] == keys[left]
+            self.values[at[here]] = values[left[here]]
+            left, at = left[~here], (at[~here] + 1) & (len(self.keys) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], 0)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            held = self.keys[at]
+            same, more = held == keys[left], held >= 0
+            out[left[same]] = self.values[at[same]]
+            more &= ~same
+            left, at = left[more], at[more]
+        return out
+
+
 class Search:
     """The streaming search for many stretches side by side."""
 
@@ -85,13 +118,18 @@ class Search:
                     scores.append(-math.inf), ids.append(-1)
                 at = nodes[key]
             scores[at], ids[at] = score, i
-        self.edges, self.to = np.array(sorted(nodes.items()) or [(-1, 0)], np.int64).T
-        self.scores, self.ids = np.array(scores), np.array(ids, np.int64)
+        self.edges = _Table(np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.int64, len(nodes)))
+        self.ids, self.scores = np.array(ids, np.int64), np.array(scores)
+        self.scores[0] = v.penalty  # node 0: no piece, the character as bytes
 
     def __call__(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all stretches, one after another, and where each one's start (with the end of the last)."""
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
-        chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        return self.side_by_side(np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32), sizes)
+
+    def side_by_side(self, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for stretches that are given by their characters, one after another, and their sizes."""
+        chars = chars.astype(np.int64)
         starts, stops = np.cumsum(sizes) - sizes, np.cumsum(sizes)
         at, width, open_ = starts.copy(), np.full(len(sizes), self.window), np.flatnonzero(sizes)
         owners, found = [], []
@@ -120,21 +158,22 @@ class Search:
         # All pieces that fit anywhere: from every character down the trie, all at once.
         source, char, node, arcs = start, np.arange(len(chars)), np.zeros(len(chars), np.int64), []
         while len(char):
-            key = node << 21 | chars[char]
-            k = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
-            on = self.edges[k] == key
-            source, char, node = source[on], char[on] + 1, self.to[k[on]]
-            done = self.ids[node] >= 0
+            node = self.edges(node << 21 | chars[char])
+            on = np.flatnonzero(node)  # no edge leads to the root
+            source, char, node = source[on], char[on] + 1, node[on]
+            done = np.flatnonzero(self.ids[node] >= 0)
             place = start[char - 1] + 1
             arcs.append((source[done], place[done], node[done]))
-            more = place < last[char - 1]
+            more = np.flatnonzero(place < last[char - 1])
             source, char, node = source[more], char[more], node[more]
-        arcs.append((start, start + 1, np.zeros(len(start), np.int64)))
+        # The longest first: of one boundary's arcs, what comes first begins first.
+        arcs = [*arcs[::-1], (start, start + 1, np.zeros(len(start), np.int64))]
         source, to, node = (np.concatenate([a[k] for a in arcs]) for k in range(3))
-        score = np.where(node > 0, self.scores[node], self.v.penalty)  # node 0: no piece, the character as bytes
         depth = np.arange(len(chars) + len(sizes)) - np.repeat(first, sizes + 1)  # characters before each place
-        order = np.lexsort((source, depth[to]))
-        source, to, node, score = source[order], to[order], node[order], score[order]
+        far = depth[to]
+        order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")  # small numbers are sorted in linear time
+        source, to, node = source[order], to[order], node[order]
+        score = self.scores[node]
         best, back, how = np.full(len(depth), -np.inf), np.arange(len(depth)), np.zeros(len(depth), np.int64)
         best[first] = 0.0
         level = np.append(np.flatnonzero(np.diff(depth[to], prepend=-1)), len(to))
@@ -185,15 +224,10 @@ def _pick(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 
 class Encoder:
-    """Encodes whole texts with one vocabulary. Remembers the ids of at most about `most` stretches, of up to `length` code points."""
-
-    def __init__(self, v: Vocabulary, most: int = 200_000, length: int = 48, window: int = 256):
-        self.v, self.most, self.length, self.search = v, most, length, Search(v, window)
-        self._forget()
+    """Encodes whole texts with one vocabulary. Stretches of about `most` bytes together are searched at a time, so that working copies stay small."""
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.values, self.sizes = [], [np.zeros(1, np.int64)]
+    def __init__(self, v: Vocabulary, most: int = 200_000, window: int = 256):
+        self.v, self.most, self.search = v, most, Search(v, window)
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The stretches of all texts, with spaces for marks, and how many each text has."""
@@ -220,36 +254,28 @@ class Encoder:
         """The ids of all texts (some megabytes together), one after another, and how many each has."""
         stretches, of = self._cut(texts)
         if not len(stretches):
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         coded = stretches.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        number = np.fromiter((self.known.get(x, -1) for x in different), np.int64, len(different))
-        new = np.flatnonzero(number < 0)
-        if len(self.known) + len(new) > self.most:
-            self._forget()
-            new, number = np.arange(len(different)), np.full(len(different), -1)
-        ids, ends = self.search([different[k].replace(" ", MARK) for k in new])
-        base = len(self.known)
-        short = np.fromiter((len(different[k]) <= self.length for k in new), bool, len(new))
-        kept = new[short]
-        self.known.update((different[k], base + j) for j, k in enumerate(kept))
-        values, n = _pick(ids, ends, np.flatnonzero(short))
-        self.values.append(values), self.sizes.append(n)
-        # All lists side by side: the remembered ones, then the long ones of this call.
-        held, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        self.values, self.sizes = [held], [sizes]
-        far, m = _pick(ids, ends, np.flatnonzero(~short))
-        number[kept] = base + np.arange(len(kept))
-        number[new[~short]] = len(sizes) - 1 + np.arange(len(m))
-        out, each = _pick(np.concatenate([held, far]), np.cumsum(np.concatenate([sizes, m])), number[coded.indices.to_numpy(zero_copy_only=False)])
-        upto = np.append(0, np.cumsum(each))
-        return out, np.diff(upto[np.append(0, np.cumsum(of))])
+        at = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1]
+        data = np.frombuffer(coded.dictionary.buffers()[2], np.uint8)[: at[-1]]
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+        chars[chars == 32] = ord(MARK)
+        upto = np.append(0, np.cumsum((data & 0xC0) != 0x80))[at]  # code points before each stretch
+        found, sizes, first = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        while first < len(at) - 1:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + self.most, "right")) - 1)
+            ids, ends = self.search.side_by_side(chars[upto[first] : upto[last]], np.diff(upto[first : last + 1]))
+            found.append(ids.astype(np.int32)), sizes.append(np.diff(ends))
+            first = last
+        out, each = _pick(np.concatenate(found), np.cumsum(np.concatenate(sizes)), coded.indices.to_numpy(zero_copy_only=False))
+        ends = np.append(0, np.cumsum(each))
+        return out, np.diff(ends[np.append(0, np.cumsum(of))])
 
     def __call__(self, text: str | None) -> list[int]:
         return self.encode(pa.array([text], pa.string()))[0].tolist()
 
 
-#: The encoder of this Python worker, with the vocabulary that it is for: tasks that follow each other share what it remembers.
+#: The encoder of this Python worker, with the vocabulary that it is for: tasks that follow each other share it.
 _WORKER: list[tuple[object, Encoder]] = []
 
 
@@ -289,9 +315,9 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
     def ids_of(texts: pa.Array) -> pa.Array:
         encoder = _encoder(key, lambda: shared.value)
         ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for _, part in in_slices(texts, 1 << 20):
+        for _, part in in_slices(texts, 3 << 20):
             found, n = encoder.encode(part)
-            ids.append(found.astype(np.int32)), sizes.append(n)
+            ids.append(found), sizes.append(n)
         return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
 
     # Said to be non-deterministic, so that Spark doesn't repeat the search for each later use of the ids.
