@@ -82,6 +82,23 @@ def stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(np.append(begins, len(code))), pa.py_buffer(np.ascontiguousarray(code))]), of
 
 
+def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts (large_string), one after another, and where each begins (with the end of the last)."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _closed(texts: pa.Array) -> np.ndarray:
+    """Which of some texts, none of them empty, begin with a space or line end and end in no white space."""
+    code, ends = _flat(texts)
+    first, last = code[ends[:-1]], ends[1:] - 1
+    a, b, c = (np.where(last - k >= ends[:-1], code[np.maximum(last - k, 0)], 0) for k in range(3))  # the last byte, and those before it
+    white = ((a >= 9) & (a <= 13)) | ((a >= 28) & (a <= 32)) | ((b == 0xC2) & ((a == 0x85) | (a == 0xA0))) | ((c == 0xE1) & (b == 0x9A) & (a == 0x80))
+    white |= (c == 0xE2) & (((b == 0x80) & ((a <= 0x8A) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF))) | ((b == 0x81) & (a == 0x9F)))
+    white |= (c == 0xE3) & (b == 0x80) & (a == 0x80)
+    return ((first == 32) | (first == 10)) & ~white
+
+
 def _ranges(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """values[start : start + size] of each range, one after another."""
     return values[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
@@ -96,29 +113,30 @@ class Encoder:
 
         self.library, self.lengths = Tokenizer.from_str(described), lengths
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]  # fast: without offsets
 
-    def _side_by_side(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _side_by_side(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after another, and how many each has. The texts, each begun by a space or line end and ended by neither, are cut apart again by the bytes of the ids."""
-        ends = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        code, ends = _flat(texts)
         parts, first = [np.zeros(0, np.int32)], 0
         while first < len(texts):  # about _PART bytes at a time
-            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _PART, "right")))
-            parts += map(self._ids, parts_of("".join(texts[first:last])))
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + _PART, "right")) - 1)
+            for part in parts_of(code[ends[first] : ends[last]].tobytes().decode()):
+                parts += self._ids([part])
             first = last
         ids = np.concatenate(parts)
-        upto = np.searchsorted(np.cumsum(self.lengths[ids]), ends, "right") if len(ids) else np.zeros(len(texts), np.int64)
+        upto = np.searchsorted(np.cumsum(self.lengths[ids]), ends[1:], "right") if len(ids) else np.zeros(len(texts), np.int64)
         return ids, np.diff(upto, prepend=0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (some megabytes together) one after another, and how many each text has."""
         cut, of = stretches(texts)
         coded = cut.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        fits = np.fromiter((x[0] in " \n" and not x[-1].isspace() for x in different), bool, len(different))
-        ids, sizes = self._side_by_side([different[k] for k in np.flatnonzero(fits)])
-        alone = [[*map(self._ids, parts_of(different[k]))] for k in np.flatnonzero(~fits)]
+        different = coded.dictionary
+        fits = _closed(different)
+        ids, sizes = self._side_by_side(different.filter(pa.array(fits)))
+        alone = [self._ids(parts_of(text)) for text in different.filter(pa.array(~fits)).to_pylist()]
         values = np.concatenate([ids, *(part for parts in alone for part in parts)])
         every = np.zeros(len(different), np.int64)
         every[fits], every[~fits] = sizes, [sum(map(len, parts)) for parts in alone]

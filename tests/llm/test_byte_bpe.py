@@ -97,3 +97,11 @@ def test_split_characters(spark, tik):
 def test_packed_ids(spark):
     df = spark.createDataFrame([([1, 50255],), ([],), (None,)], "ids array<int>")
     assert [bytes(r[0]) for r in df.select(byte_bpe.packed_ids(df["ids"])).collect()] == [struct.pack("<2I", 1, 50255), b"", b""]
+
+
+def test_closed_stretches_by_their_bytes():
+    ends = [chr(c) for c in [*range(0x3100), 0xFEFF, 0xFFFD, 0x1F642, 0x12085]]
+    texts = [first + rest for first in (" ", "\n", "\t", "　", "a", "é") for rest in ("", "x", *ends)]
+    got = byte_bpe._closed(pa.array(["skipped", *texts], pa.large_string()).slice(1))
+    assert got.tolist() == [t[0] in " \n" and not t[-1].isspace() for t in texts]
+    assert byte_bpe._closed(pa.array([], pa.large_string())).tolist() == []
